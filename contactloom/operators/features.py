@@ -114,6 +114,64 @@ def attach_anchors(contacts: DataFrame, rows: DataFrame, slots: Sequence[str], s
     return out
 
 
+# ---- nearest items of free-standing points and regions --------------------------------------------
+
+
+def nearest_peaks(track: DataFrame, points: DataFrame, n: int, payload: Sequence[str] = ("mids", "sigVal")) -> DataFrame:
+    """(chr, p, side, idx, payload): ``n`` nearest items on each side of every distinct point, padded."""
+    sides = F.explode(F.array(F.lit(BEFORE), F.lit(UP_TO)))
+    at = points.select("chr", "p").distinct().select("chr", "p", sides.alias("side"))
+    kept = list(dict.fromkeys(["chr", "start", "end", "mids", *payload]))
+    located = locate(at, track.select(*kept), payload, n)
+    listed = F.when(F.col("side") == BEFORE, pad_left(F.col("before"), n, payload)).otherwise(
+        pad_right(F.col("after"), n, payload, F.col("p"))
+    )
+    name = F.when(F.col("side") == BEFORE, "left").otherwise("right")
+    return located.select("chr", "p", name.alias("side"), F.posexplode(listed).alias("idx", "_i")).select(
+        "chr", "p", "side", "idx", *[F.col("_i")[c].alias(c) for c in payload]
+    )
+
+
+def boundary_peaks(
+    track: DataFrame, regions: DataFrame, n: int, key: str = "id", payload: Sequence[str] = ("mids", "sigVal")
+) -> DataFrame:
+    """(key, boundary, idx, payload): the ``n`` items inside each region nearest to its start and to its end."""
+    ends = F.explode(
+        F.array(
+            F.struct(F.col("start").alias("p"), F.lit(BEFORE).alias("side")),
+            F.struct(F.col("end").alias("p"), F.lit(UP_TO).alias("side")),
+        )
+    )
+    points = regions.select("chr", "start", "end", key, ends.alias("_e")).select("chr", "start", "end", key, "_e.p", "_e.side")
+    kept = list(dict.fromkeys(["chr", "start", "end", "mids", *payload]))
+    renamed = points.withColumnsRenamed({"start": "_st", "end": "_en"})
+    located = locate(renamed, track.select(*kept), payload, n)
+
+    def at(side: int, column: str) -> Column:
+        return F.max(F.when(F.col("side") == side, F.col(column)))
+
+    both = located.groupBy("chr", key, "_st", "_en").agg(
+        at(BEFORE, "cnt").alias("_c0"),
+        at(UP_TO, "cnt").alias("_c1"),
+        F.first(F.when(F.col("side") == BEFORE, F.col("after")), ignorenulls=True).alias("_after"),
+        F.first(F.when(F.col("side") == UP_TO, F.col("before")), ignorenulls=True).alias("_before"),
+    )
+    first, last = boundary_lists(
+        F.col("_after"), F.col("_before"), F.col("_c1") - F.col("_c0"), n, payload, F.col("_st"), F.col("_en")
+    )
+    sides = F.explode(
+        F.array(
+            F.struct(F.lit("start").alias("boundary"), first.alias("items")),
+            F.struct(F.lit("end").alias("boundary"), last.alias("items")),
+        )
+    )
+    return (
+        both.select(key, sides.alias("_s"))
+        .select(key, "_s.boundary", F.posexplode("_s.items").alias("idx", "_i"))
+        .select(key, "boundary", "idx", *[F.col("_i")[c].alias(c) for c in payload])
+    )
+
+
 # ---- families -----------------------------------------------------------------------------------
 
 
@@ -493,7 +551,7 @@ class EigenvectorSummary(AnchorFamily):
             mean(st).alias(f"{name}_L"),
             mean(en).alias(f"{name}_R"),
             flips.alias(f"{name}_N_Changes"),
-            F.sqrt(F.greatest(variance, F.lit(0.0))).alias(f"{name}_SD"),
+            F.when(bins == 1, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))).alias(f"{name}_SD"),
         ]
 
 

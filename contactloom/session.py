@@ -18,6 +18,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "16
         .config("spark.driver.memory", memory)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
