@@ -12,22 +12,21 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import (
     BEFORE,
     UP_TO,
-    bucket_of,
     cumulative_at,
     fixed,
     locate,
     lookup,
     previous_row,
-    running_before,
     window_totals,
 )
-from contactloom.operators.tracks import boundary_lists, flag_loops, pad_left, pad_right
+from contactloom.operators.tracks import boundary_lists, flag_loops, pad_left, pad_right, typed_payload
+from contactloom.session import cut_lineage, planned_bytes
 
 KEY = ["chr", "contact_st", "contact_en"]
 ANCHOR = ["chr", "pos"]
@@ -96,14 +95,32 @@ def request_points(anchors: DataFrame, requests: Sequence[Request]) -> DataFrame
     return anchors.select(*ANCHOR, F.explode(wanted).alias("_r")).select(*ANCHOR, "_r.tag", "_r.p", "_r.side")
 
 
-def by_anchor(located: DataFrame, requests: Sequence[Request], fields: Sequence[str], slot: str) -> DataFrame:
-    """One row per anchor, with a struct per request tag in the struct ``slot``."""
+def by_anchor(
+    located: DataFrame, requests: Sequence[Request], fields: Sequence[str], slot: str, finish: Callable[[Pick], dict[str, Column]]
+) -> DataFrame:
+    """One row per anchor; ``finish`` turns the answers to the requests into the fields of the struct ``slot``."""
     answers = located.groupBy(*ANCHOR).agg(F.map_from_entries(F.collect_list(F.struct("tag", F.struct(*fields)))).alias("_m"))
-    return answers.select(*ANCHOR, F.struct(*[F.col("_m")[r.tag].alias(r.tag) for r in requests]).alias(slot))
+    answers = answers.select(*ANCHOR, *[F.col("_m")[r.tag].alias(f"_{i}") for i, r in enumerate(requests)])
+    place = {r.tag: f"_{i}" for i, r in enumerate(requests)}
+    done = finish(lambda tag: F.col(place[tag]))
+    return answers.select(*ANCHOR, F.struct(*[column.alias(name) for name, column in done.items()]).alias(slot))
+
 
+def attach_anchors(
+    contacts: DataFrame, rows: DataFrame, slots: Sequence[str], share: int = 1000, broadcast_bytes: int = 8 << 20
+) -> DataFrame:
+    """Contacts with ``st_<slot>`` and ``en_<slot>``, from a materialised table of anchor rows.
 
-def attach_anchors(contacts: DataFrame, rows: DataFrame, slots: Sequence[str], share: int = 1000) -> DataFrame:
-    """Contacts with ``st_<slot>`` and ``en_<slot>``; anchors holding over 1/``share`` of the contacts are broadcast."""
+    A table within ``broadcast_bytes`` on disk is broadcast, and the contacts
+    are not shuffled at all.  Beyond that, only the anchors holding over
+    1/``share`` of the contacts are, see ``lookup``.
+    """
+    if planned_bytes(rows) <= broadcast_bytes:
+        out = contacts
+        for end, column in (("st", "contact_st"), ("en", "contact_en")):
+            named = [F.col(s).alias(f"{end}_{s}") for s in slots]
+            out = out.join(F.broadcast(rows.select("chr", F.col("pos").alias(column), *named)), ["chr", column], "left")
+        return out.select(*contacts.columns, *[f"{end}_{s}" for end in ("st", "en") for s in slots])
     limit = contacts.agg((F.count(F.lit(1)) / F.lit(share)).alias("t")).scalar()
     out = contacts
     for end, column in (("st", "contact_st"), ("en", "contact_en")):
@@ -117,12 +134,16 @@ def attach_anchors(contacts: DataFrame, rows: DataFrame, slots: Sequence[str], s
 # ---- nearest items of free-standing points and regions --------------------------------------------
 
 
+def _items(track: DataFrame, payload: Sequence[str], *more: Column) -> DataFrame:
+    """Track columns needed for a neighbour search over ``payload``."""
+    return track.select("chr", "start", "end", *typed_payload(payload), *more)
+
+
 def nearest_peaks(track: DataFrame, points: DataFrame, n: int, payload: Sequence[str] = ("mids", "sigVal")) -> DataFrame:
     """(chr, p, side, idx, payload): ``n`` nearest items on each side of every distinct point, padded."""
     sides = F.explode(F.array(F.lit(BEFORE), F.lit(UP_TO)))
     at = points.select("chr", "p").distinct().select("chr", "p", sides.alias("side"))
-    kept = list(dict.fromkeys(["chr", "start", "end", "mids", *payload]))
-    located = locate(at, track.select(*kept), payload, n)
+    located = locate(at, _items(track, payload), payload, n)
     listed = F.when(F.col("side") == BEFORE, pad_left(F.col("before"), n, payload)).otherwise(
         pad_right(F.col("after"), n, payload, F.col("p"))
     )
@@ -143,9 +164,8 @@ def boundary_peaks(
         )
     )
     points = regions.select("chr", "start", "end", key, ends.alias("_e")).select("chr", "start", "end", key, "_e.p", "_e.side")
-    kept = list(dict.fromkeys(["chr", "start", "end", "mids", *payload]))
     renamed = points.withColumnsRenamed({"start": "_st", "end": "_en"})
-    located = locate(renamed, track.select(*kept), payload, n)
+    located = locate(renamed, _items(track, payload), payload, n)
 
     def at(side: int, column: str) -> Column:
         return F.max(F.when(F.col("side") == side, F.col(column)))
@@ -176,7 +196,12 @@ def boundary_peaks(
 
 
 class AnchorFamily:
-    """Features computed from anchor rows; subclasses fill in the two methods."""
+    """Features computed from anchor rows.
+
+    ``anchor_rows`` holds whatever depends on one anchor only, ready to use;
+    ``shared`` names values of the contact that several columns take items
+    from; ``columns`` lists the features.
+    """
 
     name: str
 
@@ -188,6 +213,9 @@ class AnchorFamily:
         """(chr, pos, <slot>) for distinct anchors (chr, pos)."""
         raise NotImplementedError
 
+    def shared(self, st: Pick, en: Pick) -> dict[str, Column]:
+        return {}
+
     def columns(self, st: Pick, en: Pick) -> list[Column]:
         """Aliased feature columns of a contact."""
         raise NotImplementedError
@@ -199,11 +227,11 @@ class AnchorFamily:
 class PeakSums(AnchorFamily):
     """Signal around both anchors and between them, and the N nearest items outside."""
 
+    payload = ("mids", "sigVal")
+
     def __init__(self, track: DataFrame, name: str, window: int, n: int = 4):
         self.track, self.name, self.window, self.n = track, name, window, n
 
-    payload = ("mids", "sigVal")
-
     def _requests(self):
         h = self.window // 2
         return [
@@ -213,136 +241,155 @@ class PeakSums(AnchorFamily):
             Request("hi_out", h, UP_TO),
         ]
 
+    def _located(self, anchors: DataFrame) -> DataFrame:
+        items = _items(self.track, self.payload, fixed("sigVal").alias("total"))
+        return locate(request_points(anchors, self._requests()), items, self.payload, self.n, ["total"])
+
     def anchor_rows(self, anchors):
-        requests = self._requests()
-        items = self.track.select("chr", "start", "end", "mids", "sigVal", fixed("sigVal").alias("total"))
-        located = locate(request_points(anchors, requests), items, self.payload, self.n, ["total"])
-        return by_anchor(located, requests, ["total", "cnt", "before", "after"], self.slot)
+        h, n = self.window // 2, self.n
 
-    def _sums(self, st, en):
-        left = st("hi_out")["total"] - st("lo_out")["total"]
-        middle = en("lo_in")["total"] - st("hi_in")["total"]
-        right = en("hi_out")["total"] - en("lo_out")["total"]
-        return [left, middle, right]
+        def finish(at: Pick) -> dict[str, Column]:
+            # a chromosome without items has neither a left nor a right neighbour anywhere
+            absent = at("lo_out")["before"].isNull() & at("lo_out")["after"].isNull()
+            left = pad_left(at("lo_out")["before"], n, self.payload)
+            right = pad_right(at("hi_out")["after"], n, self.payload, F.col("pos") + h)
 
-    def columns(self, st, en):
-        name, n, h = self.name, self.n, self.window // 2
-        # a chromosome without items has neither a left nor a right neighbour anywhere
-        absent = (F.coalesce(F.size(st("lo_out")["before"]), F.lit(0)) + F.coalesce(F.size(st("lo_out")["after"]), F.lit(0))) <= 0
-        out = [
-            F.coalesce(total.cast("double"), F.lit(0.0)).alias(f"{name}_{part}")
-            for part, total in zip(("L", "W", "R"), self._sums(st, en))
-        ]
-        left = pad_left(st("lo_out")["before"], n, self.payload)
-        right = pad_right(en("hi_out")["after"], n, self.payload, F.col("contact_en") + h)
+            def distances(items: Column, side: int) -> Column:
+                away = F.transform(items, lambda e: (e["mids"] - F.col("pos")) * side)
+                return F.when(absent, F.array_repeat(F.lit(0).cast("bigint"), n)).otherwise(away)
+
+            return {
+                **{tag: at(tag)["total"] for tag in ("lo_out", "lo_in", "hi_in", "hi_out")},
+                "left_sig": F.transform(left, lambda e: e["sigVal"]),
+                "left_dist": distances(left, -1),
+                "right_sig": F.transform(right, lambda e: e["sigVal"]),
+                "right_dist": distances(right, 1),
+            }
 
-        def known(column: Column, zero) -> Column:
-            return F.when(absent, F.lit(zero)).otherwise(column)
+        return by_anchor(self._located(anchors), self._requests(), ["total", "before", "after"], self.slot, finish)
 
-        out += [known(left[i]["sigVal"], 0.0).alias(f"{name}_LSig_{i}") for i in range(n)]
-        out += [known(F.col("contact_st") - left[i]["mids"], 0).alias(f"{name}_LDist_{i}") for i in range(n)]
-        out += [known(right[i]["sigVal"], 0.0).alias(f"{name}_RSig_{i}") for i in range(n)]
-        out += [known(right[i]["mids"] - F.col("contact_en"), 0).alias(f"{name}_RDist_{i}") for i in range(n)]
+    def columns(self, st, en):
+        name, n = self.name, self.n
+        totals = {
+            "L": st("hi_out") - st("lo_out"),
+            "W": en("lo_in") - st("hi_in"),
+            "R": en("hi_out") - en("lo_out"),
+        }
+        out = [F.coalesce(v.cast("double"), F.lit(0.0)).alias(f"{name}_{part}") for part, v in totals.items()]
+        for label, values in (
+            ("LSig", st("left_sig")),
+            ("LDist", st("left_dist")),
+            ("RSig", en("right_sig")),
+            ("RDist", en("right_dist")),
+        ):
+            out += [values[i].alias(f"{name}_{label}_{i}") for i in range(n)]
         return out
 
 
 class GeneSums(PeakSums):
     """As ``PeakSums``, but a gene counts in every window its body touches (closed ends)."""
 
-    def anchor_rows(self, anchors):
-        requests = self._requests()
-        points = request_points(anchors, requests)
-        items = self.track.select("chr", "start", "end", "mids", "sigVal", fixed("sigVal").alias("total"))
-        near = locate(points, items, self.payload, self.n)
+    def _located(self, anchors):
+        points = request_points(anchors, self._requests())
+        near = locate(points, _items(self.track, self.payload), self.payload, self.n)
         # touching [lo, hi]: started at or before hi, less those that ended before lo
-        upper = points.filter(F.col("side") == UP_TO)
-        lower = points.filter(F.col("side") == BEFORE)
-        started = cumulative_at(upper, items.select("chr", F.col("start").alias("pos"), "total"), ["total"])
-        ended = cumulative_at(lower, items.select("chr", F.col("end").alias("pos"), "total"), ["total"])
+        value = fixed("sigVal").alias("total")
+        started = cumulative_at(
+            points.filter(F.col("side") == UP_TO), self.track.select("chr", F.col("start").alias("pos"), value), ["total"]
+        )
+        ended = cumulative_at(
+            points.filter(F.col("side") == BEFORE), self.track.select("chr", F.col("end").alias("pos"), value), ["total"]
+        )
         totals = started.unionByName(ended).select(*ANCHOR, "tag", "total")
-        located = near.join(totals, [*ANCHOR, "tag"])
-        return by_anchor(located, requests, ["total", "cnt", "before", "after"], self.slot)
+        return near.join(totals, [*ANCHOR, "tag"])
 
 
 class SiteOrientation(AnchorFamily):
     """Nearest oriented sites outside and inside the contact on both sides, with totals over it."""
 
     payload = ("mids", "sigVal", "plus_orientation", "minus_orientation")
+    words = ("plus_orientation", "minus_orientation")
+    labels = ("L", "W_L", "W_R", "R")
+    suffix = "_SitesOrient"
+    with_totals = True
 
-    def __init__(self, track: DataFrame, name: str, n: int = 4, only_oriented: bool = False):
-        self.track, self.name, self.n = track, name + ("_OnlySitesOrient" if only_oriented else "_SitesOrient"), n
+    def __init__(self, track: DataFrame, name: str, n: int = 4):
+        self.track, self.name, self.n = track, name + self.suffix, n
 
-    _requests = (Request("at_before", 0, BEFORE), Request("at_up_to", 0, UP_TO))
+    _requests = (Request("before", 0, BEFORE), Request("up_to", 0, UP_TO))
 
     def anchor_rows(self, anchors):
-        items = self.track.select(
-            "chr",
-            "start",
-            "end",
-            *self.payload,
+        items = _items(
+            self.track,
+            self.payload,
             fixed("sigVal").alias("total"),
             (F.col("plus_orientation") != 0).cast("bigint").alias("n_plus"),
             (F.col("minus_orientation") != 0).cast("bigint").alias("n_minus"),
         )
         sums = ["total", "n_plus", "n_minus"]
         located = locate(request_points(anchors, self._requests), items, self.payload, self.n, sums)
-        return by_anchor(located, self._requests, [*sums, "cnt", "before", "after"], self.slot)
 
-    def _lists(self, st, en):
-        """Lists (left of start, after start, before end, right of end)."""
-        n, payload = self.n, self.payload
+        def finish(at: Pick) -> dict[str, Column]:
+            before, up_to = at("before"), at("up_to")
+            return {
+                "left": pad_left(before["before"], self.n, self.payload),
+                "from_here": before["after"],
+                "up_to_here": up_to["before"],
+                "right": pad_right(up_to["after"], self.n, self.payload, F.col("pos")),
+                **{f"{c}_before": before[c] for c in ("cnt", *sums)},
+                **{f"{c}_up_to": up_to[c] for c in ("cnt", *sums)},
+            }
+
+        return by_anchor(located, self._requests, [*sums, "cnt", "before", "after"], self.slot, finish)
+
+    def shared(self, st, en):
         start, end = F.col("contact_st"), F.col("contact_en")
-        inside = en("at_up_to")["cnt"] - st("at_before")["cnt"]
-        near_start, near_end = boundary_lists(
-            st("at_before")["after"], en("at_up_to")["before"], inside, n, payload, start, end
-        )
-        return (
-            pad_left(st("at_before")["before"], n, payload),
-            near_start,
-            near_end,
-            pad_right(en("at_up_to")["after"], n, payload, end),
-        )
+        inside = en("cnt_up_to") - st("cnt_before")
+        first, last = boundary_lists(st("from_here"), en("up_to_here"), inside, self.n, self.payload, start, end)
+        return {"left": st("left"), "first": first, "last": last, "right": en("right")}
 
-    def _side(self, label: str, items: Column, distance: Callable[[Column], Column], plus: str, minus: str):
-        out = []
-        for metric, value in (
-            (plus, lambda e: e["plus_orientation"]),
-            (minus, lambda e: e["minus_orientation"]),
-            ("sigVal", lambda e: e["sigVal"]),
-            ("dist", lambda e: distance(e["mids"])),
-        ):
-            out += [value(items[i]).alias(f"{self.name}_{label}_{metric}_{i}") for i in range(self.n)]
-        return out
+    def _shared(self, key: str) -> Column:
+        return F.col(f"{self.slot}__{key}")
 
     def columns(self, st, en):
         start, end = F.col("contact_st"), F.col("contact_en")
-        left, near_start, near_end, right = self._lists(st, en)
-        words = ("plus_orientation", "minus_orientation")
-        out = self._side("L", left, lambda m: start - m, *words)
-        out += self._side("W_L", near_start, lambda m: m - start, *words)
-        out += self._side("W_R", near_end, lambda m: end - m, *words)
-        out += self._side("R", right, lambda m: m - end, *words)
-        for label, field in (("sumSigVal", "total"), ("N+orient", "n_plus"), ("N-orient", "n_minus")):
-            value = en("at_up_to")[field] - st("at_before")[field]
-            out.append((value.cast("double") if field == "total" else value).alias(f"{self.name}_W_{label}"))
+        away = {
+            "left": lambda m: start - m,
+            "first": lambda m: m - start,
+            "last": lambda m: end - m,
+            "right": lambda m: m - end,
+        }
+        out = []
+        for label, key in zip(self.labels, away):
+            items = self._shared(key)
+            for metric, value in (
+                (self.words[0], lambda e: e["plus_orientation"]),
+                (self.words[1], lambda e: e["minus_orientation"]),
+                ("sigVal", lambda e: e["sigVal"]),
+                ("dist", lambda e, key=key: away[key](e["mids"])),
+            ):
+                out += [value(items[i]).alias(f"{self.name}_{label}_{metric}_{i}") for i in range(self.n)]
+        if self.with_totals:
+            total = (en("total_up_to") - st("total_before")).cast("double")
+            out.append(total.alias(f"{self.name}_W_sumSigVal"))
+            out.append((en("n_plus_up_to") - st("n_plus_before")).alias(f"{self.name}_W_N+orient"))
+            out.append((en("n_minus_up_to") - st("n_minus_before")).alias(f"{self.name}_W_N-orient"))
         return out
 
 
-class OnlyOrientedSites(SiteOrientation):
-    """Nearest sites of an oriented-only track on both sides of both anchors."""
+class OnlySitesOrientation(SiteOrientation):
+    """The same over an oriented-only track, under its own name."""
 
-    def __init__(self, track: DataFrame, name: str, n: int = 4):
-        super().__init__(track, name, n)
-        self.name = name + "_OnlyOrient"
+    suffix = "_OnlySitesOrient"
 
-    def columns(self, st, en):
-        start, end = F.col("contact_st"), F.col("contact_en")
-        left, near_start, near_end, right = self._lists(st, en)
-        words = ("+_orient", "-_orient")
-        out = self._side("start_L", left, lambda m: start - m, *words)
-        out += self._side("start_R", near_start, lambda m: m - start, *words)
-        out += self._side("end_L", near_end, lambda m: end - m, *words)
-        return out + self._side("end_R", right, lambda m: m - end, *words)
+
+class OnlyOrientedSites(SiteOrientation):
+    """Nearest sites of an oriented-only track on both sides of both anchors, without totals."""
+
+    suffix = "_OnlyOrient"
+    words = ("+_orient", "-_orient")
+    labels = ("start_L", "start_R", "end_L", "end_R")
+    with_totals = False
 
 
 class OrientationBlocks(AnchorFamily):
@@ -355,62 +402,56 @@ class OrientationBlocks(AnchorFamily):
     def __init__(self, track: DataFrame, name: str, window: int):
         self.track, self.name, self.window = track, name + "_OrientBlock", window
 
-    def anchor_rows(self, anchors):
-        h = self.window // 2
-        requests = [
-            Request("lo_before", -h, BEFORE),
-            Request("lo_up_to", -h, UP_TO),
-            Request("hi_before", h, BEFORE),
-            Request("hi_up_to", h, UP_TO),
-        ]
-        points = request_points(anchors, requests)
-        place = ["chr", "mids", "start", "end"]
-        sites = self.track.groupBy(*place).agg(
+    def _marks(self) -> DataFrame:
+        """(chr, pos, closed, opened, plus, minus): counts attributed to positions."""
+        sites = self.track.groupBy("chr", "mids", "start", "end").agg(
             F.bool_or(F.col("plus_orientation") != 0).alias("has_plus"),
             F.bool_or(F.col("minus_orientation") != 0).alias("has_minus"),
+            F.sum(fixed("plus_orientation")).alias("plus"),
+            F.sum(fixed("minus_orientation")).alias("minus"),
         )
         linked = previous_row(sites, ["chr"], "mids", ["mids", "start", "end"], ["has_plus", "has_minus"])
         # the preceding site ends in plus when it has no minus; this one begins with minus when it has no plus
         joint = F.col("prev.has_plus") & ~F.col("prev.has_minus") & F.col("has_minus") & ~F.col("has_plus")
-        within = F.col("has_plus") & F.col("has_minus")
-        pairs = linked.select(
-            "chr",
-            "mids",
-            F.col("prev.mids").alias("first"),
-            F.coalesce(joint, F.lit(False)).cast("bigint").alias("joint"),
-            within.cast("bigint").alias("within"),
-        )
-        closing = pairs.select(
-            "chr", F.col("mids").alias("pos"), (F.col("joint") + F.col("within")).alias("closed"), F.lit(None).cast("bigint").alias("opened")
+        joint = F.coalesce(joint, F.lit(False)).cast("bigint")
+        within = (F.col("has_plus") & F.col("has_minus")).cast("bigint")
+        none = F.lit(0).cast("bigint")
+        no_value = F.lit(0).cast("decimal(38,6)")
+        here = F.struct(
+            F.col("mids").alias("pos"), (joint + within).alias("closed"), within.alias("opened"), F.col("plus"), F.col("minus")
         )
-        opening = pairs.select(
-            "chr",
-            F.explode(
-                F.array(
-                    F.struct(F.coalesce("first", "mids").alias("pos"), F.col("joint").alias("opened")),
-                    F.struct(F.col("mids").alias("pos"), F.col("within").alias("opened")),
-                )
-            ).alias("_o"),
-        ).select("chr", "_o.pos", F.lit(None).cast("bigint").alias("closed"), "_o.opened")
-        signs = self.track.select(
-            "chr",
-            F.col("mids").alias("pos"),
-            F.lit(None).cast("bigint").alias("closed"),
-            F.lit(None).cast("bigint").alias("opened"),
-            fixed("plus_orientation").alias("plus"),
-            fixed("minus_orientation").alias("minus"),
+        earlier = F.struct(
+            F.coalesce("prev.mids", "mids").alias("pos"), none.alias("closed"), joint.alias("opened"), no_value.alias("plus"), no_value.alias("minus")
         )
-        items = closing.unionByName(opening).unionByName(signs, allowMissingColumns=True)
+        return linked.select("chr", F.explode(F.array(here, earlier)).alias("_m")).select("chr", "_m.*")
+
+    def anchor_rows(self, anchors):
+        h = self.window // 2
+        requests = [
+            Request("lo_before", -h, BEFORE),
+            Request("lo_up_to", -h, UP_TO),
+            Request("hi_before", h, BEFORE),
+            Request("hi_up_to", h, UP_TO),
+        ]
         fields = ["closed", "opened", "plus", "minus"]
-        return by_anchor(cumulative_at(points, items, fields), requests, fields, self.slot)
+        marks = self._marks().withColumns({c: F.col(c).cast("decimal(28,6)") for c in ("plus", "minus")})
+        found = cumulative_at(request_points(anchors, requests), marks, fields)
+
+        def finish(at: Pick) -> dict[str, Column]:
+            return {
+                "closed": at("lo_up_to")["closed"],
+                "opened": at("hi_before")["opened"],
+                "plus": (at("hi_up_to")["plus"] - at("lo_before")["plus"]).cast("double"),
+                "minus": (at("hi_up_to")["minus"] - at("lo_before")["minus"]).cast("double"),
+            }
+
+        return by_anchor(found, requests, fields, self.slot, finish)
 
     def columns(self, st, en):
         # pairs closed by the right limit, less pairs opened before the left limit; a pair spanning an
         # empty window would count -1
-        blocks = F.greatest(en("lo_up_to")["closed"] - st("hi_before")["opened"], F.lit(0))
-        plus = (st("hi_up_to")["plus"] - st("lo_before")["plus"]).cast("double")
-        minus = (en("hi_up_to")["minus"] - en("lo_before")["minus"]).cast("double")
-        return [blocks.alias(f"{self.name}_W_NBlocks"), (plus * minus).alias(f"{self.name}_HasDivergOrient")]
+        blocks = F.greatest(en("closed") - st("opened"), F.lit(0))
+        return [blocks.alias(f"{self.name}_W_NBlocks"), (st("plus") * en("minus")).alias(f"{self.name}_HasDivergOrient")]
 
 
 class ConvergentPair(AnchorFamily):
@@ -420,29 +461,34 @@ class ConvergentPair(AnchorFamily):
     the start needs a minus and the end a plus site.
     """
 
-    payload = ("mids", "sigVal", "plus_orientation", "minus_orientation")
+    payload = ("mids", "plus_orientation", "minus_orientation")
 
     def __init__(self, track: DataFrame, name: str, binsize: int, strict_convergent: bool = False):
         self.track, self.name, self.binsize = track, name + "_ConvergentPair", binsize
         self.strict_convergent = strict_convergent
 
-    _requests = (Request("at_before", 0, BEFORE), Request("at_up_to", 0, UP_TO))
+    _requests = (Request("before", 0, BEFORE), Request("up_to", 0, UP_TO))
 
     def anchor_rows(self, anchors):
-        items = self.track.select("chr", "start", "end", *self.payload)
-        located = locate(request_points(anchors, self._requests), items, self.payload, 1)
-        return by_anchor(located, self._requests, ["before", "after"], self.slot)
+        located = locate(request_points(anchors, self._requests), _items(self.track, self.payload), self.payload, 1)
 
-    def columns(self, st, en):
-        def beside(pick: Pick, anchor: Column, strand: str) -> Column:
-            left = pad_left(pick("at_before")["before"], 1, self.payload)[0]
-            right = pad_right(pick("at_up_to")["after"], 1, self.payload, anchor)[0]
-            return ((F.abs(left["mids"] - anchor) <= 2 * self.binsize) & (left[strand] != 0)) | (
-                (F.abs(right["mids"] - anchor) <= 2 * self.binsize) & (right[strand] != 0)
-            )
+        def finish(at: Pick) -> dict[str, Column]:
+            left, right = at("before")["before"], at("up_to")["after"]
+
+            def beside(strand: str) -> Column:
+                def close(items: Column) -> Column:
+                    item = F.try_element_at(items, F.lit(1))
+                    near = F.abs(item["mids"] - F.col("pos")) <= 2 * self.binsize
+                    return F.coalesce(near & (item[strand] != 0), F.lit(False))
+
+                return close(left) | close(right)
+
+            return {"plus": beside("plus_orientation"), "minus": beside("minus_orientation")}
 
-        end_strand = "plus_orientation" if self.strict_convergent else "minus_orientation"
-        both = beside(st, F.col("contact_st"), "minus_orientation") & beside(en, F.col("contact_en"), end_strand)
+        return by_anchor(located, self._requests, ["before", "after"], self.slot, finish)
+
+    def columns(self, st, en):
+        both = st("minus") & (en("plus") if self.strict_convergent else en("minus"))
         return [both.cast("int").alias(f"{self.name}_HasConvergentPair")]
 
 
@@ -454,19 +500,22 @@ class DistanceToTss(AnchorFamily):
     def __init__(self, track: DataFrame, name: str = "_Distance_toTSS"):
         self.track, self.name = track, name
 
-    _requests = (Request("at_before", 0, BEFORE), Request("at_up_to", 0, UP_TO))
+    _requests = (Request("before", 0, BEFORE), Request("up_to", 0, UP_TO))
 
     def anchor_rows(self, anchors):
-        items = self.track.select("chr", "start", "end", *self.payload)
-        located = locate(request_points(anchors, self._requests), items, self.payload, 1)
-        return by_anchor(located, self._requests, ["before", "after"], self.slot)
+        located = locate(request_points(anchors, self._requests), _items(self.track, self.payload), self.payload, 1)
+
+        def finish(at: Pick) -> dict[str, Column]:
+            left = F.try_element_at(at("before")["before"], F.lit(1))["TSS"]
+            right = F.try_element_at(at("up_to")["after"], F.lit(1))["TSS"]
+            return {"L": F.col("pos") - left, "R": right - F.col("pos")}
+
+        return by_anchor(located, self._requests, ["before", "after"], self.slot, finish)
 
     def columns(self, st, en):
-        out = []
-        for label, pick, anchor in (("start", st, F.col("contact_st")), ("end", en, F.col("contact_en"))):
-            out.append((anchor - F.try_element_at(pick("at_before")["before"], F.lit(1))["TSS"]).alias(f"{self.name}_{label}_L"))
-            out.append((F.try_element_at(pick("at_up_to")["after"], F.lit(1))["TSS"] - anchor).alias(f"{self.name}_{label}_R"))
-        return out
+        return [
+            pick(side).alias(f"{self.name}_{label}_{side}") for label, pick in (("start", st), ("end", en)) for side in ("L", "R")
+        ]
 
 
 class EigenvectorSummary(AnchorFamily):
@@ -475,83 +524,65 @@ class EigenvectorSummary(AnchorFamily):
     Bins past the end of the track (or before position 0) are 0.
     """
 
+    #: Bins per bucket; a bucket also holds the anchors lying in these bins.
+    bucket = 1_024
+
     def __init__(self, track: DataFrame, window: int, binsize: int, name: str = "E1"):
         self.track, self.window, self.binsize, self.name = track, window, binsize, name
 
-    def _cumulative(self) -> DataFrame:
-        """(chr, bin, v, v2, flips): totals up to and including each bin of the dense track."""
-        width = 4_096
-        value = fixed("E1", 9)
-        signed = self.track.select("chr", "bin", value.alias("v"), (F.col("E1") * F.col("E1")).cast("decimal(28,9)").alias("v2"), "E1")
-        linked = previous_row(signed, ["chr"], "bin", ["bin"], ["E1"], width)
+    def _steps(self) -> DataFrame:
+        """(chr, pos, v, v2, flips) per bin; one more row past the end carries the step into the padding."""
+        square = (F.col("E1") * F.col("E1")).cast("decimal(28,9)")
+        track = self.track.select("chr", "bin", fixed("E1", 9).alias("v"), square.alias("v2"), "E1")
+        linked = previous_row(track, ["chr"], "bin", ["bin"], ["E1"], self.bucket)
         flip = F.col("prev").isNotNull() & (F.signum("E1") != F.signum("prev.E1"))
-        rows = linked.select("chr", "bin", "v", "v2", flip.cast("bigint").alias("flips")).withColumn("_b", bucket_of("bin", width))
-        sums = ["v", "v2", "flips"]
-        frame = Window.partitionBy("chr", "_b").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        inside = rows.select("chr", "bin", "_b", *[F.sum(c).over(frame).alias(f"_in_{c}") for c in sums])
-        totals = rows.groupBy("chr", "_b").agg(*[F.sum(c).alias(c) for c in sums])
-        offsets = running_before(totals, ["chr"], "_b", {c: "sum" for c in sums})
-        return inside.join(offsets, ["chr", "_b"]).select(
-            "chr", "bin", *[(F.col(f"_in_{c}") + F.col(c)).alias(c) for c in sums]
+        steps = linked.select("chr", F.col("bin").alias("pos"), "v", "v2", flip.cast("bigint").alias("flips"))
+        ends = self.track.groupBy("chr").agg(
+            (F.max("bin") + 1).alias("pos"), (F.max_by("E1", "bin") != 0).cast("bigint").alias("flips")
         )
+        return steps.unionByName(ends, allowMissingColumns=True)
 
-    def _bins(self, pos: Column) -> dict[str, Column]:
-        """Last bin of each cumulative total needed at an anchor."""
+    def anchor_rows(self, anchors):
         b, h = self.binsize, self.window // 2
-        first = F.floor((pos - h) / b)
-        middle = F.floor((pos + h) / b)
-        right = first  # the middle interval ends at pos - h, in the bin where the anchor interval begins
         count = max(2 * h // b, 1)
-        wanted = {"a_lo": first - 1, "a_hi": first + count - 1, "m_lo": middle - 1, "m_at": middle}
-        wanted.update({f"e{k}": right + k for k in (-2, -1, 0)})
-        return wanted
-
-    def anchor_rows(self, anchors):
-        wanted = self._bins(F.col("pos"))
-        tags = list(wanted)
-        points = anchors.select(
-            *ANCHOR, F.explode(F.array(*[F.struct(F.lit(t).alias("tag"), wanted[t].alias("bin")) for t in tags])).alias("_r")
-        ).select(*ANCHOR, "_r.tag", "_r.bin")
-        last = self.track.groupBy("chr").agg(F.max("bin").alias("_last"))
-        # past the end the totals stay what they were at the last bin
-        clipped = lookup(points, last, ["chr"], ["_last"]).withColumn("_past", F.col("bin") > F.col("_last")).withColumn(
-            "bin", F.least("bin", "_last")
-        )
-        found = clipped.join(self._cumulative(), ["chr", "bin"], "left").select(
-            *ANCHOR, "tag", "_past", "_last", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("v", "v2", "flips")]
+        # the interval around the anchor begins at pos - h, where the middle interval ends for a right anchor;
+        # the middle interval of a left anchor begins at pos + h
+        low, high = F.floor((F.col("pos") - h) / b), F.floor((F.col("pos") + h) / b)
+        bins = {"a_lo": low - 1, "a_hi": low + count - 1, "m_lo": high - 1, "m_at": high, "e2": low - 2, "e1": low - 1, "e0": low}
+        wanted = F.array(*[F.struct(F.lit(t).alias("tag"), p.alias("p")) for t, p in bins.items()])
+        points = anchors.select(*ANCHOR, F.explode(wanted).alias("_r")).select(
+            *ANCHOR, "_r.tag", "_r.p", F.lit(UP_TO).alias("side")
         )
-        # the step from the last bin into the padding is a sign change unless that bin is 0
-        tail = self.track.join(last, "chr").filter(F.col("bin") == F.col("_last")).select("chr", (F.col("E1") != 0).cast("bigint").alias("_step"))
-        found = lookup(found, tail, ["chr"], ["_step"]).withColumn(
-            "flips", F.col("flips") + F.when(F.coalesce("_past", F.lit(False)), F.coalesce("_step", F.lit(0))).otherwise(0)
-        )
-        return by_anchor(found, [Request(t, 0, 0) for t in tags], ["v", "v2", "flips"], self.slot)
+        sums = ["v", "v2", "flips"]
+        found = cumulative_at(points, self._steps(), sums, ["chr"], self.bucket)
 
-    def columns(self, st, en):
-        b, h, name = self.binsize, self.window // 2, self.name
-        count = max(2 * h // b, 1)
+        def finish(at: Pick) -> dict[str, Column]:
+            return {
+                "mean": (at("a_hi")["v"] - at("a_lo")["v"]).cast("double") / count,
+                "m_lo": at("m_lo"),
+                "m_at": at("m_at")["flips"],
+                **{e: at(e) for e in ("e2", "e1", "e0")},
+            }
 
-        def mean(pick: Pick) -> Column:
-            return (pick("a_hi")["v"] - pick("a_lo")["v"]).cast("double") / count
+        return by_anchor(found, [Request(t, 0, UP_TO) for t in bins], sums, self.slot, finish)
 
+    def columns(self, st, en):
+        b, h, name = self.binsize, self.window // 2, self.name
         start, end = F.col("contact_st"), F.col("contact_en")
-        first = F.floor((start + h) / b)
         bins = F.greatest(F.floor((end - start - 2 * h) / b), F.lit(1))
-        stop = first + bins  # one past the last bin of the middle interval
-        home = F.floor((end - h) / b)
-
-        # the stop bin is within one of the bin where the middle interval ends
-        gap = stop - home
-        upto = F.when(gap == -1, en("e-2")).when(gap == 0, en("e-1")).otherwise(en("e0"))
+        # one past the last bin of the middle interval, relative to the bin where that interval ends
+        gap = F.floor((start + h) / b) + bins - F.floor((end - h) / b)
+        upto = F.when(gap == -1, en("e2")).when(gap == 0, en("e1")).otherwise(en("e0"))
         total = (upto["v"] - st("m_lo")["v"]).cast("double")
         squares = (upto["v2"] - st("m_lo")["v2"]).cast("double")
         variance = squares / bins - (total / bins) * (total / bins)
-        flips = F.greatest(upto["flips"] - st("m_at")["flips"], F.lit(0))
+        flips = F.greatest(upto["flips"] - st("m_at"), F.lit(0))
+        deviation = F.when(bins == 1, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0))))
         return [
-            mean(st).alias(f"{name}_L"),
-            mean(en).alias(f"{name}_R"),
+            st("mean").alias(f"{name}_L"),
+            en("mean").alias(f"{name}_R"),
             flips.alias(f"{name}_N_Changes"),
-            F.when(bins == 1, 0.0).otherwise(F.sqrt(F.greatest(variance, F.lit(0.0)))).alias(f"{name}_SD"),
+            deviation.alias(f"{name}_SD"),
         ]
 
 
@@ -655,12 +686,14 @@ def compute(contacts: DataFrame, families: Sequence[AnchorFamily | ContactFamily
         for family in anchored:
             rows = rows.join(family.anchor_rows(anchors.select(*ANCHOR)), ANCHOR)
         slots = [f.slot for f in anchored]
-        joined = attach_anchors(out, rows, slots, share)
+        joined = attach_anchors(out, cut_lineage(rows), slots, share)
         columns: list[Column] = []
+        shared: list[Column] = []
         for family in anchored:
             st, en = (lambda tag, f=family, e=e: F.col(f"{e}_{f.slot}")[tag] for e in ("st", "en"))
+            shared += [column.alias(f"{family.slot}__{key}") for key, column in family.shared(st, en).items()]
             columns += family.columns(st, en)
-        out = joined.select(*contacts.columns, *columns)
+        out = joined.select("*", *shared).select(*contacts.columns, *columns)
         header = out.columns
     for family in families:
         if isinstance(family, ContactFamily):

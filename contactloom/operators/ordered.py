@@ -16,9 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Width of a position bucket in base pairs.
-BUCKET = 65_536
-#: Buckets per second-level group in running totals over the bucket table.
-FAN = 4_096
+BUCKET = 262_144
+#: Width of the buckets intervals are spread over when pairs are formed.
+SPREAD = 65_536
 
 #: ``side`` of a query point: items strictly before it, or items up to and including it.
 BEFORE, UP_TO = 0, 2
@@ -44,32 +44,17 @@ def running_before(table: DataFrame, keys: Sequence[str], bucket: str, aggs: Map
     """For a table with one row per (keys, bucket): aggregate of all earlier buckets.
 
     ``aggs`` maps a column to ``sum`` or ``max`` (``max`` carries "last seen"
-    values, the columns being increasing in bucket order).  At most ``FAN``
-    buckets meet in one window group, and the second level has one row per
-    ``FAN`` buckets.
+    values, the columns being increasing in bucket order).  The window holds
+    one row per bucket, so its size is the length of the chromosome over the
+    bucket width - a thousand rows for a human chromosome - and does not grow
+    with the number of items or contacts.
     """
     keys = list(keys)
-    fine_frame = (
-        Window.partitionBy(*keys, "_grp").orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    coarse_frame = Window.partitionBy(*keys).orderBy("_grp").rowsBetween(Window.unboundedPreceding, -1)
-    fold = {"sum": F.sum, "max": F.max}
-    grouped = table.withColumn("_grp", F.floor(F.col(bucket) / F.lit(FAN)))
-    fine = grouped.select(
-        *keys, bucket, "_grp", *[fold[how](c).over(fine_frame).alias(f"_f_{c}") for c, how in aggs.items()]
-    )
-    coarse = (
-        grouped.groupBy(*keys, "_grp")
-        .agg(*[fold[how](c).alias(c) for c, how in aggs.items()])
-        .select(*keys, "_grp", *[fold[how](c).over(coarse_frame).alias(f"_c_{c}") for c, how in aggs.items()])
-    )
-    merged = {
-        "sum": lambda c: F.coalesce(f"_f_{c}", F.lit(0)) + F.coalesce(f"_c_{c}", F.lit(0)),
-        "max": lambda c: F.coalesce(f"_f_{c}", f"_c_{c}"),
+    earlier = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    folded = {
+        c: F.coalesce(F.sum(c).over(earlier), F.lit(0)) if how == "sum" else F.max(c).over(earlier) for c, how in aggs.items()
     }
-    return fine.join(coarse, [*keys, "_grp"]).select(
-        *keys, bucket, *[merged[how](c).alias(c) for c, how in aggs.items()]
-    )
+    return table.select(*keys, bucket, *[column.alias(c) for c, column in folded.items()])
 
 
 def cumulative_at(
@@ -205,39 +190,34 @@ def neighbour_slots(items: DataFrame, payload: Sequence[str], n: int, keys: Sequ
     kept = list(dict.fromkeys([*keys, "mids", *order]))
     base = items.select(*kept)
     at_place = Window.partitionBy(*keys, "mids")
-    heads = base.withColumn("_rn", F.row_number().over(at_place.orderBy(*order))).filter(F.col("_rn") <= n)
-    tails = base.withColumn("_rn", F.row_number().over(at_place.orderBy(*[F.desc(c) for c in order]))).filter(
-        F.col("_rn") <= n
-    )
-    ranks = place_ranks(items, keys)
-    steps = F.sequence(F.lit(0), F.lit(n - 1))
-    what = F.struct(*payload)
-    after = (
-        heads.join(ranks, [*keys, "mids"])
-        .select(*keys, (F.col("base") + F.col("_rn") - 1).alias("_r"), what.alias("item"), F.explode(steps).alias("i"))
-        .select(*keys, (F.col("_r") - F.col("i")).alias("slot"), F.lit(True).alias("fwd"), "i", "item")
-        .filter("slot >= 0")
+
+    def first(window, forward: bool) -> DataFrame:
+        numbered = base.withColumn("_rn", F.row_number().over(window)).filter(F.col("_rn") <= n)
+        return numbered.withColumn("fwd", F.lit(forward))
+
+    heads = first(at_place.orderBy(*order), True)
+    tails = first(at_place.orderBy(*[F.desc(c) for c in order]), False)
+    step = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    ranked = (
+        heads.unionByName(tails)
+        .join(place_ranks(items, keys), [*keys, "mids"])
+        .select(*keys, "fwd", "base", "cnt", "_rn", F.struct(*payload).alias("item"), step.alias("i"))
     )
-    before = (
-        tails.join(ranks, [*keys, "mids"])
-        .select(
-            *keys,
-            (F.col("base") + F.col("cnt") - F.col("_rn")).alias("_r"),
-            what.alias("item"),
-            F.explode(steps).alias("i"),
-        )
-        .select(*keys, (F.col("_r") + 1 + F.col("i")).alias("slot"), F.lit(False).alias("fwd"), (-F.col("i")).alias("i"), "item")
+    # a head is the i-th item after the gap i places to its left; a tail the i-th before the gap to its right
+    slot = F.when(F.col("fwd"), F.col("base") + F.col("_rn") - 1 - F.col("i")).otherwise(
+        F.col("base") + F.col("cnt") - F.col("_rn") + 1 + F.col("i")
     )
+    placed = ranked.select(
+        *keys, slot.alias("slot"), "fwd", F.when(F.col("fwd"), F.col("i")).otherwise(-F.col("i")).alias("i"), "item"
+    ).filter("slot >= 0")
 
     def ordered(flag: Column) -> Column:
         # one entry per step, so never more than n entries per slot
         listed = F.array_sort(F.collect_list(F.when(flag, F.struct("i", "item"))))
         return F.transform(listed, lambda e: e["item"])
 
-    return (
-        after.unionByName(before)
-        .groupBy(*keys, "slot")
-        .agg(ordered(~F.col("fwd")).alias("before"), ordered(F.col("fwd")).alias("after"))
+    return placed.groupBy(*keys, "slot").agg(
+        ordered(~F.col("fwd")).alias("before"), ordered(F.col("fwd")).alias("after")
     )
 
 
@@ -270,7 +250,7 @@ def overlap_pairs(
     keys: Sequence[str] = ("chr",),
     left_span: tuple[str, str] = ("a_start", "a_end"),
     right_span: tuple[str, str] = ("b_start", "b_end"),
-    width: int = BUCKET,
+    width: int = SPREAD,
 ) -> DataFrame:
     """Pairs of intervals that meet, by equi-join on (keys, bucket) and the exact ``condition``.
 

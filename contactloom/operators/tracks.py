@@ -121,11 +121,15 @@ def _pad(mids: Column, payload: Sequence[str], count: Column) -> Column:
     return F.array_repeat(item, F.greatest(count, F.lit(0)).cast("int"))
 
 
+def typed_payload(payload: Sequence[str]) -> list[Column]:
+    """Payload columns in the types the stand-ins have."""
+    whole = ("mids", "TSS")
+    return [F.col(c).cast("bigint" if c in whole else "double").alias(c) for c in payload]
+
+
 def _listed(column: Column, payload: Sequence[str]) -> Column:
-    """A neighbour list, empty instead of null, with exactly the payload fields."""
-    kinds = {"mids": "bigint", "TSS": "bigint"}
-    cast = F.transform(column, lambda e: F.struct(*[e[c].cast(kinds.get(c, "double")).alias(c) for c in payload]))
-    return F.coalesce(cast, _pad(F.lit(0), payload, F.lit(0)))
+    """A neighbour list, empty instead of null."""
+    return F.coalesce(column, _pad(F.lit(0), payload, F.lit(0)))
 
 
 def pad_left(before: Column, n: int, payload: Sequence[str]) -> Column:

@@ -10,6 +10,7 @@ from contactloom.operators import tracks as T
 from contactloom.plans import adapters as A
 from contactloom.plans.q_tracks import LOOP_HIT, boundary_sql, oriented
 from contactloom.plans.registry import query
+from contactloom.session import cut_lineage
 
 W, H = A.WINDOW, A.WINDOW // 2
 BASE = f"fc AS (SELECT chr, contact_st, contact_en, dist, contact_count FROM a_contacts WHERE dist BETWEEN {A.MIN_DIST} AND {A.MAX_DIST})"
@@ -21,7 +22,7 @@ def base(spark, sf):
 
 
 def only_oriented(spark, sf):
-    return T.keep_oriented(oriented(spark, sf))
+    return T.keep_oriented(cut_lineage(oriented(spark, sf)))
 
 
 def family_rows(spark, sf, family, rounded=()):
@@ -205,7 +206,7 @@ F07_SQL = sites_sql("CTCF_SitesOrient", "a_oriented", 4, ("L", "W_L", "W_R", "R"
 
 @query("f07_site_orientation", F07_SQL)
 def f07(spark, sf):
-    return family_rows(spark, sf, X.SiteOrientation(oriented(spark, sf), "CTCF", 4))
+    return family_rows(spark, sf, X.SiteOrientation(cut_lineage(oriented(spark, sf)), "CTCF", 4))
 
 
 F08_SQL = f"""WITH {BASE}, o AS (SELECT *, LEAD(minus_orientation) OVER w AS nm, LEAD(mids) OVER w AS nx FROM a_only_oriented
@@ -284,7 +285,8 @@ def f12(spark, sf):
 def families(spark, sf):
     """The feature list of a full run."""
     peaks, genes = A.peaks(spark, sf), A.genes(spark, sf)
-    with_strand, one_strand = oriented(spark, sf), only_oriented(spark, sf)
+    with_strand = cut_lineage(oriented(spark, sf))
+    one_strand = T.keep_oriented(with_strand)
     return [
         X.SiteOrientation(with_strand, "CTCF", 4),
         X.PeakSums(peaks, "CTCF", W, 4),
