@@ -681,7 +681,8 @@ def compute(contacts: DataFrame, families: Sequence[AnchorFamily | ContactFamily
     out = contacts
     header = list(contacts.columns)
     if anchored:
-        anchors = contact_anchors(contacts)
+        # the one pass over the contacts that finds the anchors; all families start from its result
+        anchors = cut_lineage(contact_anchors(contacts))
         rows = anchors
         for family in anchored:
             rows = rows.join(family.anchor_rows(anchors.select(*ANCHOR)), ANCHOR)
