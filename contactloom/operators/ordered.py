@@ -165,6 +165,18 @@ def previous_row(
     )
 
 
+def last_seen(rows: DataFrame, keys: Sequence[str], position: str, marked: Column, carry: Sequence[str], width: int = BUCKET) -> DataFrame:
+    """``rows`` plus ``seen``, a struct (position, carry) of the latest marked row up to and including each row."""
+    keys = list(keys)
+    mark = F.when(marked, F.struct(position, *[c for c in carry if c != position]))
+    bucketed = rows.withColumn("_b", bucket_of(position, width)).withColumn("_mark", mark)
+    frame = Window.partitionBy(*keys, "_b").orderBy(position).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = bucketed.withColumn("_in", F.last("_mark", ignorenulls=True).over(frame))
+    ends = bucketed.groupBy(*keys, "_b").agg(F.max("_mark").alias("_last"))
+    before = running_before(ends, keys, "_b", {"_last": "max"})
+    return inside.join(before, [*keys, "_b"]).withColumn("seen", F.coalesce("_in", "_last")).drop("_b", "_mark", "_in", "_last")
+
+
 def place_ranks(items: DataFrame, keys: Sequence[str], width: int = BUCKET) -> DataFrame:
     """(keys, mids, cnt, base): how many items lie at and before each distinct midpoint."""
     keys = list(keys)
@@ -272,43 +284,53 @@ def overlap_pairs(
     )
 
 
-def ordered_counts(df: DataFrame, keys: Sequence[str], value: str, splits: int = 128) -> DataFrame:
-    """(keys, value, cnt, below, n): distinct values of each group with the number of rows below them.
+#: Groups up to this size are ordered in one piece.
+ONE_PIECE = 200_000
+
+
+def ordered_counts(
+    df: DataFrame, keys: Sequence[str], value: str, weight: str | None = None, sums: Sequence[str] = (), splits: int = 64
+) -> DataFrame:
+    """(keys, value, cnt, below, n, sums): distinct values of each group with the number of rows below them.
 
-    Equal values are merged first; the distinct ones are divided at
-    approximate quantiles, so the group is sorted in ``splits`` pieces however
-    large it is.  The split points only steer the work - the counts are exact.
+    Equal values are merged first; those of a large group are divided at
+    approximate quantiles, so the group is ordered in ``splits`` pieces.  The
+    split points only steer the work - the counts are exact.  ``weight`` makes
+    a row count several times.
     """
-    keys = list(keys)
+    keys, sums = list(keys), list(sums)
     present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    distinct = present.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("cnt"))
+    count = F.sum(weight) if weight else F.count(F.lit(1))
+    distinct = present.groupBy(*keys, value).agg(count.alias("cnt"), *[F.sum(c).alias(c) for c in sums])
     probabilities = F.array(*[F.lit(k / splits) for k in range(1, splits)])
     cuts = present.groupBy(*keys).agg(
-        F.percentile_approx(value, probabilities, F.lit(20 * splits)).alias("_cuts"), F.count(F.lit(1)).alias("n")
+        F.percentile_approx(value, probabilities, F.lit(20 * splits)).alias("_cuts"),
+        count.alias("n"),
+        F.count(F.lit(1)).alias("_rows"),
     )
     if keys:
         placed = distinct.join(cuts, keys)
     else:
         # a single row, read as a scalar subquery
-        placed = distinct.withColumn("_one", cuts.select(F.struct("_cuts", "n")).scalar()).select(
-            *distinct.columns, "_one._cuts", "_one.n"
+        placed = distinct.withColumn("_one", cuts.select(F.struct("_cuts", "n", "_rows")).scalar()).select(
+            *distinct.columns, "_one._cuts", "_one.n", "_one._rows"
         )
-    placed = placed.withColumn("_b", F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value))))
+    piece = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))
+    placed = placed.withColumn("_b", F.when(F.col("_rows") > ONE_PIECE, piece).otherwise(0)).drop("_cuts", "_rows")
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     per_piece = placed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_tot"))
     # at most `splits` rows per group reach this window
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_piece.select(*keys, "_b", F.coalesce(F.sum("_tot").over(across), F.lit(0)).alias("_off"))
     return (
         placed.withColumn("_in", F.coalesce(F.sum("cnt").over(inside), F.lit(0)))
         .join(offsets, [*keys, "_b"])
-        .select(*keys, value, "cnt", (F.col("_in") + F.col("_off")).alias("below"), "n")
+        .select(*keys, value, "cnt", (F.col("_in") + F.col("_off")).alias("below"), "n", *sums)
     )
 
 
-def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
-    """Linearly interpolated quantiles per group, one column per entry of ``wanted``."""
-    ranked = ordered_counts(df, keys, value)
+def quantiles_of(ranked: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float]) -> DataFrame:
+    """Linearly interpolated quantiles from a table made by ``ordered_counts``."""
 
     def order_statistic(index: Column) -> Column:
         return F.max(F.when((F.col("below") <= index) & (index < F.col("below") + F.col("cnt")), F.col(value).cast("double")))
@@ -323,6 +345,31 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapp
     return ranked.groupBy(*keys, "n").agg(*aggs).select(*keys, "n", *out)
 
 
+def exact_quantiles(
+    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, float], weight: str | None = None
+) -> DataFrame:
+    """Linearly interpolated quantiles per group, one column per entry of ``wanted``."""
+    return quantiles_of(ordered_counts(df, keys, value, weight), keys, value, wanted)
+
+
+def average_rank() -> Column:
+    """Rank of a row of ``ordered_counts``, ties sharing their mean rank (from 1)."""
+    return F.col("below") + (F.col("cnt") + 1) / F.lit(2.0)
+
+
+def running_total(
+    rows: DataFrame, keys: Sequence[str], position: str, order: Sequence[str], value: str, name: str, width: int = BUCKET
+) -> DataFrame:
+    """``rows`` plus the total of ``value`` over all earlier rows in ``order`` (which starts with ``position``)."""
+    keys = list(keys)
+    bucketed = rows.withColumn("_b", bucket_of(position, width))
+    frame = Window.partitionBy(*keys, "_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = bucketed.withColumn("_in", F.coalesce(F.sum(value).over(frame), F.lit(0)))
+    totals = bucketed.groupBy(*keys, "_b").agg(F.sum(value).alias("_off"))
+    offsets = running_before(totals, keys, "_b", {"_off": "sum"})
+    return inside.join(offsets, [*keys, "_b"]).withColumn(name, F.col("_in") + F.col("_off")).drop("_b", "_in", "_off")
+
+
 def hash_order(key_columns: Sequence[str], seed: int | Column) -> Column:
     """Reproducible pseudo-random sort key of a row."""
     seed = F.lit(str(seed)) if isinstance(seed, int) else seed.cast("string")

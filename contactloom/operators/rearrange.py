@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.operators.contacts import PAIR, align_matrices
-from contactloom.operators.ordered import exact_quantiles, hash_order, lookup, ordered_counts
+from contactloom.operators.ordered import hash_order, lookup, ordered_counts, quantiles_of
+from contactloom.session import cut_lineage
 
 
 class Region(NamedTuple):
@@ -226,9 +227,10 @@ def ectopic_scores(cells: DataFrame, value: str = "difference", least: int = 10)
     """
     key = ["chr", "dist"]
     present = cells.withColumn("dist", F.col("contact_en") - F.col("contact_st")).filter((F.col(value) != 0) & ~F.isnan(value))
-    limits = exact_quantiles(present, key, value, {"p4": 0.04, "p96": 0.96}).select(*key, "p4", "p96")
+    ranked = cut_lineage(ordered_counts(present, key, value))
+    limits = quantiles_of(ranked, key, value, {"p4": 0.04, "p96": 0.96}).select(*key, "p4", "p96")
     # the trimmed moments come from the distinct values of each diagonal and their counts
-    counted = ordered_counts(present, key, value).join(limits, key)
+    counted = ranked.join(limits, key)
     inner = counted.filter((F.col(value) > F.col("p4")) & (F.col(value) < F.col("p96")))
     weight = F.col("cnt")
     moments = inner.groupBy(*key).agg(
@@ -261,14 +263,13 @@ def permutation_test(real: DataFrame, predicted: DataFrame, replicates: int, cut
     replicate is smallest.  The draw is exact: whole hash ranges are counted,
     and only the range holding the limit is ordered.
     """
+    real, predicted = cut_lineage(real), cut_lineage(predicted)
     total = predicted.agg(F.count_if(F.col("z") > cutoff).alias("n")).scalar()
     high = real.filter(F.col("z") > cutoff).select(*PAIR, F.lit(1).alias("hit"))
     marked = predicted.select(*PAIR).join(high, PAIR, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     rounds = marked.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
     hashed = rounds.withColumn("_h", hash_order([*PAIR, "replicate"], seed)).withColumn("_part", F.substring("_h", 1, 3))
     parts = hashed.groupBy("replicate", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("hit").alias("_hits"))
-    from pyspark.sql import Window
-
     frame = Window.partitionBy("replicate").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("_left", total - F.coalesce(F.sum("_n").over(frame), F.lit(0))).filter("_left > 0")
     whole = parts.filter("_n <= _left").select("replicate", F.col("_hits").alias("hits"))
