@@ -227,6 +227,7 @@ def ectopic_scores(cells: DataFrame, value: str = "difference", least: int = 10)
     """
     key = ["chr", "dist"]
     present = cells.withColumn("dist", F.col("contact_en") - F.col("contact_st")).filter((F.col(value) != 0) & ~F.isnan(value))
+    present = cut_lineage(present)
     ranked = cut_lineage(ordered_counts(present, key, value))
     limits = quantiles_of(ranked, key, value, {"p4": 0.04, "p96": 0.96}).select(*key, "p4", "p96")
     # the trimmed moments come from the distinct values of each diagonal and their counts

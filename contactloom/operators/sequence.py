@@ -40,10 +40,10 @@ def sequence_blocks(
     if rename:
         name = F.coalesce(F.create_map(*[F.lit(x) for pair in rename.items() for x in pair])[name], name)
     sized = lines.select("file", "line", "value", F.when(is_header, 0).otherwise(F.length(text)).cast("bigint").alias("_len"))
-    placed = running_total(sized, ["file"], "line", ["line"], "_len", "_off")
-    named = last_seen(placed.withColumn("_name", name), ["file"], "line", is_header, ["_name", "_off"])
+    placed = running_total(sized, ["file"], "line", ["line"], "_len", "_at_line")
+    named = last_seen(placed.withColumn("_name", name), ["file"], "line", is_header, ["_name", "_at_line"])
     blocks = named.filter(~is_header & (F.col("_len") > 0)).select(
-        F.col("seen._name").alias("chr"), (F.col("_off") - F.col("seen._off")).alias("block_start"), text.alias("seq")
+        F.col("seen._name").alias("chr"), (F.col("_at_line") - F.col("seen._at_line")).alias("block_start"), text.alias("seq")
     )
     if only:
         return blocks.filter(F.col("chr").isin(list(only)))

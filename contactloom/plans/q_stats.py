@@ -72,10 +72,10 @@ def _genome(spark, sf):
     return placed.select("chr", "block_start", "seq")
 
 
-_GENOME = """gen AS (SELECT chr, seq, COALESCE(SUM(length(seq)) OVER (PARTITION BY chr ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+_GENOME = """gen AS (SELECT chr, seq, COALESCE(SUM(length(seq)) OVER (PARTITION BY chr ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off
     FROM (SELECT 'chr' || CAST(doc_id % 5 + 1 AS VARCHAR) AS chr, doc_id, regexp_replace(lower(text), '[^acgt]', 'n', 'g') AS seq FROM documents)),
-    gb AS (SELECT chr, bin, substr(seq, GREATEST(bin * 5000 - at, 0) + 1, LEAST(bin * 5000 + 5000 - at, length(seq)) - GREATEST(bin * 5000 - at, 0)) AS piece
-      FROM (SELECT *, UNNEST(range(at // 5000, (at + length(seq) - 1) // 5000 + 1)) AS bin FROM gen WHERE length(seq) > 0)),
+    gb AS (SELECT chr, bin, substr(seq, GREATEST(bin * 5000 - off, 0) + 1, LEAST(bin * 5000 + 5000 - off, length(seq)) - GREATEST(bin * 5000 - off, 0)) AS piece
+      FROM (SELECT *, UNNEST(range(off // 5000, (off + length(seq) - 1) // 5000 + 1)) AS bin FROM gen WHERE length(seq) > 0)),
     codes AS (SELECT chr, bin, SUM(length(replace(replace(replace(piece, 'a', ''), 't', ''), 'g', '')) * 0
       + (length(piece) - length(replace(piece, 't', ''))) + 2 * (length(piece) - length(replace(piece, 'g', '')))
       + 3 * (length(piece) - length(replace(piece, 'c', ''))) + 4 * (length(piece) - length(replace(piece, 'n', ''))))::BIGINT AS total FROM gb GROUP BY chr, bin)"""
