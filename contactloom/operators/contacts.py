@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import hash_order, hash_sample, lookup, previous_row
+from contactloom.session import cut_lineage
 
 PAIR = ["chr", "contact_st", "contact_en"]
 NOT_FEATURES = ("chr", "contact_st", "contact_en", "contact_count")
@@ -173,7 +174,7 @@ def flag_near_track(contacts: DataFrame, items: DataFrame, binsize: int, maxdist
 
 def balanced_sample(contacts: DataFrame, items: DataFrame, binsize: int, maxdist: int, proportion: int, seed: int = 1) -> DataFrame:
     """All contacts near the track, and ``proportion`` times as many of the others, per chromosome."""
-    flagged = flag_near_track(contacts, items, binsize, maxdist)
+    flagged = cut_lineage(flag_near_track(contacts, items, binsize, maxdist))
     near, rest = flagged.filter("with_track"), flagged.filter("NOT with_track")
     sizes = near.groupBy("chr").agg((F.count(F.lit(1)) * proportion).alias("size"))
     return near.unionByName(hash_sample(rest, PAIR, sizes, ["chr"], seed))

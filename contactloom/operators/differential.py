@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import BEFORE, UP_TO, average_rank, cumulative_at, exact_quantiles, ordered_counts
 from contactloom.operators.stats import paired_bins
+from contactloom.session import cut_lineage
 
 
 def promoter_enhancer_pairs(promoters: DataFrame, enhancers: DataFrame, reach: int) -> DataFrame:
@@ -58,10 +59,10 @@ def _track(a: DataFrame, b: DataFrame, spans: Column, binsize: int) -> DataFrame
     ``spans`` is an array of (lo, hi) per cell.  A cell enters at ``lo`` and leaves after ``hi``, so it is
     copied twice per span instead of once per centre.
     """
-    measured = _log_ratio(a, b).select(
+    measured = cut_lineage(_log_ratio(a, b).select(
         "chr", F.col("d").cast("decimal(28,12)").alias("d"), F.lit(1).cast("bigint").alias("n"), F.explode(spans).alias("_s")
-    ).filter("_s.lo <= _s.hi")
-    centres = (
+    ).filter("_s.lo <= _s.hi"))
+    centres = cut_lineage(
         a.select("chr", F.explode(F.array("i", "j")).alias("p"))
         .unionByName(b.select("chr", F.explode(F.array("i", "j")).alias("p")))
         .distinct()

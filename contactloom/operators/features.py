@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import (
     BEFORE,
+    BROADCAST_BYTES,
     UP_TO,
     cumulative_at,
     fixed,
@@ -107,7 +108,7 @@ def by_anchor(
 
 
 def attach_anchors(
-    contacts: DataFrame, rows: DataFrame, slots: Sequence[str], share: int = 1000, broadcast_bytes: int = 8 << 20
+    contacts: DataFrame, rows: DataFrame, slots: Sequence[str], share: int = 1000, broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Contacts with ``st_<slot>`` and ``en_<slot>``, from a materialised table of anchor rows.
 

@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.session import cut_lineage, planned_bytes
+
 #: Width of a position bucket in base pairs.
 BUCKET = 262_144
 #: Width of the buckets intervals are spread over when pairs are formed.
@@ -309,7 +311,7 @@ def ordered_counts(
         F.count(F.lit(1)).alias("_rows"),
     )
     if keys:
-        placed = distinct.join(cuts, keys)
+        placed = lookup(distinct, cuts, keys, ["_cuts", "n", "_rows"])
     else:
         # a single row, read as a scalar subquery
         placed = distinct.withColumn("_one", cuts.select(F.struct("_cuts", "n", "_rows")).scalar()).select(
@@ -381,33 +383,37 @@ def hash_sample(
 ) -> DataFrame:
     """Exactly the first ``size`` rows of each group in the order of a hash of the row key.
 
-    The hash range is cut into 4096 equal parts: whole parts are taken until
-    the one holding the cut, and only that part is ordered.  ``sizes`` is a
-    number, or a table (keys, size).
+    The hash range is cut into 65536 equal parts, whose row counts tell in
+    which part the sample ends.  Rows of earlier parts are taken as they are;
+    only the part with the cut is ordered.  ``sizes`` is a number, or a table
+    (keys, size).
     """
     keys = list(keys)
-    hashed = df.withColumn("_h", hash_order(key_columns, seed)).withColumn("_part", F.substring("_h", 1, 3))
+    hashed = df.withColumn("_h", hash_order(key_columns, seed)).withColumn("_part", F.substring("_h", 1, 4))
     per_part = hashed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
-    across = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    quota = per_part.withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0)))
+    # at most 65536 rows per group reach this window
+    across = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = per_part.withColumn("_before", F.coalesce(F.sum("_n").over(across), F.lit(0)))
     if isinstance(sizes, int):
-        quota = quota.withColumn("size", F.lit(sizes).cast("bigint"))
+        parts = parts.withColumn("size", F.lit(sizes).cast("bigint"))
+    elif keys:
+        parts = lookup(parts, sizes, keys, ["size"])
     else:
-        quota = (
-            quota.join(sizes.select(*keys, "size"), keys)
-            if keys
-            else quota.withColumn("size", sizes.select("size").scalar())
-        )
-    quota = quota.select(*keys, "_part", "_n", (F.col("size") - F.col("_before")).alias("_left")).filter("_left > 0")
-    joined = hashed.join(quota, [*keys, "_part"])
-    whole = joined.filter("_left >= _n")
-    cut = (
-        joined.filter("_left < _n")
+        parts = parts.withColumn("size", sizes.select("size").scalar())
+    reached = parts.filter((F.col("size") > 0) & (F.col("_before") < F.col("size")))
+    cut = reached.groupBy(*keys).agg(F.max(F.struct("_part", (F.col("size") - F.col("_before")).alias("left"))).alias("_cut"))
+    found = lookup(hashed, cut, keys, ["_cut"]) if keys else hashed.withColumn("_cut", cut.scalar())
+    whole = found.filter(F.col("_part") < F.col("_cut._part"))
+    last = (
+        found.filter(F.col("_part") == F.col("_cut._part"))
         .withColumn("_rn", F.row_number().over(Window.partitionBy(*keys, "_part").orderBy("_h")))
-        .filter("_rn <= _left")
-        .drop("_rn")
+        .filter(F.col("_rn") <= F.col("_cut.left"))
     )
-    return whole.unionByName(cut).select(*df.columns)
+    return whole.select(*df.columns).unionByName(last.select(*df.columns))
+
+
+#: A lookup table up to this size on disk is broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def lookup(
@@ -415,14 +421,19 @@ def lookup(
 ) -> DataFrame:
     """Left join of ``big`` to ``small`` (unique on ``keys``) that survives hot keys in ``big``.
 
-    A key holding more than 1/``share`` of all rows is served by broadcast -
-    there are fewer than ``share`` such keys, whatever the data size - and its
-    rows are spread evenly over the shuffle used for all other keys.  ``hot``
-    may bring the hot keys (a subset of ``small`` rows) when the caller has
-    counted them already.
+    ``small`` is written out first, which settles its size: up to
+    ``BROADCAST_BYTES`` it is broadcast, and ``big`` is neither shuffled nor
+    computed twice.  Beyond that, keys holding more than 1/``share`` of all
+    rows are served by broadcast - there are fewer than ``share`` of them,
+    whatever the data size - and their rows are spread evenly over the shuffle
+    used for all other keys.  A caller that has counted the keys already
+    passes ``hot``, the rows of the (written) ``small`` with hot keys.
     """
     keys, payload = list(keys), list(payload)
     if hot is None:
+        small = cut_lineage(small.select(*keys, *payload))
+        if planned_bytes(small) <= BROADCAST_BYTES:
+            return big.join(F.broadcast(small), keys, "left").select(*big.columns, *payload)
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))
         total = big.agg((F.count(F.lit(1)) / F.lit(share)).alias("t")).scalar()
         hot = small.join(counts.filter(F.col("_cnt") > total), keys).select(*keys, *payload)
@@ -430,9 +441,9 @@ def lookup(
     # the salt only spreads rows that need no partner in the shuffle, so any value is right
     salt = 1 + F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(1 << 20))
     tagged = big.join(F.broadcast(hot.select(*keys, packed.alias("_hot"))), keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0))
+        "_salt", F.when(F.col("_hot").isNotNull(), salt).otherwise(F.lit(0)).cast("bigint")
     )
     cold = small.select(*keys, F.lit(0).cast("bigint").alias("_salt"), packed.alias("_cold"))
-    found = tagged.withColumn("_salt", F.col("_salt").cast("bigint")).join(cold, [*keys, "_salt"], "left")
+    found = tagged.join(cold, [*keys, "_salt"], "left")
     chosen = F.coalesce("_hot", "_cold")
     return found.select(*big.columns, *[chosen[c].alias(c) for c in payload])

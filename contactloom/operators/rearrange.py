@@ -9,11 +9,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.contacts import PAIR, align_matrices
-from contactloom.operators.ordered import hash_order, lookup, ordered_counts, quantiles_of
+from contactloom.operators.ordered import hash_sample, lookup, ordered_counts, quantiles_of
 from contactloom.session import cut_lineage
 
 
@@ -261,26 +261,16 @@ def permutation_test(real: DataFrame, predicted: DataFrame, replicates: int, cut
 
     Only which cells end up above the cutoff matters, so a shuffle is a draw
     of as many cells as there are high values: those whose hash for the
-    replicate is smallest.  The draw is exact: whole hash ranges are counted,
-    and only the range holding the limit is ordered.
+    replicate is smallest.
     """
     real, predicted = cut_lineage(real), cut_lineage(predicted)
     total = predicted.agg(F.count_if(F.col("z") > cutoff).alias("n")).scalar()
     high = real.filter(F.col("z") > cutoff).select(*PAIR, F.lit(1).alias("hit"))
     marked = predicted.select(*PAIR).join(high, PAIR, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
     rounds = marked.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    hashed = rounds.withColumn("_h", hash_order([*PAIR, "replicate"], seed)).withColumn("_part", F.substring("_h", 1, 3))
-    parts = hashed.groupBy("replicate", "_part").agg(F.count(F.lit(1)).alias("_n"), F.sum("hit").alias("_hits"))
-    frame = Window.partitionBy("replicate").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = parts.withColumn("_left", total - F.coalesce(F.sum("_n").over(frame), F.lit(0))).filter("_left > 0")
-    whole = parts.filter("_n <= _left").select("replicate", F.col("_hits").alias("hits"))
-    cut = (
-        hashed.join(parts.filter("_n > _left").select("replicate", "_part", "_left"), ["replicate", "_part"])
-        .withColumn("_rn", F.row_number().over(Window.partitionBy("replicate", "_part").orderBy("_h")))
-        .filter("_rn <= _left")
-        .select("replicate", F.col("hit").cast("bigint").alias("hits"))
-    )
-    null = whole.unionByName(cut).groupBy("replicate").agg(F.sum("hits").alias("hits"))
+    sizes = real.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), total.alias("size"))
+    drawn = hash_sample(rounds, [*PAIR, "replicate"], sizes, ["replicate"], seed)
+    null = drawn.groupBy("replicate").agg(F.sum("hit").alias("hits"))
     observed = marked.join(predicted.filter(F.col("z") > cutoff).select(*PAIR), PAIR, "left_semi").agg(F.sum("hit").alias("o")).scalar()
     # one row per replicate is left
     summary = null.agg(F.percentile("hits", 0.5).alias("null_median"), F.stddev_pop("hits").alias("null_std"))

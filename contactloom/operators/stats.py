@@ -119,7 +119,7 @@ def signal_correlation(
     seed: int = 1,
 ) -> DataFrame:
     """(signal, pearson, spearman) of the contact between the ends of sampled windows with the signals inside."""
-    drawn = hash_sample(grid.select("chr", "pos"), ["chr", "pos"], sample, (), seed)
+    drawn = cut_lineage(hash_sample(grid.select("chr", "pos"), ["chr", "pos"], sample, (), seed))
     table = cut_lineage(window_signals(contacts, signals, drawn, binsize, bins, skip or {}))
     parts = [rank_correlation(table, "contact", n).select(F.lit(n).alias("signal"), "pearson", "spearman") for n in signals]
     out = parts[0]

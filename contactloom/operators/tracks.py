@@ -183,10 +183,15 @@ def boundary_lists(
 def orient_peaks(peaks: DataFrame, motifs: DataFrame) -> DataFrame:
     """Lowest motif score per strand among the motifs overlapping each peak, 0 where there is none."""
     places = peaks.select("chr", "start", "end").distinct()
-    hits = intersect(places, motifs.select("chr", "start", "end", "score", "orientation"))
-    scores = hits.groupBy("chr", F.col("a_start").alias("start"), F.col("a_end").alias("end")).agg(
-        F.min(F.when(F.col("b_orientation") == "+", F.col("b_score"))).alias("_plus"),
-        F.min(F.when(F.col("b_orientation") == "-", F.col("b_score"))).alias("_minus"),
+    # copies of a motif are merged first: what meets in a bucket is bounded by distinct coordinates
+    best = motifs.groupBy("chr", "start", "end").agg(
+        F.min(F.when(F.col("orientation") == "+", F.col("score"))).alias("plus"),
+        F.min(F.when(F.col("orientation") == "-", F.col("score"))).alias("minus"),
+    )
+    scores = (
+        intersect(places, best)
+        .groupBy("chr", F.col("a_start").alias("start"), F.col("a_end").alias("end"))
+        .agg(F.min("b_plus").alias("_plus"), F.min("b_minus").alias("_minus"))
     )
     return (
         peaks.join(scores, ["chr", "start", "end"], "left")
