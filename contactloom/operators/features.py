@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import (
     BEFORE,
-    BROADCAST_BYTES,
     UP_TO,
     cumulative_at,
     fixed,
@@ -108,7 +107,7 @@ def by_anchor(
 
 
 def attach_anchors(
-    contacts: DataFrame, rows: DataFrame, slots: Sequence[str], share: int = 1000, broadcast_bytes: int = BROADCAST_BYTES
+    contacts: DataFrame, rows: DataFrame, slots: Sequence[str], share: int = 1000, broadcast_bytes: int = 64 << 20
 ) -> DataFrame:
     """Contacts with ``st_<slot>`` and ``en_<slot>``, from a materialised table of anchor rows.
 
