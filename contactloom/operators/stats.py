@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from contactloom.operators.ordered import (
     average_rank,
     exact_quantiles,
+    hash_order,
     hash_sample,
     lookup,
     ordered_counts,
@@ -377,7 +378,8 @@ def downsample(contacts: DataFrame, size: int, seed: int = 1, digits: int = 3) -
     placed = lookup(placed, offsets, ["chr"], ["_chr_off"])
     line = placed.select(*PAIR, (F.col("_chr_off") + F.col("_at")).alias("lo"), (F.col("_chr_off") + F.col("_at") + F.col("w") - 1).alias("hi"))
     draws = contacts.sparkSession.range(size).select(
-        F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(max(length, 1))).alias("pos"), F.lit(1).cast("bigint").alias("drawn")
+        (F.conv(F.substring(hash_order(["id"], seed), 1, 15), 16, 10).cast("bigint") % max(length, 1)).alias("pos"),
+        F.lit(1).cast("bigint").alias("drawn"),
     )
     counted = window_totals(
         line.withColumn("_k", F.lit(0)),

@@ -143,21 +143,42 @@ def r10(spark, sf):
     return R.invert_peaks(oriented(spark, sf), REGION)
 
 
-_ALIGNED = """cells AS (SELECT COALESCE(w.chr, m.chr) AS chr, COALESCE(w.contact_st, m.contact_st) AS contact_st,
-    COALESCE(w.contact_en, m.contact_en) AS contact_en, COALESCE(w.contact_count, 0) AS wt, COALESCE(m.contact_count, 0) AS mut
-    FROM a_wt w FULL JOIN a_mut m ON w.chr = m.chr AND w.contact_st = m.contact_st AND w.contact_en = m.contact_en)"""
 _LOST = f"(chr = 'chr1' AND (contact_st BETWEEN {S} AND {E} OR contact_en BETWEEN {S} AND {E}))"
-_DIFF = f"""{_ALIGNED}, f AS (SELECT SUM(wt) / SUM(mut) AS f FROM cells WHERE NOT {_LOST}),
-    diff AS (SELECT chr, contact_st, contact_en, CASE WHEN {_LOST} THEN 0 ELSE wt END AS wt,
-      CASE WHEN {_LOST} THEN 0 ELSE mut * (SELECT f FROM f) - wt END AS difference FROM cells),
-    n AS (SELECT chr, (MAX(contact_en) - MIN(contact_st)) // 5000 + 1 AS n FROM diff GROUP BY chr),
-    d AS (SELECT diff.chr, contact_en - contact_st AS dist, SUM(wt) / (ANY_VALUE(n) - (contact_en - contact_st) / 5000) AS m FROM diff JOIN n ON n.chr = diff.chr GROUP BY 1, 2),
-    norm AS (SELECT diff.chr, contact_st, contact_en, contact_en - contact_st AS dist, wt, difference / m AS difference FROM diff JOIN d ON d.chr = diff.chr AND d.dist = contact_en - contact_st)"""
+
+
+def aligned_sql(mut: str = "a_mut", p: str = "") -> str:
+    return f"""cells{p} AS (SELECT COALESCE(w.chr, m.chr) AS chr, COALESCE(w.contact_st, m.contact_st) AS contact_st,
+    COALESCE(w.contact_en, m.contact_en) AS contact_en, COALESCE(w.contact_count, 0) AS wt, COALESCE(m.contact_count, 0) AS mut
+    FROM a_wt w FULL JOIN {mut} m ON w.chr = m.chr AND w.contact_st = m.contact_st AND w.contact_en = m.contact_en)"""
+
+
+def difference_sql(mut: str = "a_mut", p: str = "") -> str:
+    return f"""{aligned_sql(mut, p)}, f{p} AS (SELECT SUM(wt) / SUM(mut) AS f FROM cells{p} WHERE NOT {_LOST}),
+    diff{p} AS (SELECT chr, contact_st, contact_en, CASE WHEN {_LOST} THEN 0 ELSE wt END AS wt,
+      CASE WHEN {_LOST} THEN 0 ELSE mut * (SELECT f FROM f{p}) - wt END AS difference FROM cells{p}),
+    n{p} AS (SELECT chr, (MAX(contact_en) - MIN(contact_st)) // 5000 + 1 AS n FROM diff{p} GROUP BY chr),
+    d{p} AS (SELECT x.chr, contact_en - contact_st AS dist, SUM(wt) / (ANY_VALUE(n) - (contact_en - contact_st) / 5000) AS m
+      FROM diff{p} x JOIN n{p} y ON y.chr = x.chr GROUP BY 1, 2),
+    norm{p} AS (SELECT x.chr, contact_st, contact_en, contact_en - contact_st AS dist, wt, difference / m AS difference
+      FROM diff{p} x JOIN d{p} y ON y.chr = x.chr AND y.dist = contact_en - contact_st)"""
+
+
+def scores_sql(mut: str = "a_mut", p: str = "") -> str:
+    return f"""{difference_sql(mut, p)}, nz{p} AS (SELECT * FROM norm{p} WHERE difference <> 0),
+    q{p} AS (SELECT chr, dist, quantile_cont(difference, 0.04) AS lo, quantile_cont(difference, 0.96) AS hi FROM nz{p} GROUP BY chr, dist),
+    t{p} AS (SELECT x.chr, x.dist, AVG(difference) AS m, STDDEV_POP(difference) AS s FROM nz{p} x JOIN q{p} y ON y.chr = x.chr AND y.dist = x.dist
+      WHERE difference > lo AND difference < hi GROUP BY x.chr, x.dist HAVING COUNT(*) >= 10),
+    z{p} AS (SELECT x.chr, contact_st, contact_en, x.dist, difference, (difference - m) / s AS z
+      FROM nz{p} x JOIN t{p} y ON y.chr = x.chr AND y.dist = x.dist)"""
+
+
+_NOISY = "noisy AS (SELECT chr, contact_st, contact_en, contact_count + (contact_st // 5000) % 7 AS contact_count FROM a_mut)"
+_BOTH = f"{scores_sql()}, {_NOISY}, {scores_sql('noisy', 'p')}"
 
 
 @query(
     "r11_depth_matched_difference",
-    f"WITH {_DIFF} SELECT chr, contact_st, contact_en, wt, ROUND(difference, 6) AS difference FROM diff",
+    f"WITH {difference_sql()} SELECT chr, contact_st, contact_en, wt, ROUND(difference, 6) AS difference FROM diff",
 )
 def r11(spark, sf):
     cells = R.depth_matched_difference(A.wild_type(spark, sf), A.mutant(spark, sf), REGION)
@@ -171,7 +192,7 @@ def _normalized(spark, sf):
 
 @query(
     "r11_normalized_difference",
-    f"WITH {_DIFF} SELECT chr, contact_st, contact_en, dist, wt, ROUND(difference, 6) AS difference FROM norm",
+    f"WITH {difference_sql()} SELECT chr, contact_st, contact_en, dist, wt, ROUND(difference, 6) AS difference FROM norm",
 )
 def r11_norm(spark, sf):
     return _normalized(spark, sf).select("chr", "contact_st", "contact_en", "dist", "wt", F.round("difference", 6).alias("difference"))
@@ -179,7 +200,7 @@ def r11_norm(spark, sf):
 
 @query(
     "r12_fold_change",
-    f"""WITH {_ALIGNED} SELECT *, NULLIF(CASE WHEN wt = 0 THEN NULL ELSE ROUND(mut / wt, 9) END, 1) AS fold_change FROM cells
+    f"""WITH {aligned_sql()} SELECT *, NULLIF(CASE WHEN wt = 0 THEN NULL ELSE ROUND(mut / wt, 9) END, 1) AS fold_change FROM cells
     WHERE chr = 'chr2' AND contact_st BETWEEN 1000000 AND 5000000 AND contact_en BETWEEN 1000000 AND 5000000""",
 )
 def r12(spark, sf):
@@ -189,12 +210,7 @@ def r12(spark, sf):
 
 @query(
     "r13_ectopic_scores",
-    f"""WITH {_DIFF}, nz AS (SELECT * FROM norm WHERE difference <> 0),
-    p AS (SELECT chr, dist, quantile_cont(difference, 0.04) AS lo, quantile_cont(difference, 0.96) AS hi FROM nz GROUP BY chr, dist),
-    t AS (SELECT nz.chr, nz.dist, COUNT(*) AS n, AVG(difference) AS m, STDDEV_POP(difference) AS s FROM nz JOIN p ON p.chr = nz.chr AND p.dist = nz.dist
-      WHERE difference > lo AND difference < hi GROUP BY nz.chr, nz.dist HAVING COUNT(*) >= 10)
-    SELECT nz.chr, contact_st, contact_en, nz.dist, ROUND(difference, 5) AS difference, ROUND((difference - m) / s, 5) AS z
-    FROM nz JOIN t ON t.chr = nz.chr AND t.dist = nz.dist""",
+    f"WITH {scores_sql()} SELECT chr, contact_st, contact_en, dist, ROUND(difference, 5) AS difference, ROUND(z, 5) AS z FROM z",
 )
 def r13(spark, sf):
     scores = R.ectopic_scores(_normalized(spark, sf))
@@ -204,16 +220,31 @@ def r13(spark, sf):
 def _two_scores(spark, sf):
     real = R.ectopic_scores(_normalized(spark, sf))
     # the predicted map: the same comparison with the two conditions exchanged for a noisy copy
-    noisy = A.mutant(spark, sf).withColumn("contact_count", F.col("contact_count") + (F.col("contact_st") / A.BIN) % 7)
+    noisy = A.mutant(spark, sf).withColumn("contact_count", F.col("contact_count") + F.floor(F.col("contact_st") / A.BIN) % 7)
     cells = R.depth_matched_difference(A.wild_type(spark, sf), noisy, REGION)
     return real, R.ectopic_scores(R.normalize_by_diagonal(cells, A.BIN))
 
 
-@query("r14_ectopic_overlap")
+@query(
+    "r14_ectopic_overlap",
+    f"""WITH {_BOTH} SELECT COUNT(*) FILTER (z.z > 2) AS n_real, COUNT(*) FILTER (zp.z > 2) AS n_predicted, COUNT(*) FILTER (z.z > 2 AND zp.z > 2) AS n_both
+    FROM z FULL JOIN zp ON zp.chr = z.chr AND zp.contact_st = z.contact_st AND zp.contact_en = z.contact_en""",
+)
 def r14_overlap(spark, sf):
     return R.ectopic_overlap(*_two_scores(spark, sf))
 
 
-@query("r14_permutation_test")
+@query(
+    "r14_permutation_test",
+    f"""WITH {_BOTH}, m AS (SELECT zp.chr, zp.contact_st, zp.contact_en, zp.z > 2 AS high, COALESCE(z.z > 2, FALSE) AS hit FROM zp
+      LEFT JOIN z ON z.chr = zp.chr AND z.contact_st = zp.contact_st AND z.contact_en = zp.contact_en),
+    r AS (SELECT k, hit, ROW_NUMBER() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', '1', chr, contact_st, contact_en, k))) AS rn
+      FROM m CROSS JOIN (SELECT UNNEST(range(1, 21)) AS k)),
+    h AS (SELECT k, COUNT(*) FILTER (hit) AS hits FROM r WHERE rn <= (SELECT COUNT(*) FROM m WHERE high) GROUP BY k),
+    o AS (SELECT COUNT(*) FILTER (hit AND high) AS observed FROM m)
+    SELECT observed, null_median, ROUND(null_std, 6) AS null_std, ROUND((observed - null_median) / null_std, 6) AS z FROM o
+    CROSS JOIN (SELECT quantile_cont(hits, 0.5) AS null_median, STDDEV_POP(hits) AS null_std FROM h)""",
+)
 def r14(spark, sf):
-    return R.permutation_test(*_two_scores(spark, sf), replicates=20)
+    test = R.permutation_test(*_two_scores(spark, sf), replicates=20)
+    return test.withColumns({"null_std": F.round("null_std", 6), "z": F.round("z", 6)})

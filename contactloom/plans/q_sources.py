@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import asdict
+
 from pyspark.sql import functions as F
 
 from contactloom.operators import sequence as Q
@@ -335,7 +338,11 @@ def k05(spark, sf):
     return spark.read.schema("chr string, r2 double").csv(path, sep="\t", header=True)
 
 
-@query("k07_run_report")
+@query(
+    "k07_run_report",
+    f"""SELECT 'features' AS output, COUNT(*) AS n_contacts, '{json.dumps(asdict(RunParameters()), sort_keys=True)}' AS parameters, '[]' AS families,
+    'chr,contact_st,contact_en,contact_count,dist' AS columns FROM a_contacts WHERE dist BETWEEN {A.MIN_DIST} AND {A.MAX_DIST}""",
+)
 def k07(spark, sf):
     path = scratch_path(spark, "report")
     K.write_run_report(K.run_report(base(spark, sf), RunParameters(), (), "features"), path)

@@ -208,12 +208,31 @@ def v06(spark, sf):
     return rounded(V.mean_row_correlation(A.predictions(spark, sf), A.BIN), 9, "corr")
 
 
-@query("v07_smoothing_search")
+def _search_sql(h: int) -> str:
+    cells = f"WITH {_smooth_sql(h)} SELECT chr, i, j, r, p FROM sd" if h else f"WITH {_CELLS} SELECT chr, i, j, r, p FROM cl"
+    return f"""m{h} AS (SELECT c.*, side, k FROM ({cells}) c CROSS JOIN (SELECT UNNEST([0, 1]) AS side) CROSS JOIN (SELECT UNNEST(range(1, 11)) AS k) WHERE r <> 0 OR p <> 0),
+    o{h} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', '1', k, chr, i, j, side))) AS rn, COUNT(*) OVER (PARTITION BY k) AS n FROM m{h}),
+    s{h} AS (SELECT k, corr(r, p) AS c, (COUNT(*) + 1) / 12.0 AS w FROM o{h} WHERE rn <= floor(n * 0.1) GROUP BY k, j - i HAVING MIN(r) <> MAX(r) AND MIN(p) <> MAX(p)),
+    g{h} AS (SELECT {h} AS h, ROUND(AVG(scc), 4) AS mean_scc FROM (SELECT k, SUM(c * w) / SUM(w) AS scc FROM s{h} GROUP BY k))"""
+
+
+@query(
+    "v07_smoothing_search",
+    f"""WITH {', '.join(_search_sql(h) for h in range(3))}, a AS (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2),
+    b AS (SELECT h, mean_scc, ROUND(mean_scc - LAG(mean_scc) OVER (ORDER BY h), 6) AS gain FROM a)
+    SELECT h, mean_scc, gain, COALESCE(gain < 0.01, FALSE) AS stop FROM b""",
+)
 def v07(spark, sf):
-    return V.smoothing_search(A.predictions(spark, sf), A.BIN, 2, 10)
+    return rounded(V.smoothing_search(A.predictions(spark, sf), A.BIN, 2, 10), 6, "gain")
 
 
-@query("v08_downsample")
+@query(
+    "v08_downsample",
+    """WITH l AS (SELECT chr, contact_st, contact_en, (contact_count * 1000)::BIGINT AS w,
+      SUM((contact_count * 1000)::BIGINT) OVER (ORDER BY chr, contact_st, contact_en)::BIGINT AS hi FROM a_contacts),
+    d AS (SELECT ('0x' || substr(md5(concat_ws('|', '1', id)), 1, 15))::BIGINT % (SELECT MAX(hi) FROM l) AS pos FROM (SELECT UNNEST(range(0, 50000)) AS id))
+    SELECT chr, contact_st, contact_en, COUNT(*)::DOUBLE AS contact_count FROM d ASOF JOIN (SELECT *, hi - w AS lo FROM l) x ON d.pos >= x.lo GROUP BY ALL""",
+)
 def v08(spark, sf):
     return V.downsample(A.contacts(spark, sf), 50_000)
 
