@@ -106,13 +106,14 @@ def to_bins(df: DataFrame, binsize: int, origin: int | Column = 0, columns: Sequ
 
 
 def grid_positions(bounds: DataFrame, binsize: int, block: int = 2_048) -> DataFrame:
-    """(chr, pos) for every bin of the ranges (chr, lo, hi), produced in blocks spread over the cluster."""
+    """(chr, hi, ..., pos) for every bin of the ranges (chr, lo, hi, ...), produced in blocks spread over the cluster."""
+    kept = [c for c in bounds.columns if c != "lo"]
     step = F.lit(binsize * block)
-    blocks = bounds.select(
-        "chr", "hi", F.explode(F.sequence(F.col("lo"), F.col("hi"), step)).alias("_at")
-    ).repartition("chr", "_at")
+    blocks = bounds.select(*kept, F.explode(F.sequence(F.col("lo"), F.col("hi"), step)).alias("_at"))
     last = F.least(F.col("hi"), F.col("_at") + step - binsize)
-    return blocks.select("chr", "hi", F.explode(F.sequence(F.col("_at"), last, F.lit(binsize))).alias("pos"))
+    return blocks.repartition("chr", "_at").select(
+        *kept, F.explode(F.sequence(F.col("_at"), last, F.lit(binsize))).alias("pos")
+    )
 
 
 def fill_empty(contacts: DataFrame, binsize: int, maxdist: int) -> DataFrame:
@@ -141,10 +142,10 @@ def region_contacts(regions: DataFrame, binsize: int, mindist: int, maxdist: int
 
     near = -(-mindist // binsize) * binsize
     far = maxdist // binsize * binsize
-    starts = regions.select(
-        "chr", *extra, snap("end").alias("_hi"), F.explode(F.sequence(snap("start"), snap("end"), F.lit(binsize))).alias("contact_st")
-    ).filter(F.col("contact_st") + near <= F.col("_hi"))
-    ends = F.sequence(F.col("contact_st") + near, F.least(F.col("_hi"), F.col("contact_st") + far), F.lit(binsize))
+    bounds = regions.select("chr", *extra, snap("start").alias("lo"), snap("end").alias("hi"))
+    starts = grid_positions(bounds, binsize).withColumnRenamed("pos", "contact_st")
+    starts = starts.filter(F.col("contact_st") + near <= F.col("hi"))
+    ends = F.sequence(F.col("contact_st") + near, F.least(F.col("hi"), F.col("contact_st") + far), F.lit(binsize))
     return starts.select("chr", *extra, "contact_st", F.explode(ends).alias("contact_en")).select(
         "chr",
         *extra,

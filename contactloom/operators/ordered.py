@@ -288,6 +288,8 @@ def overlap_pairs(
 
 #: Groups up to this size are ordered in one piece.
 ONE_PIECE = 200_000
+#: Even parts between two neighbouring quantiles of a large group.
+EVEN = 64
 
 
 def ordered_counts(
@@ -296,9 +298,9 @@ def ordered_counts(
     """(keys, value, cnt, below, n, sums): distinct values of each group with the number of rows below them.
 
     Equal values are merged first; those of a large group are divided at
-    approximate quantiles, so the group is ordered in ``splits`` pieces.  The
-    split points only steer the work - the counts are exact.  ``weight`` makes
-    a row count several times.
+    approximate quantiles and evenly in between, so the group is ordered in up
+    to ``splits * EVEN`` pieces.  The split points only steer the work - the
+    counts are exact.  ``weight`` makes a row count several times.
     """
     keys, sums = list(keys), list(sums)
     present = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
@@ -306,7 +308,9 @@ def ordered_counts(
     distinct = present.groupBy(*keys, value).agg(count.alias("cnt"), *[F.sum(c).alias(c) for c in sums])
     probabilities = F.array(*[F.lit(k / splits) for k in range(1, splits)])
     cuts = present.groupBy(*keys).agg(
-        F.percentile_approx(value, probabilities, F.lit(20 * splits)).alias("_cuts"),
+        F.concat(
+            F.array(F.min(value)), F.percentile_approx(value, probabilities, F.lit(20 * splits)), F.array(F.max(value))
+        ).alias("_cuts"),
         count.alias("n"),
         F.count(F.lit(1)).alias("_rows"),
     )
@@ -317,11 +321,16 @@ def ordered_counts(
         placed = distinct.withColumn("_one", cuts.select(F.struct("_cuts", "n", "_rows")).scalar()).select(
             *distinct.columns, "_one._cuts", "_one.n", "_one._rows"
         )
-    piece = F.size(F.filter(F.array_distinct("_cuts"), lambda c: c < F.col(value)))
-    placed = placed.withColumn("_b", F.when(F.col("_rows") > ONE_PIECE, piece).otherwise(0)).drop("_cuts", "_rows")
+    large = F.col("_rows") > ONE_PIECE
+    placed = placed.withColumn("_p", F.when(large, F.size(F.filter("_cuts", lambda c: c < F.col(value)))).otherwise(0))
+    low = F.get("_cuts", F.col("_p") - 1).cast("double")
+    high = F.get("_cuts", F.col("_p")).cast("double")
+    part = F.floor(F.try_divide(F.col(value).cast("double") - low, high - low) * EVEN)
+    part = F.least(F.greatest(F.coalesce(part, F.lit(0)), F.lit(0)), F.lit(EVEN - 1))
+    placed = placed.withColumn("_b", F.col("_p") * EVEN + F.when(F.col("_p") > 0, part).otherwise(0)).drop("_cuts", "_rows", "_p")
     inside = Window.partitionBy(*keys, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     per_piece = placed.groupBy(*keys, "_b").agg(F.sum("cnt").alias("_tot"))
-    # at most `splits` rows per group reach this window
+    # at most `splits * EVEN` rows per group reach this window
     across = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_piece.select(*keys, "_b", F.coalesce(F.sum("_tot").over(across), F.lit(0)).alias("_off"))
     return (

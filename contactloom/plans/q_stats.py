@@ -163,12 +163,12 @@ def v03_plain(spark, sf):
     return rounded(V.scc(A.predictions(spark, sf), A.BIN, 0), 6, "scc")
 
 
-@query(
-    "v04_band_errors",
-    f"""WITH {_CELLS}, {_EXTENT}, k AS (SELECT chr, SUM(2 * GREATEST(hi - lo - 1 - d, 0)) AS k FROM ex CROSS JOIN (SELECT UNNEST(range(3, 301)) AS d) GROUP BY chr)
+_BAND_ERRORS = f"""WITH {_CELLS}, {_EXTENT}, k AS (SELECT chr, SUM(2 * GREATEST(hi - lo - 1 - d, 0)) AS k FROM ex CROSS JOIN (SELECT UNNEST(range(3, 301)) AS d) GROUP BY chr)
     SELECT cl.chr, ROUND(SQRT(2 * SUM((r - p) ** 2) / ANY_VALUE(k)), 9) AS rmse, ROUND(2 * SUM(ABS(r - p)) / ANY_VALUE(k), 9) AS mae,
-    ROUND(SUM(ABS(r - p) / r) FILTER (r <> 0) / COUNT(*) FILTER (r <> 0), 9) AS mape FROM cl JOIN k ON k.chr = cl.chr GROUP BY cl.chr""",
-)
+    ROUND(SUM(ABS(r - p) / r) FILTER (r <> 0) / COUNT(*) FILTER (r <> 0), 9) AS mape FROM cl JOIN k ON k.chr = cl.chr GROUP BY cl.chr"""
+
+
+@query("v04_band_errors", _BAND_ERRORS)
 def v04(spark, sf):
     return rounded(V.band_errors(A.predictions(spark, sf), A.BIN), 9, "rmse", "mae", "mape")
 
@@ -249,6 +249,21 @@ def v09(spark, sf):
     return V.diagonal_tiles(A.predictions(spark, sf), A.BIN)
 
 
+_ALL_MEASURES = {
+    "corr": f"WITH {_CELLS}, {_EXTENT}, {_ROWS}",
+    "scc": f"WITH {_smooth_sql(2)}, {_scc_sql('sd')}",
+    "errors": _BAND_ERRORS,
+    "pe": f"WITH {_CELLS}, {_EXTENT}, {_PE_ERRORS}",
+}
+
+
+@query("k05_metrics_row", f"SELECT * FROM {' JOIN '.join(f'({sql}) {n}' + (' USING (chr)' if i else '') for i, (n, sql) in enumerate(_ALL_MEASURES.items()))}")
+def k05_row(spark, sf):
+    row = V.metrics_row(A.predictions(spark, sf), A.BIN, 2, _promoters(spark, sf), _enhancers(spark, sf))
+    row = rounded(row, 9, "corr", "rmse", "mae", "mape", "pe_rmse", "pe_mae", "pe_mape")
+    return rounded(row, 6, "scc")
+
+
 # ---- conditions -----------------------------------------------------------------------------------
 
 

@@ -9,7 +9,7 @@ from contactloom.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 # trained models and searches are covered by unit tests and the comparison script; they only repeat fits here
-SLOW = {"m07_feature_importance", "m08_validate", "v07_smoothing_search"}
+SLOW = {"k06_write_feature_importance", "m02_predict_transformed", "m07_feature_importance", "m08_validate", "v07_smoothing_search"}
 
 
 @pytest.fixture(scope="module")
