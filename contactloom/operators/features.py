@@ -95,6 +95,13 @@ def request_points(anchors: DataFrame, requests: Sequence[Request]) -> DataFrame
     return anchors.select(*ANCHOR, F.explode(wanted).alias("_r")).select(*ANCHOR, "_r.tag", "_r.p", "_r.side")
 
 
+def one_sided(located: DataFrame, left: str, right: str) -> DataFrame:
+    """Only the lists that are used travel on: items before request ``left``, items after request ``right``."""
+    return located.withColumns(
+        {"before": F.when(F.col("tag") == left, F.col("before")), "after": F.when(F.col("tag") == right, F.col("after"))}
+    )
+
+
 def by_anchor(
     located: DataFrame, requests: Sequence[Request], fields: Sequence[str], slot: str, finish: Callable[[Pick], dict[str, Column]]
 ) -> DataFrame:
@@ -249,8 +256,8 @@ class PeakSums(AnchorFamily):
         h, n = self.window // 2, self.n
 
         def finish(at: Pick) -> dict[str, Column]:
-            # a chromosome without items has neither a left nor a right neighbour anywhere
-            absent = at("lo_out")["before"].isNull() & at("lo_out")["after"].isNull()
+            # there is a (possibly empty) list at every position of a chromosome, unless it has no items at all
+            absent = at("lo_out")["before"].isNull()
             left = pad_left(at("lo_out")["before"], n, self.payload)
             right = pad_right(at("hi_out")["after"], n, self.payload, F.col("pos") + h)
 
@@ -266,7 +273,8 @@ class PeakSums(AnchorFamily):
                 "right_dist": distances(right, 1),
             }
 
-        return by_anchor(self._located(anchors), self._requests(), ["total", "before", "after"], self.slot, finish)
+        located = one_sided(self._located(anchors), "lo_out", "hi_out")
+        return by_anchor(located, self._requests(), ["total", "before", "after"], self.slot, finish)
 
     def columns(self, st, en):
         name, n = self.name, self.n
@@ -485,6 +493,7 @@ class ConvergentPair(AnchorFamily):
 
             return {"plus": beside("plus_orientation"), "minus": beside("minus_orientation")}
 
+        located = one_sided(located, "before", "up_to")
         return by_anchor(located, self._requests, ["before", "after"], self.slot, finish)
 
     def columns(self, st, en):
@@ -510,6 +519,7 @@ class DistanceToTss(AnchorFamily):
             right = F.try_element_at(at("up_to")["after"], F.lit(1))["TSS"]
             return {"L": F.col("pos") - left, "R": right - F.col("pos")}
 
+        located = one_sided(located, "before", "up_to")
         return by_anchor(located, self._requests, ["before", "after"], self.slot, finish)
 
     def columns(self, st, en):
