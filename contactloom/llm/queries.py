@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import fingerprints, language, packing, url_filter, warc
+from contactloom.llm import fingerprints, language, neighbours, packing, url_filter, warc
 from contactloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(docs.select("doc_id", "text"), net).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+@query("op5_neighbours")
+def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
+
+
 OP7_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
