@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import fingerprints, language, neighbours, packing, secrets, url_filter, warc
+from contactloom.llm import fingerprints, language, mixing, neighbours, packing, secrets, url_filter, warc
 from contactloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,6 +77,21 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
+#: shares of expected tokens wanted: more of the good, little of the rest
+MIX_TARGETS = {"good": 0.9, "poor": 0.06, "toxic": 0.04}
+
+
+def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor").alias("domain"))
+
+
+@query("op6_mixing")
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, labelled_domains(spark, sf_dir), MIX_TARGETS, carry=["doc_id"])
+
+
 OP7_SQL = """
 with p as (select page_id, coalesce(html, '') as html from pages),
 d as (select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest from p),
