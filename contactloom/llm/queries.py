@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import fingerprints, language, mixing, neighbours, packing, secrets, url_filter, warc
+from contactloom.llm import fingerprints, jaccard, language, mixing, neighbours, packing, secrets, url_filter, warc
 from contactloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -110,6 +110,31 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+OP8_SQL = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') as words from documents
+), s as (
+  select doc_id, unnest(case when len(words) = 0 then [] when len(words) < 4 then [array_to_string(words, ' ')]
+    else list_distinct(list_transform(generate_series(1, len(words) - 3), lambda i: array_to_string(words[i:i+3], ' '))) end) as gram from w
+), n as (
+  select w.doc_id, count(s.gram) as n_shingles from w left join s on w.doc_id = s.doc_id group by w.doc_id
+), p as (
+  select a.doc_id as a, b.doc_id as b, count(*) as o from s a join s b on a.gram = b.gram and a.doc_id <> b.doc_id group by 1, 2
+), link as (
+  select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * p.o >= 85 * (x.n_shingles + y.n_shingles - p.o)
+), reach(a, b) as (
+  select doc_id, doc_id from n union select r.a, l.b from reach r join link l on r.b = l.a
+)
+select n.doc_id, n.n_shingles, min(r.b) as component_id from n join reach r on n.doc_id = r.a group by 1, 2
+"""
+
+
+@query("op8_near_duplicates", OP8_SQL)
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op9_fingerprints")
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = fingerprints.edited_pairs(table(spark, sf_dir, "documents"))
