@@ -15,33 +15,34 @@ from pyspark.sql import functions as F
 from contactloom.llm.common import partitions, text_or_empty
 
 PIECE = 24
+#: a mark is one number: 44 bits of the hash, then 20 bits that fall with the position
+PLACE = 20
+LAST = (1 << PLACE) - 1
 
 
 def marks(text: Column, k: int, window: int) -> Column:
-    """The kept hashes of a text: array of structs (position, hash), in order of position."""
+    """The kept hashes of a text as an array of marks, in order of position.
+
+    The place part of a mark makes the rightmost of equal hashes the smallest number. It counts positions
+    modulo 2**20; neighbouring marks lie at most ``window`` apart, so longer texts lose nothing by that.
+    """
     pieces = F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % PIECE), F.lit(0))
 
-    def from_hashes(h: Column) -> Column:
-        n = F.size(h)
-        runs = F.transform(
-            F.sequence(F.lit(1), F.greatest(F.lit(1), n - (k - 1))),
-            lambda i: F.xxhash64(F.slice(h, i, k)),
-        )
-        return F.when(n == 0, F.array().cast("array<struct<position:int,hash:bigint>>")).otherwise(of_window(runs))
-
-    def of_window(r: Column) -> Column:
-        last = F.greatest(F.lit(1), F.size(r) - (window - 1))
-        # -position makes the rightmost of equal hashes the smallest struct
-        numbered = F.transform(r, lambda x, i: F.struct(x.alias("hash"), (-i).alias("back")))
-        return through(
-            numbered,
-            lambda a: F.transform(
-                F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.array_min(F.slice(a, i, window)))),
-                lambda s: F.struct((-s["back"]).alias("position"), s["hash"].alias("hash")),
-            ),
-        )
-
-    return through(F.transform(pieces, lambda w: F.xxhash64(w)), from_hashes)
+    def runs(h: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (k - 1)))
+        # past the end of a short text get() is null, which the hash passes over
+        return F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + (j - 1)) for j in range(k)]))
+
+    def placed(r: Column) -> Column:
+        return F.transform(r, lambda x, i: F.shiftleft(x, PLACE).bitwiseOR(F.lit(LAST) - i.bitwiseAND(F.lit(LAST))))
+
+    def smallest(a: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(a) - (window - 1)))
+        return F.array_distinct(F.transform(starts, lambda i: F.array_min(F.slice(a, i, window))))
+
+    hashes = F.transform(pieces, lambda w: F.xxhash64(w))
+    found = through(through(through(hashes, runs), placed), smallest)
+    return F.when(F.regexp_like(text, F.lit(r"\S")), found).otherwise(F.array().cast("array<bigint>"))
 
 
 def through(value: Column, use) -> Column:
@@ -49,6 +50,10 @@ def through(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def hashes_of(m: Column) -> Column:
+    return F.transform(m, lambda x: F.shiftrightunsigned(x, PLACE))
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared hashes over all hashes of two arrays of distinct or repeated hashes; 1 if both are empty."""
     together = F.size(F.array_union(a, b))
@@ -56,7 +61,7 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def as_text(m: Column) -> Column:
-    return F.array_join(F.transform(m, lambda x: F.concat(x["position"].cast("string"), F.lit(":"), F.lower(F.hex(x["hash"])))), ",")
+    return F.array_join(F.transform(m, lambda x: F.concat((F.lit(LAST) - x.bitwiseAND(F.lit(LAST))).cast("string"), F.lit(":"), F.lower(F.hex(F.shiftrightunsigned(x, PLACE))))), ",")
 
 
 def with_bucket(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
@@ -81,8 +86,7 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """Each document's fingerprint next to that of an edited text and of the next document.
 
     Returns doc_id, n_chars, text, edited (the text whose last floor(n_chars / 2) code points are replaced
-    by the first as many, or all, of the next document's), marks, edited_marks (arrays of structs position,
-    hash), near_edited and near_next (likeness to the edited text's and the next document's marks).
+    by the first as many, or all, of the next document's), marks, edited_marks (see ``marks``), near_edited and near_next (likeness to the edited text's and the next document's marks).
 
     Documents follow each other by descending id, a null id comes last, equal ids by descending text; after
     the last comes the first, so a single document is its own next. A null text is empty; repeated rows
@@ -108,12 +112,12 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     half = F.floor(F.length("text") / 2).cast("int")
     linked = (
         marked.withColumn("next_text", F.lead("text").over(w))
-        .withColumn("next_hashes", F.lead(F.transform("marks", lambda m: m["hash"])).over(w))
+        .withColumn("next_hashes", F.lead(hashes_of(F.col("marks"))).over(w))
         .where("not head")
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
         .withColumn("edited_marks", marks(F.col("edited"), k, window))
     )
-    hashes = F.transform("marks", lambda m: m["hash"])
+    hashes = hashes_of(F.col("marks"))
     return linked.select(
         "doc_id",
         F.length("text").cast("long").alias("n_chars"),
@@ -121,6 +125,6 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         "edited",
         "marks",
         "edited_marks",
-        likeness(hashes, F.transform("edited_marks", lambda m: m["hash"])).alias("near_edited"),
+        likeness(hashes, hashes_of(F.col("edited_marks"))).alias("near_edited"),
         likeness(hashes, F.col("next_hashes")).alias("near_next"),
     )
