@@ -50,8 +50,8 @@ def classified(pages: DataFrame, least: int = 100) -> DataFrame:
     """(page_id, url, payload, digest, refers_to): ``refers_to`` is the page that a revisit repeats, else null.
 
     Of rows with equal payloads of at least ``least`` bytes the one with the smallest page_id is the
-    response. Digests are grouped first, so a payload with many copies costs one row per task and one
-    skewed join key of small rows; payloads themselves are never shuffled by digest.
+    response. Digests are counted first, so a payload with many copies costs one row per task there; the join
+    that brings the result back to the payloads has one row per digest on its other side and can be split.
     """
     base = pages.select(
         F.col("page_id").cast("long").alias("page_id"),
