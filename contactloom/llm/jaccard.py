@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import blocks
 from contactloom.llm.components import components
 from contactloom.session import cut_lineage
 
@@ -34,6 +35,8 @@ TILE = 2048
 SLICE = 8_000_000
 #: ids up to which a list of documents is sent to all executors (16 bytes each); beyond it the texts are shuffled
 SENT_IDS = 250_000
+#: pairs that are counted in one task
+PAIRS = 2000
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64)
@@ -172,13 +175,34 @@ def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def counted(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs whose whole rows reach the threshold."""
+    """The pairs whose whole rows reach the threshold.
+
+    Pairs are dealt into blocks by their smaller id; a document's text goes to the blocks that need it,
+    where its row is made once and the overlap of each pair is counted.
+    """
     pairs = cut_lineage(pairs.distinct())
-    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id")))
-    sets = cut_lineage(gram_sets(only(docs, ids), k, True).dropDuplicates(["doc_id", "sid"]).select("doc_id", "grams"))
-    left, right = (sets.select(F.col("doc_id").alias(x), F.col("grams").alias(f"of_{x}")) for x in "ab")
-    o = F.size(F.array_intersect("of_a", "of_b"))
-    return pairs.join(left, "a").join(right, "b").where(100 * o >= percent * (F.size("of_a") + F.size("of_b") - o)).select("a", "b")
+    total = blocks(pairs.count(), PAIRS)
+    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(total)).cast("int"))
+    needed = pairs.select(F.col("a").alias("doc_id"), "block").unionByName(pairs.select(F.col("b").alias("doc_id"), "block"))
+    needed = cut_lineage(needed.groupBy("doc_id").agg(F.collect_set("block").alias("blocks")))
+    few = needed.count() <= SENT_IDS
+    texts = docs.join(F.broadcast(needed) if few else needed, "doc_id").select(F.explode("blocks").alias("block"), "doc_id", "text")
+
+    def count(sides: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        sets: dict[int, list[np.ndarray]] = {}
+        for doc, text in zip(rows["doc_id"], rows["text"], strict=True):
+            sets.setdefault(doc, []).append(gram_set(text, k))
+
+        def reached(x: np.ndarray, y: np.ndarray) -> bool:
+            if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+                return False
+            o = len(np.intersect1d(x, y, assume_unique=True))
+            return 100 * o >= percent * (len(x) + len(y) - o) > 0
+
+        ok = [any(reached(x, y) for x in sets[a] for y in sets[b]) for a, b in zip(sides["a"], sides["b"], strict=True)]
+        return sides.loc[ok, ["a", "b"]]
+
+    return pairs.groupBy("block").cogroup(texts.groupBy("block")).applyInPandas(count, "a long, b long")
 
 
 def multiplied(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -235,10 +259,11 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
         .join(busy, "doc_id", "left")
         .withColumn("have", F.col("pool") - F.coalesce("busy", F.lit(0)))
         .where("have < need")
-        .select("doc_id", "need", "have")
+        .groupBy("doc_id")
+        .agg(F.max("need").alias("need"), F.min("have").alias("have"))
     )
     hard = cut_lineage(hard)
-    sets = cut_lineage(gram_sets(only(own, hard), k, True).dropDuplicates(["doc_id", "sid"]).select("doc_id", "n", "grams"))
+    sets = cut_lineage(gram_sets(only(own, hard), k, True).select("doc_id", "n", "grams"))
     low = (F.col("h") >= 0) & (F.col("h") < F.lit(1 << 62))
     busy_columns = shared.where(F.col("m") > BUSY).select("h").distinct().withColumn("late", F.lit(True))
     rest = sets.select(F.explode("grams").alias("h"), "doc_id", "n")

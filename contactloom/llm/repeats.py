@@ -191,19 +191,20 @@ def by_part(rows: DataFrame, *order: str) -> DataFrame:
 class Shard:
     """Suffixes of some segments in order, their transform and its inverse steps.
 
-    ``starts`` and ``ends`` delimit the segments in ``text``; a suffix reaches to the end of its segment.
+    ``starts`` and ``ends`` delimit the segments in ``text``; a suffix reaches to the end of its segment, and the
+    empty one there is a suffix too. One byte between segments gives it a place of its own.
     """
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, width: int, first_row: int):
-        where = np.concatenate([np.arange(a, b) for a, b in zip(starts, ends, strict=True)])
-        left = np.repeat(ends, ends - starts) - where
+        where = np.concatenate([np.arange(a, b + 1) for a, b in zip(starts, ends, strict=True)])
+        left = np.repeat(ends, ends + 1 - starts) - where
         base = starts[0]
         self.order = where[self.sorted_suffixes(text, where, left, base)]
         n = len(where)
-        inverse = np.full(int(ends.max() - base), -1, dtype=np.int64)
+        inverse = np.full(int(ends.max() - base) + 1, -1, dtype=np.int64)
         inverse[self.order - base] = np.arange(n)
-        begin = np.zeros(int(ends.max() - base), dtype=np.int64)
-        begin[where - base] = np.repeat(starts, ends - starts)
+        begin = np.zeros(int(ends.max() - base) + 1, dtype=np.int64)
+        begin[where - base] = np.repeat(starts, ends + 1 - starts)
         has = self.order - width >= begin[self.order - base]
         back = np.where(has, self.order - width, self.order)
         #: the symbol before each row's suffix, and the row of the suffix that starts with it (-1: none)
@@ -277,9 +278,9 @@ def repeated_starts(texts: list[bytes], doc: np.ndarray, row: np.ndarray, start:
     """
     width = 4 if length % 4 == 0 else 2 if length % 2 == 0 else 1
     sizes = np.array([len(t) for t in texts])
-    text = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
+    text = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
+    begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
+    ends = begins + sizes
     packed = np.zeros(len(text), dtype=np.uint32)
     for i in range(width):
         packed[: len(text) - i] = (packed[: len(text) - i] << np.uint32(8)) | text[i:]
