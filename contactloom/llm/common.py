@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from itertools import accumulate
 
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,5 +36,15 @@ def batches_by_size(frames, column: str, most: int):
             yield frame.iloc[start:]
 
 
+def arrow_slices(batch, column: int, most: int):
+    """Cut a record batch into slices of at least one row and about ``most`` bytes of a string column."""
+    offsets = [0, *accumulate(0 if n is None else n for n in pc.binary_length(batch.column(column)).to_pylist())]
+    start = 0
+    for i in range(1, batch.num_rows + 1):
+        if offsets[i] - offsets[start] >= most or i == batch.num_rows:
+            yield batch.slice(start, i - start)
+            start = i
+
+
 def blocks(rows: int, each: int) -> int:
     return max(1, math.ceil(rows / each))

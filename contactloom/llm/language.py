@@ -15,10 +15,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import batches_by_size
+from contactloom.llm.common import arrow_slices
 
 WIDTHS = (2, 3, 4)
 CHUNK = 128
@@ -152,6 +153,36 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     return train(x, sample["y"].map(number).to_numpy(dtype=np.int64), names, seed=seed)
 
 
+def score(model: ByteNetwork, size: int, texts: list[str | None]) -> tuple[list[str], list[float]]:
+    """Label and mean probability of each text."""
+    spans, rows, lengths, at = [], [], [], 0
+    for x in texts:
+        if x is not None and any(map(str.isalpha, x)):
+            w = windows_of(x, size)
+            full = np.full(len(w), size)
+            full[-1] = len(x.encode("utf-8", "replace")) - size * (len(w) - 1)
+            rows.append(w)
+            lengths.append(full)
+            spans.append((at, at := at + len(w)))
+        else:
+            spans.append((at, at))
+    if rows:
+        data, weight = np.concatenate(rows), np.concatenate(lengths).astype(np.float64)
+        p = np.concatenate([model.probabilities(data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)])
+        run_total = np.vstack([np.zeros(p.shape[1]), np.cumsum(p * weight[:, None], axis=0)])
+        run_weight = np.concatenate([[0], np.cumsum(weight)])
+    names, scores = [], []
+    for start, end in spans:
+        if start == end:
+            names.append(UNDETERMINED)
+            scores.append(0.0)
+        else:
+            mean = (run_total[end] - run_total[start]) / (run_weight[end] - run_weight[start])
+            names.append(model.labels[int(mean.argmax())])
+            scores.append(float(min(1.0, max(0.0, mean.max()))))
+    return names, scores
+
+
 def predict(docs: DataFrame, net: ByteNetwork, text: str = "text") -> DataFrame:
     """``docs`` plus ``lang_pred`` and ``score``, the mean probability of that label over the text's bytes.
 
@@ -161,37 +192,15 @@ def predict(docs: DataFrame, net: ByteNetwork, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 100 KB, whatever the input
 
-    def run(frames):
+    at = kept.index(text)
+
+    def run(batches):
         model, size = shared.value, net.window
-        for frame in batches_by_size(frames, text, 1 << 20):
-            texts = [x if isinstance(x, str) and any(map(str.isalpha, x)) else None for x in frame[text]]
-            spans, rows, lengths = [], [], []
-            at = 0
-            for x in texts:
-                if x is not None:
-                    w = windows_of(x, size)
-                    rows.append(w)
-                    full = np.full(len(w), size)
-                    full[-1] = len(x.encode("utf-8", "replace")) - size * (len(w) - 1)
-                    lengths.append(full)
-                    spans.append((at, at := at + len(w)))
-                else:
-                    spans.append((at, at))
-            if rows:
-                data, weight = np.concatenate(rows), np.concatenate(lengths).astype(np.float64)
-                p = np.concatenate([model.probabilities(data[i : i + CHUNK]) for i in range(0, len(data), CHUNK)])
-                run_total = np.vstack([np.zeros(p.shape[1]), np.cumsum(p * weight[:, None], axis=0)])
-                run_weight = np.concatenate([[0], np.cumsum(weight)])
-            names, scores = [], []
-            for start, end in spans:
-                if start == end:
-                    names.append(UNDETERMINED)
-                    scores.append(0.0)
-                else:
-                    mean = (run_total[end] - run_total[start]) / (run_weight[end] - run_weight[start])
-                    names.append(model.labels[int(mean.argmax())])
-                    scores.append(float(min(1.0, max(0.0, mean.max()))))
-            yield frame.assign(lang_pred=names, score=scores)
+        for whole in batches:
+            for batch in arrow_slices(whole, at, 1 << 20):
+                names, scores = score(model, size, batch.column(at).to_pylist())
+                out = batch.append_column("lang_pred", pa.array(names, pa.string()))
+                yield out.append_column("score", pa.array(scores, pa.float64()))
 
     fields = docs.select(*kept).schema
-    return docs.select(*kept).mapInPandas(run, fields.add("lang_pred", "string").add("score", "double"))
+    return docs.select(*kept).mapInArrow(run, fields.add("lang_pred", "string").add("score", "double"))

@@ -119,16 +119,26 @@ def rates(members: DataFrame, targets: list[float], steps: int, tolerance: float
         return F.lit(0.0), [0.0] * k
     m = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
     scale = np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(m))
-    rate, reached = F.lit(1.0), [0.0] * k
+    moves: list[list[float]] = []
+    reached = [0.0] * k
     for step in range(steps + 1):
-        row = members.withColumn("rate", rate).agg(*[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)]).first()
+        row = members.withColumn("rate", after(moves, k)).agg(*[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)]).first()
         reached = [row[f"t{i}"] / everything for i in range(k)]
         miss = np.array(reached) - np.array(targets)
         if step == steps or np.abs(miss).max() <= tolerance:
             break
-        move = scale @ miss
-        rate = F.greatest(F.lit(0.0), rate - total(p[i] * F.lit(float(move[i])) for i in range(k)))
-    return rate, reached
+        moves.append((scale @ miss).tolist())
+    return after(moves, k), reached
+
+
+def after(moves: list[list[float]], k: int) -> Column:
+    """The rate of a document after these steps, from its posterior."""
+    if not moves:
+        return F.lit(1.0)
+    steps = F.array(*[F.array(*[F.lit(x) for x in m]) for m in moves])
+    return F.aggregate(
+        steps, F.lit(1.0), lambda rate, m: F.greatest(F.lit(0.0), rate - total(F.element_at("posterior", i + 1) * m[i] for i in range(k)))
+    )
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", per_domain: int = 2000, vocabulary: int = 200, temper: float = 4.0, steps: int = 25, tolerance: float = 1e-4, carry: list[str] | None = None) -> DataFrame:

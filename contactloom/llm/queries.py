@@ -4,20 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactloom.llm import fingerprints, jaccard, language, mixing, neighbours, packing, repeats, secrets, url_filter, warc
 from contactloom.llm.common import table
+from contactloom.llm.settings import MIX_TARGETS, URL_RULES, byte_bpe, held_out, labelled_domains
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-#: (host, path, verdict)
-URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
-
-
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -54,11 +50,6 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.match_rules(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
 
 
-def held_out():
-    """Documents kept from learning: crc32 of the id as text leaves 2 when divided by 4."""
-    return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
-
-
 @query("op1_suffix_dedup")
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -82,15 +73,6 @@ def op5_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)
 
 
-#: shares of expected tokens wanted: more of the good, little of the rest
-MIX_TARGETS = {"good": 0.9, "poor": 0.06, "toxic": 0.04}
-
-
-def labelled_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels")
-    return labels.select("doc_id", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").otherwise("poor").alias("domain"))
-
-
 @query("op6_mixing")
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -156,8 +138,8 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op10_packing")
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ranks=ranks)
+    vocabulary, ranks = byte_bpe()
+    pieces = packing.pack(table(spark, sf_dir, "documents"), vocabulary, ranks=ranks)
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )

@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,18 +144,22 @@ class Scanner:
 def frequent_words(docs: DataFrame, text: str, words: int) -> frozenset[str]:
     """The ``words`` most frequent words of three letters or more over all documents (ties by the word)."""
 
-    def count(frames):
-        seen: Counter = Counter()
-        for frame in frames:
-            for x in frame[text]:
-                if isinstance(x, str):
-                    seen.update(x.lower().split())
-            if len(seen) > 200_000:  # bounded memory; the sums below put the parts together
-                yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
-                seen = Counter()
-        yield pd.DataFrame({"word": list(seen), "n": list(seen.values())})
+    def told(seen: Counter):
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
-    counts = docs.select(text).mapInPandas(count, "word string, n long").where(r"word rlike '^\\p{L}{3,}$'")
+    def count(batches):
+        seen: Counter = Counter()
+        for batch in batches:
+            for x in batch.column(0):
+                value = x.as_py()
+                if value is not None:
+                    seen.update(value.lower().split())
+                if len(seen) > 100_000:  # bounded memory; the sums below put the parts together
+                    yield told(seen)
+                    seen = Counter()
+        yield told(seen)
+
+    counts = docs.select(text).mapInArrow(count, "word string, n long").where(r"word rlike '^\\p{L}{3,}$'")
     top = counts.groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(words)
     return frozenset(r["word"] for r in top.collect())
 
@@ -225,16 +230,18 @@ def inputs(docs: DataFrame, text: str, path: str, key: str) -> DataFrame:
 def redact(docs: DataFrame, scanner: Scanner, text: str = "text", path: str = "source", threshold: float = 0.5, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark``; rows, columns and null texts stay."""
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
+    at, where_at = docs.columns.index(text), docs.columns.index(path)
 
-    def run(frames):
-        for frame in frames:
-            new = []
-            for x, where in zip(frame[text], frame[path], strict=True):
-                if isinstance(x, str):
-                    for s, e, score in reversed(shared.value.scan(x, where if isinstance(where, str) else "")):
-                        if score >= threshold:
-                            x = x[:s] + mark + x[e:]
-                new.append(x)
-            yield frame.assign(**{text: new})
+    def clean(x: str | None, where) -> str | None:
+        if x is not None:
+            for s, e, score in reversed(shared.value.scan(x, "" if where is None else str(where))):
+                if score >= threshold:
+                    x = x[:s] + mark + x[e:]
+        return x
+
+    def run(batches):
+        for batch in batches:
+            new = [clean(x.as_py(), w.as_py()) for x, w in zip(batch.column(at), batch.column(where_at), strict=True)]
+            yield batch.set_column(at, batch.schema.field(at), pa.array(new, batch.schema.field(at).type))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
