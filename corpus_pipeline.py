@@ -1,6 +1,78 @@
-"""The corpus pipeline: language ID, near-duplicate join, secret scan, mixing, packing."""
+"""The corpus pipeline: language ID, near-duplicate join, secret scan, mixing, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns what it keeps; all but the last return the columns of
+``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from contactloom.llm import jaccard, language, mixing, packing, secrets
+from contactloom.llm.common import table
+from contactloom.llm.settings import MIX_TARGETS, byte_bpe, held_out, labelled_domains
+from contactloom.session import cut_lineage
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: documents whose language is less sure than this are rejected
+LEAST_SURE = 0.4
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents whose language is determined; ``lang`` is the predicted one."""
+    net = language.fit(docs.where(~held_out()))
+    sure = language.predict(docs.select(*COLUMNS), net).where((F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= LEAST_SURE))
+    return sure.withColumn("lang", F.col("lang_pred")).select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each group of near copies (five words, 0.8)."""
+    groups = jaccard.near_duplicates(docs, k=5, percent=80)
+    others = groups.where("doc_id <> component_id").select("doc_id")
+    kept = jaccard.only(docs.select(*COLUMNS), others, "left_anti")
+    # rows that repeat an id are copies too
+    repeated = cut_lineage(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    single = jaccard.only(kept, repeated, "left_anti")
+    return single.unionByName(jaccard.only(kept, repeated).dropDuplicates(["doc_id"]))
+
+
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces secrets in the texts; all documents stay."""
+    clean = secrets.redact(docs.select(*COLUMNS), secrets.train(docs))
+    return clean.withColumn("n_chars", F.length("text").cast("long"))
+
+
+def mixing_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their rates say."""
+    mixed = mixing.mix(docs.select(*COLUMNS), labelled_domains(spark, sf_dir), MIX_TARGETS)
+    return mixing.drawn(mixed).select(*COLUMNS)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences of 1024."""
+    vocabulary, ranks = byte_bpe()
+    return packing.pack(docs, vocabulary, ranks=ranks)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("near_duplicates", near_duplicates),
+    ("secret_scans", secret_scans),
+    ("mixing", mixing_weights),
+    ("packing", packed),
+]
+
+#: trained models and tokenizers are beyond SQL; tests hold the stages against brute force
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = cut_lineage(docs)
+    return docs
