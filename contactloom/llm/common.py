@@ -14,6 +14,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Texts are long: let tasks hand them to Python in Arrow batches of at most ``rows`` rows.
+
+    Sets the session's limit if it is wider; a smaller one stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key, "10000")) <= rows:
+        spark.conf.set(key, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions that the cluster is set to."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))

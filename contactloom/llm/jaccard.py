@@ -8,8 +8,9 @@ busy columns come last:
 1. the quarter of the columns with the lowest hashes, if at most ``BUSY`` sets have them;
 2. the rest, by how many of the sets have them that need more than (1) offers (``hard`` sets), then by hash.
 
-Columns of at most ``BUSY`` rows are multiplied by listing their pairs; pairs whose sizes alone rule out the
-threshold are left out, the others are counted exactly on the whole rows. Busier columns are multiplied as
+Columns of at most ``BUSY`` rows are multiplied by listing their pairs and adding up. Two rows at the threshold
+differ in at most ``(1 - t) / (1 + t)`` of the sum of their sizes, so pairs that differ by more in the columns of (1)
+are discarded; the others are counted exactly on the whole rows. Busier columns are multiplied as
 matrices: blocks of at most ``TILE`` rows meet in a task that accumulates overlaps over slices of columns,
 compares them with the bound that the sizes give, and returns a spanning forest of the links, not the pairs.
 """
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import blocks
+from contactloom.llm.common import blocks, short_batches
 from contactloom.llm.components import components
 from contactloom.session import cut_lineage
 
@@ -163,7 +164,7 @@ def linked_rows(sets: list[np.ndarray], percent: int) -> np.ndarray:
 
 
 def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of the columns' rows whose sizes allow the threshold; for columns of bounded height."""
+    """Pairs (a, b) of the columns' rows whose sizes allow the threshold, once for each column they share."""
     columns = postings.groupBy("h").agg(F.sort_array(F.collect_list(F.struct("n", "doc_id"))).alias("rows"))
     one = columns.select("rows", F.posexplode("rows").alias("at", "x"))
     partners = F.filter(
@@ -174,15 +175,30 @@ def listed_pairs(postings: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("one", "other.doc_id").alias("a"), F.greatest("one", "other.doc_id").alias("b"))
 
 
+def within_bounds(first: DataFrame, more: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that differ by no more than their sizes allow in the columns that ``first`` lists in full.
+
+    ``rows`` (doc_id, n, cold): set size, and how many of those columns the row has. ``more`` lists pairs that
+    share other columns.
+    """
+    shared = first.groupBy("a", "b").agg(F.count("*").alias("o")).unionByName(more.distinct().withColumn("o", F.lit(0).cast("long")))
+    pairs = shared.groupBy("a", "b").agg(F.max("o").alias("o"))
+    for x in "ab":
+        pairs = pairs.join(rows.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("cold").alias(f"cold_{x}")), x)
+    differ = F.col("cold_a") + F.col("cold_b") - 2 * F.col("o")
+    return pairs.where((100 + percent) * differ <= (100 - percent) * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+
+
 def counted(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs whose whole rows reach the threshold.
 
-    Pairs are dealt into blocks by their smaller id; a document's text goes to the blocks that need it,
-    where its row is made once and the overlap of each pair is counted.
+    Pairs are dealt into blocks by the smallest id that their first one is paired with, so that groups tend to
+    meet in one block; a text goes to the blocks that need it, where its row is made once and overlaps are counted.
     """
-    pairs = cut_lineage(pairs.distinct())
+    pairs = cut_lineage(pairs)
     total = blocks(pairs.count(), PAIRS)
-    pairs = pairs.withColumn("block", F.pmod(F.xxhash64("a"), F.lit(total)).cast("int"))
+    smallest = pairs.groupBy("b").agg(F.min("a").alias("least")).withColumnRenamed("b", "a")
+    pairs = pairs.join(smallest, "a", "left").select("a", "b", F.pmod(F.xxhash64(F.coalesce("least", "a")), F.lit(total)).cast("int").alias("block"))
     needed = pairs.select(F.col("a").alias("doc_id"), "block").unionByName(pairs.select(F.col("b").alias("doc_id"), "block"))
     needed = cut_lineage(needed.groupBy("doc_id").agg(F.collect_set("block").alias("blocks")))
     few = needed.count() <= SENT_IDS
@@ -242,6 +258,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     nothing; so does a row with a null id (its component is null). Rows with equal ids are one document of
     the graph. Other columns are ignored; an empty table gives no rows.
     """
+    short_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pools = cut_lineage(gram_sets(own, k, False))
     # equal sets are one row of the matrix, named by their smallest id
@@ -254,15 +271,14 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     heights = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     shared = cut_lineage(postings.join(heights.hint("shuffle_hash"), "h"))
     busy = shared.where(F.col("m") > BUSY).groupBy("doc_id").agg(F.count("*").alias("busy"))
-    hard = (
+    sized = cut_lineage(
         rows.select("doc_id", "n", "need", F.size("grams").alias("pool"))
         .join(busy, "doc_id", "left")
-        .withColumn("have", F.col("pool") - F.coalesce("busy", F.lit(0)))
-        .where("have < need")
+        .withColumn("cold", F.col("pool") - F.coalesce("busy", F.lit(0)))
         .groupBy("doc_id")
-        .agg(F.max("need").alias("need"), F.min("have").alias("have"))
+        .agg(F.max("n").alias("n"), F.max("need").alias("need"), F.min("cold").alias("cold"))
     )
-    hard = cut_lineage(hard)
+    hard = sized.where("cold < need").select("doc_id", "need", F.col("cold").alias("have"))
     sets = cut_lineage(gram_sets(only(own, hard), k, True).select("doc_id", "n", "grams"))
     low = (F.col("h") >= 0) & (F.col("h") < F.lit(1 << 62))
     busy_columns = shared.where(F.col("m") > BUSY).select("h").distinct().withColumn("late", F.lit(True))
@@ -280,7 +296,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     chosen = cut_lineage(chosen)
     chosen_heights = chosen.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     tall = cut_lineage(chosen.join(chosen_heights, "h"))
-    listed = listed_pairs(shared.where(F.col("m") <= BUSY), percent).unionByName(listed_pairs(tall.where(F.col("m") <= BUSY), percent))
+    listed = within_bounds(listed_pairs(shared.where(F.col("m") <= BUSY), percent), listed_pairs(tall.where(F.col("m") <= BUSY), percent), sized, percent)
     links = counted(listed, own, k, percent).unionByName(
         multiplied(tall.where(F.col("m") > BUSY).select("h", "doc_id", "n"), sets.select("doc_id", "grams"), percent)
     )
