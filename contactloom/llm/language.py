@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import arrow_slices
+from contactloom.llm.common import arrow_slices, short_batches
 
 WIDTHS = (2, 3, 4)
 CHUNK = 128
@@ -127,6 +127,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     Rows with a null text or label are left out. The rows are drawn by a hash of ``key``, the windows
     evenly over the text. Without labelled rows, or with one label, the network knows what there is.
     """
+    short_batches(labelled.sparkSession)
     clean = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
         F.col(label).alias("y"), F.col(text).alias("x"), F.pmod(F.xxhash64(F.lit(seed), F.col(key), F.col(text)), F.lit(1 << 20)).alias("draw")
     )
@@ -189,6 +190,7 @@ def predict(docs: DataFrame, net: ByteNetwork, text: str = "text") -> DataFrame:
     A text that is null or holds no letter gets ``und`` and the score 0. Columns of those two names are
     replaced; repeated rows are scored alike; an empty table stays empty.
     """
+    short_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     shared = docs.sparkSession.sparkContext.broadcast(net)  # some 100 KB, whatever the input
 

@@ -48,7 +48,7 @@ def signs(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Words between white space."""
-    return F.when(F.trim(text) == "", 0).otherwise(F.size(F.split(F.trim(text), r"\s+"))).cast("long")
+    return F.regexp_count(text, F.lit(r"\S+")).cast("long")
 
 
 def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, per_domain: int, vocabulary: int) -> tuple[list[str], dict[str, tuple[float, float]], dict[str, list[float]]]:

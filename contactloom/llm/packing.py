@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from contactloom.llm.common import batches_by_size
+from contactloom.llm.common import batches_by_size, short_batches
 
 #: sequence numbers that one task can use
 TASK_SPAN = 1 << 40
@@ -129,6 +129,7 @@ def pack(docs: DataFrame, vocabulary: str, length: int = 1024, end_id: int = 0,
     ``vocabulary`` is a file of the ``tokenizers`` library that every executor can read; for ``ranks`` see
     ``encoder``.
     """
+    short_batches(docs.sparkSession)
     if not 1 <= length < 1 << 20:
         raise ValueError("length must lie between 1 and 2**20")
 

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from contactloom.llm.common import short_batches
+
 TOKEN = re.compile(r"[A-Za-z0-9+/_~\-]{12,}={0,2}")
 WORD = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[a-z]+")
@@ -170,6 +172,7 @@ def train(docs: DataFrame, text: str = "text", path: str = "source", key: str =
     Findings come from about ``sample_docs`` documents drawn by a hash, at most ``per_label`` of each label.
     Without findings, or with one label only, every candidate gets the score 0 or that label.
     """
+    short_batches(docs.sparkSession)
     vocabulary = frequent_words(docs, text, words)
     total = docs.count()
     share = min(1.0, sample_docs / max(1, total))
@@ -207,6 +210,7 @@ def scan(docs: DataFrame, scanner: Scanner, text: str = "text", path: str = "sou
     Offsets count code points. Null or empty texts have no findings; a null path counts as empty; a null id
     stays null; repeated rows are reported each; other columns are ignored.
     """
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scanner)  # word list and trees: bounded by their parameters
 
     def run(frames):
@@ -229,6 +233,7 @@ def inputs(docs: DataFrame, text: str, path: str, key: str) -> DataFrame:
 
 def redact(docs: DataFrame, scanner: Scanner, text: str = "text", path: str = "source", threshold: float = 0.5, mark: str = "<secret>") -> DataFrame:
     """``docs`` with every finding in ``text`` replaced by ``mark``; rows, columns and null texts stay."""
+    short_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scanner)
     at, where_at = docs.columns.index(text), docs.columns.index(path)
 

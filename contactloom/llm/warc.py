@@ -27,7 +27,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import partitions
+from contactloom.llm.common import partitions, short_batches
 from contactloom.llm.url_filter import reversed_host, url_host
 from contactloom.session import cut_lineage, scratch_path
 
@@ -236,10 +236,11 @@ def archive_and_read(pages: DataFrame, least: int = 100, lines: int = 1000) -> D
 
     Returns page_id, payload_bytes, payload_digest, record_type, refers_to, headers, content, one row for each
     input row. A null html is an empty payload; smaller payloads than ``least`` bytes are always responses;
-    a null url has an empty key; a null page_id sorts first and stays null; of repeated rows with equal
+    a null url has an empty key; a row with a null page_id is a response; of repeated rows with equal
     page_id all are responses; other columns are ignored; an empty table gives no rows.
     """
     spark = pages.sparkSession
+    short_batches(spark)
     folder, index_folder = scratch_path(spark, "archives"), scratch_path(spark, "index")
     captures = cut_lineage(write_archives(classified(pages, least), folder))
     index_files = cut_lineage(write_index(captures, index_folder, lines))
