@@ -1,0 +1,209 @@
+"""Language ID, secret scans, mixing and neighbours: held-out accuracy, exact measures, edge cases."""
+
+import math
+import random
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from contactloom.llm import language, mixing, neighbours, secrets
+from contactloom.llm.queries import QUERIES
+from contactloom.llm.settings import held_out
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.read.parquet(f"{SF}/documents.parquet")
+
+
+def test_language_on_held_out_documents(spark, docs):
+    got = QUERIES["op4_language_id"](spark, SF).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
+    assert len(got) > 200
+    assert sum(r.lang_pred == r.lang for r in got) / len(got) > 0.95
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_language_edge_cases(spark, docs):
+    net = language.fit(docs, per_label=60)
+    again = language.fit(docs, per_label=60)
+    assert all((a == b).all() for a, b in zip(net.tables, again.tables, strict=True))
+    texts = [None, "", "123 !?", "\ud7ff", "the " * 40_000, "La ", "La ", "ß"]
+    df = spark.createDataFrame([(i, t, "old", [1]) for i, t in enumerate(texts)], "n long, text string, lang_pred string, more array<int>")
+    rows = {r.n: r for r in language.predict(df, net).collect()}
+    assert [rows[i].lang_pred for i in range(3)] == ["und"] * 3 and rows[0].score == 0.0
+    assert rows[4].lang_pred == "en" and rows[5][2:] == rows[6][2:] and rows[7].lang_pred in net.labels
+    assert language.predict(df.where("n > 99"), net).count() == 0
+    with pytest.raises(ValueError):
+        language.fit(docs.where("lang is null"))
+
+
+def test_language_of_a_text_is_the_mean_over_all_its_windows(docs):
+    net = language.fit(docs, per_label=40)
+    text = "the one of " * 100 + "der die und " * 100
+    data = text.encode()
+    total = np.zeros(len(net.labels))
+    for i in range(0, len(data), net.window):
+        x = np.zeros((1, net.window), np.uint8)
+        x[0, : len(data[i : i + net.window])] = list(data[i : i + net.window])
+        total += net.probabilities(x)[0] * len(data[i : i + net.window]) / len(data)
+    names, scores = language.score(net, net.window, ["x", text])
+    assert names[1] == net.labels[int(total.argmax())] and scores[1] == pytest.approx(total.max(), abs=1e-5)
+
+
+def test_gradient_of_the_network():
+    rng = np.random.default_rng(0)
+    x = rng.integers(1, 256, (40, 16)).astype(np.uint8)
+    y = rng.integers(0, 2, 40)
+    net = language.train(x, y, ["a", "b"], filters=8, epochs=60, batch=40)
+    assert (net.probabilities(x).argmax(axis=1) == y).mean() > 0.9
+
+
+def planted(rng, n):
+    out = []
+    for i in range(n):
+        words = [rng.choice(["the", "value", "of", "stone", "river", "AGAIN", "counting"]) for _ in range(30)]
+        key = "".join(rng.choice("0123456789abcdef") for _ in range(24))
+        kind = i % 4
+        if kind == 0:
+            words.insert(15, f'password="{key}"')
+        elif kind == 1:
+            words.insert(15, "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)))
+        elif kind == 2:
+            words.insert(15, f"order {rng.randrange(10**15, 10**16)} for river2stonecounting")
+        out.append((i, " ".join(words), f"src{i % 3}", kind < 2))
+    return out
+
+
+def test_secrets_on_fresh_documents(spark):
+    rng = random.Random(1)
+    train, fresh = planted(rng, 600), planted(rng, 400)
+    schema = "doc_id long, text string, source string, real boolean"
+    scanner = secrets.train(spark.createDataFrame(train, schema), words=20)
+    df = spark.createDataFrame(fresh, schema)
+    found = {r.doc_id for r in secrets.scan(df, scanner).collect()}
+    want = {d for d, _, _, real in fresh if real}
+    assert len(found & want) >= 0.95 * len(want) and len(found - want) <= 0.02 * len(fresh)
+    for r in secrets.scan(df, scanner).collect():
+        assert fresh[r.doc_id][1][r.start : r.end] == r.secret
+    clean = {r.doc_id: r.text for r in secrets.redact(df, scanner).collect()}
+    assert all(("<secret>" in clean[d]) == (d in found) for d in clean)
+    assert all(clean[d] == t for d, t, _, _ in fresh if d not in found)
+
+
+def test_secrets_edge_cases(spark):
+    schema = "doc_id long, text string, source string, score int"
+    rows = [(None, None, None, 1), (1, "", "a", 1), (2, "x" * 200_000 + " 1" * 50_000, None, 1), (3, "password=abcdef0123456789 é", None, 1), (3, "password=abcdef0123456789 é", None, 1)]
+    df = spark.createDataFrame(rows, schema)
+    for scanner in (secrets.train(df), secrets.train(df.where("doc_id < 3")), secrets.train(df.where("doc_id > 9"))):
+        out = secrets.redact(df, scanner)
+        assert out.schema == df.schema and out.count() == 5
+        assert {r.doc_id for r in secrets.scan(df, scanner).collect()} <= {3}
+    assert secrets.scan(df.where("doc_id > 9"), scanner).count() == 0
+
+
+def test_dictionary_coverage():
+    words = frozenset(["stone", "river", "tone"])
+    assert secrets.covered("stoneriver", words) == 1.0
+    assert secrets.covered("xstone12", words) == pytest.approx(5 / 8)
+    assert secrets.covered("12345678", words) == 0.0
+
+
+def domains(n=300):
+    rng = random.Random(3)
+    kinds = {"a": ["red", "blue", "the"], "b": ["one", "two", "the"], "c": ["|||", "###", "the"]}
+    return [(i, " ".join(rng.choice(kinds[k]) for _ in range(rng.randint(5, 60))), k) for i, k in enumerate(rng.choice("aaab" + "c" * (i % 2)) for i in range(n))]
+
+
+def test_mixing_meets_targets_like_plain_least_squares(spark):
+    rows = domains()
+    df = spark.createDataFrame([(i, t, 5) for i, t, _ in rows] + [(900, None, 1), (901, "", 1), (902, "  \n", 1)], "doc_id long, text string, rate int")
+    labels = spark.createDataFrame([(i, k) for i, _, k in rows if i % 2] + [(None, "a"), (1, None)], "doc_id long, domain string")
+    targets = {"a": 2.0, "b": 6.0, "c": 2.0}
+    got = mixing.mix(df, labels, targets).collect()
+    assert len(got) == len(rows) + 3
+    p = np.array([r.posterior for r in got])
+    n = np.array([r.n_tokens for r in got], float)
+    texts = {i: t for i, t, _ in rows}
+    assert [r.n_tokens for r in got] == [len((texts.get(r.doc_id) or "").split()) for r in got]
+    assert np.allclose(p.sum(axis=1), 1)
+    rate = np.array([r.rate for r in got])
+    reached = (rate * n) @ p / n.sum()
+    assert (rate >= 0).all() and np.allclose(reached, [0.2, 0.6, 0.2], atol=2e-3)
+    # the same steps in numpy
+    want, m = np.ones(len(n)), (p * n[:, None]).T @ p / n.sum()
+    scale = np.linalg.inv(m + np.eye(3) * 1e-9 * np.trace(m))
+    for _ in range(25):
+        miss = (want * n) @ p / n.sum() - np.array([0.2, 0.6, 0.2])
+        if np.abs(miss).max() <= 1e-4:
+            break
+        want = np.maximum(0, want - p @ (scale @ miss))
+    assert np.allclose(rate, want, atol=1e-6)
+    best = {r.doc_id: "abc"[int(np.argmax(r.posterior))] for r in got}
+    assert sum(best[i] == k for i, _, k in rows) / len(rows) > 0.95
+
+
+def test_mixing_draws_by_rate_and_edge_cases(spark):
+    mixed = spark.createDataFrame([(i, "t", 1.25 if i % 2 else 0.0) for i in range(4000)], "doc_id long, text string, rate double").withColumn("posterior", F.lit(1)).withColumn("n_tokens", F.lit(1))
+    out = mixing.drawn(mixed)
+    assert out.columns == ["doc_id", "text"] and out.where("doc_id % 2 = 0").count() == 0
+    assert out.count() == pytest.approx(2500, rel=0.05)
+    assert out.select("doc_id").distinct().count() == 2000
+    df = spark.createDataFrame([(1, "a b"), (1, "a b")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, "x")], "doc_id long, domain string")
+    rows = mixing.mix(df, labels, {"x": 1.0}).collect()
+    assert [r.rate for r in rows] == [pytest.approx(1.0)] * 2
+    assert mixing.mix(df.where("doc_id > 3"), labels, {"x": 1.0}).count() == 0
+    for bad in ({"y": 1.0}, {"x": 0.0}):
+        with pytest.raises(ValueError):
+            mixing.mix(df, labels, bad)
+    with pytest.raises(ValueError):
+        mixing.mix(df, labels.where("doc_id > 3"), {"x": 1.0})
+
+
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a)) / math.sqrt(sum(x * x for x in b))
+
+
+def test_neighbours_recall_and_scores(spark):
+    table = spark.read.parquet(f"{SF}/embeddings.parquet")
+    vectors = {r.vec_id: np.array(r.embedding, float) for r in table.collect()}
+    got = {}
+    for r in QUERIES["op5_neighbours"](spark, SF).collect():
+        assert r.vec_id != r.query_id and r.score == pytest.approx(cosine(vectors[r.query_id], vectors[r.vec_id]), abs=1e-12)
+        got.setdefault(r.query_id, []).append((r["rank"], -r.score, r.vec_id))
+    hit = 0
+    for q, rows in got.items():
+        rows.sort()
+        assert [r[0] for r in rows] == [1, 2, 3, 4, 5] and [r[1:] for r in rows] == sorted(r[1:] for r in rows)
+        hit += len({v for *_, v in rows} & set(sorted((v for v in vectors if v != q), key=lambda v: -cosine(vectors[q], vectors[v]))[:5]))
+    assert set(got) == {v for v in vectors if v % 50 == 0} and hit / (5 * len(got)) >= 0.9
+
+
+def test_neighbours_edge_cases(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [(0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [None, 1.0]), (50, [0.0, 3.0]), (None, [1.0, 1.0]), (8, [1.0]), (2, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, score int")
+    got = [(r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in neighbours.search(df, F.col("id") % 50 == 0).collect()]
+    assert sorted(got) == [(0, 1, 1, 1.0), (0, 2, 2, 1.0), (0, 3, 50, 0.0), (50, 1, 0, 0.0), (50, 2, 1, 0.0), (50, 3, 2, 0.0)]
+    assert neighbours.search(df.where("vec_id = 4"), F.col("id") % 50 == 0).count() == 0
+    small = neighbours.search(spark.createDataFrame([(i, [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(120)], "vec_id long, embedding array<double>"), F.col("id") % 10 == 0, index_block=25, query_block=4)
+    assert small.groupBy("query_id").count().where("count = 5").count() == 12
+
+
+def test_probing_finds_every_code_within_the_radius():
+    rng = np.random.default_rng(2)
+    codes = rng.integers(0, 1 << 16, (3000, 4)).astype("<u2")
+    block = neighbours.Block(codes)
+    for radius in (0, 3, 17, 25, 64):
+        for q in codes[:5] ^ np.uint16(5):
+            assert block.within(q, radius).tolist() == np.flatnonzero(neighbours.distance(codes, q) <= radius).tolist()
+
+
+def test_held_out_is_a_quarter(docs):
+    import zlib
+
+    got = {r.doc_id for r in docs.where(held_out()).select("doc_id").collect()}
+    assert got == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
