@@ -16,11 +16,10 @@ from contactloom.session import cut_lineage
 
 PAIR = ["chr", "contact_st", "contact_en"]
 NOT_FEATURES = ("chr", "contact_st", "contact_en", "contact_count")
-NO_LIMIT = 3_000_000_000
 
 
 def get_contacts(
-    contacts: DataFrame, chrom: str, start: int, end: int, mindist: int = 0, maxdist: int = NO_LIMIT
+    contacts: DataFrame, chrom: str, start: int, end: int, mindist: int = 0, maxdist: int | None = None
 ) -> DataFrame:
     """Contacts of one region: the start bound excludes ``end``, the end bound excludes ``start``."""
     st, en = F.col("contact_st"), F.col("contact_en")
@@ -30,12 +29,16 @@ def get_contacts(
         & (st < end)
         & (en > start)
         & (en <= end)
-        & F.col("dist").between(mindist, maxdist)
+        & _distance(mindist, maxdist)
     )
 
 
-def within_distance(contacts: DataFrame, mindist: int, maxdist: int) -> DataFrame:
-    return contacts.filter(F.col("dist").between(mindist, maxdist))
+def _distance(mindist: int, maxdist: int | None) -> Column:
+    return F.col("dist") >= mindist if maxdist is None else F.col("dist").between(mindist, maxdist)
+
+
+def within_distance(contacts: DataFrame, mindist: int, maxdist: int | None = None) -> DataFrame:
+    return contacts.filter(_distance(mindist, maxdist))
 
 
 def find_contacts(contacts: DataFrame, wanted: DataFrame, binsize: int, maxdist: int) -> DataFrame:
@@ -217,18 +220,21 @@ def align_matrices(a: DataFrame, b: DataFrame, names: tuple[str, str] = ("wt", "
     )
 
 
-def coverage_normalize(contacts: DataFrame, maxdist: int, sample: int = 1_000, seed: int = 1) -> tuple[DataFrame, DataFrame]:
-    """Divide counts by the mean coverage of sampled start loci; returns (contacts, report per chromosome).
+def coverage_normalize(contacts: DataFrame, maxdist: int, sample: int | None = None, seed: int = 1) -> tuple[DataFrame, DataFrame]:
+    """Divide counts by the mean coverage of start loci; returns (contacts, report per chromosome).
 
-    Coverage is summed before the distance filter; loci with zero coverage are left out of the sample.
+    Coverage is summed before the distance filter; loci with zero coverage are left out of the mean.
+    With ``sample``, the mean is that of so many loci per chromosome.
     """
     start_first = F.array_distinct(F.array("contact_st", "contact_en"))
     ends = contacts.select("chr", "contact_st", "contact_count", F.explode(start_first).alias("pos"))
     coverage = ends.groupBy("chr", "pos").agg(
         F.sum("contact_count").alias("total"), F.max((F.col("pos") == F.col("contact_st")).cast("int")).alias("is_start")
     )
-    draw = Window.partitionBy("chr").orderBy(hash_order(["chr", "pos"], seed))
-    drawn = coverage.filter("is_start = 1").withColumn("_rn", F.row_number().over(draw)).filter(F.col("_rn") <= sample)
+    drawn = coverage.filter("is_start = 1")
+    if sample is not None:
+        draw = Window.partitionBy("chr").orderBy(hash_order(["chr", "pos"], seed))
+        drawn = drawn.withColumn("_rn", F.row_number().over(draw)).filter(F.col("_rn") <= sample)
     report = (
         drawn.filter("total <> 0")
         .groupBy("chr")
@@ -252,6 +258,6 @@ def observed_over_expected(contacts: DataFrame, binsize: int, how: str = "mean",
 
 
 def to_observed(contacts: DataFrame, expected: DataFrame, coeff: float, value: str = "contact_count") -> DataFrame:
-    """Observed/expected values back to counts: times the expected count at that distance, over ``coeff``."""
-    found = lookup(contacts, expected.select("dist", "expected"), ["dist"], ["expected"])
+    """Observed/expected values back to counts: times the expected count (chr, dist, expected), over ``coeff``."""
+    found = lookup(contacts, expected.select("chr", "dist", "expected"), ["chr", "dist"], ["expected"])
     return found.withColumn("observed", F.col(value) * F.col("expected") / F.lit(float(coeff))).drop("expected")

@@ -19,6 +19,7 @@ from contactloom.operators.ordered import (
     BEFORE,
     UP_TO,
     cumulative_at,
+    SCALE,
     fixed,
     locate,
     lookup,
@@ -424,7 +425,7 @@ class OrientationBlocks(AnchorFamily):
         joint = F.coalesce(joint, F.lit(False)).cast("bigint")
         within = (F.col("has_plus") & F.col("has_minus")).cast("bigint")
         none = F.lit(0).cast("bigint")
-        no_value = F.lit(0).cast("decimal(38,6)")
+        no_value = F.lit(0).cast(f"decimal(38,{SCALE})")
         here = F.struct(
             F.col("mids").alias("pos"), (joint + within).alias("closed"), within.alias("opened"), F.col("plus"), F.col("minus")
         )
@@ -442,7 +443,7 @@ class OrientationBlocks(AnchorFamily):
             Request("hi_up_to", h, UP_TO),
         ]
         fields = ["closed", "opened", "plus", "minus"]
-        marks = self._marks().withColumns({c: F.col(c).cast("decimal(28,6)") for c in ("plus", "minus")})
+        marks = self._marks().withColumns({c: F.col(c).cast(f"decimal(28,{SCALE})") for c in ("plus", "minus")})
         found = cumulative_at(request_points(anchors, requests), marks, fields)
 
         def finish(at: Pick) -> dict[str, Column]:
@@ -542,8 +543,8 @@ class EigenvectorSummary(AnchorFamily):
 
     def _steps(self) -> DataFrame:
         """(chr, pos, v, v2, flips) per bin; one more row past the end carries the step into the padding."""
-        square = (F.col("E1") * F.col("E1")).cast("decimal(28,9)")
-        track = self.track.select("chr", "bin", fixed("E1", 9).alias("v"), square.alias("v2"), "E1")
+        square = fixed(F.col("E1") * F.col("E1"))
+        track = self.track.select("chr", "bin", fixed("E1").alias("v"), square.alias("v2"), "E1")
         linked = previous_row(track, ["chr"], "bin", ["bin"], ["E1"], self.bucket)
         flip = F.col("prev").isNotNull() & (F.signum("E1") != F.signum("prev.E1"))
         steps = linked.select("chr", F.col("bin").alias("pos"), "v", "v2", flip.cast("bigint").alias("flips"))

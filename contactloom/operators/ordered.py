@@ -27,14 +27,20 @@ BEFORE, UP_TO = 0, 2
 _ITEM = 1
 
 
-def fixed(column: Column | str, scale: int = 6) -> Column:
+#: decimals of fixed-point values: tracks of p-values keep theirs, totals up to 1e16 fit
+SCALE = 12
+
+
+def fixed(column: Column | str) -> Column:
     """Fixed-point form of a value column.
 
     Running sums are subtracted from each other, so they are kept exact: the
     result does not depend on the order in which tasks deliver their rows.
+    NaN counts as 0; an infinite or too large value is an error.
     """
     column = F.col(column) if isinstance(column, str) else column
-    return column.cast(f"decimal(28,{scale})")
+    value = F.nanvl(column.cast("double"), F.lit(0.0))
+    return F.when(F.abs(value) >= 1e16, F.raise_error(F.lit("a value is infinite or too large to be summed exactly"))).otherwise(value).cast(f"decimal(28,{SCALE})")
 
 
 def bucket_of(position: Column | str, width: int = BUCKET) -> Column:
@@ -421,6 +427,13 @@ def hash_sample(
     return whole.select(*df.columns).unionByName(last.select(*df.columns))
 
 
+def require_unique(table: DataFrame, keys: Sequence[str]) -> None:
+    """Raise if two rows of ``table`` share their keys: a join with it would repeat rows without a word."""
+    twice = table.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select(*keys).head(1)
+    if twice:
+        raise ValueError(f"lookup table has several rows for {twice[0].asDict()}")
+
+
 #: A lookup table up to this size on disk is broadcast.
 BROADCAST_BYTES = 8 << 20
 
@@ -441,6 +454,7 @@ def lookup(
     keys, payload = list(keys), list(payload)
     if hot is None:
         small = cut_lineage(small.select(*keys, *payload))
+        require_unique(small, keys)
         if planned_bytes(small) <= BROADCAST_BYTES:
             return big.join(F.broadcast(small), keys, "left").select(*big.columns, *payload)
         counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_cnt"))

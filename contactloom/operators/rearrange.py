@@ -6,6 +6,8 @@ Each transform takes and returns a table, so a rearrangement is a chain of
 
 from __future__ import annotations
 
+import math
+
 from collections.abc import Sequence
 from typing import NamedTuple
 
@@ -13,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.contacts import PAIR, align_matrices
-from contactloom.operators.ordered import hash_sample, lookup, ordered_counts, quantiles_of
+from contactloom.operators.ordered import lookup, ordered_counts, quantiles_of
 from contactloom.session import cut_lineage
 
 
@@ -256,24 +258,43 @@ def ectopic_overlap(real: DataFrame, predicted: DataFrame, cutoff: float = 2.0)
     return both.agg(F.count_if(r).alias("n_real"), F.count_if(p).alias("n_predicted"), F.count_if(r & p).alias("n_both"))
 
 
-def permutation_test(real: DataFrame, predicted: DataFrame, replicates: int, cutoff: float = 2.0, seed: int = 1) -> DataFrame:
+def permutation_test(real: DataFrame, predicted: DataFrame, cutoff: float = 2.0) -> DataFrame:
     """Observed overlap against a null in which the predicted values are shuffled over their cells.
 
-    Only which cells end up above the cutoff matters, so a shuffle is a draw
-    of as many cells as there are high values: those whose hash for the
-    replicate is smallest.
+    Only which cells end up above the cutoff matters, so the overlap of a shuffle
+    is hypergeometric: as many draws as there are high predictions, from all
+    predicted cells, of which some are high in the real map.  Its exact median and deviation
+    need three counts, where shuffling repeats all cells for every replicate.
     """
-    real, predicted = cut_lineage(real), cut_lineage(predicted)
-    total = predicted.agg(F.count_if(F.col("z") > cutoff).alias("n")).scalar()
     high = real.filter(F.col("z") > cutoff).select(*PAIR, F.lit(1).alias("hit"))
-    marked = predicted.select(*PAIR).join(high, PAIR, "left").withColumn("hit", F.coalesce("hit", F.lit(0)))
-    rounds = marked.withColumn("replicate", F.explode(F.sequence(F.lit(1), F.lit(replicates))))
-    sizes = real.sparkSession.range(1, replicates + 1).select(F.col("id").cast("int").alias("replicate"), total.alias("size"))
-    drawn = hash_sample(rounds, [*PAIR, "replicate"], sizes, ["replicate"], seed)
-    null = drawn.groupBy("replicate").agg(F.sum("hit").alias("hits"))
-    observed = marked.join(predicted.filter(F.col("z") > cutoff).select(*PAIR), PAIR, "left_semi").agg(F.sum("hit").alias("o")).scalar()
-    # one row per replicate is left
-    summary = null.agg(F.percentile("hits", 0.5).alias("null_median"), F.stddev_pop("hits").alias("null_std"))
-    return summary.withColumn("observed", observed).withColumn(
-        "z", F.try_divide(F.col("observed") - F.col("null_median"), F.col("null_std"))
+    marked = predicted.select(*PAIR, (F.col("z") > cutoff).alias("high")).join(high, PAIR, "left")
+    hit, drawn = F.col("hit").isNotNull(), F.coalesce("high", F.lit(False))
+    row = marked.agg(
+        F.count(F.lit(1)).alias("cells"), F.count_if(hit).alias("hits"), F.count_if(drawn).alias("draws"), F.count_if(hit & drawn).alias("observed")
+    ).first()
+    median, deviation = hypergeometric(row["cells"], row["hits"], row["draws"])
+    z = (row["observed"] - median) / deviation if deviation else None
+    return real.sparkSession.createDataFrame(
+        [(row["observed"], median, deviation, z)], "observed bigint, null_median double, null_std double, z double"
     )
+
+
+def hypergeometric(cells: int, hits: int, draws: int) -> tuple[float, float]:
+    """Median and deviation of the hits among ``draws`` of ``cells`` of which ``hits`` are hits."""
+    if cells < 2:
+        return float(min(hits, draws)), 0.0
+    share = hits / cells
+    deviation = math.sqrt(draws * share * (1 - share) * (cells - draws) / (cells - 1))
+    low, high = max(0, draws + hits - cells), min(hits, draws)
+    # what lies farther out than twelve deviations doesn't move the median
+    first = max(low, math.floor(draws * share - 12 * deviation) - 1)
+
+    def choose(n: int, k: int) -> float:
+        return math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+
+    whole, total = choose(cells, draws), 0.0
+    for k in range(first, high + 1):
+        total += math.exp(choose(hits, k) + choose(cells - hits, draws - k) - whole)
+        if total >= 0.5:
+            return float(k), deviation
+    return float(high), deviation

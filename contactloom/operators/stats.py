@@ -7,12 +7,16 @@ that are not stored are zeros and enter only through closed-form counts.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import (
+    SCALE,
     average_rank,
     exact_quantiles,
+    fixed,
     hash_order,
     hash_sample,
     lookup,
@@ -46,7 +50,7 @@ def signal_bins(runs: DataFrame, binsize: int) -> DataFrame:
     first, last = F.floor(F.col("start") / binsize), F.floor((F.col("end") - 1) / binsize)
     spread = clean.select("chr", "start", "end", "value", F.explode(F.sequence(first, last)).alias("bin"))
     covered = F.least(F.col("end"), (F.col("bin") + 1) * binsize) - F.greatest(F.col("start"), F.col("bin") * binsize)
-    amount = (F.col("value").cast("decimal(18,6)") * covered).cast("decimal(28,6)")
+    amount = (fixed("value").cast(f"decimal(24,{SCALE})") * covered.cast("decimal(10,0)")).cast(f"decimal(28,{SCALE})")
     return spread.groupBy("chr", "bin").agg(F.sum(amount).alias("total"))
 
 
@@ -103,7 +107,7 @@ def window_signals(
     for name, table in signals.items():
         first = F.floor(F.col("start") / binsize)
         frames = windows.select("chr", "start", (first + skip.get(name, 0)).alias("lo"), (first + bins - 1).alias("hi"))
-        items = table.select("chr", F.col("bin").alias("pos"), F.col("total").cast("decimal(28,6)").alias("total"))
+        items = table.select("chr", F.col("bin").alias("pos"), F.col("total").cast(f"decimal(28,{SCALE})").alias("total"))
         sums = window_totals(frames, items, ["total"], width=4_096)
         out = out.join(sums.select("chr", "start", F.col("total").cast("double").alias(name)), ["chr", "start"])
     return out
@@ -115,12 +119,16 @@ def signal_correlation(
     grid: DataFrame,
     binsize: int,
     bins: int,
-    sample: int,
+    sample: int | None = None,
     skip: dict[str, int] | None = None,
     seed: int = 1,
 ) -> DataFrame:
-    """(signal, pearson, spearman) of the contact between the ends of sampled windows with the signals inside."""
-    drawn = cut_lineage(hash_sample(grid.select("chr", "pos"), ["chr", "pos"], sample, (), seed))
+    """(signal, pearson, spearman) of the contact between the ends of windows with the signals inside.
+
+    All windows of the grid count; with ``sample``, so many of them.
+    """
+    windows = grid.select("chr", "pos")
+    drawn = cut_lineage(windows if sample is None else hash_sample(windows, ["chr", "pos"], sample, (), seed))
     table = cut_lineage(window_signals(contacts, signals, drawn, binsize, bins, skip or {}))
     parts = [rank_correlation(table, "contact", n).select(F.lit(n).alias("signal"), "pearson", "spearman") for n in signals]
     out = parts[0]
@@ -357,13 +365,18 @@ def metrics_row(predictions: DataFrame, binsize: int, h: int, promoters: DataFra
     return row
 
 
-def downsample(contacts: DataFrame, size: int, seed: int = 1, digits: int = 3) -> DataFrame:
+def downsample(contacts: DataFrame, size: int, seed: int = 1, digits: int | None = None) -> DataFrame:
     """Redraw ``size`` contacts with replacement, each cell in proportion to its count.
 
     Cells lie end to end on a line, as long as their counts; every draw is a
-    point on the line and is counted for the cell it falls in.
+    point on the line and is counted for the cell it falls in.  Lengths are whole
+    numbers of 10 ** -``digits``; by default so many digits that the smallest
+    positive count has six of its own.
     """
-    unit = 10**digits
+    if digits is None:
+        least = contacts.filter(F.col("contact_count") > 0).agg(F.min("contact_count")).first()[0]
+        digits = max(0, math.ceil(6 - math.log10(least))) if least else 0
+    unit = 10.0**digits
     weighed = contacts.filter(F.col("contact_count") > 0).select(
         *PAIR, F.round(F.col("contact_count") * unit).cast("bigint").alias("w")
     )

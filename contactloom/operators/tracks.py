@@ -261,7 +261,7 @@ def flag_loops(contacts: DataFrame, loops: DataFrame, window: int, width: int =
 # ---- binned sums --------------------------------------------------------------------------------
 
 
-def binned_sums(track: DataFrame, regions: DataFrame, binsize: int, scale: int = 6) -> DataFrame:
+def binned_sums(track: DataFrame, regions: DataFrame, binsize: int) -> DataFrame:
     """Sum of ``sigVal`` per fixed bin of each region; a midpoint on an inner bin edge counts on both sides.
 
     Bins start at ``start, start + binsize, ...`` below ``end - 1``.  Each distinct bin is summed once
@@ -270,7 +270,7 @@ def binned_sums(track: DataFrame, regions: DataFrame, binsize: int, scale: int =
     starts = F.sequence(F.col("start"), F.col("end") - 2, F.lit(binsize))
     bins = regions.filter(F.col("end") - 2 >= F.col("start")).select("*", F.posexplode(starts).alias("bin", "lo"))
     windows = bins.select("chr", "lo").distinct().withColumn("hi", F.col("lo") + binsize)
-    items = track.select("chr", F.col("mids").alias("pos"), fixed("sigVal", scale).alias("sigVal"))
+    items = track.select("chr", F.col("mids").alias("pos"), fixed("sigVal").alias("sigVal"))
     sums = window_totals(windows, items, ["sigVal"]).select("chr", "lo", F.col("sigVal").cast("double").alias("sigVal"))
     return bins.join(sums, ["chr", "lo"]).withColumnRenamed("lo", "bin_start")
 

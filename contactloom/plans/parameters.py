@@ -12,7 +12,7 @@ class RunParameters:
     window_size: int = 25_000
     mindist: int = 50_001
     maxdist: int = 1_500_000
-    sample_size: int = 500_000
+    sample_size: int | None = None  # all contacts
     n_closest: int = 4
     n_closest_genes: int = 3
     binsize: int = 5_000

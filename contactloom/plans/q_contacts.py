@@ -186,8 +186,7 @@ def j17(spark, sf):
 _COVERAGE = """ends AS (SELECT chr, contact_st AS pos, contact_count AS c, 1 AS s FROM a_contacts UNION ALL
     SELECT chr, contact_en, contact_count, 0 FROM a_contacts WHERE contact_en <> contact_st),
     cov AS (SELECT chr, pos, SUM(c) AS total FROM ends GROUP BY chr, pos HAVING MAX(s) = 1),
-    drawn AS (SELECT * FROM cov QUALIFY ROW_NUMBER() OVER (PARTITION BY chr ORDER BY md5(concat_ws('|', '1', chr, pos))) <= 1000),
-    rep AS (SELECT chr, AVG(total) AS norm, STDDEV_POP(total) / AVG(total) AS cv, COUNT(*) AS n_loci FROM drawn WHERE total <> 0 GROUP BY chr)"""
+    rep AS (SELECT chr, AVG(total) AS norm, STDDEV_POP(total) / AVG(total) AS cv, COUNT(*) AS n_loci FROM cov WHERE total <> 0 GROUP BY chr)"""
 
 
 @query(
@@ -233,11 +232,9 @@ def a05_sum(spark, sf):
 
 @query(
     "a06_oe_to_observed",
-    """SELECT c.chr, contact_st, contact_en, ROUND(contact_count * e.c_acctbal / 2585.0, 6) AS observed
-    FROM a_contacts c LEFT JOIN customer e ON e.c_custkey * 5000 = c.dist""",
+    """SELECT c.chr, contact_st, contact_en, ROUND(contact_count * e."E1" / 2585.0, 6) AS observed
+    FROM a_contacts c LEFT JOIN a_e1 e ON e.chr = c.chr AND e.bin * 5000 = c.dist""",
 )
 def a06(spark, sf):
-    expected = A.table(spark, sf, "customer").select(
-        (F.col("c_custkey") * A.BIN).alias("dist"), F.col("c_acctbal").alias("expected")
-    )
+    expected = A.eigenvector(spark, sf).select("chr", (F.col("bin") * A.BIN).alias("dist"), F.col("E1").alias("expected"))
     return C.to_observed(A.contacts(spark, sf), expected, 2585).select(*C.PAIR, F.round("observed", 6).alias("observed"))

@@ -236,15 +236,17 @@ def r14_overlap(spark, sf):
 
 @query(
     "r14_permutation_test",
-    f"""WITH {_BOTH}, m AS (SELECT zp.chr, zp.contact_st, zp.contact_en, zp.z > 2 AS high, COALESCE(z.z > 2, FALSE) AS hit FROM zp
+    f"""WITH {_BOTH}, m AS (SELECT zp.chr, zp.contact_st, zp.contact_en, COALESCE(zp.z > 2, FALSE) AS high, COALESCE(z.z > 2, FALSE) AS hit FROM zp
       LEFT JOIN z ON z.chr = zp.chr AND z.contact_st = zp.contact_st AND z.contact_en = zp.contact_en),
-    r AS (SELECT k, hit, ROW_NUMBER() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', '1', chr, contact_st, contact_en, k))) AS rn
-      FROM m CROSS JOIN (SELECT UNNEST(range(1, 21)) AS k)),
-    h AS (SELECT k, COUNT(*) FILTER (hit) AS hits FROM r WHERE rn <= (SELECT COUNT(*) FROM m WHERE high) GROUP BY k),
-    o AS (SELECT COUNT(*) FILTER (hit AND high) AS observed FROM m)
-    SELECT observed, null_median, ROUND(null_std, 6) AS null_std, ROUND((observed - null_median) / null_std, 6) AS z FROM o
-    CROSS JOIN (SELECT quantile_cont(hits, 0.5) AS null_median, STDDEV_POP(hits) AS null_std FROM h)""",
+    o AS (SELECT COUNT(*) AS cells, COUNT(*) FILTER (hit) AS hits, COUNT(*) FILTER (high) AS draws, COUNT(*) FILTER (hit AND high) AS observed FROM m),
+    k AS (SELECT o.*, UNNEST(range(GREATEST(0, draws + hits - cells), LEAST(hits, draws) + 1)) AS k FROM o),
+    p AS (SELECT k, EXP(LGAMMA(hits + 1) - LGAMMA(k + 1) - LGAMMA(hits - k + 1) + LGAMMA(cells - hits + 1) - LGAMMA(draws - k + 1)
+      - LGAMMA(cells - hits - draws + k + 1) - LGAMMA(cells + 1) + LGAMMA(draws + 1) + LGAMMA(cells - draws + 1)) AS p FROM k),
+    s AS (SELECT k, SUM(p) OVER (ORDER BY k) AS total FROM p),
+    nulls AS (SELECT o.observed, (SELECT MIN(k) FROM s WHERE total >= 0.5)::DOUBLE AS null_median,
+      SQRT(draws * (hits / cells) * (1 - hits / cells) * (cells - draws) / (cells - 1)) AS null_std FROM o)
+    SELECT observed, null_median, ROUND(null_std, 6) AS null_std, ROUND((observed - null_median) / null_std, 6) AS z FROM nulls""",
 )
 def r14(spark, sf):
-    test = R.permutation_test(*_two_scores(spark, sf), replicates=20)
+    test = R.permutation_test(*_two_scores(spark, sf))
     return test.withColumns({"null_std": F.round("null_std", 6), "z": F.round("z", 6)})

@@ -153,12 +153,12 @@ def s11(spark, sf):
 
 @query(
     "s12_read_expected",
-    "SELECT bin * 40000 AS dist, CASE WHEN bin % 7 = 0 THEN 0 ELSE \"E1\" END AS expected FROM a_e1 WHERE chr = 'chr1'",
+    "SELECT chr, bin * 40000 AS dist, CASE WHEN bin % 7 = 0 THEN 0 ELSE \"E1\" END AS expected FROM a_e1",
 )
 def s12(spark, sf):
     path = scratch_path(spark, "expected")
-    values = A.eigenvector(spark, sf).filter("chr = 'chr1'")
-    lines = values.select(F.lit("chr1.expected.txt").alias("name"), "bin", F.when(F.col("bin") % 7 == 0, "nan").otherwise(F.col("E1").cast("string")).alias("value"))
+    values = A.eigenvector(spark, sf)
+    lines = values.select(F.concat("chr", F.lit(".expected.txt")).alias("name"), "bin", F.when(F.col("bin") % 7 == 0, "nan").otherwise(F.col("E1").cast("string")).alias("value"))
     write_lines(lines, path, "name", ["bin"])
     return S.read_expected(spark, path, A.E1_BIN)
 

@@ -47,6 +47,20 @@ def a10(spark, sf):
     return V.strong_bins(A.runs(spark, sf), _sizes(spark, sf))
 
 
+@query(
+    "a10_strong_bins_small_values",
+    f"""WITH {_RUN_BINS.format(b=1000)}, {_SIZES}, allb AS (SELECT chr, UNNEST(range(0, (size - 1 + 999) // 1000)) AS bin FROM sz),
+    f AS (SELECT a.chr, a.bin, COALESCE(total, 0)::DOUBLE AS total FROM allb a LEFT JOIN rb ON rb.chr = a.chr AND rb.bin = a.bin),
+    c AS (SELECT chr, quantile_cont(total, 0.9) AS cut FROM f GROUP BY chr)
+    SELECT f.chr, bin * 1000 AS start, bin * 1000 + 1000 AS "end", ROUND(total, 3) AS scaled FROM f JOIN c ON c.chr = f.chr WHERE total > cut""",
+)
+def a10_small(spark, sf):
+    """The same track times 1e-9, as p-values are."""
+    runs = A.runs(spark, sf).withColumn("value", F.col("value") * 1e-9)
+    bins = V.strong_bins(runs, _sizes(spark, sf))
+    return bins.select("chr", "start", "end", F.round(F.col("total") * 1e9, 3).alias("scaled"))
+
+
 @query(
     "a11_sparsity_profile",
     f"""WITH {_SIZES}, s AS (SELECT chr, SUM(CASE WHEN start % 5 <> 0 THEN "end" - start ELSE 0 END) AS nonzero,
@@ -96,7 +110,7 @@ _CORR = "SELECT '{s}' AS signal, ROUND(corr(contact, {s}), 6) AS pearson, ROUND(
     f"""WITH {_RUN_BINS.format(b=5000)}, {_GENOME},
     b AS (SELECT chr, MIN(contact_st) AS lo, MAX(contact_st) AS hi FROM a_contacts GROUP BY chr),
     g AS (SELECT chr, UNNEST(range(lo, hi + 1, 5000)) AS pos FROM b),
-    d AS (SELECT * FROM g ORDER BY md5(concat_ws('|', '1', chr, pos)) LIMIT 4000),
+    d AS (SELECT * FROM g),
     w AS (SELECT d.chr, d.pos, COALESCE(ANY_VALUE(c.contact_count), 0) AS contact,
       COALESCE((SELECT SUM(total) FROM rb WHERE rb.chr = d.chr AND rb.bin BETWEEN d.pos // 5000 + 1 AND d.pos // 5000 + 4), 0)::DOUBLE AS chip,
       COALESCE((SELECT SUM(total) FROM codes WHERE codes.chr = d.chr AND codes.bin BETWEEN d.pos // 5000 AND d.pos // 5000 + 4), 0)::DOUBLE AS bases
@@ -107,7 +121,7 @@ def a12(spark, sf):
     contacts = A.contacts(spark, sf)
     bounds = contacts.groupBy("chr").agg(F.min("contact_st").alias("lo"), F.max("contact_st").alias("hi"))
     signals = {"chip": V.signal_bins(A.runs(spark, sf), A.BIN), "bases": Q.code_bins(_genome(spark, sf), A.BIN)}
-    out = V.signal_correlation(contacts, signals, grid_positions(bounds, A.BIN), A.BIN, 5, 4_000, {"chip": 1})
+    out = V.signal_correlation(contacts, signals, grid_positions(bounds, A.BIN), A.BIN, 5, skip={"chip": 1})
     return rounded(out, 6, "pearson", "spearman")
 
 
@@ -234,7 +248,20 @@ def v07(spark, sf):
     SELECT chr, contact_st, contact_en, COUNT(*)::DOUBLE AS contact_count FROM d ASOF JOIN (SELECT *, hi - w AS lo FROM l) x ON d.pos >= x.lo GROUP BY ALL""",
 )
 def v08(spark, sf):
-    return V.downsample(A.contacts(spark, sf), 50_000)
+    return V.downsample(A.contacts(spark, sf), 50_000, digits=3)
+
+
+@query(
+    "v08_downsample_normalized",
+    """WITH n AS (SELECT chr, contact_st, contact_en, ROUND(contact_count / 2585.0 * 1e10)::BIGINT AS w FROM a_contacts),
+    l AS (SELECT chr, contact_st, contact_en, w, SUM(w) OVER (ORDER BY chr, contact_st, contact_en)::BIGINT AS hi FROM n),
+    d AS (SELECT ('0x' || substr(md5(concat_ws('|', '1', id)), 1, 15))::BIGINT % (SELECT MAX(hi) FROM l) AS pos FROM (SELECT UNNEST(range(0, 20000)) AS id))
+    SELECT chr, contact_st, contact_en, COUNT(*)::DOUBLE AS contact_count FROM d ASOF JOIN (SELECT *, hi - w AS lo FROM l) x ON d.pos >= x.lo GROUP BY ALL""",
+)
+def v08_normalized(spark, sf):
+    """Counts divided by a coefficient: single reads are far below a thousandth."""
+    counts = A.contacts(spark, sf).withColumn("contact_count", F.col("contact_count") / 2585.0)
+    return V.downsample(counts, 20_000)
 
 
 @query(

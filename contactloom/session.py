@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -28,11 +29,14 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, memory: str = "16
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only where a session names none (local tests) a temporary folder is made
-    and recorded in the session, so every later call sees the same one.
+    Only where a local session names none (tests) a temporary folder is made
+    and recorded in the session, so every later call sees the same one; on a
+    cluster each machine would see its own, so there that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("contactloom.scratch", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="contactloom-")
         spark.conf.set("contactloom.scratch", root)
     return root

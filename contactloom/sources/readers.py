@@ -172,9 +172,10 @@ def read_eigenvector(spark: SparkSession, path: str | Sequence[str], binsize: in
     ).withColumn("mid", F.col("bin") * F.col("binsize") + F.floor(F.col("binsize") / 2))
 
 
-def read_expected(spark: SparkSession, path: str, binsize: int) -> DataFrame:
-    """(dist, expected): one value per distance bin, NaN as 0."""
-    return read_lines(spark, path).select((F.col("line") * binsize).alias("dist"), _number(F.col("value")).alias("expected"))
+def read_expected(spark: SparkSession, path: str | Sequence[str], binsize: int) -> DataFrame:
+    """(chr, dist, expected): one value per distance bin, NaN as 0; the chromosome is the first part of the file name."""
+    chrom = F.regexp_extract(_name_of(F.col("file")), r"^([^.]+)", 1).alias("chr")
+    return read_lines(spark, path).select(chrom, (F.col("line") * binsize).alias("dist"), _number(F.col("value")).alias("expected"))
 
 
 def read_loops(spark: SparkSession, path: str | Sequence[str], prefix: bool = True) -> DataFrame:
@@ -263,23 +264,23 @@ def read_enhancers(spark: SparkSession, path: str, resolution: int) -> DataFrame
     return _words(spark, path).select(F.col("w")[0].alias("chr"), middle.alias("bin")).distinct()
 
 
-def _sorted_bins(lines: DataFrame, resolution: int, reach: int, values: dict[str, int]) -> DataFrame:
+def _sorted_bins(lines: DataFrame, resolution: int, reach: int | None, values: dict[str, int]) -> DataFrame:
     words = lines.withColumn("w", F.split(F.trim("value"), r"\s+"))
     x, y = F.floor(_whole(0) / resolution), F.floor(_whole(1) / resolution)
     pairs = words.select(
         "file", "line", F.least(x, y).alias("i"), F.greatest(x, y).alias("j"), *[F.col("w")[k].cast("double").alias(n) for n, k in values.items()]
     )
-    return pairs.filter(F.col("j") - F.col("i") < reach)
+    return pairs if reach is None else pairs.filter(F.col("j") - F.col("i") < reach)
 
 
-def read_oe_pairs(spark: SparkSession, path: str, chrom: str, resolution: int, pairs: DataFrame, reach: int = 100) -> DataFrame:
+def read_oe_pairs(spark: SparkSession, path: str, chrom: str, resolution: int, pairs: DataFrame, reach: int | None = None) -> DataFrame:
     """(chr, i, j, value) of the wanted pairs; where a pair occurs twice the first line counts."""
     rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"value": 2}).withColumn("chr", F.lit(chrom))
     wanted = rows.join(pairs.select("chr", "i", "j"), ["chr", "i", "j"], "left_semi")
     return wanted.groupBy("chr", "i", "j").agg(F.min_by("value", F.struct("file", "line")).alias("value"))
 
 
-def read_model_pairs(spark: SparkSession, path: str, chrom: str, resolution: int, reach: int = 100) -> DataFrame:
+def read_model_pairs(spark: SparkSession, path: str, chrom: str, resolution: int, reach: int | None = None) -> DataFrame:
     """(chr, i, j, observed, predicted); where a pair occurs twice the last line counts."""
     rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"observed": 2, "predicted": 3})
     last = F.struct("file", "line")

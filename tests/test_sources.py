@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contactloom.operators import sequence as Q
+from contactloom.operators import contacts as C
 from contactloom.sources import readers as S
 from contactloom.sources import writers as K
 
@@ -84,7 +85,18 @@ def test_manifest_skips_empty_rows(spark, tmp_path):
 def test_first_line_of_a_pair_wins(spark, tmp_path):
     path = write(tmp_path / "oe", "5000 0 1.5\n0 5000 9\n0 50000 3\n0 900000 4\n")
     pairs = spark.createDataFrame([("c", 0, 1), ("c", 0, 180)], "chr string, i bigint, j bigint")
-    assert [tuple(r) for r in S.read_oe_pairs(spark, path, "c", 5000, pairs).collect()] == [("c", 0, 1, 1.5)]
+    assert sorted(tuple(r) for r in S.read_oe_pairs(spark, path, "c", 5000, pairs).collect()) == [("c", 0, 1, 1.5), ("c", 0, 180, 4.0)]
+    assert [tuple(r) for r in S.read_oe_pairs(spark, path, "c", 5000, pairs, reach=100).collect()] == [("c", 0, 1, 1.5)]
+
+
+def test_expected_values_keep_their_chromosome(spark, tmp_path):
+    paths = [write(tmp_path / "chr1.expected.txt", "8\nnan\n"), write(tmp_path / "chr2.expected.txt", "2\n1\n")]
+    expected = S.read_expected(spark, paths, 5000)
+    contacts = spark.createDataFrame([("chr1", 0, 1.5), ("chr2", 5000, 4.0)], "chr string, dist bigint, contact_count double")
+    got = sorted((r.chr, r.observed) for r in C.to_observed(contacts, expected, 2).collect())
+    assert got == [("chr1", 6.0), ("chr2", 2.0)]
+    with pytest.raises(ValueError, match="several rows"):
+        C.to_observed(contacts, expected.unionByName(expected), 2).collect()
 
 
 def test_predictors_round_trip(spark, tmp_path):

@@ -139,3 +139,17 @@ def test_model_refuses_shared_chromosomes(spark):
     assert top.importance > 0.3
     with pytest.raises(ValueError):
         M.validate(trained, table)
+
+
+def test_downsample_keeps_small_counts(spark):
+    cells = spark.createDataFrame([("c", i, i, 1 / 2585 if i else 3 / 2585) for i in range(50)], "chr string, contact_st bigint, contact_en bigint, contact_count double")
+    drawn = {r.contact_st: r.contact_count for r in V.downsample(cells, 20_000).collect()}
+    assert sum(drawn.values()) == 20_000 and len(drawn) == 50
+    assert drawn[0] > 2 * max(v for k, v in drawn.items() if k)
+
+
+def test_totals_of_small_and_bad_values(spark):
+    runs = spark.createDataFrame([("c", 0, 10, 1e-7), ("c", 10, 20, 2e-7), ("c", 20, 30, float("nan"))], "chr string, start bigint, end bigint, value double")
+    assert [float(r.total) for r in V.signal_bins(runs, 100).collect()] == pytest.approx([3e-6])
+    with pytest.raises(Exception, match="infinite"):
+        V.signal_bins(runs.withColumn("value", F.lit(float("inf"))), 100).collect()
