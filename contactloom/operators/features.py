@@ -689,7 +689,12 @@ def compute(contacts: DataFrame, families: Sequence[AnchorFamily | ContactFamily
     if len(set(names)) != len(names):
         raise ValueError(f"feature family names are not unique: {names}")
     anchored = [f for f in families if isinstance(f, AnchorFamily)]
+    of_contacts = [f for f in families if isinstance(f, ContactFamily)]
+    late = [name for f in of_contacts for name in f.header()]
     out = contacts
+    # what belongs to a contact is added while its row is narrow
+    for family in of_contacts:
+        out = family.add(out)
     header = list(contacts.columns)
     if anchored:
         # the one pass over the contacts that finds the anchors; all families start from its result
@@ -705,16 +710,12 @@ def compute(contacts: DataFrame, families: Sequence[AnchorFamily | ContactFamily
             st, en = (lambda tag, f=family, e=e: F.col(f"{e}_{f.slot}")[tag] for e in ("st", "en"))
             shared += [column.alias(f"{family.slot}__{key}") for key, column in family.shared(st, en).items()]
             columns += family.columns(st, en)
-        out = joined.select("*", *shared).select(*contacts.columns, *columns)
+        out = joined.select("*", *shared).select(*contacts.columns, *columns, *[F.col(f"`{c}`") for c in late])
         header = out.columns
-    for family in families:
-        if isinstance(family, ContactFamily):
-            header = header + family.header()
+    else:
+        header = header + late
     if len(set(header)) != len(header):
         raise ValueError(f"feature names are not unique: {sorted(h for h in header if header.count(h) > 1)}")
-    for family in families:
-        if isinstance(family, ContactFamily):
-            out = family.add(out)
     return out
 
 

@@ -225,37 +225,32 @@ def flag_loops(contacts: DataFrame, loops: DataFrame, window: int, width: int =
     """``IsLoop`` is 1 where both anchors (+- ``window``) meet the two anchors of one loop.
 
     Both anchors are placed on a two-dimensional bucket grid: a contact falls
-    into one cell, a loop covers the few cells around its corner.  Hot start
-    bins are thus divided by their end bin.
+    into one cell, a loop covers the few cells around its corner, and a cell
+    carries its loops as an array.  The contacts are read once, whatever joins
+    they come from; hot start bins are divided by their end bin.
     """
     st, en = F.col("contact_st"), F.col("contact_en")
 
     def cover(lo: str, hi: str) -> Column:
         return F.explode(F.sequence(F.floor((F.col(lo) - window) / width), F.floor((F.col(hi) + window) / width)))
 
-    corners = (
-        loops.select("chr", "x1", "x2", "y1", "y2").distinct().withColumn("_bx", cover("x1", "x2")).withColumn("_by", cover("y1", "y2"))
-    )
-    pairs = contacts.select("chr", "contact_st", "contact_en").withColumns(
-        {"_bx": F.floor(st / width), "_by": F.floor(en / width)}
-    )
-    hit = (
-        (F.col("x2") >= st - window)
-        & (F.col("x1") < st + window)
-        & (F.col("y2") >= en - window)
-        & (F.col("y1") < en + window)
-    )
-    looped = (
-        pairs.join(corners, ["chr", "_bx", "_by"])
-        .filter(hit)
-        .select("chr", "contact_st", "contact_en", F.lit(1).alias("_loop"))
+    corner = F.struct("x1", "x2", "y1", "y2")
+    cells = (
+        loops.select("chr", "x1", "x2", "y1", "y2")
         .distinct()
+        .withColumn("_bx", cover("x1", "x2"))
+        .withColumn("_by", cover("y1", "y2"))
+        .groupBy("chr", "_bx", "_by")
+        .agg(F.collect_list(corner).alias("_loops"))
     )
-    return (
-        contacts.join(looped, ["chr", "contact_st", "contact_en"], "left")
-        .withColumn("IsLoop", F.coalesce("_loop", F.lit(0)))
-        .drop("_loop")
-    )
+
+    def hit(loop: Column) -> Column:
+        return (loop["x2"] >= st - window) & (loop["x1"] < st + window) & (loop["y2"] >= en - window) & (loop["y1"] < en + window)
+
+    placed = contacts.withColumns({"_bx": F.floor(st / width), "_by": F.floor(en / width)})
+    found = lookup(placed, cells, ["chr", "_bx", "_by"], ["_loops"])
+    flag = F.coalesce(F.exists("_loops", hit).cast("int"), F.lit(0))
+    return found.withColumn("IsLoop", flag).select(*contacts.columns, "IsLoop")
 
 
 # ---- binned sums --------------------------------------------------------------------------------
