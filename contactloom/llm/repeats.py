@@ -34,21 +34,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactloom.llm.common import blocks, partitions
+from contactloom.llm.common import blocks, partitions, short_batches
 from contactloom.llm.jaccard import _BASE, mixed, powers
 from contactloom.llm.warc import opened
 from contactloom.session import cut_lineage, scratch_path
 
 GRAM = 24
 PART_BYTES = 24_000_000
-BUCKET_BYTES = 6_000_000
-SHARD_BYTES = 1_000_000
-WIDE = 10_000
+BUCKET_BYTES = 1_000_000
+SHARD_BYTES = 300_000
+WIDE = 3_000
 #: texts are hashed in pieces of so many bytes, each with the length of a string more
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 _BYTE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_POWERS: list[np.ndarray] = [np.ones(0, np.uint64), np.ones(0, np.uint64)]
 
 
 # ---- texts in files
@@ -139,6 +140,13 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[:n], m[width - size : width - size + n])
 
 
+def kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse; a process computes them once."""
+    if len(_POWERS[0]) < n:
+        _POWERS[:] = [powers(_BASE, 2 * n), powers(_BACK, 2 * n)]
+    return _POWERS[0], _POWERS[1]
+
+
 def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(anchor hash, hash of all bytes, first start, number of starts) of a text's segments."""
     out = []
@@ -151,9 +159,10 @@ def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.
             best = low - (sliding_min(ranked, length - GRAM + 1) & low)
             first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
             count = np.diff(np.append(first, len(best)))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * powers(_BASE, len(piece)), dtype=np.uint64)])
+            up, down = kept_powers(len(piece))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * up[: len(piece)], dtype=np.uint64)])
             ends = first + count + length - 1
-            body = mixed((sums[ends] - sums[first]) * powers(_BACK, len(piece))[first] + count.astype(np.uint64))
+            body = mixed((sums[ends] - sums[first]) * down[first] + count.astype(np.uint64))
             out.append((grams[best[first].astype(np.int64)].view(np.int64), body.view(np.int64), first + at, count))
     if not out:
         return (np.zeros(0, np.int64),) * 4
@@ -171,13 +180,13 @@ def found_segments(texts: DataFrame, folder: str, length: int) -> DataFrame:
             for i, (doc, part, idx) in enumerate(zip(*columns, strict=True)):
                 anchor, body, start, count = segments(parts.text(part, idx), length)
                 n = len(anchor)
-                held.append(((anchor >> 32).astype(np.int32), body, np.full(n, doc), np.full(n, part), np.full(n, idx, np.int32), start, count.astype(np.int32)))
+                held.append((anchor, body, np.full(n, doc), np.full(n, part), np.full(n, idx, np.int32), start, count.astype(np.int32)))
                 size += n
                 if size >= 50_000 or i == len(columns[0]) - 1:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["anchor", "body", "doc_id", "part", "idx", "start", "count"])
                     held, size = [], 0
 
-    return by_part(texts).mapInArrow(run, "anchor int, body long, doc_id long, part long, idx int, start long, count int")
+    return by_part(texts).mapInArrow(run, "anchor long, body long, doc_id long, part long, idx int, start long, count int")
 
 
 def by_part(rows: DataFrame, *order: str) -> DataFrame:
@@ -196,52 +205,59 @@ class Shard:
     """
 
     def __init__(self, text: np.ndarray, starts: np.ndarray, ends: np.ndarray, symbols: np.ndarray, width: int, first_row: int):
-        where = np.concatenate([np.arange(a, b + 1) for a, b in zip(starts, ends, strict=True)])
-        left = np.repeat(ends, ends + 1 - starts) - where
-        base = starts[0]
-        self.order = where[self.sorted_suffixes(text, where, left, base)]
-        n = len(where)
-        inverse = np.full(int(ends.max() - base) + 1, -1, dtype=np.int64)
-        inverse[self.order - base] = np.arange(n)
-        begin = np.zeros(int(ends.max() - base) + 1, dtype=np.int64)
-        begin[where - base] = np.repeat(starts, ends + 1 - starts)
-        has = self.order - width >= begin[self.order - base]
-        back = np.where(has, self.order - width, self.order)
+        spans = ends + 1 - starts
+        # the segments lie one after the other, each with the place of its empty suffix
+        where = np.arange(starts[0], ends[-1] + 1, dtype=np.int32)
+        left = np.repeat(ends.astype(np.int32), spans) - where
+        behind = where - np.repeat(starts.astype(np.int32), spans)
+        order = self.sorted_suffixes(text[starts[0] : ends[-1] + 1], left)
+        rank = np.empty(len(order), dtype=np.int32)
+        rank[order] = np.arange(len(order), dtype=np.int32)
+        self.order = where[order]
+        has = behind[order] >= width
+        back = np.where(has, order - width, order)
         #: the symbol before each row's suffix, and the row of the suffix that starts with it (-1: none)
-        self.transform = symbols[back]
-        self.before = np.where(has, inverse[back - base] + first_row, -1)
+        self.transform = symbols[starts[0] : ends[-1] + 1][back]
+        self.before = np.where(has, rank[back] + np.int32(first_row), np.int32(-1))
 
     @staticmethod
-    def sorted_suffixes(text: np.ndarray, where: np.ndarray, left: np.ndarray, base: int) -> np.ndarray:
-        """Prefix doubling; only suffixes that still tie are sorted again. Full ties keep the order of ``where``."""
-        n, key = len(where), np.zeros(len(where), dtype=np.uint64)
-        for i in range(7):
-            key = (key << np.uint64(8)) | np.where(left > i, text[np.minimum(where + i, len(text) - 1)], 0).astype(np.uint64)
-        key = (key << np.uint64(8)) | np.minimum(left, 7).astype(np.uint64)
-        order = np.argsort(key, kind="stable")
-        fresh = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-        slot = np.full(int(where[-1] - base) + 2, -1, dtype=np.int64)
-        slot[where - base] = np.arange(n)
-        rank = np.empty(n, dtype=np.int64)
-        depth = 7
-        while True:
-            heads = np.flatnonzero(fresh)
-            rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
-            tied = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
-            if not len(tied) or depth > left.max():
-                return order
+    def sorted_suffixes(text: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Prefix doubling: only suffixes that still tie are sorted again. Full ties keep their order.
+
+        ``left`` is how many bytes each suffix has.
+        """
+        n = len(text)
+        padded = np.concatenate([text, np.zeros(8, np.uint8)]).tobytes()
+        words = np.ndarray((n,), dtype=">u8", buffer=padded, strides=(1,)).astype(np.uint64)
+        # seven bytes, those past the end cleared, and then how many there are
+        short = np.minimum(left, 7).astype(np.uint64)
+        key = (words & ~(~np.uint64(0) >> (short * np.uint64(8)))) | short
+        order = np.argsort(key, kind="stable").astype(np.int32)
+        ordered = key[order]
+        fresh = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        rank = np.empty(n, dtype=np.int32)
+        heads = np.flatnonzero(fresh).astype(np.int32)
+        rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+        tied, depth, most = np.flatnonzero(~(fresh & np.append(fresh[1:], True))), 7, int(left.max())
+        while len(tied) and depth <= most:
             rows = order[tied]
-            more = left[rows] > depth
-            nxt = np.where(more, rank[slot[np.where(more, where[rows] + depth - base, 0)]], -1)
-            pair = rank[rows] * (n + 1) + nxt + 1
+            follows = np.where(left[rows] > depth, rank[np.minimum(rows + depth, n - 1)] + 1, 0)
+            pair = rank[rows].astype(np.int64) * (n + 1) + follows
             turn = np.argsort(pair, kind="stable")
-            order[tied], pair = rows[turn], pair[turn]
-            fresh[tied] = np.concatenate([[True], pair[1:] != pair[:-1]])
+            rows, pair = rows[turn], pair[turn]
+            order[tied] = rows
+            new = np.concatenate([[True], pair[1:] != pair[:-1]])
+            # a group keeps the number of its first place
+            rank[rows] = np.repeat(tied[new], np.diff(np.append(np.flatnonzero(new), len(new)))).astype(np.int32)
+            tied = tied[~(new & np.append(new[1:], True))]
             depth *= 2
+        return order
 
 
 def stable_order(codes: np.ndarray) -> np.ndarray:
     """Stable counting sort of numbers below 2**32 in passes of 16 bits."""
+    if codes.dtype == np.uint16:
+        return np.argsort(codes, kind="stable")
     order = np.argsort((codes & 0xFFFF).astype(np.uint16), kind="stable")
     if codes.size and int(codes.max()) >> 16:
         order = order[np.argsort((codes[order] >> 16).astype(np.uint16), kind="stable")]
@@ -254,7 +270,7 @@ def merged_intervals(shards: list[Shard], length: int, width: int) -> tuple[np.n
     before = np.concatenate([s.before for s in shards])
     place = np.concatenate([s.order for s in shards])
     # the interleave: rows of all shards in merged order, to begin with one shard after the other
-    rows, interval = np.arange(len(place)), np.zeros(len(place), dtype=np.int64)
+    rows, interval = np.arange(len(place), dtype=np.int32), np.zeros(len(place), dtype=np.int32)
     for _ in range(length // width):
         has = before[rows] >= 0
         rows, interval = rows[has], interval[has]
@@ -264,7 +280,7 @@ def merged_intervals(shards: list[Shard], length: int, width: int) -> tuple[np.n
         # neighbours part where the new symbol differs or they had parted before
         parts = np.concatenate([[True], (symbol[1:] != symbol[:-1]) | (interval[1:] != interval[:-1]), [True]])[: len(rows) + 1]
         together = ~(parts[:-1] & parts[1:])
-        interval = np.cumsum(parts[:-1])[together]
+        interval = np.cumsum(parts[:-1], dtype=np.int32)[together]
         rows = rows[together]
         if not len(rows):
             break
@@ -280,12 +296,12 @@ def repeated_starts(texts: list[bytes], doc: np.ndarray, row: np.ndarray, start:
     sizes = np.array([len(t) for t in texts])
     text = np.frombuffer(b"\0".join(texts) + b"\0", dtype=np.uint8)
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
-    ends = begins + sizes
+    ends = begins + sizes  # where a segment's empty suffix is
     packed = np.zeros(len(text), dtype=np.uint32)
     for i in range(width):
         packed[: len(text) - i] = (packed[: len(text) - i] << np.uint32(8)) | text[i:]
-    _, symbols = np.unique(packed, return_inverse=True)
-    symbols = symbols.astype(np.uint32)
+    names, symbols = np.unique(packed, return_inverse=True)
+    symbols = symbols.astype(np.uint16 if len(names) <= 1 << 16 else np.uint32)
     shards, first, row_at = [], 0, 0
     for i in range(len(texts)):
         if ends[i] - begins[first] >= SHARD_BYTES or i == len(texts) - 1:
@@ -316,6 +332,7 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     spark = docs.sparkSession
+    short_batches(spark)
     folder = scratch_path(spark, "texts")
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     placed = cut_lineage(write_parts(own, folder))
@@ -324,7 +341,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
         placed.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min(F.struct(order, "part", "idx")).alias("first"), F.min("n_bytes").alias("n_bytes")).select("sha", "first.*")
     )
     found = found_segments(firsts, folder, length)
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # written, so that the join below can split the rows of a busy anchor
+    counts = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = cut_lineage(found.join(counts.hint("shuffle_hash"), "anchor"))
     # equal segments: all but the first are repeated as a whole
     first = F.min(F.struct("doc_id", "part", "idx", "start", "count")).alias("first")
