@@ -234,13 +234,14 @@ def scc(predictions: DataFrame, binsize: int, h: int) -> DataFrame:
 
 
 def smoothing_search(
-    predictions: DataFrame, binsize: int, largest: int = 10, rounds: int = 10, share: float = 0.1, seed: int = 1
+    predictions: DataFrame, binsize: int, largest: int = 10, rounds: int = 10, share: float = 0.1, seed: int = 1, least_gain: float = 0.01
 ) -> DataFrame:
     """(h, mean_scc, gain, stop): SCC averaged over random subsamples for each smoothing parameter.
 
-    The parameter to use is the one before the first ``stop``.
+    The search ends with the first ``stop``, where the score gains less than ``least_gain``; the parameter
+    to use is the one before it.
     """
-    out = None
+    rows: list[tuple] = []
     for h in range(largest + 1):
         cells = cut_lineage(smooth(predictions, binsize, h))
         mirrored = cells.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
@@ -248,13 +249,14 @@ def smoothing_search(
         sizes = drawn.groupBy("round").agg(F.floor(F.count(F.lit(1)) * share).alias("size"))
         kept = hash_sample(drawn, ["round", "chr", "i", "j", "side"], sizes, ["round"], seed)
         scores = _scc(kept.withColumn("d", F.col("j") - F.col("i")), ["round"], 1)
-        row = scores.agg(F.round(F.avg("scc"), 4).alias("mean_scc")).withColumn("h", F.lit(h))
-        out = row if out is None else out.unionByName(row)
-
-
-    # one row per parameter
-    gain = F.col("mean_scc") - F.lag("mean_scc").over(Window.partitionBy().orderBy("h"))
-    return out.select("h", "mean_scc", gain.alias("gain")).withColumn("stop", F.coalesce(F.col("gain") < 0.01, F.lit(False)))
+        mean = scores.agg(F.round(F.avg("scc"), 4)).first()[0]  # one number for each parameter
+        before = rows[-1][1] if rows else None
+        gain = None if mean is None or before is None else round(mean - before, 6)
+        stop = gain is not None and gain < least_gain
+        rows.append((h, mean, gain, stop))
+        if stop:
+            break
+    return predictions.sparkSession.createDataFrame(rows, "h int, mean_scc double, gain double, stop boolean")
 
 
 def _dense_pairs(extent: DataFrame, binsize: int) -> DataFrame:

@@ -232,12 +232,12 @@ def _search_sql(h: int) -> str:
 
 @query(
     "v07_smoothing_search",
-    f"""WITH {', '.join(_search_sql(h) for h in range(3))}, a AS (SELECT * FROM g0 UNION ALL SELECT * FROM g1 UNION ALL SELECT * FROM g2),
+    f"""WITH {', '.join(_search_sql(h) for h in range(11))}, a AS ({' UNION ALL '.join(f'SELECT * FROM g{h}' for h in range(11))}),
     b AS (SELECT h, mean_scc, ROUND(mean_scc - LAG(mean_scc) OVER (ORDER BY h), 6) AS gain FROM a)
-    SELECT h, mean_scc, gain, COALESCE(gain < 0.01, FALSE) AS stop FROM b""",
+    SELECT h, mean_scc, gain, COALESCE(gain < 0.01, FALSE) AS stop FROM b WHERE h <= COALESCE((SELECT MIN(h) FROM b WHERE gain < 0.01), 10)""",
 )
 def v07(spark, sf):
-    return rounded(V.smoothing_search(A.predictions(spark, sf), A.BIN, 2, 10), 6, "gain")
+    return rounded(V.smoothing_search(A.predictions(spark, sf), A.BIN), 6, "gain")
 
 
 @query(

@@ -8,8 +8,6 @@ from compare import compare, connect
 from contactloom.plans import catalog
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-# trained models and searches are covered by unit tests and the comparison script; they only repeat fits here
-SLOW = {"k06_write_feature_importance", "m02_predict_transformed", "m07_feature_importance", "m08_validate", "v07_smoothing_search"}
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +16,7 @@ def duck():
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
-@pytest.mark.parametrize("name", [n for n in catalog.QUERIES if n not in SLOW])
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, duck, name):
     problem, n, _, df = compare(spark, duck, SF, catalog.QUERIES[name], catalog.ORACLE.get(name))
     assert problem is None
