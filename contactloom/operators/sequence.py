@@ -51,10 +51,10 @@ def sequence_blocks(
 
 
 def split_blocks(sequences: DataFrame, size: int = 4_096) -> DataFrame:
-    """Blocks of bounded size from whole sequences (chr, seq)."""
-    at = F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(size))
-    return sequences.select("chr", "seq", F.explode(at).alias("_at")).select(
-        "chr", F.col("_at").cast("bigint").alias("block_start"), F.substring("seq", F.col("_at") + 1, F.lit(size)).alias("seq")
+    """Blocks of bounded size from whole sequences (chr, seq), cut in one pass over each."""
+    pieces = F.regexp_extract_all("seq", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
+    return sequences.filter("seq IS NOT NULL").select("chr", F.posexplode_outer(pieces).alias("_k", "seq")).select(
+        "chr", (F.coalesce("_k", F.lit(0)).cast("bigint") * size).alias("block_start"), F.coalesce("seq", F.lit("")).alias("seq")
     )
 
 
@@ -125,10 +125,13 @@ def clip_runs(runs: DataFrame, regions: DataFrame) -> DataFrame:
 
 
 class AnchorSequence(AnchorFamily):
-    """Base codes around each anchor bin, one column per base; null where the sequence does not cover it."""
+    """Base codes around each anchor bin; null where the sequence does not cover it.
 
-    def __init__(self, blocks: DataFrame, binsize: int, distance: int, name: str = "SequencePredictor"):
-        self.blocks, self.binsize, self.distance, self.name = blocks, binsize, distance, name
+    One array per anchor; ``wide`` makes it one column per base, which is for short stretches only.
+    """
+
+    def __init__(self, blocks: DataFrame, binsize: int, distance: int, name: str = "SequencePredictor", wide: bool = False):
+        self.blocks, self.binsize, self.distance, self.name, self.wide = blocks, binsize, distance, name, wide
 
     @property
     def length(self) -> int:
@@ -143,6 +146,8 @@ class AnchorSequence(AnchorFamily):
         return anchors.select(*ANCHOR).join(rows, ANCHOR, "left")
 
     def columns(self, st, en):
+        if not self.wide:
+            return [pick("codes").alias(f"{self.name}_{side}") for side, pick in (("left", st), ("right", en))]
         return [
             F.get(pick("codes"), F.lit(i)).alias(f"{side}{i + 1}") for side, pick in (("left", st), ("right", en)) for i in range(self.length)
         ]

@@ -439,5 +439,21 @@ def _anchor_codes_sql(length: int, distance: int) -> str:
 @query("f13_anchor_sequence", _anchor_codes_sql(20, 5))
 def f13(spark, sf):
     contacts = A.sequence_contacts(spark, sf).withColumn("dist", F.col("contact_en") - F.col("contact_st"))
-    family = Q.AnchorSequence(Q.split_blocks(A.sequences(spark, sf)), 10, 5)
+    family = Q.AnchorSequence(Q.split_blocks(A.sequences(spark, sf)), 10, 5, wide=True)
     return X.compute(contacts, [family]).drop("dist")
+
+
+def _stretch_sql(at: str, side: str) -> str:
+    inside = f"{at} >= 20 AND length(seq) >= {at} + 220"
+    return f"""CASE WHEN {inside} THEN translate(substr(seq, {at} - 19, 240), 'atgcn', '01234') END AS "{side}\""""
+
+
+@query(
+    "f13_anchor_sequence_arrays",
+    f"SELECT chr, contact_st, contact_en, {_stretch_sql('contact_st', 'left')}, {_stretch_sql('contact_en', 'right')} FROM a_seq_contacts JOIN a_seq USING (chr)",
+)
+def f13_arrays(spark, sf):
+    contacts = A.sequence_contacts(spark, sf).withColumn("dist", F.col("contact_en") - F.col("contact_st"))
+    family = Q.AnchorSequence(Q.split_blocks(A.sequences(spark, sf)), 200, 20)
+    table = X.compute(contacts, [family])
+    return table.select(*X.KEY, *[F.array_join(f"SequencePredictor_{side}", "").alias(side) for side in ("left", "right")])
