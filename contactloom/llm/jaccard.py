@@ -268,7 +268,8 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     later = named.select("doc_id", "sid").join(copies, "sid").where("doc_id <> rep")
     rows = only(named, later, "left_anti").withColumn("need", leading(F.col("n"), percent))
     postings = rows.select(F.explode("grams").alias("h"), "doc_id", "n")
-    heights = postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
+    # written, so that the join can split the rows of a busy column
+    heights = cut_lineage(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
     shared = cut_lineage(postings.join(heights.hint("shuffle_hash"), "h"))
     busy = shared.where(F.col("m") > BUSY).groupBy("doc_id").agg(F.count("*").alias("busy"))
     sized = cut_lineage(

@@ -5,7 +5,8 @@ over domains. A document's rate (how often it enters the mixture) is found by pr
 squares: the expected tokens of domain k are sum_i rate_i * tokens_i * p_ik, and rates move against the
 gradient of the squared distance from the targets, measured in the domains' second moments, and are cut
 off at 0. A step needs one aggregate of as many numbers as there are domains; a document's rate is a
-function of its own posterior and the steps so far, so nothing is written between steps.
+function of its own posterior and the steps so far, so nothing is written between steps. Of a step and
+its halves, the one that comes nearest is taken, so the distance never grows.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from contactloom.llm.common import text_or_empty
 from contactloom.session import cut_lineage
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+#: lengths that are tried for each step: the whole, a half, a quarter, ...
+HALVINGS = 6
 #: bits below which a sign is left out of the vocabulary
 LEAST_TOLD = 0.3
 LETTERS = UPPER + UPPER.lower() + " \t\r\n"
@@ -111,24 +114,35 @@ def rates(members: DataFrame, targets: list[float], steps: int, tolerance: float
     """
     k = len(targets)
     p = [F.element_at("posterior", i + 1) for i in range(k)]
-    n = F.col("tokens").cast("double")
-    moments = [F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-    first = members.agg(F.sum(n).alias("all"), *moments).first()
-    everything = first["all"] or 0.0
+    n, pairs = F.col("tokens").cast("double"), [(i, j) for i in range(k) for j in range(i, k)]
+    everything = members.agg(F.sum(n)).first()[0] or 0.0
     if not everything:
         return F.lit(0.0), [0.0] * k
-    m = np.array([[first[f"m{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]) / everything
-    scale = np.linalg.inv(m + np.eye(k) * 1e-9 * np.trace(m))
-    moves: list[list[float]] = []
-    reached = [0.0] * k
-    for step in range(steps + 1):
-        row = members.withColumn("rate", after(moves, k)).agg(*[F.sum(F.col("rate") * n * p[i]).alias(f"t{i}") for i in range(k)]).first()
-        reached = [row[f"t{i}"] / everything for i in range(k)]
-        miss = np.array(reached) - np.array(targets)
-        if step == steps or np.abs(miss).max() <= tolerance:
+    wanted, moves = np.array(targets), []
+
+    def shares(tried: list[list[list[float]]]) -> list[np.ndarray]:
+        """The shares that each of several sequences of steps reaches, in one pass."""
+        sums = [F.sum(after(steps, k) * n * p[i]).alias(f"t{a}_{i}") for a, steps in enumerate(tried) for i in range(k)]
+        row = members.agg(*sums).first()
+        return [np.array([row[f"t{a}_{i}"] for i in range(k)]) / everything for a in range(len(tried))]
+
+    reached = shares([[]])[0]
+    for _ in range(steps):
+        miss = reached - wanted
+        if np.abs(miss).max() <= tolerance:
             break
-        moves.append((scale @ miss).tolist())
-    return after(moves, k), reached
+        # second moments of the documents that can still move down
+        row = members.where(after(moves, k) > 0).agg(*[F.sum(n * p[i] * p[j]).alias(f"m{i}_{j}") for i, j in pairs]).first()
+        m = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]) / everything
+        move = np.linalg.solve(m + np.eye(k) * 1e-9 * max(np.trace(m), 1e-9), miss)
+        tried = [[*moves, (move / 2**h).tolist()] for h in range(HALVINGS)]
+        results = shares(tried)
+        errors = [float(((r - wanted) ** 2).sum()) for r in results]
+        best = int(np.argmin(errors))
+        if errors[best] >= float((miss**2).sum()) * (1 - 1e-6):
+            break
+        moves, reached = tried[best], results[best]
+    return after(moves, k), reached.tolist()
 
 
 def after(moves: list[list[float]], k: int) -> Column:
@@ -141,7 +155,7 @@ def after(moves: list[list[float]], k: int) -> Column:
     )
 
 
-def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", per_domain: int = 2000, vocabulary: int = 200, temper: float = 4.0, steps: int = 25, tolerance: float = 1e-4, carry: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str = "text", key: str = "doc_id", per_domain: int = 2000, vocabulary: int = 200, temper: float = 2.0, steps: int = 25, tolerance: float = 1e-4, carry: list[str] | None = None) -> DataFrame:
     """The columns ``carry`` of ``docs`` (default: all) plus ``n_tokens``, ``posterior`` (domains in order of name) and ``rate``.
 
     ``labels`` (key, domain) teaches the domains; ``targets`` are the shares of expected tokens wanted of

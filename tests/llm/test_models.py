@@ -133,13 +133,19 @@ def test_mixing_meets_targets_like_plain_least_squares(spark):
     reached = (rate * n) @ p / n.sum()
     assert (rate >= 0).all() and np.allclose(reached, [0.2, 0.6, 0.2], atol=2e-3)
     # the same steps in numpy
-    want, m = np.ones(len(n)), (p * n[:, None]).T @ p / n.sum()
-    scale = np.linalg.inv(m + np.eye(3) * 1e-9 * np.trace(m))
+    want, target = np.ones(len(n)), np.array([0.2, 0.6, 0.2])
+    share = lambda r: (r * n) @ p / n.sum()
     for _ in range(25):
-        miss = (want * n) @ p / n.sum() - np.array([0.2, 0.6, 0.2])
+        miss = share(want) - target
         if np.abs(miss).max() <= 1e-4:
             break
-        want = np.maximum(0, want - p @ (scale @ miss))
+        m = (p * (n * (want > 0))[:, None]).T @ p / n.sum()
+        move = np.linalg.solve(m + np.eye(3) * 1e-9 * np.trace(m), miss)
+        tried = [np.maximum(0, want - p @ move / 2**h) for h in range(mixing.HALVINGS)]
+        best = min(tried, key=lambda r: ((share(r) - target) ** 2).sum())
+        if ((share(best) - target) ** 2).sum() >= (miss**2).sum() * (1 - 1e-6):
+            break
+        want = best
     assert np.allclose(rate, want, atol=1e-6)
     best = {r.doc_id: "abc"[int(np.argmax(r.posterior))] for r in got}
     assert sum(best[i] == k for i, _, k in rows) / len(rows) > 0.95
