@@ -265,8 +265,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     named = pools.where("n > 0 and doc_id is not null")
     copies = named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
     copies = cut_lineage(copies.where("m > 1").select("sid", "rep"))
-    later = named.select("doc_id", "sid").join(copies, "sid").where("doc_id <> rep")
-    rows = only(named, later, "left_anti").withColumn("need", leading(F.col("n"), percent))
+    later = cut_lineage(named.select("doc_id", "sid").join(copies, "sid").where("doc_id <> rep").select("doc_id", "sid"))
+    # an id that stands on several rows keeps those of its rows that are no copies
+    other = only(named, later).join(later, ["doc_id", "sid"], "left_anti")
+    rows = only(named, later, "left_anti").unionByName(other).withColumn("need", leading(F.col("n"), percent))
     postings = rows.select(F.explode("grams").alias("h"), "doc_id", "n")
     # written, so that the join can split the rows of a busy column
     heights = cut_lineage(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
@@ -301,7 +303,10 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     links = counted(listed, own, k, percent).unionByName(
         multiplied(tall.where(F.col("m") > BUSY).select("h", "doc_id", "n"), sets.select("doc_id", "grams"), percent)
     )
-    groups = components(links)
+    # an id on several rows is one document: what its rows are copies of belongs together
+    many = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    same = later.join(many, "doc_id").join(copies, "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    groups = components(links.unionByName(same))
     whole = pools.select("doc_id", "n", "sid").join(copies, "sid", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return whole.join(groups, F.col("rep") == F.col("id"), "left").select(
         "doc_id",

@@ -75,6 +75,9 @@ def test_empty_table_and_repeated_ids(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")
     assert jaccard.near_duplicates(df.where("doc_id > 9")).count() == 0
     assert sorted(tuple(r) for r in jaccard.near_duplicates(df).collect()) == [(3, 2, 3), (5, 2, 3), (5, 2, 3)]
+    # an id with two texts ties together what they are copies of
+    two = spark.createDataFrame([(3, "a b c d e"), (7, "a b c d e"), (7, "p q r s t u"), (9, "p q r s t u")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(two).collect()} == {(3, 3), (7, 3), (9, 3)}
 
 
 @settings(max_examples=50, deadline=None)
