@@ -211,34 +211,34 @@ def s15_enhancers(spark, sf):
 
 
 def _pair_lines(spark, sf, path, columns):
-    rows = A.predictions(spark, sf).filter("chr = 'chr3'")
+    rows = A.predictions(spark, sf)
     # ends swapped, and every pair written twice with different values
     twice = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("contact_count", F.col("contact_count") + F.col("again") * 1000)
-    lines = twice.withColumn("value", F.concat_ws(" ", "contact_en", "contact_st", *columns)).withColumn("name", F.lit("chr3.oe"))
+    lines = twice.withColumn("value", F.concat_ws(" ", "contact_en", "contact_st", *columns)).withColumn("name", F.concat("chr", F.lit(".oe")))
     write_lines(lines, path, "name", ["again", "contact_st", "contact_en"])
 
 
 @query(
     "s16_read_oe_pairs",
     """SELECT p.chr, contact_st // 5000 AS i, contact_en // 5000 AS j, contact_count AS value FROM a_pred p
-    JOIN (SELECT DISTINCT chr, x1 // 5000 AS i FROM a_loops) l ON l.chr = p.chr AND l.i = contact_st // 5000 WHERE p.chr = 'chr3' AND dist < 200000""",
+    JOIN (SELECT DISTINCT chr, x1 // 5000 AS i FROM a_loops) l ON l.chr = p.chr AND l.i = contact_st // 5000""",
 )
 def s16(spark, sf):
     path = scratch_path(spark, "oepairs")
     _pair_lines(spark, sf, path, ["contact_count"])
     cells = A.contacts(spark, sf).select("chr", F.floor(F.col("contact_st") / A.BIN).alias("i"), F.floor(F.col("contact_en") / A.BIN).alias("j"))
     starts = A.loops(spark, sf).select("chr", F.floor(F.col("x1") / A.BIN).alias("i")).distinct()
-    return S.read_oe_pairs(spark, path, "chr3", A.BIN, cells.join(starts, ["chr", "i"], "left_semi"), 40)
+    return S.read_oe_pairs(spark, path, None, A.BIN, cells.join(starts, ["chr", "i"], "left_semi"))
 
 
 @query(
     "s17_read_model_pairs",
-    """SELECT chr, contact_st // 5000 AS i, contact_en // 5000 AS j, contact_count + 1000 AS observed, predicted FROM a_pred WHERE chr = 'chr3'""",
+    """SELECT chr, contact_st // 5000 AS i, contact_en // 5000 AS j, contact_count + 1000 AS observed, predicted FROM a_pred""",
 )
 def s17(spark, sf):
     path = scratch_path(spark, "modelpairs")
     _pair_lines(spark, sf, path, ["contact_count", "predicted"])
-    return S.read_model_pairs(spark, path, "chr3", A.BIN)
+    return S.read_model_pairs(spark, path, None, A.BIN)
 
 
 @query(

@@ -330,6 +330,28 @@ def j13(spark, sf):
     return rounded(D.gather_conditions(_pairs(spark, sf), _values(spark, sf), [0, 1]), 9, "c0", "c1", "distance")
 
 
+_COARSE = 50_000
+_SIX = f"""pe AS (SELECT DISTINCT p.chr, LEAST(p.b, e.b) AS i, GREATEST(p.b, e.b) AS j FROM (SELECT DISTINCT chr, TSS // {_COARSE} AS b FROM a_genes) p
+      JOIN (SELECT DISTINCT chr, mids // {_COARSE} AS b FROM a_peaks WHERE event_type = 'purchase') e ON e.chr = p.chr AND ABS(p.b - e.b) > 2 AND ABS(p.b - e.b) < 60),
+    cd AS (SELECT condition, chr, contact_st // {_COARSE} AS i, contact_en // {_COARSE} AS j, SUM(contact_count) AS v FROM a_cond GROUP BY ALL)
+    SELECT chr, i, j, {', '.join(f'ROUND(log2(SUM(v) FILTER (condition = {c})), 9) AS c{c}' for c in range(6))}, ROUND(log2(j - i), 9) AS distance
+    FROM pe JOIN cd USING (chr, i, j) GROUP BY chr, i, j HAVING COUNT(DISTINCT condition) FILTER (v <> 0) = 6"""
+
+
+@query("j13_gather_six_conditions", f"WITH {_SIX}")
+def j13_six(spark, sf):
+    """All six conditions, on bins of 50 kb so that pairs are present in each."""
+
+    def bins(df):
+        return df.select("chr", F.floor(F.col("position") / _COARSE).alias("bin"))
+
+    pairs = D.promoter_enhancer_pairs(bins(_promoters(spark, sf)), bins(_enhancers(spark, sf)), 60)
+    cells = A.conditions(spark, sf).select(
+        "condition", "chr", F.floor(F.col("contact_st") / _COARSE).alias("i"), F.floor(F.col("contact_en") / _COARSE).alias("j"), F.col("contact_count").alias("value")
+    )
+    return rounded(D.gather_conditions(pairs, cells, list(range(6))), 9, *[f"c{c}" for c in range(6)], "distance")
+
+
 _WTMUT = """wa AS (SELECT chr, contact_st // 5000 AS i, contact_en // 5000 AS j, contact_count AS v FROM a_wt),
     mu AS (SELECT chr, contact_st // 5000 AS i, contact_en // 5000 AS j, contact_count AS v FROM a_mut),
     lr AS (SELECT wa.chr, wa.i, wa.j, ABS(log2(wa.v) - log2(mu.v)) AS d FROM wa JOIN mu ON mu.chr = wa.chr AND mu.i = wa.i AND mu.j = wa.j WHERE wa.v > 0 AND mu.v > 0),

@@ -273,20 +273,29 @@ def _sorted_bins(lines: DataFrame, resolution: int, reach: int | None, values: d
     return pairs if reach is None else pairs.filter(F.col("j") - F.col("i") < reach)
 
 
-def read_oe_pairs(spark: SparkSession, path: str, chrom: str, resolution: int, pairs: DataFrame, reach: int | None = None) -> DataFrame:
-    """(chr, i, j, value) of the wanted pairs; where a pair occurs twice the first line counts."""
-    rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"value": 2}).withColumn("chr", F.lit(chrom))
+def _chromosome(chrom: str | None) -> Column:
+    """The given chromosome, or the first part of the file's name."""
+    return F.lit(chrom) if chrom else F.regexp_extract(_name_of(F.col("file")), r"^([^.]+)", 1)
+
+
+def read_oe_pairs(spark: SparkSession, path: str | Sequence[str], chrom: str | None, resolution: int, pairs: DataFrame, reach: int | None = None) -> DataFrame:
+    """(chr, i, j, value) of the wanted pairs; where a pair occurs twice the first line counts.
+
+    Without ``chrom`` the chromosome comes from the file's name.
+    """
+    rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"value": 2}).withColumn("chr", _chromosome(chrom))
     wanted = rows.join(pairs.select("chr", "i", "j"), ["chr", "i", "j"], "left_semi")
     return wanted.groupBy("chr", "i", "j").agg(F.min_by("value", F.struct("file", "line")).alias("value"))
 
 
-def read_model_pairs(spark: SparkSession, path: str, chrom: str, resolution: int, reach: int | None = None) -> DataFrame:
-    """(chr, i, j, observed, predicted); where a pair occurs twice the last line counts."""
+def read_model_pairs(spark: SparkSession, path: str | Sequence[str], chrom: str | None, resolution: int, reach: int | None = None) -> DataFrame:
+    """(chr, i, j, observed, predicted); where a pair occurs twice the last line counts, ``chrom`` as above."""
     rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"observed": 2, "predicted": 3})
+    rows = rows.withColumn("chr", _chromosome(chrom))
     last = F.struct("file", "line")
-    return rows.groupBy("i", "j").agg(
+    return rows.groupBy("chr", "i", "j").agg(
         F.max_by("observed", last).alias("observed"), F.max_by("predicted", last).alias("predicted")
-    ).select(F.lit(chrom).alias("chr"), "i", "j", "observed", "predicted")
+    )
 
 
 def read_pre(spark: SparkSession, path: str, resolution: int) -> DataFrame:
