@@ -295,6 +295,40 @@ class PeakSums(AnchorFamily):
         return out
 
 
+class TrackSums(AnchorFamily):
+    """``PeakSums`` of many tracks of one table (with a column ``track``), found by a single search.
+
+    A track on a chromosome takes the place of a chromosome in that search; its answers are put side by side
+    at the end. ``names`` are the tracks in order of their columns, as a manifest lists them.
+    """
+
+    SEPARATOR = "\x1f"
+
+    def __init__(self, tracks: DataFrame, names: Sequence[str], window: int, n: int = 4, name: str = "tracks"):
+        self.names, self.window, self.n, self.name = list(names), window, n, name
+        keyed = tracks.filter(F.col("track").isin(self.names)).withColumn("chr", F.concat_ws(self.SEPARATOR, "chr", "track"))
+        self._search = PeakSums(keyed, name, window, n)
+        self._families = [PeakSums(tracks, track, window, n) for track in self.names]
+
+    def settings(self) -> dict:
+        return {"tracks": ",".join(self.names), "window": self.window, "n": self.n}
+
+    def anchor_rows(self, anchors):
+        track = F.explode(F.array(*[F.lit(t) for t in self.names]))
+        keyed = anchors.select(*ANCHOR, track.alias("_t")).select(F.concat_ws(self.SEPARATOR, "chr", "_t").alias("chr"), "pos")
+        parts = F.split("chr", self.SEPARATOR)
+        rows = self._search.anchor_rows(keyed).select(parts[0].alias("chr"), parts[1].alias("_t"), "pos", F.col(self._search.slot).alias("_s"))
+        sides = rows.groupBy(*ANCHOR).agg(F.map_from_entries(F.collect_list(F.struct("_t", "_s"))).alias("_m"))
+        fields = [F.col("_m")[t].alias(f"t{i}") for i, t in enumerate(self.names)]
+        return sides.select(*ANCHOR, F.struct(*fields).alias(self.slot))
+
+    def columns(self, st, en):
+        out = []
+        for i, family in enumerate(self._families):
+            out += family.columns(*((lambda tag, pick=pick, i=i: pick(f"t{i}")[tag]) for pick in (st, en)))
+        return out
+
+
 class GeneSums(PeakSums):
     """As ``PeakSums``, but a gene counts in every window its body touches (closed ends)."""
 

@@ -164,6 +164,20 @@ def f04(spark, sf):
     return family_rows(spark, sf, X.PeakSums(A.peaks(spark, sf), "CTCF", W, 4))
 
 
+_EVENT_TRACKS = ["click", "error", "purchase", "signup", "view"]
+_EVENT_SQL = [peak_sums_sql(t, f"(SELECT * FROM a_peaks WHERE event_type = '{t}')", 2) for t in _EVENT_TRACKS]
+
+
+@query(
+    "f04_many_tracks",
+    "SELECT * FROM " + " JOIN ".join(f"({sql}) {t}_{' USING (chr, contact_st, contact_en)' if i else ''}" for i, (t, sql) in enumerate(zip(_EVENT_TRACKS, _EVENT_SQL))),
+)
+def f04_tracks(spark, sf):
+    """One search for all tracks of a table."""
+    tracks = A.peaks(spark, sf).withColumn("track", F.col("event_type"))
+    return family_rows(spark, sf, X.TrackSums(tracks, _EVENT_TRACKS, W, 2))
+
+
 F04G_SQL = peak_sums_sql("RNA", "a_genes", 3, overlap=True)
 
 
