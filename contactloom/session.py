@@ -6,6 +6,7 @@ import os
 import re
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -44,7 +45,30 @@ def scratch_root(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root; never reused, so nothing is overwritten."""
-    return os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(scratch_root(spark), f"{name}-{uuid.uuid4().hex[:12]}")
+    if _SCOPES:
+        _SCOPES[-1].append(path)
+    return path
+
+
+#: paths made in each open scope, the innermost last
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Removes at its end what was written to the scratch root inside.
+
+    A caller that stores its result opens one around the work; a DataFrame that is still to be
+    computed must not leave it, as it may read from the removed tables.
+    """
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut_lineage(df):
