@@ -61,17 +61,15 @@ def write_parts(docs: DataFrame, folder: str) -> DataFrame:
     def run(frames):
         system, root = opened(folder)
         system.create_dir(root, recursive=True)
-        number, held, size = TaskContext.get().partitionId() << 24, [], 0
+        # in order of the partitions; an attempt's own number keeps its files apart from those of a repeated one
+        number, held, size = (TaskContext.get().partitionId() << 40) + (uuid.uuid4().int % (1 << 20) << 20), [], 0
 
         def flush():
             nonlocal number, held, size
             out = io.BytesIO()
             pq.write_table(pa.table({"text": pa.array([h[1] for h in held], pa.binary())}), out, compression="zstd", use_dictionary=False)
-            # written under a name of its own and moved, so that a repeated task leaves the same file
-            temporary = f"{root}/{uuid.uuid4().hex}"
-            with system.open_output_stream(temporary, compression=None) as f:
+            with system.open_output_stream(f"{root}/{number}", compression=None) as f:
                 f.write(out.getvalue())
-            system.move(temporary, f"{root}/{number}")
             frame = pd.DataFrame(
                 {
                     "doc_id": pd.array([h[0] for h in held], dtype="Int64"),
