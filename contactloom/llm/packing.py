@@ -85,13 +85,17 @@ def encoder(vocabulary: str, ranks: tuple[str, str] | None):
     ``tokenizers``.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(vocabulary)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    loaded: list = []
 
     def slow(texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if not texts:
+            return []
+        if not loaded:  # a task that meets no such text does without
+            from tokenizers import Tokenizer
+
+            loaded.append(Tokenizer.from_file(vocabulary))
+            loaded[0].encode_special_tokens = True  # their strings in a text are ordinary text
+        return [e.ids for e in loaded[0].encode_batch_fast(texts, add_special_tokens=False)]
 
     if ranks is None:
         return slow
