@@ -1,7 +1,9 @@
 """Secret scans: candidate tokens are kept or dropped by a random forest trained on labelled findings.
 
-Candidates are tokens that could be keys (long, with a digit or all capitals). The forest sees the
-length, transitions between character classes, the entropy, how much of the token the corpus' own words cover,
+Candidates are strings of known key formats, values assigned to names such as ``password`` or ``api_key`` (of any
+length and alphabet), and tokens that could be keys (long, with a digit or all capitals). Findings are labelled by
+formats and assignments; those that are neither clearly secret nor clearly a false alarm have no label and teach
+nothing. A finding with the label of a secret is one; the forest decides the others. It sees the length, transitions between character classes, the entropy, how much of the token the corpus' own words cover,
 and how often the path, the words before and the word after go with secrets among the labelled findings.
 
 The word list comes from the counts over all documents (its ``words`` most frequent ones); the forest
@@ -29,21 +31,99 @@ TOKEN = re.compile(r"[A-Za-z0-9+/_~\-]{12,}={0,2}")
 WORD = re.compile(r"[^\W\d_]+")
 RUN = re.compile(r"[a-z]+")
 AROUND = 48
-#: formats and assignments that make a finding a labelled secret; everything else is labelled a false alarm
-KEY_FORMAT = re.compile(r"AKIA[0-9A-Z]{16}")
-ASSIGNED = re.compile(r"(?:password|passwd|pwd|secret|token|api[_-]?key)\s*[:=]\s*[\"']?$", re.I)
+#: how far before a finding its label looks
+BEFORE = 96
+#: every alternative starts with a letter or sign of its own, which lets the search skip
+FORMAT = re.compile(
+    r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])|ASIA[0-9A-Z]{16}(?![0-9A-Za-z])|AIza[\w-]{30,}"
+    r"|ghp_[A-Za-z0-9]{20,}|gho_[A-Za-z0-9]{20,}|ghu_[A-Za-z0-9]{20,}|ghs_[A-Za-z0-9]{20,}|ghr_[A-Za-z0-9]{20,}|github_pat_\w{20,}|glpat-[\w-]{16,}"
+    r"|xox[a-z]-[A-Za-z0-9-]{10,}|xapp-[A-Za-z0-9-]{10,}"
+    r"|sk_live_[A-Za-z0-9]{10,}|sk_test_[A-Za-z0-9]{10,}|rk_live_[A-Za-z0-9]{10,}|sk-(?=[\w-]{0,100}\d)[\w-]{20,}|SG\.[\w-]{16,100}\.[\w-]{16,}"
+    r"|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{40,}|ya29\.[\w-]{20,}"
+    r"|eyJ[\w-]{8,2000}+(?:\.[\w-]+){1,4}={0,2}"
+    r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*)"
+)
+#: the password of an address
+LOGIN = re.compile(r"://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
+SIGN = re.compile(r"(?<![=!<>:])(?:=>|:=|[:=])(?![=:/])")
+_NAME = (
+    r"(?P<name>pass(?:word|wd|phrase|code)|(?<![a-z0-9])pass(?![a-z0-9])|pwd|secret|token|credential|authorization|api[_.\- ]?key"
+    r"|(?:access|private|auth|encryption|signing|account|shared|client|master|session|storage|service|deploy)[_.\- ]?key"
+    r"|(?<!public)(?<!primary)(?<!foreign)(?<!partition)(?<!sort)[_-]key)"
+    r"(?!i[sz]|s(?![a-z0-9]))(?P<rest>[\w.\-]{0,40})(?:\s{0,4}:\s{0,4}[A-Za-z]{1,20}(?=\s{0,4}=))?"
+)
+NAMED = re.compile(_NAME + r"(?P<close>\\?[\"'`\]]{0,2})\s{0,8}(?P<sign>=>|:=|[:=])$", re.I)
+_SCHEME = r"(?:(?:Bearer|Basic|Token|Digest)\s{1,4})?"
+VALUE = re.compile(rf"\s{{0,8}}(?:\\([\"'`]){_SCHEME}(?P<escaped>[^\n]+?)\\\1|([\"'`]){_SCHEME}(?P<quoted>(?:\\.|(?!\3)[^\\\n])+)\3|\\?[\"'`]?{_SCHEME}(?![{{\[(])(?P<plain>(?:(?!&[\w.\-]+=)[^\s\"'`<>,;])+))", re.I)
+ASSIGNED = re.compile(_NAME + rf"\\?[\"'`\]]{{0,2}}\s{{0,8}}(?P<sign>=>|:=|[:=])(?P<gap>\s{{0,8}})(?P<quote>\\?[\"'`]?){_SCHEME}$", re.I)
+BEARER = re.compile(r"\bBearer\s{1,4}$", re.I)
+#: names that tell about a secret instead of holding one
+ABOUT = re.compile(r"(?:count|len|length|size|limit|file|path|url|uri|name|type|id|policy|field|hint|expir\w*|ttl)$", re.I)
+#: values that stand for one
+STAND_IN = re.compile(r"[xX*.•_\-?]+|[<\[{$%].*|null|none|nil|true|false|undefined|change.?me|example.*|your.*|todo|redacted|(?:os|self|this|process|config|settings|env)\.\w.*|[A-Za-z_][\w.]*[(\[].*", re.S)
+#: words, numbers and what is put together from them
+ORDINARY = re.compile(r"(?:[A-Za-z][a-z]{2,}|[A-Z]{3,}|\d+|[_/+~=\-])+")
+DIGEST = re.compile(r"(?:commit|revision|rev|blob|tree|sha-?\d*|md5|etag|checksum|digest|integrity)\W{1,4}$", re.I)
+HEX = re.compile(r"[0-9a-f]{12,}", re.I)
 
 
 def found_tokens(text: str):
-    """(start, end) of every candidate."""
+    """(start, end) of every candidate, in order, none overlapping another."""
+    known = [m.span() for m in FORMAT.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
+    known += [m.span(1) for m in LOGIN.finditer(text)]
+    until = 0
+    for m in SIGN.finditer(text):
+        if m.start() < until:  # inside a value
+            continue
+        name = NAMED.search(text[max(0, m.start() - BEFORE) : m.end()])
+        if name and not ABOUT.search(name["rest"]) and (value := VALUE.match(text, m.end())):
+            s, e = value.span(value.lastgroup)
+            if value.lastgroup == "plain":
+                while e > s and text[e - 1] in ")]}.":
+                    e -= 1
+            if e > s:
+                known.append((s, e))
+                until = e
+    spans: list[list[int]] = []
+    for s, e in sorted(known):
+        if spans and s < spans[-1][1]:
+            spans[-1][1] = max(e, spans[-1][1])
+        else:
+            spans.append([s, e])
+    at = 0
     for m in TOKEN.finditer(text):
+        s, e = m.span()
         token = m.group()
-        if any(map(str.isdigit, token)) or (token.isupper() and len(token) >= 16):
-            yield m.span()
-
-
-def labelled_by_format(token: str, before: str) -> int:
-    return int(bool(KEY_FORMAT.fullmatch(token) or (ASSIGNED.search(before) and any(map(str.isdigit, token)))))
+        while at < len(spans) and spans[at][1] <= s:
+            yield tuple(spans[at])
+            at += 1
+        if (at == len(spans) or spans[at][0] >= e) and (any(map(str.isdigit, token)) or (token.isupper() and len(token) >= 16)):
+            yield s, e
+    yield from map(tuple, spans[at:])
+
+
+def labelled_by_format(token: str, before: str) -> int | None:
+    """1 for a secret, 0 for a false alarm, None if neither is clear."""
+    if FORMAT.fullmatch(token) or LOGIN.search(f"{before}{token}@", max(0, len(before) - BEFORE)) and re.search(r"://[^\s/:@\"'<>]*:$", before):
+        return 1
+    m = ASSIGNED.search(before)
+    if m and not ABOUT.search(m["rest"]):
+        digit = any(map(str.isdigit, token))
+        if STAND_IN.fullmatch(token):
+            return None
+        if m["name"].lower() in ("_key", "-key") and not (digit and len(token) >= 12):
+            return None
+        if any(map(str.isspace, token)):
+            return 1 if m["quote"] and m["sign"] != ":" and m["name"].lower().startswith("pass") else None
+        if m["quote"] or digit or (m["sign"] == "=" and not m["gap"]):
+            return 1
+        # a word after a colon or a blank may be prose or code
+        return 1 if len(token) >= 6 and (re.search(r"[!@#$%^&*?+~]", token) or re.search(r"[a-z][A-Z].*[a-z][A-Z]", token)) else None
+    if BEARER.search(before) and len(token) >= 16:
+        return 1
+    if ORDINARY.fullmatch(token) or (DIGEST.search(before) and HEX.fullmatch(token)):
+        return 0
+    return None
 
 
 def covered(token: str, words: frozenset[str]) -> float:
@@ -129,6 +209,8 @@ class Scanner:
     words: frozenset[str]
     odds: list[dict[str, float]]
     forest: Forest
+    #: what it labels 1 is a secret, whatever the forest says
+    label: Callable[[str, str], int | None] | None = None
 
     def features(self, token: str, around: tuple[str, str, str], path: str) -> list[float]:
         known = [o.get(v, 0.0) for o, v in zip(self.odds, (*around, path), strict=True)]
@@ -140,7 +222,8 @@ class Scanner:
         if not spans:
             return []
         x = np.array([self.features(text[s:e], context(text, s, e), path) for s, e in spans])
-        return [(s, e, p) for (s, e), p in zip(spans, self.forest.score(x).tolist(), strict=True)]
+        sure = [self.label is not None and self.label(text[s:e], text[max(0, s - BEFORE) : s]) == 1 for s, e in spans]
+        return [(s, e, 1.0 if y else p) for (s, e), p, y in zip(spans, self.forest.score(x).tolist(), sure, strict=True)]
 
 
 def frequent_words(docs: DataFrame, text: str, words: int) -> frozenset[str]:
@@ -166,8 +249,8 @@ def frequent_words(docs: DataFrame, text: str, words: int) -> frozenset[str]:
     return frozenset(r["word"] for r in top.collect())
 
 
-def train(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", label: Callable[[str, str], int] = labelled_by_format, words: int = 5000, per_label: int = 1500, sample_docs: int = 20_000) -> Scanner:
-    """A scanner from findings labelled by ``label(token, text before it)`` (1 secret, 0 false alarm).
+def train(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", label: Callable[[str, str], int | None] = labelled_by_format, words: int = 5000, per_label: int = 1500, sample_docs: int = 20_000) -> Scanner:
+    """A scanner from findings labelled by ``label(token, text before it)`` (1 secret, 0 false alarm, None unclear).
 
     Findings come from about ``sample_docs`` documents drawn by a hash, at most ``per_label`` of each label.
     Without findings, or with one label only, every candidate gets the score 0 or that label.
@@ -184,21 +267,23 @@ def train(docs: DataFrame, text: str = "text", path: str = "source", key: str =
             for x, where, draw in zip(frame[text], frame["path"], frame["draw"], strict=True):
                 if isinstance(x, str):
                     for s, e in found_tokens(x):
-                        rows.append((label(x[s:e], x[max(0, s - AROUND) : s]), draw, s, x[s:e], *context(x, s, e), where))
+                        y = label(x[s:e], x[max(0, s - BEFORE) : s])
+                        if y is not None:
+                            rows.append((y, draw, s, x[s:e], *context(x, s, e), where))
             yield pd.DataFrame(rows, columns=["label", "draw", "start", "token", "near", "far", "after", "path"])
 
     findings = drawn.mapInPandas(label_all, "label int, draw long, start long, token string, near string, far string, after string, path string")
     keep = [findings.where(F.col("label") == y).orderBy("draw", "start", "token").limit(per_label) for y in (0, 1)]
     rows = keep[0].unionByName(keep[1]).toPandas().sort_values(["label", "draw", "start", "token"], kind="stable")
     if not len(rows):
-        return Scanner(vocabulary, [{}] * 4, Forest())
+        return Scanner(vocabulary, [{}] * 4, Forest(), label)
     y = rows["label"].to_numpy()
     odds = []
     for column in ("near", "far", "after", "path"):
         table = rows.groupby(column)["label"].agg(["sum", "count"])
         # a word seen once says little: two imagined findings of either label stand against it
         odds.append({w: float(np.log((s + 2) / (n - s + 2))) for w, s, n in zip(table.index, table["sum"], table["count"], strict=True) if n >= 3})
-    scanner = Scanner(vocabulary, odds, Forest())
+    scanner = Scanner(vocabulary, odds, Forest(), label)
     x = np.array([scanner.features(t, (a, b, c), p) for t, a, b, c, p in rows[["token", "near", "far", "after", "path"]].itertuples(index=False)])
     scanner.forest = Forest.fit(x, y)
     return scanner
