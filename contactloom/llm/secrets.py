@@ -7,14 +7,16 @@ nothing. A finding with the label of a secret is one; the forest decides the oth
 and how often the path, the words before and the word after go with secrets among the labelled findings.
 
 The word list comes from the counts over all documents (its ``words`` most frequent ones); the forest
-is fitted in numpy on a bounded number of findings per label (``per_label``). Scanning and redaction read
+is fitted in numpy on a bounded number of the findings of all documents per label (``per_label``). Scanning and redaction read
 whole texts where they are stored; nothing but counts and the training sample is moved.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
+import warnings
 from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -26,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import short_batches
+from contactloom.session import cut_lineage
 
 TOKEN = re.compile(r"[A-Za-z0-9+/_~\-]{12,}={0,2}")
 WORD = re.compile(r"[^\W\d_]+")
@@ -187,9 +190,11 @@ class Forest:
                 nodes[at][3] = grow(rows[~left], level + 1, nodes)
             return at
 
+        # a tree draws as many rows of each label: a rare one counts as much
+        sides = [side for side in (np.flatnonzero(y == 0), np.flatnonzero(y == 1)) if len(side)]
         for _ in range(trees):
             nodes: list = []
-            grow(rng.integers(0, len(y), len(y)), 0, nodes)
+            grow(np.concatenate([rng.choice(side, -(-len(y) // len(sides))) for side in sides]), 0, nodes)
             forest.trees.append(tuple(np.array(c) for c in zip(*nodes, strict=True)))
         return forest
 
@@ -249,32 +254,38 @@ def frequent_words(docs: DataFrame, text: str, words: int) -> frozenset[str]:
     return frozenset(r["word"] for r in top.collect())
 
 
-def train(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", label: Callable[[str, str], int | None] = labelled_by_format, words: int = 5000, per_label: int = 1500, sample_docs: int = 20_000) -> Scanner:
+def train(docs: DataFrame, text: str = "text", path: str = "source", key: str = "doc_id", label: Callable[[str, str], int | None] = labelled_by_format, words: int = 5000, per_label: int = 1500) -> Scanner:
     """A scanner from findings labelled by ``label(token, text before it)`` (1 secret, 0 false alarm, None unclear).
 
-    Findings come from about ``sample_docs`` documents drawn by a hash, at most ``per_label`` of each label.
-    Without findings, or with one label only, every candidate gets the score 0 or that label.
+    Findings of all documents are labelled; those of the ``per_label`` lowest draws of each label teach the forest, so
+    that a rare label is seen however large the table is. A label that no finding of the table has is warned of:
+    without findings, or with one label only, the forest gives every candidate the score 0 or that label.
     """
     short_batches(docs.sparkSession)
     vocabulary = frequent_words(docs, text, words)
-    total = docs.count()
-    share = min(1.0, sample_docs / max(1, total))
-    drawn = docs.select(text, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.xxhash64(key, text).alias("draw")).where(F.pmod("draw", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    own = docs.select(text, F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), F.xxhash64(key, text).alias("draw"))
 
     def label_all(frames):
+        kept: dict[int, list[tuple]] = {0: [], 1: []}
         for frame in frames:
-            rows = []
             for x, where, draw in zip(frame[text], frame["path"], frame["draw"], strict=True):
                 if isinstance(x, str):
                     for s, e in found_tokens(x):
                         y = label(x[s:e], x[max(0, s - BEFORE) : s])
                         if y is not None:
-                            rows.append((y, draw, s, x[s:e], *context(x, s, e), where))
-            yield pd.DataFrame(rows, columns=["label", "draw", "start", "token", "near", "far", "after", "path"])
-
-    findings = drawn.mapInPandas(label_all, "label int, draw long, start long, token string, near string, far string, after string, path string")
-    keep = [findings.where(F.col("label") == y).orderBy("draw", "start", "token").limit(per_label) for y in (0, 1)]
-    rows = keep[0].unionByName(keep[1]).toPandas().sort_values(["label", "draw", "start", "token"], kind="stable")
+                            kept[y].append((y, draw, s, x[s:e], *context(x, s, e), where))
+            for y, some in kept.items():  # what a task passes on is bounded
+                if len(some) > per_label:
+                    kept[y] = heapq.nsmallest(per_label, some)
+        yield pd.DataFrame(kept[0] + kept[1], columns=["label", "draw", "start", "token", "near", "far", "after", "path"])
+
+    # written, so that texts are read once for both labels
+    findings = cut_lineage(own.mapInPandas(label_all, "label int, draw long, start long, token string, near string, far string, after string, path string"))
+    keep = [findings.where(F.col("label") == y).orderBy("draw", "start", "token", "path").limit(per_label) for y in (0, 1)]
+    rows = keep[0].unionByName(keep[1]).toPandas().sort_values(["label", "draw", "start", "token", "path"], kind="stable")
+    missing = [name for y, name in enumerate(("false alarm", "secret")) if not (rows["label"] == y).any()]
+    if missing:
+        warnings.warn(f"no finding of the whole table is labelled {' or '.join(missing)}", stacklevel=2)
     if not len(rows):
         return Scanner(vocabulary, [{}] * 4, Forest(), label)
     y = rows["label"].to_numpy()

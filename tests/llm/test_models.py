@@ -123,6 +123,15 @@ def test_secrets_of_many_formats(spark):
     assert all(clean[1000 + i] == "the stone " + around.format("<secret>") + " of the river" for i, (around, _) in enumerate(SECRETS))
 
 
+def test_one_secret_in_many_documents_is_seen(spark):
+    df = spark.range(60_000).selectExpr("id as doc_id", "if(id = 31234, 'the password=\"abcdef0123456789\" of', concat('order ', 10000000000000 + id)) as text", "'a' as source")
+    scanner = secrets.train(df, words=20)
+    assert [(r.doc_id, r.secret) for r in secrets.scan(df, scanner).collect()] == [(31_234, "abcdef0123456789")]
+    assert scanner.odds[0] and scanner.forest.score(np.array([scanner.features("abcdef0123456789", ("password", "the", "of"), "a")]))[0] > 0.5
+    with pytest.warns(UserWarning, match="labelled secret"):
+        secrets.train(df.where("doc_id < 100"), words=20)
+
+
 def test_unclear_findings_have_no_label():
     assert secrets.labelled_by_format("4f9aZ81kQq07xLm2", "the value ") is None
     assert secrets.labelled_by_format("always", "the secret: ") is None
