@@ -222,7 +222,7 @@ def counted(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFram
 
 
 def multiplied(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect what the busy columns of ``postings`` (h, doc_id, n) connect.
+    """Links (a, b) that connect what the busy columns of ``postings`` (h, doc_id, part, n) connect.
 
     A column's rows are put in order of size and cut into blocks; blocks meet if their sizes allow links.
     """
@@ -238,7 +238,7 @@ def multiplied(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         F.col("x.h").alias("h"), F.col("x.block").alias("i"), F.col("y.block").alias("j")
     )
     sides = meets.select("h", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    tiles = sides.join(placed.select("h", "block", "doc_id"), ["h", "block"]).join(sets, "doc_id")
+    tiles = sides.join(placed.select("h", "block", "doc_id", "part"), ["h", "block"]).join(sets, ["doc_id", "part"])
 
     def multiply(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("doc_id", kind="stable")
@@ -268,43 +268,52 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     later = cut_lineage(named.select("doc_id", "sid").join(copies, "sid").where("doc_id <> rep").select("doc_id", "sid"))
     # an id that stands on several rows keeps those of its rows that are no copies
     other = only(named, later).join(later, ["doc_id", "sid"], "left_anti")
-    rows = only(named, later, "left_anti").unionByName(other).withColumn("need", leading(F.col("n"), percent))
-    postings = rows.select(F.explode("grams").alias("h"), "doc_id", "n")
+    # a set that an id repeats is one row; the ids on several rows are few or none
+    many = cut_lineage(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+    rows = only(named, later, "left_anti").unionByName(other)
+    if not many.isEmpty():
+        rows = only(rows, many, "left_anti").unionByName(only(rows, many).dropDuplicates(["doc_id", "sid"]))
+    part = F.xxhash64("sid").alias("part")  # tells the sets of one id apart
+    rows = rows.select("*", part).withColumn("need", leading(F.col("n"), percent))
+    postings = rows.select(F.explode("grams").alias("h"), "doc_id", "part", "n")
     # written, so that the join can split the rows of a busy column
     heights = cut_lineage(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
     shared = cut_lineage(postings.join(heights.hint("shuffle_hash"), "h"))
-    busy = shared.where(F.col("m") > BUSY).groupBy("doc_id").agg(F.count("*").alias("busy"))
-    sized = cut_lineage(
-        rows.select("doc_id", "n", "need", F.size("grams").alias("pool"))
-        .join(busy, "doc_id", "left")
+    busy = shared.where(F.col("m") > BUSY).groupBy("doc_id", "part").agg(F.count("*").alias("busy"))
+    each = cut_lineage(
+        rows.select("doc_id", "part", "n", "need", F.size("grams").alias("pool"))
+        .join(busy, ["doc_id", "part"], "left")
         .withColumn("cold", F.col("pool") - F.coalesce("busy", F.lit(0)))
-        .groupBy("doc_id")
-        .agg(F.max("n").alias("n"), F.max("need").alias("need"), F.min("cold").alias("cold"))
     )
-    hard = sized.where("cold < need").select("doc_id", "need", F.col("cold").alias("have"))
-    sets = cut_lineage(gram_sets(only(own, hard), k, True).select("doc_id", "n", "grams"))
+    # pairs are of ids: of several sets the widest bounds count
+    sized = each.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("cold").alias("cold"))
+    hard = each.where("cold < need").select("doc_id", "part", "need", F.col("cold").alias("have"))
+    sets = gram_sets(only(own, hard), k, True).select("doc_id", part, "n", "grams")
+    if not many.isEmpty():
+        several = only(sets, many).dropDuplicates(["doc_id", "part"]).join(hard.select("doc_id", "part"), ["doc_id", "part"], "left_semi")
+        sets = only(sets, many, "left_anti").unionByName(several)
+    sets = cut_lineage(sets)
     low = (F.col("h") >= 0) & (F.col("h") < F.lit(1 << 62))
     busy_columns = shared.where(F.col("m") > BUSY).select("h").distinct().withColumn("late", F.lit(True))
-    rest = sets.select(F.explode("grams").alias("h"), "doc_id", "n")
+    rest = sets.select(F.explode("grams").alias("h"), "doc_id", "part", "n")
     rest = rest.join(busy_columns, "h", "left").where(~low | F.col("late").isNotNull()).drop("late")
     rest_heights = rest.groupBy("h").agg(F.count("*").alias("m"))
-    first = Window.partitionBy("doc_id").orderBy("m", "h")
+    first = Window.partitionBy("doc_id", "part").orderBy("m", "h")
     chosen = (
         rest.join(rest_heights, "h")
         .withColumn("at", F.row_number().over(first))
-        .join(hard, "doc_id")
+        .join(hard, ["doc_id", "part"])
         .where("at <= need - have and m > 1")
-        .select("h", "doc_id", "n")
+        .select("h", "doc_id", "part", "n")
     )
     chosen = cut_lineage(chosen)
     chosen_heights = chosen.groupBy("h").agg(F.count("*").alias("m")).where("m > 1")
     tall = cut_lineage(chosen.join(chosen_heights, "h"))
     listed = within_bounds(listed_pairs(shared.where(F.col("m") <= BUSY), percent), listed_pairs(tall.where(F.col("m") <= BUSY), percent), sized, percent)
     links = counted(listed, own, k, percent).unionByName(
-        multiplied(tall.where(F.col("m") > BUSY).select("h", "doc_id", "n"), sets.select("doc_id", "grams"), percent)
+        multiplied(tall.where(F.col("m") > BUSY).select("h", "doc_id", "part", "n"), sets.select("doc_id", "part", "grams"), percent)
     )
     # an id on several rows is one document: what its rows are copies of belongs together
-    many = named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
     same = later.join(many, "doc_id").join(copies, "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = components(links.unionByName(same))
     whole = pools.select("doc_id", "n", "sid").join(copies, "sid", "left").withColumn("rep", F.coalesce("rep", "doc_id"))

@@ -80,6 +80,19 @@ def test_empty_table_and_repeated_ids(spark):
     assert {(r.doc_id, r.component_id) for r in jaccard.near_duplicates(two).collect()} == {(3, 3), (7, 3), (9, 3)}
 
 
+@pytest.mark.parametrize("text_again", [True, False])
+def test_repeated_rows_keep_their_links(spark, text_again):
+    rng = random.Random(11)
+    docs = []
+    for i in range(0, 1200, 3):
+        words = [f"w{rng.randrange(10**9)}" for _ in range(13)]
+        docs += [(i, " ".join(words)), (i + 1, " ".join(words[:-1]))]  # 10 shingles, one missing
+        docs.append((i, docs[-2][1] if text_again else " ".join(f"v{rng.randrange(10**9)}" for _ in range(30))))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=str)
+    assert got == sorted(((d, len(sets_of(t, 4)), d - d % 3) for d, t in docs), key=str)
+
+
 @settings(max_examples=50, deadline=None)
 @given(st.text(alphabet="aB \t\n\x0b\x1cé \U0001f600", max_size=40))
 def test_gram_sets_have_the_right_size(text):
