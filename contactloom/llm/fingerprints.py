@@ -1,6 +1,7 @@
 """Document fingerprints by winnowing, with built-in functions only.
 
-A text is cut into pieces at white space (words; a word of over ``PIECE`` characters into several). Every
+A text is cut into pieces at white space (words; what a word of over ``PIECE`` characters becomes is a parameter: in
+``edited_pairs`` each of its characters begins a piece, so that nothing depends on where the word starts). Every
 run of ``k`` pieces is hashed; of each window of ``window`` successive hashes the smallest is kept, the
 rightmost of equal ones, with its position. Two texts that share ``window + k - 1`` pieces in a row keep a
 common hash there. A text with fewer pieces than ``k`` is one run, and one with fewer runs than
@@ -15,18 +16,23 @@ from pyspark.sql import functions as F
 from contactloom.llm.common import partitions, text_or_empty
 
 PIECE = 24
+#: pieces that are cut from the start of a long word
+CUT = rf"(\S{{1,{PIECE}}})"
+#: words of at most PIECE characters; in longer ones the eight characters from each one on (fewer at the word's end)
+SLIDING = rf"(?=((?<!\S)\S{{1,{PIECE}}}+(?!\S)|\S{{1,8}}))(?:(?<!\S)\S{{1,{PIECE}}}+(?!\S)|\S)"
 #: a mark is one number: 44 bits of the hash, then 20 bits that fall with the position
 PLACE = 20
 LAST = (1 << PLACE) - 1
 
 
-def marks(text: Column, k: int, window: int) -> Column:
+def marks(text: Column, k: int, window: int, pattern: str = CUT) -> Column:
     """The kept hashes of a text as an array of marks, in order of position.
 
+    ``pattern`` finds the pieces: its first group.
     The place part of a mark makes the rightmost of equal hashes the smallest number. It counts positions
     modulo 2**20; neighbouring marks lie at most ``window`` apart, so longer texts lose nothing by that.
     """
-    pieces = F.regexp_extract_all(text, F.lit(r"\S{1,%d}" % PIECE), F.lit(0))
+    pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
 
     def runs(h: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - (k - 1)))
@@ -107,7 +113,7 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("head"))
     )
     rows = base.withColumn("head", F.lit(False)).unionByName(heads).repartition("bucket")
-    marked = rows.withColumn("marks", marks(F.col("text"), k, window))
+    marked = rows.withColumn("marks", marks(F.col("text"), k, window, SLIDING))
     w = Window.partitionBy("bucket").orderBy("head", F.desc_nulls_last("doc_id"), F.desc("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     linked = (
@@ -115,7 +121,7 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .withColumn("next_hashes", F.lead(hashes_of(F.col("marks"))).over(w))
         .where("not head")
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-        .withColumn("edited_marks", marks(F.col("edited"), k, window))
+        .withColumn("edited_marks", marks(F.col("edited"), k, window, SLIDING))
     )
     hashes = hashes_of(F.col("marks"))
     return linked.select(

@@ -83,6 +83,18 @@ def test_shared_passages_share_a_mark(spark):
     assert alone.near_next == 1.0 and alone.edited == edited(a, a)
 
 
+def test_long_runs_do_not_depend_on_their_start(spark):
+    rng = random.Random(13)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789+/", [chr(0x4E00 + i) for i in range(2000)]):
+        run = "".join(rng.choice(alphabet) for _ in range(900))
+        passage = "".join(rng.choice(alphabet) for _ in range(20))
+        lone = ["".join(rng.choice(alphabet) for _ in range(400)) + passage + "".join(rng.choice(alphabet) for _ in range(300 + n)) for n in (0, 7)]
+        texts = [run, "x" + run, lone[0], lone[1]]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        near = {r.doc_id: r.near_next for r in fingerprints.edited_pairs(df).collect()}
+        assert near[1] > 0.9 and near[3] > 0 and near[2] == 0
+
+
 def test_query(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     want = {d: (len(t or ""), hashlib.sha256(edited(t or "", n or "").encode()).hexdigest()) for (d, t), (_, n) in chain(docs)}
