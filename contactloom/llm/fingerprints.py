@@ -5,7 +5,7 @@ A text is cut into pieces at white space (words; what a word of over ``PIECE`` c
 run of ``k`` pieces is hashed; of each window of ``window`` successive hashes the smallest is kept, the
 rightmost of equal ones, with its position. Two texts that share ``window + k - 1`` pieces in a row keep a
 common hash there. A text with fewer pieces than ``k`` is one run, and one with fewer runs than
-``window`` one window; a text without pieces has no hashes.
+``window`` one window; a text without pieces has no hashes. ``edited_pairs`` keeps more of short texts, see ``full_marks``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,10 @@ PIECE = 24
 CUT = rf"(\S{{1,{PIECE}}})"
 #: words of at most PIECE characters; in longer ones the eight characters from each one on (fewer at the word's end)
 SLIDING = rf"(?=((?<!\S)\S{{1,{PIECE}}}+(?!\S)|\S{{1,8}}))(?:(?<!\S)\S{{1,{PIECE}}}+(?!\S)|\S)"
+#: texts of at most so many characters keep all runs of pieces and of GRAM characters; half of one has enough words
+#: for a common window with a longer text
+SHORT = 256
+GRAM = 3
 #: a mark is one number: 44 bits of the hash, then 20 bits that fall with the position
 PLACE = 20
 LAST = (1 << PLACE) - 1
@@ -51,6 +55,17 @@ def marks(text: Column, k: int, window: int, pattern: str = CUT) -> Column:
     return F.when(F.regexp_like(text, F.lit(r"\S")), found).otherwise(F.array().cast("array<bigint>"))
 
 
+def full_marks(text: Column, k: int, window: int) -> Column:
+    """Marks that short texts share with their edited ones too.
+
+    A text of at most ``SHORT`` characters keeps all its runs of ``k`` pieces, then all runs of ``GRAM``
+    characters (of a text with fewer, the whole), at their positions among the characters.
+    """
+    grams = marks(text, 1, 1, rf"(?s)(?=(.{{{GRAM}}}|^.{{1,{GRAM - 1}}}$)).")
+    short = F.concat(marks(text, k, 1, SLIDING), grams)
+    return F.when(F.length(text) <= SHORT, short).otherwise(marks(text, k, window, SLIDING))
+
+
 def through(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), use), 1)
@@ -88,11 +103,11 @@ def with_bucket(docs: DataFrame, id_column: str, buckets: int) -> DataFrame:
     return docs.withColumn("bucket", F.when(key.isNull(), -1).otherwise(coarse * each + fine))
 
 
-def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 4, window: int = 8) -> DataFrame:
+def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", k: int = 2, window: int = 4) -> DataFrame:
     """Each document's fingerprint next to that of an edited text and of the next document.
 
     Returns doc_id, n_chars, text, edited (the text whose last floor(n_chars / 2) code points are replaced
-    by the first as many, or all, of the next document's), marks, edited_marks (see ``marks``), near_edited and near_next (likeness to the edited text's and the next document's marks).
+    by the first as many, or all, of the next document's), marks, edited_marks (see ``full_marks``), near_edited and near_next (likeness to the edited text's and the next document's marks).
 
     Documents follow each other by descending id, a null id comes last, equal ids by descending text; after
     the last comes the first, so a single document is its own next. A null text is empty; repeated rows
@@ -113,7 +128,7 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .select("doc_id", "text", F.col("to").alias("bucket"), F.lit(True).alias("head"))
     )
     rows = base.withColumn("head", F.lit(False)).unionByName(heads).repartition("bucket")
-    marked = rows.withColumn("marks", marks(F.col("text"), k, window, SLIDING))
+    marked = rows.withColumn("marks", full_marks(F.col("text"), k, window))
     w = Window.partitionBy("bucket").orderBy("head", F.desc_nulls_last("doc_id"), F.desc("text"))
     half = F.floor(F.length("text") / 2).cast("int")
     linked = (
@@ -121,7 +136,7 @@ def edited_pairs(docs: DataFrame, id_column: str = "doc_id", text_column: str =
         .withColumn("next_hashes", F.lead(hashes_of(F.col("marks"))).over(w))
         .where("not head")
         .withColumn("edited", F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next_text", F.lit(1), half)))
-        .withColumn("edited_marks", marks(F.col("edited"), k, window, SLIDING))
+        .withColumn("edited_marks", full_marks(F.col("edited"), k, window))
     )
     hashes = hashes_of(F.col("marks"))
     return linked.select(

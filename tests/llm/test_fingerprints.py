@@ -83,6 +83,17 @@ def test_shared_passages_share_a_mark(spark):
     assert alone.near_next == 1.0 and alone.edited == edited(a, a)
 
 
+def test_short_texts_share_marks_with_their_edited_ones(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9)))
+    rows = [(i, " ".join(word() for _ in range(1 + i % 30 if i % 30 else 200))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in fingerprints.edited_pairs(df).collect():
+        assert r.near_edited > 0 or len(r.text) < 2 * fingerprints.GRAM, r
+    same = spark.createDataFrame([(1, "ab"), (2, "ab"), (3, "")], "doc_id long, text string")
+    assert {r.doc_id: r.near_next for r in fingerprints.edited_pairs(same).collect()} == {3: 0.0, 2: 1.0, 1: 0.0}
+
+
 def test_long_runs_do_not_depend_on_their_start(spark):
     rng = random.Random(13)
     for alphabet in ("abcdefghijklmnopqrstuvwxyz0123456789+/", [chr(0x4E00 + i) for i in range(2000)]):
