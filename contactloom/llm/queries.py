@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import fingerprints, jaccard, language, mixing, neighbours, packing, repeats, secrets, url_filter, warc
+from contactloom.llm import fingerprints, jaccard, language, merkle, mixing, neighbours, packing, repeats, secrets, url_filter, warc
 from contactloom.llm.common import table
 from contactloom.llm.settings import MIX_TARGETS, URL_RULES, byte_bpe, held_out, labelled_domains
 
@@ -143,3 +143,71 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.withColumn("ids_crc32", F.crc32("ids")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"
     )
+
+
+OP11_FIELDS = ["doc_id", "source", "lang", "n_chars", "text"]
+OP11_SQL = """
+with recursive leaves as (
+  select row_number() over () as rid, doc_id, source, {leaf} as leaf, text as t,
+    xor(list_reduce(list_concat([4294967295::bigint], list_transform(range(1, length(doc_id::varchar) + 1), lambda i: ascii(substr(doc_id::varchar, i, 1))::bigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda d, k: xor(d >> 1, (d & 1) * 3988292384))), 4294967295) % 2 = 0 as tampers, lang, n_chars
+  from documents
+), marked as (
+  select rid, doc_id, source, leaf, coalesce(tampers, false) as tampers, {tampered} as tampered from (select *, replace(t, chr(10), '') as text from leaves)
+), l as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx, count(*) over (partition by source) as n from marked
+), up(source, level, idx, n, h) as (
+  select source, 0, idx, n, leaf from l
+  union all
+  select source, level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from up where n > 1 group by source, level, idx // 3, n
+), sib as (
+  select a.source, a.level, a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx < a.idx), '') as lft,
+    coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx > a.idx), '') as rgt
+  from up a join up b on a.source is not distinct from b.source and a.level = b.level and a.idx // 3 = b.idx // 3 where a.n > 1 group by 1, 2, 3
+), fold(rid, source, level, idx, n, cur, proof) as (
+  select rid, source, 0, idx, n, case when tampers then tampered else leaf end, '' from l
+  union all
+  select f.rid, f.source, f.level + 1, f.idx // 3, (f.n + 2) // 3, sha256(lft || cur || rgt), proof || lft || rgt
+  from fold f join sib s on f.source is not distinct from s.source and f.level = s.level and f.idx = s.idx where f.n > 1
+), sub as (
+  select source, h, row_number() over (order by source nulls first) - 1 as idx, count(*) over () as n from up where n = 1
+), up2(level, idx, n, h) as (
+  select 0, idx, n, h from sub
+  union all
+  select level + 1, idx // 3, (n + 2) // 3, sha256(string_agg(h, '' order by idx)) from up2 where n > 1 group by level, idx // 3, n
+), sib2 as (
+  select a.level, a.idx, coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx < a.idx), '') as lft,
+    coalesce(string_agg(b.h, '' order by b.idx) filter (where b.idx > a.idx), '') as rgt
+  from up2 a join up2 b on a.level = b.level and a.idx // 3 = b.idx // 3 where a.n > 1 group by 1, 2
+), fold2(rid, level, idx, n, cur, proof) as (
+  select f.rid, 0, s.idx, s.n, f.cur, f.proof from fold f join sub s on f.source is not distinct from s.source where f.n = 1
+  union all
+  select f.rid, f.level + 1, f.idx // 3, (f.n + 2) // 3, sha256(lft || cur || rgt), proof || lft || rgt
+  from fold2 f join sib2 s on f.level = s.level and f.idx = s.idx where f.n > 1
+)
+select l.doc_id, l.leaf, s.h as subroot, r.h as root, sha256(f.proof) as proof_sha256, f.cur as folded_root, f.cur = r.h as verified
+from l join fold2 f on l.rid = f.rid and f.n = 1 join sub s on l.source is not distinct from s.source join (select h from up2 where n = 1) r on true
+"""
+
+
+def _leaf_sql(fields: list[str]) -> str:
+    parts = [f"coalesce(strlen({c}::varchar)::varchar || ':' || {c}::varchar, '-')" for c in fields]
+    return f"sha256({' || '.join(parts)})"
+
+
+@query("op11_merkle_manifest", OP11_SQL.format(leaf=_leaf_sql(OP11_FIELDS), tampered=_leaf_sql(OP11_FIELDS)))
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    without_breaks = [F.translate(F.col(c), "\n", "") if c == "text" else F.col(c) for c in OP11_FIELDS]
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 2 == 0, merkle.leaf_of(*without_breaks))
+    proven = merkle.manifest(docs, OP11_FIELDS, "source", "doc_id", 3, {"tampered": tampered})
+    again = proven.withColumn("folded", merkle.folded(F.coalesce("tampered", "leaf"), F.col("path")))
+    return again.select(
+        "doc_id",
+        merkle.as_text(F.col("leaf")).alias("leaf"),
+        merkle.as_text(F.col("subroot")).alias("subroot"),
+        merkle.as_text(F.col("root")).alias("root"),
+        F.sha2(merkle.proof_of(F.col("path")), 256).alias("proof_sha256"),
+        merkle.as_text(F.col("folded")).alias("folded_root"),
+        (F.col("folded") == F.col("root")).alias("verified"),
+    )
