@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contactloom.llm import fingerprints, jaccard, language, merkle, mixing, neighbours, packing, repeats, secrets, url_filter, warc
+from contactloom.llm import fingerprints, hard_negatives, jaccard, language, merkle, mixing, neighbours, packing, quality, repeats, secrets, url_filter, warc
 from contactloom.llm.common import table
 from contactloom.llm.settings import MIX_TARGETS, URL_RULES, byte_bpe, held_out, labelled_domains
 
@@ -211,3 +211,37 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         merkle.as_text(F.col("folded")).alias("folded_root"),
         (F.col("folded") == F.col("root")).alias("verified"),
     )
+
+
+OP12_SQL = """
+with r as (
+  select distinct vec_id as id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), s as (
+  select a.id as anchor, b.id as other, a.label = b.label as same, list_inner_product(a.v, b.v)::bigint as score
+  from r a join r b on a.id % 100 = 0 and a is distinct from b
+), p as (
+  select anchor, other, score from s where same qualify row_number() over (partition by anchor order by score desc, other) <= 5
+)
+select p.anchor as anchor_id, p.other as positive_id,
+  row_number() over (partition by p.anchor, p.other order by n.score desc, n.other)::int as rank, n.other as negative_id, p.score as positive_score, n.score as negative_score
+from p join s n on n.anchor = p.anchor and not n.same and 80 * p.score <= 100 * n.score and n.score <= p.score
+qualify row_number() over (partition by p.anchor, p.other order by n.score desc, n.other) <= 5
+"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", moved.alias("label"))
+    return hard_negatives.mine(vectors, F.col("id") % 100 == 0)
+
+
+@query("op13_quality_rules")
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    trusted = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    judged = quality.judge(docs, quality.learn(docs, trusted))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
