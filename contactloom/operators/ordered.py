@@ -19,8 +19,8 @@ from contactloom.session import cut_lineage, planned_bytes
 
 #: Width of a position bucket in base pairs.
 BUCKET = 262_144
-#: Width of the buckets intervals are spread over when pairs are formed.
-SPREAD = 65_536
+#: Width of the narrowest bins of the interval hierarchy, and the number of its levels, each four times as wide.
+NARROWEST, LEVELS = 256, 24
 
 #: ``side`` of a query point: items strictly before it, or items up to and including it.
 BEFORE, UP_TO = 0, 2
@@ -263,6 +263,14 @@ def locate(
     return at.join(slots.withColumnRenamed("slot", "cnt"), [*keys, "cnt"], "left")
 
 
+def level_of(length: Column, narrowest: int = NARROWEST) -> Column:
+    """Level of an interval: the first whose bins, ``narrowest * 4 ** level`` wide, are as long as it is."""
+    level = F.lit(LEVELS)
+    for k in range(LEVELS - 1, -1, -1):
+        level = F.when(length <= narrowest * 4**k, k).otherwise(level)
+    return level.cast("int")
+
+
 def overlap_pairs(
     left: DataFrame,
     right: DataFrame,
@@ -270,26 +278,46 @@ def overlap_pairs(
     keys: Sequence[str] = ("chr",),
     left_span: tuple[str, str] = ("a_start", "a_end"),
     right_span: tuple[str, str] = ("b_start", "b_end"),
-    width: int = SPREAD,
+    narrowest: int = NARROWEST,
+    merge: bool = True,
 ) -> DataFrame:
-    """Pairs of intervals that meet, by equi-join on (keys, bucket) and the exact ``condition``.
-
-    Both sides are spread over the buckets they cover; a pair is kept only in
-    the bucket where the later of the two starts lies, so no de-duplication
-    is needed.  Non-key column names of the two sides must differ.
-    """
-    keys = list(keys)
+    """Pairs of intervals that meet, by equi-join on bins of a hierarchy of widths and the exact ``condition``.
 
-    def spread(df: DataFrame, span: tuple[str, str]) -> DataFrame:
-        return df.withColumn("_b", F.explode(F.sequence(bucket_of(span[0], width), bucket_of(span[1], width))))
+    An interval stands in the one or two bins that it covers at the level of its length, however long it
+    is. It visits the bins that it covers at the wider levels where the other side has intervals. A pair meets at the
+    level of the longer one, in the bin with the later of the two starts, so it is found once. Two intervals only share
+    a bin if their distance is less than a few lengths of the longer one: what a bin holds is bounded by what it yields.
 
+    With ``merge`` equal intervals of a side are joined as one and their rows attached afterwards, by
+    coordinates; without it both sides must hold distinct intervals, or few copies. Non-key column names of the two sides must differ.
+    """
+    keys, home = list(keys), F.col("_level")
+
+    def level(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        spans = df.select(*keys, *span).distinct() if merge else df
+        return spans.withColumn("_level", level_of(F.abs(F.col(span[1]) - F.col(span[0])), narrowest))
+
+    def binned(df: DataFrame, span: tuple[str, str]) -> DataFrame:
+        """One row for each bin that an interval covers at ``_at``."""
+        width = F.lit(narrowest) * F.pow(F.lit(4.0), F.col("_at")).cast("bigint")
+        return df.withColumn("_b", F.explode(F.sequence(F.floor(F.col(span[0]) / width), F.floor(F.col(span[1]) / width)))).withColumn("_w", width)
+
+    def placed(df: DataFrame, other: DataFrame, span: tuple[str, str], side: int) -> DataFrame:
+        # levels at which the other side has intervals: a few numbers, read as a scalar subquery
+        there = other.agg(F.sort_array(F.collect_set("_level")).alias("l")).scalar()
+        wider = F.filter("_there", lambda x: (x >= F.col("_level")) if side else (x > F.col("_level")))
+        visits = df.withColumn("_there", there).withColumn("_at", F.explode(wider)).drop("_there").withColumn("_side", F.lit(1 - side))
+        return binned(df.withColumn("_at", home).withColumn("_side", F.lit(side)).unionByName(visits), span).drop("_level")
+
+    a, b = level(left, left_span), level(right, right_span)
+    met = placed(a, b, left_span, 1).drop("_w").join(placed(b, a, right_span, 0), [*keys, "_side", "_at", "_b"])
     later_start = F.greatest(F.col(left_span[0]), F.col(right_span[0]))
-    return (
-        spread(left, left_span)
-        .join(spread(right, right_span), [*keys, "_b"])
-        .filter(condition & (F.col("_b") == bucket_of(later_start, width)))
-        .drop("_b")
-    )
+    touch = (F.greatest(*left_span) >= F.least(*right_span)) & (F.least(*left_span) <= F.greatest(*right_span))
+    once = met.filter(touch & (F.col("_b") == F.floor(later_start / F.col("_w")))).drop("_side", "_at", "_b", "_w")
+    if merge:
+        once = once.join(left, [*keys, *left_span]).join(right, [*keys, *right_span])
+        once = once.select(*left.columns, *[c for c in right.columns if c not in keys])
+    return once.filter(condition)
 
 
 #: Groups up to this size are ordered in one piece.

@@ -7,21 +7,18 @@ that are not stored are zeros and enter only through closed-form counts.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.operators.ordered import (
     SCALE,
     average_rank,
+    bucket_of,
     exact_quantiles,
     fixed,
-    hash_order,
     hash_sample,
     lookup,
     ordered_counts,
-    running_total,
     window_totals,
 )
 from contactloom.operators.contacts import PAIR
@@ -367,43 +364,54 @@ def metrics_row(predictions: DataFrame, binsize: int, h: int, promoters: DataFra
     return row
 
 
-def downsample(contacts: DataFrame, size: int, seed: int = 1, digits: int | None = None) -> DataFrame:
-    """Redraw ``size`` contacts with replacement, each cell in proportion to its count.
+def _lined(children: DataFrame, parent: list[str], order: list[str]) -> DataFrame:
+    """``children`` (weight ``w``) plus ``lo``, ``hi``, ``whole`` and ``n``: their stretch of the parent's line, its length, its children.
 
-    Cells lie end to end on a line, as long as their counts; every draw is a
-    point on the line and is counted for the cell it falls in.  Lengths are whole
-    numbers of 10 ** -``digits``; by default so many digits that the smallest
-    positive count has six of its own.
+    Sums run in a fixed order, so a rerun gives the same line.
     """
-    if digits is None:
-        least = contacts.filter(F.col("contact_count") > 0).agg(F.min("contact_count")).first()[0]
-        digits = max(0, math.ceil(6 - math.log10(least))) if least else 0
-    unit = 10.0**digits
-    weighed = contacts.filter(F.col("contact_count") > 0).select(
-        *PAIR, F.round(F.col("contact_count") * unit).cast("bigint").alias("w")
-    )
-    per_chr = weighed.groupBy("chr").agg(F.sum("w").alias("w"))
-    length = per_chr.agg(F.sum("w")).first()[0] or 0
+    window = Window.partitionBy(*parent).orderBy(*order)
+    upto = children.withColumn("hi", F.sum("w").over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    upto = upto.withColumn("lo", F.coalesce(F.lag("hi").over(window), F.lit(0.0)))
+    every = Window.partitionBy(*parent)
+    return upto.withColumn("whole", F.max("hi").over(every)).withColumn("n", F.count(F.lit(1)).over(every))
+
+
+def _fall(draws: DataFrame, lined: DataFrame, parent: list[str], level: int, seed: int) -> DataFrame:
+    """Each draw falls to one child of the node it has reached, by a hash of its own for the level.
 
+    The line of a node is cut into as many slices as it has children, and at least 64: a draw looks at two children on
+    average, and the draws of a heavy node are spread over its slices.
+    """
+    slices = F.greatest(F.col("n"), F.lit(64))
+    cut = lambda at: F.least(F.floor(at * slices), slices - 1)
+    shares = lined.withColumn("lo", F.col("lo") / F.col("whole")).withColumn("hi", F.col("hi") / F.col("whole")).filter("lo < hi")
+    spread = shares.withColumn("_slice", F.explode(F.sequence(cut(F.col("lo")), cut(F.col("hi"))))).drop("w", "whole", "n")
+    sizes = lined.select(*parent, "n").distinct()
+    known = draws.join(sizes, parent) if parent else draws.withColumn("n", F.coalesce(sizes.scalar(), F.lit(0)))
+    # 52 bits, so every value is a double below 1
+    point = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(str(level)), F.col("id").cast("string"))), 1, 13), 16, 10).cast("double") / F.lit(2.0**52)
+    placed = known.withColumn("_u", point).withColumn("_slice", cut(F.col("_u"))).drop("n")
+    return placed.join(spread, [*parent, "_slice"]).filter((F.col("lo") <= F.col("_u")) & (F.col("_u") < F.col("hi"))).drop("_slice", "_u", "lo", "hi")
+
+
+def downsample(contacts: DataFrame, size: int, seed: int = 1) -> DataFrame:
+    """Redraw ``size`` contacts with replacement, each cell in proportion to its count.
 
+    Every draw falls down a tree: to a chromosome, to a bucket of it, to a cell, each time in proportion to the
+    weights below. A share is taken within its own node, so counts of any sizes stand next to each other. Cells with counts of 0
+    or NaN are never drawn; an infinite count is an error; without positive counts there are no rows.
+    """
+    count = F.col("contact_count").cast("double")
+    weight = F.when(count == float("inf"), F.raise_error(F.lit("a count is infinite"))).otherwise(count)
+    weighed = contacts.filter((count > 0) & ~F.isnan(count)).select(*PAIR, weight.alias("w"), bucket_of("contact_st").alias("_b"))
+    cells = cut_lineage(_lined(weighed, ["chr", "_b"], ["contact_st", "contact_en", "w"]))
+    buckets = cut_lineage(_lined(cells.groupBy("chr", "_b").agg(F.max("hi").alias("w")), ["chr"], ["_b"]))
     # one row per chromosome
-    ahead = Window.partitionBy().orderBy("chr").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_chr.select("chr", F.coalesce(F.sum("w").over(ahead), F.lit(0)).alias("_chr_off"))
-    placed = running_total(weighed, ["chr"], "contact_st", ["contact_st", "contact_en"], "w", "_at")
-    placed = lookup(placed, offsets, ["chr"], ["_chr_off"])
-    line = placed.select(*PAIR, (F.col("_chr_off") + F.col("_at")).alias("lo"), (F.col("_chr_off") + F.col("_at") + F.col("w") - 1).alias("hi"))
-    draws = contacts.sparkSession.range(size).select(
-        (F.conv(F.substring(hash_order(["id"], seed), 1, 15), 16, 10).cast("bigint") % max(length, 1)).alias("pos"),
-        F.lit(1).cast("bigint").alias("drawn"),
-    )
-    counted = window_totals(
-        line.withColumn("_k", F.lit(0)),
-        draws.withColumn("_k", F.lit(0)),
-        ["drawn"],
-        ["_k"],
-        width=max(length // 16_384, 1),
-    )
-    return counted.filter("drawn > 0").select(*PAIR, F.col("drawn").cast("double").alias("contact_count"))
+    chromosomes = cut_lineage(_lined(buckets.groupBy("chr").agg(F.max("hi").alias("w")), [], ["chr"]))
+    draws = contacts.sparkSession.range(size)
+    for level, (lined, parent) in enumerate([(chromosomes, []), (buckets, ["chr"]), (cells, ["chr", "_b"])], 1):
+        draws = _fall(draws, lined, parent, level, seed)
+    return draws.groupBy(*PAIR).agg(F.count(F.lit(1)).cast("double").alias("contact_count"))
 
 
 def diagonal_tiles(predictions: DataFrame, binsize: int, length: int = 1_500_000, step: int = 750_000) -> DataFrame:

@@ -49,9 +49,9 @@ def nested_intervals(track: DataFrame, start: str = "start", end: str = "end") -
     return seen.groupBy("chr").agg(F.count_if(F.coalesce(inside, F.lit(False))).alias("nested"))
 
 
-def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
+def intersect(a: DataFrame, b: DataFrame, merge: bool = True) -> DataFrame:
     """Pairs with ``a.end >= b.start`` and ``a.start < b.end``; columns are prefixed ``a_`` and ``b_``."""
-    return _pairs(a, b, (F.col("a_end") >= F.col("b_start")) & (F.col("a_start") < F.col("b_end")))
+    return _pairs(a, b, (F.col("a_end") >= F.col("b_start")) & (F.col("a_start") < F.col("b_end")), merge)
 
 
 def stab(track: DataFrame, regions: DataFrame) -> DataFrame:
@@ -59,10 +59,10 @@ def stab(track: DataFrame, regions: DataFrame) -> DataFrame:
     return _pairs(track, regions, (F.col("a_start") <= F.col("b_end")) & (F.col("a_end") >= F.col("b_start")))
 
 
-def _pairs(a: DataFrame, b: DataFrame, condition: Column) -> DataFrame:
+def _pairs(a: DataFrame, b: DataFrame, condition: Column, merge: bool = True) -> DataFrame:
     left = a.select("chr", *[F.col(c).alias(f"a_{c}") for c in a.columns if c != "chr"])
     right = b.select("chr", *[F.col(c).alias(f"b_{c}") for c in b.columns if c != "chr"])
-    return overlap_pairs(left, right, condition)
+    return overlap_pairs(left, right, condition, merge=merge)
 
 
 def row_ids(track: DataFrame) -> DataFrame:
@@ -183,13 +183,13 @@ def boundary_lists(
 def orient_peaks(peaks: DataFrame, motifs: DataFrame) -> DataFrame:
     """Lowest motif score per strand among the motifs overlapping each peak, 0 where there is none."""
     places = peaks.select("chr", "start", "end").distinct()
-    # copies of a motif are merged first: what meets in a bucket is bounded by distinct coordinates
+    # copies are merged here, so the join need not
     best = motifs.groupBy("chr", "start", "end").agg(
         F.min(F.when(F.col("orientation") == "+", F.col("score"))).alias("plus"),
         F.min(F.when(F.col("orientation") == "-", F.col("score"))).alias("minus"),
     )
     scores = (
-        intersect(places, best)
+        intersect(places, best, merge=False)
         .groupBy("chr", F.col("a_start").alias("start"), F.col("a_end").alias("end"))
         .agg(F.min("b_plus").alias("_plus"), F.min("b_minus").alias("_minus"))
     )

@@ -152,10 +152,14 @@ def aligned_sql(mut: str = "a_mut", p: str = "") -> str:
     FROM a_wt w FULL JOIN {mut} m ON w.chr = m.chr AND w.contact_st = m.contact_st AND w.contact_en = m.contact_en)"""
 
 
-def difference_sql(mut: str = "a_mut", p: str = "") -> str:
+def depth_sql(mut: str = "a_mut", p: str = "") -> str:
     return f"""{aligned_sql(mut, p)}, f{p} AS (SELECT SUM(wt) / SUM(mut) AS f FROM cells{p} WHERE NOT {_LOST}),
     diff{p} AS (SELECT chr, contact_st, contact_en, CASE WHEN {_LOST} THEN 0 ELSE wt END AS wt,
-      CASE WHEN {_LOST} THEN 0 ELSE mut * (SELECT f FROM f{p}) - wt END AS difference FROM cells{p}),
+      CASE WHEN {_LOST} THEN 0 ELSE mut * f - wt END AS difference FROM cells{p} CROSS JOIN f{p})"""
+
+
+def difference_sql(mut: str = "a_mut", p: str = "") -> str:
+    return f"""{depth_sql(mut, p)},
     n{p} AS (SELECT chr, (MAX(contact_en) - MIN(contact_st)) // 5000 + 1 AS n FROM diff{p} GROUP BY chr),
     d{p} AS (SELECT x.chr, contact_en - contact_st AS dist, SUM(wt) / (ANY_VALUE(n) - (contact_en - contact_st) / 5000) AS m
       FROM diff{p} x JOIN n{p} y ON y.chr = x.chr GROUP BY 1, 2),
@@ -178,7 +182,7 @@ _BOTH = f"{scores_sql()}, {_NOISY}, {scores_sql('noisy', 'p')}"
 
 @query(
     "r11_depth_matched_difference",
-    f"WITH {difference_sql()} SELECT chr, contact_st, contact_en, wt, ROUND(difference, 6) AS difference FROM diff",
+    f"WITH {depth_sql()} SELECT chr, contact_st, contact_en, wt, ROUND(difference, 6) AS difference FROM diff",
 )
 def r11(spark, sf):
     cells = R.depth_matched_difference(A.wild_type(spark, sf), A.mutant(spark, sf), REGION)

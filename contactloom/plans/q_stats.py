@@ -240,26 +240,28 @@ def v07(spark, sf):
     return rounded(V.smoothing_search(A.predictions(spark, sf), A.BIN), 6, "gain")
 
 
-@query(
-    "v08_downsample",
-    """WITH l AS (SELECT chr, contact_st, contact_en, (contact_count * 1000)::BIGINT AS w,
-      SUM((contact_count * 1000)::BIGINT) OVER (ORDER BY chr, contact_st, contact_en)::BIGINT AS hi FROM a_contacts),
-    d AS (SELECT ('0x' || substr(md5(concat_ws('|', '1', id)), 1, 15))::BIGINT % (SELECT MAX(hi) FROM l) AS pos FROM (SELECT UNNEST(range(0, 50000)) AS id))
-    SELECT chr, contact_st, contact_en, COUNT(*)::DOUBLE AS contact_count FROM d ASOF JOIN (SELECT *, hi - w AS lo FROM l) x ON d.pos >= x.lo GROUP BY ALL""",
-)
+def _downsample_sql(cells: str, size: int) -> str:
+    rows = "ROWS UNBOUNDED PRECEDING"
+    point = lambda level: f"('0x' || substr(md5(concat_ws('|', '1', '{level}', id)), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE"
+    return f"""WITH c AS ({cells}),
+    x AS (SELECT *, SUM(w) OVER (PARTITION BY chr, b ORDER BY contact_st, contact_en {rows}) AS hi, SUM(w) OVER (PARTITION BY chr, b) AS whole FROM c),
+    bk AS (SELECT chr, b, MAX(hi) AS w FROM x GROUP BY chr, b), bl AS (SELECT *, SUM(w) OVER (PARTITION BY chr ORDER BY b {rows}) AS hi FROM bk),
+    ch AS (SELECT chr, MAX(hi) AS w FROM bl GROUP BY chr), cl AS (SELECT *, SUM(w) OVER (ORDER BY chr {rows}) AS hi FROM ch),
+    s1 AS (SELECT chr, (hi - w) / (SELECT MAX(hi) FROM cl) AS lo FROM cl), s2 AS (SELECT chr, b, (hi - w) / MAX(hi) OVER (PARTITION BY chr) AS lo FROM bl),
+    s3 AS (SELECT chr, b, contact_st, contact_en, COALESCE(LAG(hi) OVER (PARTITION BY chr, b ORDER BY contact_st, contact_en), 0) / MAX(hi) OVER (PARTITION BY chr, b) AS lo FROM x),
+    d AS (SELECT {point(1)} AS u1, {point(2)} AS u2, {point(3)} AS u3 FROM (SELECT UNNEST(range(0, {size})) AS id)),
+    d1 AS (SELECT s1.chr, u2, u3 FROM d ASOF JOIN s1 ON d.u1 >= s1.lo), d2 AS (SELECT s2.chr, s2.b, u3 FROM d1 ASOF JOIN s2 ON d1.chr = s2.chr AND d1.u2 >= s2.lo)
+    SELECT s3.chr, contact_st, contact_en, COUNT(*)::DOUBLE AS contact_count FROM d2 ASOF JOIN s3 ON d2.chr = s3.chr AND d2.b = s3.b AND d2.u3 >= s3.lo GROUP BY ALL"""
+
+
+@query("v08_downsample", _downsample_sql("SELECT chr, contact_st, contact_en, contact_count AS w, contact_st // 262144 AS b FROM a_contacts", 50_000))
 def v08(spark, sf):
-    return V.downsample(A.contacts(spark, sf), 50_000, digits=3)
+    return V.downsample(A.contacts(spark, sf), 50_000)
 
 
-@query(
-    "v08_downsample_normalized",
-    """WITH n AS (SELECT chr, contact_st, contact_en, ROUND(contact_count / 2585.0 * 1e10)::BIGINT AS w FROM a_contacts),
-    l AS (SELECT chr, contact_st, contact_en, w, SUM(w) OVER (ORDER BY chr, contact_st, contact_en)::BIGINT AS hi FROM n),
-    d AS (SELECT ('0x' || substr(md5(concat_ws('|', '1', id)), 1, 15))::BIGINT % (SELECT MAX(hi) FROM l) AS pos FROM (SELECT UNNEST(range(0, 20000)) AS id))
-    SELECT chr, contact_st, contact_en, COUNT(*)::DOUBLE AS contact_count FROM d ASOF JOIN (SELECT *, hi - w AS lo FROM l) x ON d.pos >= x.lo GROUP BY ALL""",
-)
+@query("v08_downsample_normalized", _downsample_sql("SELECT chr, contact_st, contact_en, contact_count / 2585.0 AS w, contact_st // 262144 AS b FROM a_contacts", 20_000))
 def v08_normalized(spark, sf):
-    """Counts divided by a coefficient: single reads are far below a thousandth."""
+    """Counts divided by a coefficient."""
     counts = A.contacts(spark, sf).withColumn("contact_count", F.col("contact_count") / 2585.0)
     return V.downsample(counts, 20_000)
 

@@ -89,8 +89,43 @@ def test_overlap_pairs_nested_and_touching(spark):
     left = spark.createDataFrame(a, "chr string, x int, a_start bigint, a_end bigint")
     right = spark.createDataFrame(b, "chr string, y int, b_start bigint, b_end bigint")
     closed = (F.col("a_start") <= F.col("b_end")) & (F.col("a_end") >= F.col("b_start"))
-    got = rows(O.overlap_pairs(left, right, closed, width=32).select("x", "y"))
-    assert got == sorted((i, j) for _, i, s, e in a for _, j, t, f in b if s <= f and e >= t)
+    for merge in (True, False):
+        got = rows(O.overlap_pairs(left, right, closed, narrowest=4, merge=merge).select("x", "y"))
+        assert got == sorted((i, j) for _, i, s, e in a for _, j, t, f in b if s <= f and e >= t)
+
+
+def test_overlap_pairs_of_all_lengths(spark):
+    rnd = random.Random(8)
+    def some(n):
+        spans = [(s, s + int(10 ** rnd.uniform(0, 8.5))) for s in (rnd.randrange(0, 10**8) for _ in range(n))]
+        return [("c", i, s, e) for i, (s, e) in enumerate([*spans, *spans[:5], (0, 10**9), (7, 7)])]
+    a, b = some(120), some(90)
+    left = spark.createDataFrame(a, "chr string, x int, a_start bigint, a_end bigint")
+    right = spark.createDataFrame(b, "chr string, y int, b_start bigint, b_end bigint")
+    half_open = (F.col("a_start") < F.col("b_end")) & (F.col("a_end") > F.col("b_start"))
+    got = rows(O.overlap_pairs(left, right, half_open).select("x", "y"))
+    assert got == sorted((i, j) for _, i, s, e in a for _, j, t, f in b if s < f and e > t)
+    assert O.overlap_pairs(left, right.limit(0), half_open).count() == 0
+
+
+def test_overlap_pairs_of_a_pile_up(spark):
+    """Equal intervals meet once, not once for each pair of copies; a long interval stands in two bins at most."""
+    left = spark.range(3000).select(F.lit("c").alias("chr"), F.col("id").alias("x"), F.lit(1000).cast("long").alias("a_start"), F.lit(1500).cast("long").alias("a_end"))
+    right = spark.range(1000).select(F.lit("c").alias("chr"), F.col("id").alias("y"), F.lit(1200).cast("long").alias("b_start"), F.lit(100_000_000).cast("long").alias("b_end"))
+    pairs = O.overlap_pairs(left, right, F.col("a_start") <= F.col("b_end"))
+    seen = {}
+    original = type(left).join
+    assert pairs.count() == 3_000_000
+    def spy(self, other, *args, **kw):
+        if "_b" in self.columns and "_b" in other.columns:
+            seen["rows"] = (self.count(), other.count())
+        return original(self, other, *args, **kw)
+    type(left).join = spy
+    try:
+        O.overlap_pairs(left, right, F.col("a_start") <= F.col("b_end"))
+    finally:
+        type(left).join = original
+    assert max(seen["rows"]) <= 4
 
 
 @pytest.mark.parametrize("piece", [O.ONE_PIECE, 10])

@@ -153,3 +153,20 @@ def test_totals_of_small_and_bad_values(spark):
     assert [float(r.total) for r in V.signal_bins(runs, 100).collect()] == pytest.approx([3e-6])
     with pytest.raises(Exception, match="infinite"):
         V.signal_bins(runs.withColumn("value", F.lit(float("inf"))), 100).collect()
+
+
+def test_downsample_of_counts_over_eighteen_orders(spark):
+    schema = "chr string, contact_st bigint, contact_en bigint, contact_count double"
+    for counts in ([1e-6, 1e6, 1e6], [1e-9, 1e9, 1e9, 1e-9], [1e-300, 1e300, 1e300]):
+        # next to each other, then on chromosomes of their own
+        for at in (lambda i: ("c", 5 * i), lambda i: (f"c{i}", 10**6 * i)):
+            cells = spark.createDataFrame([(at(i)[0], at(i)[1], at(i)[1] + 5, v) for i, v in enumerate(counts)], schema)
+            drawn = {(r.chr, r.contact_st): r.contact_count for r in V.downsample(cells, 10_000).collect()}
+            assert sum(drawn.values()) == 10_000
+            assert set(drawn) == {at(i) for i, v in enumerate(counts) if v >= 1e6}
+            assert all(v == pytest.approx(5_000, rel=0.05) for v in drawn.values())
+    odd = spark.createDataFrame([("c", 0, 1, float("nan")), ("c", 1, 2, 0.0), ("c", 2, 3, -1.0), ("c", 3, 4, None)], schema)
+    assert V.downsample(odd, 100).collect() == [] == V.downsample(odd.limit(0), 100).collect()
+    assert sum(r.contact_count for r in V.downsample(odd.fillna(2.0), 100).collect()) == 100
+    with pytest.raises(Exception, match="infinite"):
+        V.downsample(odd.fillna(float("inf")), 5).collect()
