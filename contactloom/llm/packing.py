@@ -10,6 +10,7 @@ A group's memory is bounded by ``group_tokens`` and the longest document; nothin
 from __future__ import annotations
 
 import base64
+import json
 import os
 
 import numpy as np
@@ -81,8 +82,8 @@ def encoder(vocabulary: str, ranks: tuple[str, str] | None):
     """A function from a list of texts to their ids, those that ``tokenizers`` gives for ``vocabulary``.
 
     ``ranks`` (a file with the same vocabulary as ranks, and its split pattern) lets a faster library encode
-    texts of Latin-1 characters, whose classes no version of either library disputes; the others are left to
-    ``tokenizers``.
+    texts of Latin-1 characters, whose classes no version of either library disputes; the others, and those that spell out
+    an added token of the vocabulary (it becomes that token's id), are left to ``tokenizers``.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     loaded: list = []
@@ -94,7 +95,6 @@ def encoder(vocabulary: str, ranks: tuple[str, str] | None):
             from tokenizers import Tokenizer
 
             loaded.append(Tokenizer.from_file(vocabulary))
-            loaded[0].encode_special_tokens = True  # their strings in a text are ordinary text
         return [e.ids for e in loaded[0].encode_batch_fast(texts, add_special_tokens=False)]
 
     if ranks is None:
@@ -104,6 +104,8 @@ def encoder(vocabulary: str, ranks: tuple[str, str] | None):
     path, pattern = ranks
     with open(path, "rb") as f:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    with open(vocabulary, encoding="utf-8") as f:
+        added = [t["content"] for t in json.load(f).get("added_tokens") or []]
     quick = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
 
     def simple(text: str) -> bool:
@@ -111,6 +113,8 @@ def encoder(vocabulary: str, ranks: tuple[str, str] | None):
             text.encode("latin-1")
         except UnicodeEncodeError:
             return False
+        if any(token in text for token in added):
+            return False
         return max(map(len, text.split()), default=0) <= LONG_RUN
 
     def both(texts: list[str]) -> list[list[int]]:

@@ -79,3 +79,16 @@ def test_query_digest(spark):
         ids = tokenizer.encode(docs[r.doc_id] or "", add_special_tokens=False).ids + [0]
         assert r.doc_tokens == len(ids)
         assert r.ids_crc32 == zlib.crc32(np.array(ids[r.start : r.start + r.length], "<u4").tobytes())
+
+
+def test_added_tokens_in_a_text():
+    from tokenizers import Tokenizer
+
+    from contactloom.llm.settings import byte_bpe
+
+    vocabulary, ranks = byte_bpe()
+    texts = ["<|endoftext|> hello", "a<|endoftext|>b", "<|endoftext|>", "<|endoftext", "é <|endoftext|>\n", "日本 <|endoftext|> x", "plain"]
+    plain = Tokenizer.from_file(vocabulary)
+    expected = [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    assert expected[0][0] == 50256
+    assert packing.encoder(vocabulary, ranks)(texts) == expected == packing.encoder(vocabulary, None)(texts)
