@@ -43,8 +43,21 @@ def distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors divided by a power of two, so that the largest component is about 1: cosines stay the same, sums in range."""
+    top = np.frexp(np.abs(vectors).max(axis=1, initial=0.0))[1]
+    # in two steps, as the power itself may be out of range
+    return np.ldexp(np.ldexp(vectors, -(top // 2)[:, None]), -(top - top // 2)[:, None])
+
+
+def norms(vectors: np.ndarray) -> np.ndarray:
+    """Lengths, summed in one order for every row."""
+    return np.sqrt((vectors * vectors).sum(axis=1))
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = scaled(vectors)
+    return near / norms(near)[:, None]
 
 
 def learn(sample: np.ndarray, bits: int = 128, k: int = 5, recall: float = 0.97, rounds: int = 20, seed: int = 5) -> Coder:
@@ -142,10 +155,10 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
         if not len(index) or not len(asked):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
         c = coder.value
-        ids, data = index["id"].to_numpy(), np.vstack(index["vector"].to_numpy())
-        units, norms = unit(data), np.linalg.norm(data, axis=1)
-        block = Block(c.codes(units))
-        original = np.vstack(asked["vector"].to_numpy())
+        ids, data = index["id"].to_numpy(), scaled(np.vstack(index["vector"].to_numpy()))
+        lengths = norms(data)
+        block = Block(c.codes(unit(data)))
+        original = scaled(np.vstack(asked["vector"].to_numpy()))
         out = []
         for query, vector, code in zip(asked["id"], original, c.codes(unit(original)), strict=True):
             radius, want = c.radius, min(k, int((ids != query).sum()))
@@ -155,7 +168,8 @@ def search(vectors: DataFrame, is_query, id_column: str = "vec_id", vector_colum
                 if len(found) >= want:
                     break
                 radius = min(bits, radius + 8)
-            score = data[found] @ vector / (norms[found] * np.linalg.norm(vector))
+            # each row is summed in the same order, so equal vectors get equal scores
+            score = (data[found] * vector).sum(axis=1) / (lengths[found] * norms(vector[None])[0])
             best = np.lexsort((ids[found], -score))[:k]
             out += [(query, ids[found[i]], score[i]) for i in best]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])

@@ -259,3 +259,17 @@ def test_held_out_is_a_quarter(docs):
 
     got = {r.doc_id for r in docs.where(held_out()).select("doc_id").collect()}
     assert got == {r.doc_id for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 == 2}
+
+
+def test_neighbours_of_equal_and_extreme_vectors(spark):
+    from contactloom.llm import neighbours
+
+    rng = np.random.default_rng(1)
+    for dim, n in ((64, 40), (7, 33)):
+        one = [float(x) for x in rng.normal(size=dim)]
+        df = spark.createDataFrame([(i, one) for i in range(n)], "vec_id long, embedding array<double>")
+        got = neighbours.search(df, F.col("id") == 0).orderBy("rank").collect()
+        assert [r["vec_id"] for r in got] == [1, 2, 3, 4, 5] and len({r["score"] for r in got}) == 1
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e307, 0.0]), (3, [5e-324, 5e-324]), (4, [-1e250, 1e250])]
+    got = {r["vec_id"]: r["score"] for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()}
+    assert got == pytest.approx({1: 1.0, 2: 0.5**0.5, 3: 1.0, 4: 0.0})
