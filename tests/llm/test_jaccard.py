@@ -114,3 +114,18 @@ def test_components(spark):
         parent[max(p, q)] = min(p, q)
     got = {r["id"]: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert {x: top(x) for x in parent if any(x in link and link[0] != link[1] for link in links)} == got
+
+
+def thue_morse(letters, n):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_patterned_words_do_not_collide(spark):
+    """Words that a polynomial modulo a power of two cannot tell apart."""
+    pairs = [(thue_morse("ab", n), thue_morse("ba", n)) for n in (16, 64, 128, 1024, 4096)]
+    for a, b in pairs:
+        assert len(set(jaccard.gram_set(f"{a} {b}", 1))) == 2
+    docs = [(i, t) for i, t in enumerate(x for p in pairs for x in p)]
+    got = jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), 4, 85).collect()
+    assert all(r["component_id"] == r["doc_id"] and r["n_shingles"] == 1 for r in got)
+    assert len(set(jaccard.gram_set("A" * 70 + " " + "a" * 70 + " ab AB aB a b", 1))) == 4
