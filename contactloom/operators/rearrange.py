@@ -235,15 +235,15 @@ def ectopic_scores(cells: DataFrame, value: str = "difference", least: int = 10)
     # the trimmed moments come from the distinct values of each diagonal and their counts
     counted = ranked.join(limits, key)
     inner = counted.filter((F.col(value) > F.col("p4")) & (F.col(value) < F.col("p96")))
-    weight = F.col("cnt")
+    # measured from the middle of the trimmed range, so that squares of large values don't cancel
+    weight, middle = F.col("cnt"), F.col("p4") + (F.col("p96") - F.col("p4")) / 2
+    off = F.col(value) - middle
     moments = inner.groupBy(*key).agg(
-        F.sum(weight).alias("_n"),
-        F.sum(F.col(value) * weight).alias("_s"),
-        F.sum(F.col(value) * F.col(value) * weight).alias("_q"),
+        F.sum(weight).alias("_n"), F.sum(off * weight).alias("_s"), F.sum(off * off * weight).alias("_q"), F.first(middle).alias("_middle")
     )
     mean = F.col("_s") / F.col("_n")
     stats = moments.filter(F.col("_n") >= least).select(
-        *key, mean.alias("_mean"), F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("_std")
+        *key, (F.col("_middle") + mean).alias("_mean"), F.sqrt(F.greatest(F.col("_q") / F.col("_n") - mean * mean, F.lit(0.0))).alias("_std")
     )
     found = lookup(present, stats, key, ["_mean", "_std"])
     return found.filter(F.col("_mean").isNotNull()).select(

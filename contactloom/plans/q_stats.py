@@ -188,7 +188,7 @@ def v04(spark, sf):
 
 
 _PE = """pe AS (SELECT DISTINCT p.chr, LEAST(p.b, e.b) AS i, GREATEST(p.b, e.b) AS j FROM (SELECT DISTINCT chr, TSS // 5000 AS b FROM a_genes) p
-    JOIN (SELECT DISTINCT chr, mids // 5000 AS b FROM a_peaks WHERE event_type = 'purchase') e ON e.chr = p.chr AND ABS(p.b - e.b) > 2 AND ABS(p.b - e.b) < {r})"""
+    JOIN (SELECT DISTINCT chr, mids // 5000 AS b FROM a_peaks) e ON e.chr = p.chr AND ABS(p.b - e.b) > 2 AND ABS(p.b - e.b) < {r})"""
 
 
 def _promoters(spark, sf):
@@ -196,7 +196,7 @@ def _promoters(spark, sf):
 
 
 def _enhancers(spark, sf):
-    return A.peaks(spark, sf).filter("event_type = 'purchase'").select("chr", F.col("mids").alias("position"))
+    return A.peaks(spark, sf).select("chr", F.col("mids").alias("position"))
 
 
 _PE_ERRORS = f"""{_PE.format(r=300)}, x AS (SELECT pe.chr, COALESCE(r, 0) AS r, COALESCE(p, 0) AS p FROM pe JOIN ex ON ex.chr = pe.chr AND pe.i >= lo AND pe.j + 1 < hi
@@ -334,7 +334,7 @@ def j13(spark, sf):
 
 _COARSE = 50_000
 _SIX = f"""pe AS (SELECT DISTINCT p.chr, LEAST(p.b, e.b) AS i, GREATEST(p.b, e.b) AS j FROM (SELECT DISTINCT chr, TSS // {_COARSE} AS b FROM a_genes) p
-      JOIN (SELECT DISTINCT chr, mids // {_COARSE} AS b FROM a_peaks WHERE event_type = 'purchase') e ON e.chr = p.chr AND ABS(p.b - e.b) > 2 AND ABS(p.b - e.b) < 60),
+      JOIN (SELECT DISTINCT chr, mids // {_COARSE} AS b FROM a_peaks) e ON e.chr = p.chr AND ABS(p.b - e.b) > 2 AND ABS(p.b - e.b) < 60),
     cd AS (SELECT condition, chr, contact_st // {_COARSE} AS i, contact_en // {_COARSE} AS j, SUM(contact_count) AS v FROM a_cond GROUP BY ALL)
     SELECT chr, i, j, {', '.join(f'ROUND(log2(SUM(v) FILTER (condition = {c})), 9) AS c{c}' for c in range(6))}, ROUND(log2(j - i), 9) AS distance
     FROM pe JOIN cd USING (chr, i, j) GROUP BY chr, i, j HAVING COUNT(DISTINCT condition) FILTER (v <> 0) = 6"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from contactloom.operators.contacts import add_chr_prefix
-from contactloom.operators.ordered import running_before
+from contactloom.operators.ordered import previous_row, running_before
 from contactloom.operators.tracks import midpoint
 
 _DOUBLE, _LONG, _STRING = T.DoubleType(), T.LongType(), T.StringType()
@@ -57,13 +57,14 @@ def read_norm_coefficient(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_contacts(
-    spark: SparkSession, path: str | Sequence[str], coefficient: DataFrame | None = None, chrom: str | None = None
+    spark: SparkSession, path: str | Sequence[str], coefficient: DataFrame | None = None, chrom: str | None = None, check_bins: bool = False
 ) -> DataFrame:
     """Contact triples of one or many files.
 
     The chromosome is the file name up to its first dot.  Counts of
     ``*.contacts`` files are divided by the coefficient, those of ``*.oe``
-    files stay as they are.  Rows with a missing value are dropped.
+    files stay as they are.  Rows with a missing value are dropped.  With
+    ``check_bins`` files of different resolutions are an error (one more pass over them).
     """
     columns = {0: "contact_st", 1: "contact_en", 2: "contact_count"}
     types = {"contact_st": _LONG, "contact_en": _LONG, "contact_count": _DOUBLE}
@@ -78,13 +79,31 @@ def read_contacts(
         value = coefficient.agg(F.max("coeff").alias("c")).scalar()
         scale = F.when(kind == "oe", F.lit(1)).otherwise(value)
     name = F.lit(chrom) if chrom else F.regexp_extract("_file", r"^([^.]+)", 1)
-    return usable.select(
+    contacts = usable.select(
         name.alias("chr"),
         "contact_st",
         "contact_en",
         (F.col("contact_count") / scale).alias("contact_count"),
         (F.col("contact_en") - F.col("contact_st")).alias("dist"),
     )
+    if check_bins:
+        same_bin_size(contacts)
+    return contacts
+
+
+def same_bin_size(contacts: DataFrame) -> int:
+    """The bin size of all chromosomes; chromosomes (files) of different resolutions are an error.
+
+    As in ``bin_size``, that of a chromosome is the smallest distance between its anchors or neighbouring starts.
+    """
+    places = contacts.select("chr", "contact_st").distinct()
+    gaps = previous_row(places, ["chr"], "contact_st", ["contact_st"], []).select("chr", (F.col("contact_st") - F.col("prev.contact_st")).alias("d"))
+    spans = contacts.select("chr", (F.col("contact_en") - F.col("contact_st")).alias("d"))
+    # one row per chromosome
+    sizes = {r["chr"]: r["d"] for r in gaps.unionByName(spans).filter("d > 0").groupBy("chr").agg(F.min("d").alias("d")).collect()}
+    if len(set(sizes.values())) != 1:
+        raise ValueError(f"contacts of one bin size are needed, found {sizes}")
+    return next(iter(sizes.values()))
 
 
 def read_peaks(spark: SparkSession, path: str | Sequence[str], columns: Mapping[int, str] = PEAK_COLUMNS) -> DataFrame:

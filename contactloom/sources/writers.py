@@ -6,19 +6,67 @@ import json
 from collections.abc import Sequence
 from dataclasses import asdict, is_dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def write_predictors(table: DataFrame, path: str, fmt: str = "parquet", mode: str = "append") -> None:
+#: name of the column, and so of the folders, that tells runs apart
+RUN = "run_id"
+
+
+def stored_columns(spark: SparkSession, path: str) -> list[str] | None:
+    """Columns of a stored predictor table without its partitions; None if there is none yet."""
+    if not exists(spark, path):
+        return None
+    found = spark.read.parquet(path).columns if _holds_parquet(spark, path) else None
+    return found and [c for c in found if c not in ("chr", RUN)]
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def _holds_parquet(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return any(x.isDirectory() for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at))
+
+
+def stored_chromosomes(spark: SparkSession, path: str, run: str) -> list[str]:
+    """Chromosomes that the run has written to the end; folders only appear there when a write commits."""
+    if stored_columns(spark, path) is None:
+        return []
+    written = spark.read.parquet(path)
+    if RUN not in written.columns:
+        return []
+    return sorted(r["chr"] for r in written.filter(F.col(RUN) == run).select("chr").distinct().collect())
+
+
+def write_predictors(table: DataFrame, path: str, fmt: str = "parquet", mode: str = "append", run: str | None = None) -> None:
     """The predictor table, one partition per chromosome; several runs append to one dataset.
 
+    What is there must have the same columns in the same order, whatever the format: a difference is an error.
+    With ``run`` (parquet) rows lie below ``run_id=<run>/chr=<chr>``, and writing replaces just the chromosomes of this
+    run that ``table`` has: a run repeated after a failure leaves each row once, and those of other runs and chromosomes stay.
+
     Tab-separated output keeps the chromosome as an ordinary column under a
     header line, so that the reader can type the table by its header.
     """
+    spark = table.sparkSession
     if fmt == "parquet":
-        table.write.mode(mode).partitionBy("chr").parquet(path)
+        own, there = [c for c in table.columns if c not in ("chr", RUN)], stored_columns(spark, path)
+        if mode == "append" and there and there != own:
+            raise ValueError(f"{path} holds columns {there}, not {own}")
+        if run is None:
+            table.write.mode(mode).partitionBy("chr").parquet(path)
+        else:
+            staged = table.withColumn(RUN, F.lit(run))
+            staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(RUN, "chr").parquet(path)
     else:
+        if mode == "append" and exists(spark, path):
+            there = spark.read.option("recursiveFileLookup", "true").text(path).head(1)
+            if there and there[0][0].split("\t") != table.columns:
+                raise ValueError(f"{path} holds columns {there[0][0].split(chr(9))}, not {table.columns}")
         table.write.mode(mode).csv(path, sep="\t", header=True)
 
 

@@ -99,3 +99,15 @@ def test_permutation_null_equals_shuffling():
         drawn = [rng.permutation(marks)[:draws].sum() for _ in range(4000)]
         median, deviation = R.hypergeometric(cells, hits, draws)
         assert abs(median - np.median(drawn)) <= 1 and deviation == pytest.approx(np.std(drawn), rel=0.1, abs=1e-9)
+
+
+def test_scores_of_large_values(spark):
+    """Values around 1e9 that vary by 1: squares of such doubles cancel, distances from the middle don't."""
+    rnd = np.random.default_rng(5)
+    values = 1e9 + rnd.normal(size=400)
+    cells = spark.createDataFrame([("c", 5 * i, 5 * i + 10, float(v)) for i, v in enumerate(values)], "chr string, contact_st bigint, contact_en bigint, difference double")
+    lo, hi = np.quantile(values, [0.04, 0.96])
+    inner = values[(values > lo) & (values < hi)]
+    got = {r.contact_st // 5: r.z for r in R.ectopic_scores(cells).collect()}
+    assert len(got) == 400
+    assert [got[i] for i in range(400)] == pytest.approx(list((values - inner.mean()) / inner.std()), rel=1e-5, abs=1e-6)

@@ -112,3 +112,12 @@ def test_signal_keeps_nan(spark, tmp_path):
     region = spark.createDataFrame([("c", 5, 15)], "chr string, start bigint, end bigint")
     got = sorted((r.start, r.end, str(r.value)) for r in Q.clip_runs(runs, region).collect())
     assert got == [(5, 10, "2.0"), (10, 15, "nan")]
+
+
+def test_files_of_different_resolution_are_told(spark, tmp_path):
+    (tmp_path / "chr1.contacts").write_text("".join(f"{i * 5000}\t{i * 5000 + 10000}\t1\n" for i in range(5)))
+    (tmp_path / "chr2.contacts").write_text("".join(f"{i * 25000}\t{i * 25000 + 50000}\t1\n" for i in range(5)))
+    one, both = str(tmp_path / "chr1.contacts"), [str(tmp_path / f"chr{i}.contacts") for i in (1, 2)]
+    assert S.read_contacts(spark, one, check_bins=True).count() == 5 and S.same_bin_size(S.read_contacts(spark, one)) == 5000
+    with pytest.raises(ValueError, match="bin size"):
+        S.read_contacts(spark, both, check_bins=True)
