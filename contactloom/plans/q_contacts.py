@@ -122,16 +122,15 @@ def j02(spark, sf):
     return C.region_contacts(regions, A.BIN, 10_000, 60_000)
 
 
-_NEAR = """near_bins AS (SELECT DISTINCT chr, b + d AS pos FROM (SELECT DISTINCT chr, UNNEST([(x1 + x2) // 2, (y1 + y2) // 2]) // 5000 * 5000 AS b FROM a_loops), (VALUES (-5000), (0), (5000)) t(d)),
+_NEAR = """near_bins AS (SELECT DISTINCT chr, b + d AS pos FROM (SELECT DISTINCT chr, (x1 + x2) // 2 // 5000 * 5000 AS b FROM a_loops), (VALUES (-5000), (0), (5000)) t(d)),
     flagged AS (SELECT c.*, s.pos IS NOT NULL AND e.pos IS NOT NULL AS with_track FROM a_contacts c
     LEFT JOIN near_bins s ON s.chr = c.chr AND s.pos = c.contact_st LEFT JOIN near_bins e ON e.chr = c.chr AND e.pos = c.contact_en
     WHERE dist BETWEEN 10001 AND 295000)"""
 
 
 def _sparse_track(spark, sf):
-    """The anchors of all loops as a track."""
-    ends = F.explode(F.array(*[F.floor((F.col(f"{e}1") + F.col(f"{e}2")) / 2) for e in "xy"])).alias("mids")
-    return A.loops(spark, sf).select("chr", ends)
+    """The left anchors of all loops as a track."""
+    return A.loops(spark, sf).select("chr", F.floor((F.col("x1") + F.col("x2")) / 2).alias("mids"))
 
 
 @query("j15_flag_near_track", f"WITH {_NEAR} SELECT chr, contact_st, contact_en, contact_count, dist, with_track FROM flagged")
