@@ -45,7 +45,9 @@ BUCKET_BYTES = 1_000_000
 SHARD_BYTES = 300_000
 WIDE = 3_000
 #: texts are hashed in pieces of so many bytes, each with the length of a string more
-PIECE = 1 << 20
+PIECE = 1 << 16
+#: short texts are hashed together, about so many bytes at a time
+TOGETHER = 1 << 18
 
 _BYTE = np.random.default_rng(31).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BACK = np.uint64(pow(int(_BASE), -1, 1 << 64))
@@ -145,44 +147,63 @@ def kept_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[0], _POWERS[1]
 
 
-def segments(data: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor hash, hash of all bytes, first start, number of starts) of a text's segments."""
+def segments(texts: list[np.ndarray], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, anchor hash, hash of all bytes, first start, number of starts) of the segments of some texts.
+
+    The texts are hashed as one array, in pieces; strings that would cross from one text to the next are left out.
+    """
     out = []
     low = np.uint64(0xFFFFFFFF)
+    ends = np.cumsum([len(t) for t in texts])
+    data = np.concatenate(texts) if texts else np.zeros(0, np.uint8)
+    # a start is no start of a string if a text ends less than ``length`` bytes behind it
+    crossing = np.zeros(len(data) + 1, dtype=np.int32)
+    np.add.at(crossing, np.maximum(ends - length + 1, 0), 1)
+    np.add.at(crossing, ends, -1)
+    valid = np.cumsum(crossing[:-1]) == 0
     with np.errstate(over="ignore"):
         for at in range(0, max(0, len(data) - length + 1), PIECE):
             piece = data[at : at + PIECE + length - 1]
+            starts = np.flatnonzero(valid[at : at + len(piece) - length + 1])
+            if not len(starts):
+                continue
             grams = gram_hashes(piece)
             ranked = (grams & ~low) | (low - np.arange(len(grams), dtype=np.uint64))
-            best = low - (sliding_min(ranked, length - GRAM + 1) & low)
-            first = np.flatnonzero(np.concatenate([[True], best[1:] != best[:-1]]))
-            count = np.diff(np.append(first, len(best)))
+            best = (low - (sliding_min(ranked, length - GRAM + 1) & low))[starts]
+            new = np.flatnonzero(np.concatenate([[True], (best[1:] != best[:-1]) | (starts[1:] != starts[:-1] + 1)]))
+            first, count = starts[new], np.diff(np.append(new, len(starts)))
             up, down = kept_powers(len(piece))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[piece] * up[: len(piece)], dtype=np.uint64)])
-            ends = first + count + length - 1
-            body = mixed((sums[ends] - sums[first]) * down[first] + count.astype(np.uint64))
-            out.append((grams[best[first].astype(np.int64)].view(np.int64), body.view(np.int64), first + at, count))
+            # the mixed hashes of all its grams tell a segment's bytes, and no pattern of bytes makes them cancel
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(grams * up[: len(grams)], dtype=np.uint64)])
+            until = first + count + length - GRAM
+            body = mixed((sums[until] - sums[first]) * down[first] + count.astype(np.uint64))
+            of = np.searchsorted(ends, first + at, side="right")
+            begins = np.where(of > 0, ends[of - 1], 0)
+            out.append((of, grams[best[new].astype(np.int64)].view(np.int64), body.view(np.int64), first + at - begins, count))
     if not out:
-        return (np.zeros(0, np.int64),) * 4
+        return (np.zeros(0, np.int64),) * 5
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def found_segments(texts: DataFrame, folder: str, length: int) -> DataFrame:
     """(anchor, body, doc_id, part, idx, start, count) of all segments of ``texts`` (part, idx, doc_id)."""
+    names = ["anchor", "body", "doc_id", "part", "idx", "start", "count"]
 
     def run(batches):
         parts = Parts(folder)
         for batch in batches:
-            held, size = [], 0
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "part", "idx")]
-            for i, (doc, part, idx) in enumerate(zip(*columns, strict=True)):
-                anchor, body, start, count = segments(parts.text(part, idx), length)
-                n = len(anchor)
-                held.append((anchor, body, np.full(n, doc), np.full(n, part), np.full(n, idx, np.int32), start, count.astype(np.int32)))
-                size += n
-                if size >= 50_000 or i == len(columns[0]) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*held, strict=True)], ["anchor", "body", "doc_id", "part", "idx", "start", "count"])
-                    held, size = [], 0
+            columns = [np.array(batch.column(c).to_pylist()) for c in ("doc_id", "part", "idx")]
+            held, first, size = [], 0, 0
+            for i in range(batch.num_rows):
+                held.append(parts.text(int(columns[1][i]), int(columns[2][i])))
+                size += len(held[-1])
+                if size >= TOGETHER or i == batch.num_rows - 1:
+                    of, anchor, body, start, count = segments(held, length)
+                    doc, part, idx = (c[first + of] for c in columns)
+                    out = (anchor, body, doc, part, idx.astype(np.int32), start, count.astype(np.int32))
+                    for at in range(0, len(anchor), 100_000):
+                        yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 100_000]) for x in out], names)
+                    held, first, size = [], i + 1, 0
 
     return by_part(texts).mapInArrow(run, "anchor long, body long, doc_id long, part long, idx int, start long, count int")
 
@@ -338,8 +359,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, text: str = "text", key:
     firsts = cut_lineage(
         placed.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min(F.struct(order, "part", "idx")).alias("first"), F.min("n_bytes").alias("n_bytes")).select("sha", "first.*")
     )
-    found = found_segments(firsts, folder, length)
-    # written, so that the join below can split the rows of a busy anchor
+    # written, as it is read twice: for the counts, and for the join, which can split the rows of a busy anchor
+    found = cut_lineage(found_segments(firsts, folder, length))
     counts = cut_lineage(found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     again = cut_lineage(found.join(counts.hint("shuffle_hash"), "anchor"))
     # equal segments: all but the first are repeated as a whole

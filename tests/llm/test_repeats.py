@@ -107,3 +107,17 @@ def test_shard_order_is_suffix_order():
     suffixes = {b + o: t[o:] for b, t in zip(begins, texts, strict=True) for o in range(len(t) + 1)}
     want = sorted(suffixes, key=lambda p: (suffixes[p], p))
     assert shard.order.tolist() == want
+
+
+def test_segments_of_joined_texts():
+    """Texts hashed together have the segments that they have on their own."""
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 99, n).astype(np.uint8) for n in (0, 5, 99, 100, 101, 3000, 150, 0, 70_000, 130)]
+    together = repeats.segments(texts, 100)
+    alone = [repeats.segments([t], 100) for t in texts]
+    of = np.concatenate([np.full(len(x[0]), i) for i, x in enumerate(alone)])
+    # where a long text is cut into pieces may differ; starts and their strings' anchors may not
+    def starts(segs, of):
+        return {(int(t), int(s) + k, int(a)) for t, a, s, c in zip(of, segs[1], segs[3], segs[4], strict=True) for k in range(int(c))}
+    assert starts(together, together[0]) == starts([np.concatenate(c) for c in zip(*alone, strict=True)], of)
+    assert len(starts(together, together[0])) == sum(max(0, len(t) - 99) for t in texts)
