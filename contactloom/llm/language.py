@@ -125,7 +125,8 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     """Train on at most about ``per_label`` documents of each label and ``windows_per_doc`` windows of each.
 
     Rows with a null text or label are left out. The rows are drawn by a hash of ``key``, the windows
-    evenly over the text. Without labelled rows, or with one label, the network knows what there is.
+    evenly over the text. With one label the network knows that one; without labelled rows (or with an empty
+    table) it has no labels, and every prediction is ``und`` with the score 0.
     """
     short_batches(labelled.sparkSession)
     clean = labelled.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(
@@ -134,7 +135,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "lang", key: str =
     counts = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
     names = sorted(counts)
     if not names:
-        raise ValueError("there are no labelled texts to learn from")
+        return ByteNetwork.new([], window, 1, seed)
     shares = {y: int((1 << 20) * min(1.0, per_label / n)) for y, n in counts.items()}
     chosen = clean.where(F.col("draw") <= F.element_at(F.create_map(*[F.lit(v) for y in names for v in (y, shares[y])]), F.col("y")))
 
@@ -158,7 +159,7 @@ def score(model: ByteNetwork, size: int, texts: list[str | None]) -> tuple[list[
     """Label and mean probability of each text."""
     spans, rows, lengths, at = [], [], [], 0
     for x in texts:
-        if x is not None and any(map(str.isalpha, x)):
+        if model.labels and x is not None and any(map(str.isalpha, x)):
             w = windows_of(x, size)
             full = np.full(len(w), size)
             full[-1] = len(x.encode("utf-8", "replace")) - size * (len(w) - 1)

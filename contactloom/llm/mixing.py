@@ -64,7 +64,7 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, per_domain: i
     counts = {r["domain"]: r["count"] for r in clean.groupBy("domain").count().collect()}
     domains = sorted(counts)
     if not domains:
-        raise ValueError("there are no labelled documents to learn from")
+        return [], {}, {}
     everything = sum(counts.values())
     span = 1 << 30
     limit = F.element_at(F.create_map(*[F.lit(x) for d in domains for x in (d, int(span * min(1.0, per_domain / counts[d])))]), F.col("domain"))
@@ -92,8 +92,10 @@ def learn(docs: DataFrame, labels: DataFrame, text: str, key: str, per_domain: i
 
 
 def posteriors(docs: DataFrame, model, text: str, temper: float) -> DataFrame:
-    """``docs`` plus ``posterior``: an array with the probability of each domain, in order of name."""
+    """``docs`` plus ``posterior``: an array with the probability of each domain, in order of name; empty without domains."""
     domains, base, weights = model
+    if not domains:
+        return docs.withColumn("posterior", F.array().cast("array<double>"))
     known = F.array(*[F.lit(w) for w in sorted(weights)]) if weights else F.array().cast("array<string>")
     hits = F.array_intersect(signs(text_or_empty(text)), known)
     tables = [F.create_map(*[F.lit(x) for w in sorted(weights) for x in (w, weights[w][i])]) for i in range(len(domains))] if weights else []
@@ -162,15 +164,19 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float], text: str
     each domain (domains left out want 0; they are scaled to sum to 1), while the total stays that of the input. Null or empty
     texts have no tokens and get the prior as posterior; repeated rows and ties get equal rates; new columns
     replace old ones of their names; an empty table gives no rows. Targets that nonnegative rates can't
-    reach are approached as the least squares say.
+    reach are approached as the least squares say. A target whose domain no label names is left out, and the others are
+    scaled to sum to 1; if none is left (an empty ``labels``, say), every rate is 1.
     """
     kept = [c for c in carry or docs.columns if c not in ("n_tokens", "posterior", "rate")]
     model = learn(docs, labels, text, key, per_domain, vocabulary)
-    domains, whole = model[0], sum(targets.values())
-    if set(targets) - set(domains) or whole <= 0:
-        raise ValueError("targets name a domain that has no labels, or are all 0")
+    if min(targets.values(), default=0) < 0 or sum(targets.values()) <= 0:
+        raise ValueError("targets must not be negative, nor all 0")
+    domains = model[0]
+    whole = sum(targets.get(d, 0.0) for d in domains)
     own = docs.drop("n_tokens", "posterior", "rate")
     scored = cut_lineage(posteriors(own, model, text, temper).withColumn("n_tokens", tokens(text_or_empty(text))).select(*kept, "n_tokens", "posterior"))
+    if whole <= 0:
+        return scored.withColumn("rate", F.lit(1.0))
     members = scored.select(F.col("n_tokens").alias("tokens"), "posterior")
     rate, _ = rates(members, [targets.get(d, 0.0) / whole for d in domains], steps, tolerance)
     return scored.withColumn("rate", rate)

@@ -36,8 +36,8 @@ def test_language_edge_cases(spark, docs):
     assert [rows[i].lang_pred for i in range(3)] == ["und"] * 3 and rows[0].score == 0.0
     assert rows[4].lang_pred == "en" and rows[5][2:] == rows[6][2:] and rows[7].lang_pred in net.labels
     assert language.predict(df.where("n > 99"), net).count() == 0
-    with pytest.raises(ValueError):
-        language.fit(docs.where("lang is null"))
+    nothing = language.predict(df, language.fit(docs.where("lang is null"))).collect()
+    assert {(r.lang_pred, r.score) for r in nothing} == {("und", 0.0)} and len(nothing) == len(texts)
 
 
 def test_language_of_a_text_is_the_mean_over_all_its_windows(docs):
@@ -208,11 +208,12 @@ def test_mixing_draws_by_rate_and_edge_cases(spark):
     rows = mixing.mix(df, labels, {"x": 1.0}).collect()
     assert [r.rate for r in rows] == [pytest.approx(1.0)] * 2
     assert mixing.mix(df.where("doc_id > 3"), labels, {"x": 1.0}).count() == 0
-    for bad in ({"y": 1.0}, {"x": 0.0}):
+    for bad in ({"x": -1.0, "y": 2.0}, {"x": 0.0}, {}):
         with pytest.raises(ValueError):
             mixing.mix(df, labels, bad)
-    with pytest.raises(ValueError):
-        mixing.mix(df, labels.where("doc_id > 3"), {"x": 1.0})
+    # targets without labels are left out
+    for some, targets in ((labels, {"y": 1.0}), (labels, {"x": 0.5, "y": 0.5}), (labels.where("doc_id > 3"), {"x": 1.0})):
+        assert [r.rate for r in mixing.mix(df, some, targets).collect()] == [pytest.approx(1.0)] * 2
 
 
 def cosine(a, b):

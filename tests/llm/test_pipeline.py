@@ -2,10 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
 from contactloom.llm import jaccard
+from contactloom.llm.queries import QUERIES
 from contactloom.llm.settings import byte_bpe
 from contactloom.session import cut_lineage
 
@@ -69,3 +71,61 @@ def test_run_equals_the_stages(spark, stages):
     again = corpus_pipeline.run(spark, SF)
     columns = ["doc_id", "start", "length", "doc_tokens"]
     assert again.select(*columns).exceptAll(stages[5].select(*columns)).count() == 0 and again.count() == stages[5].count()
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd_tables(spark, tmp_path, labels=True):
+    rng = np.random.default_rng(2)
+    words = [f"wort{i}" for i in range(60)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    one, two = prose(80), prose(80)
+    rows = [(i, prose(70), "en", "a", 1) for i in range(30)]
+    rows += [(100, one, "en", "a", 1), (100, one, "en", "a", 1), (100, two, "en", "a", 1), (101, one + " end", "en", None, None)]
+    rows += [(None, one, None, None, None), (None, two, "en", "b", 3), (200, None, "en", "b", 0), (201, "", None, "b", 0), (202, " \n", "en", None, 2)]
+    rows += [(300, prose(30_000), "en", "b", 9), (301, "x" * 200_000, "en", "b", 9), (302, "1234 !", "en", "b", 6)]
+    df = spark.createDataFrame(rows, SCHEMA).withColumns({c: F.lit(5) for c in ("key", "id", "rate", "posterior", "score", "lang_pred", "tokens", "block", "n")})
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(i, i % 2, int(i % 7 == 0)) for i in range(30)] if labels else []
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return df, one, two
+
+
+@pytest.mark.filterwarnings("ignore:no finding")
+def test_stages_take_odd_rows(spark, tmp_path):
+    df, one, two = odd_tables(spark, tmp_path)
+    sf, before = str(tmp_path), df
+    lang, near, secret, mixed, packs = (stage for _, stage in corpus_pipeline.STAGES)
+    kept = cut_lineage(lang(spark, df, sf))
+    ids = [r.doc_id for r in kept.collect()]
+    assert kept.columns == corpus_pipeline.COLUMNS and not {200, 201, 202, 302} & set(ids) and ids.count(100) == 3
+    first = cut_lineage(near(spark, df, sf))
+    rows = [(r.doc_id, r.text) for r in first.collect()]
+    # two unlike texts of one id both stay, their copies go; what has no id or no words is no copy
+    assert sorted(t for i, t in rows if i == 100) == sorted([one, two]) and 101 not in {i for i, _ in rows}
+    assert sum(i is None for i, _ in rows) == 2 and {200, 201, 202, 300, 301, 302} <= {i for i, _ in rows} and len(rows) == len(set(rows)) == 40
+    clean = cut_lineage(secret(spark, df, sf))
+    assert clean.count() == before.count() and clean.where("text is null").count() == 1
+    drawn = cut_lineage(mixed(spark, df, sf))
+    assert drawn.columns == corpus_pipeline.COLUMNS
+    assert packs(spark, df, sf).select("doc_id").distinct().count() == df.select("doc_id").distinct().count()
+    assert corpus_pipeline.run(spark, sf).count() > 0
+
+
+@pytest.mark.filterwarnings("ignore:no finding")
+def test_without_labels_or_rows(spark, tmp_path):
+    (tmp_path / "some").mkdir()
+    df, *_ = odd_tables(spark, tmp_path / "some", labels=False)
+    mixed = dict(corpus_pipeline.STAGES)["mixing"](spark, df, str(tmp_path / "some"))
+    assert mixed.count() == df.count()
+    unnamed = df.withColumn("lang", F.lit(None).cast("string"))
+    assert dict(corpus_pipeline.STAGES)["language_id"](spark, unnamed, "").count() == 0
+    empty = str(tmp_path / "empty")
+    for name in ("documents", "labels", "embeddings", "pages"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{empty}/{name}.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.read.parquet(f"{empty}/documents.parquet"), empty).count() == 0, name
+    for name, fn in QUERIES.items():
+        assert fn(spark, empty).collect() == [], name
+    assert corpus_pipeline.run(spark, empty).collect() == []
