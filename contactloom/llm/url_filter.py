@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactloom.llm.common import partitions
+from contactloom.operators.ordered import lookup
 from contactloom.session import cut_lineage
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -108,13 +109,16 @@ def match_rules(pages: DataFrame, rules: DataFrame, url: str = "url", default: s
     ancestors = distinct.select(
         "host", "path", F.explode(F.sequence(F.lit(1), F.least(F.size(labels), F.lit(max(1, depth))))).alias("n"), labels.alias("labels")
     ).select("host", "path", F.array_join(F.slice("labels", -F.col("n"), F.col("n")), ".").alias("ancestor"))
-    keys = ancestors.withColumn("key", sort_key(F.col("ancestor"), F.col("path")))
-    fitting = swept(keys, stacks, partitions(spark)).withColumn(
+    # very many hosts share an ancestor and a path: each such key is swept once
+    keys = ancestors.select("ancestor", "path").distinct().withColumn("key", sort_key(F.col("ancestor"), F.col("path")))
+    fits = swept(keys, stacks, partitions(spark)).withColumn(
         "fit",
         F.try_element_at(
             F.filter("stack", lambda r: (r["host"] == F.col("ancestor")) & F.col("path").startswith(r["path"])), F.lit(-1)
         ),
     )
+    # back to the hosts; keys with very many of them don't go through the shuffle
+    fitting = lookup(ancestors, fits.where("fit is not null").select("ancestor", "path", "fit"), ["ancestor", "path"], ["fit"])
     best = (
         fitting.where("fit is not null")
         .groupBy("host", "path")

@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactloom.llm import url_filter, warc
 from contactloom.llm.queries import OP3_SQL, OP7_SQL, QUERIES
@@ -86,3 +87,19 @@ def test_damaged_records_are_refused():
     assert warc.parsed_record(data)[1] == b"abc"
     with pytest.raises(ValueError):
         warc.parsed_record(data[:-3])
+
+
+def test_hosts_of_one_ancestor_are_spread_over_the_ranges(spark, monkeypatch):
+    """Many hosts with one path meet the sweep as one key of their common ancestor."""
+    pages = spark.range(6000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h"), F.col("id"), F.lit(".com/")).alias("url"))
+    rules = spark.createDataFrame([("com", "/", "block"), ("h7.com", "/", "allow"), ("org", "/x", "block")], "host string, path string, verdict string")
+    swept, seen = url_filter.swept, []
+
+    def spy(keys, stacks, ranges):
+        seen.append(keys.where("ancestor = 'com'").count())
+        return swept(keys, stacks, ranges)
+
+    monkeypatch.setattr(url_filter, "swept", spy)
+    out = url_filter.match_rules(pages, rules)
+    assert out.count() == 6000 and {r.page_id for r in out.where("verdict = 'allow'").collect()} == {7}
+    assert seen == [1]
