@@ -3,7 +3,7 @@
 Candidates are strings of known key formats, values assigned to names such as ``password`` or ``api_key`` (of any
 length and alphabet), and tokens that could be keys (long, with a digit or all capitals). Findings are labelled by
 formats and assignments; those that are neither clearly secret nor clearly a false alarm have no label and teach
-nothing. A finding with the label of a secret is one; the forest decides the others. It sees the length, transitions between character classes, the entropy, how much of the token the corpus' own words cover,
+nothing. The forest decides all of them, labelled or not. It sees the length, transitions between character classes, the entropy, how much of the token the corpus' own words cover,
 and how often the path, the words before and the word after go with secrets among the labelled findings.
 
 The word list comes from the counts over all documents (its ``words`` most frequent ones); the forest
@@ -43,9 +43,12 @@ FORMAT = re.compile(
     r"|xox[a-z]-[A-Za-z0-9-]{10,}|xapp-[A-Za-z0-9-]{10,}"
     r"|sk_live_[A-Za-z0-9]{10,}|sk_test_[A-Za-z0-9]{10,}|rk_live_[A-Za-z0-9]{10,}|sk-(?=[\w-]{0,100}\d)[\w-]{20,}|SG\.[\w-]{16,100}\.[\w-]{16,}"
     r"|npm_[A-Za-z0-9]{30,}|pypi-[\w-]{30,}|hf_[A-Za-z0-9]{30,}|dop_v1_[0-9a-f]{40,}|ya29\.[\w-]{20,}"
-    r"|eyJ[\w-]{8,2000}+(?:\.[\w-]+){1,4}={0,2}"
-    r"|-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----(?:(?:(?!-----BEGIN )[\s\S]){0,20000}?-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----|(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*)"
+    r"|(?<![\w-])eyJ[\w-]{8,}+(?:\.[\w-]+){1,4}={0,2}"
 )
+#: key blocks: their first and last lines, and what may follow a first line without a last one
+KEY_BEGIN = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_END = re.compile(r"-----END [A-Z0-9 ]*PRIVATE KEY(?: BLOCK)?-----")
+KEY_LINES = re.compile(r"(?:(?:\s|\\[nr])*[A-Za-z0-9+/=]{16,})*")
 #: the password of an address
 LOGIN = re.compile(r"://[^\s/:@\"'<>]*:([^\s/@\"'<>]+)@")
 SIGN = re.compile(r"(?<![=!<>:])(?:=>|:=|[:=])(?![=:/])")
@@ -70,10 +73,24 @@ DIGEST = re.compile(r"(?:commit|revision|rev|blob|tree|sha-?\d*|md5|etag|checksu
 HEX = re.compile(r"[0-9a-f]{12,}", re.I)
 
 
+def key_blocks(text: str) -> list[tuple[int, int]]:
+    """Spans of private keys of any length: up to their last line if it comes before another block, else as far as key lines follow."""
+    begins = list(KEY_BEGIN.finditer(text))
+    ends = [m.span() for m in KEY_END.finditer(text)] if begins else []
+    spans, at = [], 0
+    for m in begins:
+        while at < len(ends) and ends[at][0] < m.end():
+            at += 1
+        other = text.find("-----BEGIN ", m.end())
+        whole = at < len(ends) and (other < 0 or ends[at][0] < other)
+        spans.append((m.start(), ends[at][1] if whole else KEY_LINES.match(text, m.end()).end()))
+    return spans
+
+
 def found_tokens(text: str):
     """(start, end) of every candidate, in order, none overlapping another."""
     known = [m.span() for m in FORMAT.finditer(text) if not (m.start() and (text[m.start() - 1].isalnum() or text[m.start() - 1] == "_"))]
-    known += [m.span(1) for m in LOGIN.finditer(text)]
+    known += [m.span(1) for m in LOGIN.finditer(text)] + key_blocks(text)
     until = 0
     for m in SIGN.finditer(text):
         if m.start() < until:  # inside a value
@@ -107,7 +124,7 @@ def found_tokens(text: str):
 
 def labelled_by_format(token: str, before: str) -> int | None:
     """1 for a secret, 0 for a false alarm, None if neither is clear."""
-    if FORMAT.fullmatch(token) or LOGIN.search(f"{before}{token}@", max(0, len(before) - BEFORE)) and re.search(r"://[^\s/:@\"'<>]*:$", before):
+    if FORMAT.fullmatch(token) or KEY_BEGIN.match(token) or LOGIN.search(f"{before}{token}@", max(0, len(before) - BEFORE)) and re.search(r"://[^\s/:@\"'<>]*:$", before):
         return 1
     m = ASSIGNED.search(before)
     if m and not ABOUT.search(m["rest"]):
@@ -214,21 +231,23 @@ class Scanner:
     words: frozenset[str]
     odds: list[dict[str, float]]
     forest: Forest
-    #: what it labels 1 is a secret, whatever the forest says
+    #: tells what taught the forest; it decides nothing
     label: Callable[[str, str], int | None] | None = None
 
     def features(self, token: str, around: tuple[str, str, str], path: str) -> list[float]:
         known = [o.get(v, 0.0) for o, v in zip(self.odds, (*around, path), strict=True)]
         return [*shape(token), covered(token, self.words), *known]
 
+    def labelled(self, text: str, start: int, end: int) -> int | None:
+        return None if self.label is None else self.label(text[start:end], text[max(0, start - BEFORE) : start])
+
     def scan(self, text: str, path: str) -> list[tuple[int, int, float]]:
-        """(start, end, score) of every candidate of a whole text."""
+        """(start, end, score of the forest) of every candidate of a whole text."""
         spans = list(found_tokens(text))
         if not spans:
             return []
         x = np.array([self.features(text[s:e], context(text, s, e), path) for s, e in spans])
-        sure = [self.label is not None and self.label(text[s:e], text[max(0, s - BEFORE) : s]) == 1 for s, e in spans]
-        return [(s, e, 1.0 if y else p) for (s, e), p, y in zip(spans, self.forest.score(x).tolist(), sure, strict=True)]
+        return [(s, e, p) for (s, e), p in zip(spans, self.forest.score(x).tolist(), strict=True)]
 
 
 def frequent_words(docs: DataFrame, text: str, words: int) -> frozenset[str]:
@@ -301,9 +320,9 @@ def train(docs: DataFrame, text: str = "text", path: str = "source", key: str =
 
 
 def scan(docs: DataFrame, scanner: Scanner, text: str = "text", path: str = "source", key: str = "doc_id", threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, secret, score) of the candidates whose score reaches ``threshold``.
+    """(doc_id, start, end, secret, score, label) of the candidates to which the forest gives a score of ``threshold`` or more.
 
-    Offsets count code points. Null or empty texts have no findings; a null path counts as empty; a null id
+    ``label`` is what formats and assignments say of a finding (1, 0, or null); it doesn't change the decision. Offsets count code points. Null or empty texts have no findings; a null path counts as empty; a null id
     stays null; repeated rows are reported each; other columns are ignored.
     """
     short_batches(docs.sparkSession)
@@ -312,14 +331,14 @@ def scan(docs: DataFrame, scanner: Scanner, text: str = "text", path: str = "sou
     def run(frames):
         for frame in frames:
             rows = [
-                (doc, s, e, x[s:e], score)
+                (doc, s, e, x[s:e], score, shared.value.labelled(x, s, e))
                 for doc, x, where in zip(frame["doc_id"], frame["text"], frame["path"], strict=True)
                 for s, e, score in shared.value.scan(x, where)
                 if score >= threshold
             ]
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "secret", "score"]).astype({"doc_id": "Int64"})
+            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "secret", "score", "label"]).astype({"doc_id": "Int64", "label": "Int64"})
 
-    return inputs(docs, text, path, key).mapInPandas(run, "doc_id long, start long, end long, secret string, score double")
+    return inputs(docs, text, path, key).mapInPandas(run, "doc_id long, start long, end long, secret string, score double, label long")
 
 
 def inputs(docs: DataFrame, text: str, path: str, key: str) -> DataFrame:

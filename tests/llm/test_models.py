@@ -274,3 +274,34 @@ def test_neighbours_of_equal_and_extreme_vectors(spark):
     rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [3e307, 0.0]), (3, [5e-324, 5e-324]), (4, [-1e250, 1e250])]
     got = {r["vec_id"]: r["score"] for r in neighbours.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") == 0).collect()}
     assert got == pytest.approx({1: 1.0, 2: 0.5**0.5, 3: 1.0, 4: 0.0})
+
+
+def test_key_blocks_of_any_length():
+    """A block is one finding from its first to its last line; a token's length has no limit either."""
+    rng = random.Random(4)
+    lines = "\n".join("".join(rng.choice("ABCDEFabcdef0123456789+/") for _ in range(64)) for _ in range(400))
+    block = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{lines}\n-----END PGP PRIVATE KEY BLOCK-----"
+    assert len(block) > 26_000
+    text = f"some words {block} more words -----BEGIN RSA PRIVATE KEY-----\n{lines[:640]}\n\nprose after it"
+    found = [text[s:e] for s, e in secrets.found_tokens(text)]
+    assert found[0] == block and found[1].startswith("-----BEGIN RSA") and len(found) == 2
+    assert secrets.labelled_by_format(block, "") == 1
+    token = "eyJ" + "aB3_" * 2000 + "." + "cD4-" * 900 + ".sig"
+    assert [f"{token} x"[s:e] for s, e in secrets.found_tokens(f"{token} x")] == [token]
+    many = "-----BEGIN PRIVATE KEY----- " * 3000
+    assert len(secrets.key_blocks(many)) == 3000
+
+
+def test_the_forest_decides_and_finds_held_out_secrets(spark):
+    """Learned from the even documents: precision and recall on the planted secrets and look-alikes of the odd ones."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    scanner = secrets.train(docs.where("doc_id % 2 = 0"))
+    odd = [(r.text, r.source or "") for r in docs.where("doc_id % 2 = 1 and text is not null").select("text", "source").collect()]
+    said = [(scanner.labelled(t, s, e), p >= 0.5) for t, where in odd for s, e, p in scanner.scan(t, where)]
+    secret, alarm = [p for y, p in said if y == 1], [p for y, p in said if y == 0]
+    assert len(secret) > 50 and sum(secret) >= 0.97 * len(secret)
+    assert len(alarm) > 50 and sum(alarm) <= 0.03 * len(alarm)
+    # a label may be overruled: the forest that has learned the opposite reports the opposite
+    x = np.array([scanner.features("04dbebab91ab85687d33eeaaf9ac699e1188f962", ("token", "", ""), "")] * 4)
+    scanner.forest = secrets.Forest.fit(np.vstack([x, x * 0]), np.array([0] * 4 + [1] * 4))
+    assert scanner.scan('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "")[0][2] < 0.5
