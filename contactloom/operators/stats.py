@@ -235,17 +235,23 @@ def smoothing_search(
 ) -> DataFrame:
     """(h, mean_scc, gain, stop): SCC averaged over random subsamples for each smoothing parameter.
 
+    A cell and its mirror image have one hash each. A round takes those whose hash falls into its range, ``share`` of
+    all hashes; ranges follow each other (and start over), so with ``rounds * share`` up to 1 a cell is in one round at most. Nothing
+    is counted beforehand, copied for each round or written: a smoothed map is summed as it is made.
+
     The search ends with the first ``stop``, where the score gains less than ``least_gain``; the parameter
     to use is the one before it.
     """
+    span = 1 << 52
+    width = int(share * span)
+    code = F.md5(F.concat_ws("|", F.lit(str(seed)), "chr", F.col("i").cast("string"), F.col("j").cast("string")))
     rows: list[tuple] = []
     for h in range(largest + 1):
-        cells = cut_lineage(smooth(predictions, binsize, h))
-        mirrored = cells.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
-        drawn = mirrored.filter((F.col("real") != 0) | (F.col("pred") != 0)).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-        sizes = drawn.groupBy("round").agg(F.floor(F.count(F.lit(1)) * share).alias("size"))
-        kept = hash_sample(drawn, ["round", "chr", "i", "j", "side"], sizes, ["round"], seed)
-        scores = _scc(kept.withColumn("d", F.col("j") - F.col("i")), ["round"], 1)
+        cells = smooth(predictions, binsize, h).filter((F.col("real") != 0) | (F.col("pred") != 0))
+        hashes = F.array(*[F.conv(F.substring(code, at, 13), 16, 10).cast("bigint") for at in (1, 14)])
+        taken = F.transform(hashes, lambda u: F.filter(F.sequence(F.lit(1), F.lit(rounds)), lambda k: F.pmod(u - (k - 1) * F.lit(width), F.lit(span)) < width))
+        drawn = cells.select((F.col("j") - F.col("i")).alias("d"), "real", "pred", F.explode(F.flatten(taken)).alias("round"))
+        scores = _scc(drawn, ["round"], 1)
         mean = scores.agg(F.round(F.avg("scc"), 4)).first()[0]  # one number for each parameter
         before = rows[-1][1] if rows else None
         gain = None if mean is None or before is None else round(mean - before, 6)

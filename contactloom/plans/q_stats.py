@@ -224,9 +224,9 @@ def v06(spark, sf):
 
 def _search_sql(h: int) -> str:
     cells = f"WITH {_smooth_sql(h)} SELECT chr, i, j, r, p FROM sd" if h else f"WITH {_CELLS} SELECT chr, i, j, r, p FROM cl"
-    return f"""m{h} AS (SELECT c.*, side, k FROM ({cells}) c CROSS JOIN (SELECT UNNEST([0, 1]) AS side) CROSS JOIN (SELECT UNNEST(range(1, 11)) AS k) WHERE r <> 0 OR p <> 0),
-    o{h} AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY k ORDER BY md5(concat_ws('|', '1', k, chr, i, j, side))) AS rn, COUNT(*) OVER (PARTITION BY k) AS n FROM m{h}),
-    s{h} AS (SELECT k, corr(r, p) AS c, (COUNT(*) + 1) / 12.0 AS w FROM o{h} WHERE rn <= floor(n * 0.1) GROUP BY k, j - i HAVING MIN(r) <> MAX(r) AND MIN(p) <> MAX(p)),
+    return f"""m{h} AS (SELECT c.*, UNNEST([substr(md5(concat_ws('|', '1', chr, i, j)), 1, 13), substr(md5(concat_ws('|', '1', chr, i, j)), 14, 13)]) AS x FROM ({cells}) c WHERE r <> 0 OR p <> 0),
+    o{h} AS (SELECT *, ('0x' || x)::BIGINT // 450359962737049 AS k FROM m{h}),
+    s{h} AS (SELECT k, corr(r, p) AS c, (COUNT(*) + 1) / 12.0 AS w FROM o{h} WHERE k < 10 GROUP BY k, j - i HAVING MIN(r) <> MAX(r) AND MIN(p) <> MAX(p)),
     g{h} AS (SELECT {h} AS h, ROUND(AVG(scc), 4) AS mean_scc FROM (SELECT k, SUM(c * w) / SUM(w) AS scc FROM s{h} GROUP BY k))"""
 
 

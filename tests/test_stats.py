@@ -170,3 +170,15 @@ def test_downsample_of_counts_over_eighteen_orders(spark):
     assert sum(r.contact_count for r in V.downsample(odd.fillna(2.0), 100).collect()) == 100
     with pytest.raises(Exception, match="infinite"):
         V.downsample(odd.fillna(float("inf")), 5).collect()
+
+
+def test_smoothing_search_draws_by_ranges_of_one_hash(spark):
+    rnd = np.random.default_rng(6)
+    rows = [("c", 5000 * i, 5000 * (i + d), float(rnd.integers(1, 50))) for i in range(150) for d in range(3, 40)]
+    same = spark.createDataFrame(rows, "chr string, contact_st bigint, contact_en bigint, contact_count double").withColumn("predicted", F.col("contact_count") * 2)
+    got = V.smoothing_search(same, 5000).collect()
+    assert [(r.h, r.mean_scc, r.stop) for r in got] == [(0, 1.0, False), (1, 1.0, True)]
+    # more rounds than fit next to each other start over
+    noisy = same.withColumn("predicted", F.col("contact_count") + F.pmod(F.xxhash64("contact_st", "contact_en"), F.lit(60)))
+    few, many = (V.smoothing_search(noisy, 5000, largest=0, rounds=n, share=0.4).first().mean_scc for n in (2, 10))
+    assert 0 < few < 1 and few == pytest.approx(many, abs=0.05)
