@@ -267,7 +267,8 @@ def binned_sums(track: DataFrame, regions: DataFrame, binsize: int) -> DataFrame
     windows = bins.select("chr", "lo").distinct().withColumn("hi", F.col("lo") + binsize)
     items = track.select("chr", F.col("mids").alias("pos"), fixed("sigVal").alias("sigVal"))
     sums = window_totals(windows, items, ["sigVal"]).select("chr", "lo", F.col("sigVal").cast("double").alias("sigVal"))
-    return bins.join(sums, ["chr", "lo"]).withColumnRenamed("lo", "bin_start")
+    # the planner doesn't see that regions became many bins and would broadcast them all
+    return bins.hint("merge").join(sums, ["chr", "lo"]).withColumnRenamed("lo", "bin_start")
 
 
 # ---- eigenvector track --------------------------------------------------------------------------

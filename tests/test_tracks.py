@@ -97,3 +97,13 @@ def test_eigenvector_past_the_end(spark):
     got = {(r.id, r.k): r.E1 for r in T.eigenvector_windows(regions, e1, 10).collect()}
     assert got == {(1, 0): 2.0, (1, 1): 3.0, (1, 2): 0.0, (2, 0): 3.0}
     assert [r.id for r in T.eigenvector_violations(regions, e1, 10).collect()] == [3]
+
+
+def test_bins_of_few_long_regions_are_not_broadcast(spark):
+    """The planner takes a table of regions for small, whatever number of bins they are cut into."""
+    track = spark.range(20).select(F.lit("c").alias("chr"), (F.col("id") * 1000).alias("mids"), F.lit(1.0).alias("sigVal"))
+    regions = spark.range(3).select(F.lit("c").alias("chr"), (F.col("id") * 100).alias("start"), F.lit(2_000_000).cast("long").alias("end"), "id")
+    sums = T.binned_sums(track, regions, 100)
+    top = next(line for line in sums._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in line)
+    assert "SortMergeJoin" in top
+    assert sums.groupBy("id").agg(F.sum("sigVal").alias("s")).count() == 3
