@@ -164,3 +164,11 @@ def test_lookup_with_a_hot_key(spark, monkeypatch, limit):
         k = 7 if r.id % 3 == 0 else r.id % 1500
         assert (r.k, r.v) == (k, 2 * k if k < 1400 else None)
     assert got.count() == 9000
+
+
+def test_a_table_of_few_values_is_measured_in_memory(spark):
+    """Sorted and repeated values take next to nothing on disk, but a broadcast holds every row."""
+    rows = O.cut_lineage(spark.range(1_000_000).select(F.lit("chr1").alias("chr"), F.floor(F.col("id") / 1000).alias("pos"), F.lit(True).alias("v")).coalesce(1))
+    assert O.planned_bytes(rows) < 1 << 20
+    assert not O.broadcastable(rows, 8 << 20)
+    assert O.broadcastable(O.cut_lineage(rows.limit(1000)), 8 << 20)
