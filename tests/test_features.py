@@ -117,3 +117,24 @@ def test_assembled_header(spark, world):
     _, _, cdf, pdf = world
     table = X.assemble(cdf, [X.PeakSums(pdf, "T", W, 1)])
     assert table.columns == ["chr", "contact_st", "contact_en", "contact_dist", "contact_count", "T_L", "T_W", "T_R", "T_LSig_0", "T_LDist_0", "T_RSig_0", "T_RDist_0"]
+
+
+def test_anchor_rows_are_grouped_where_they_were_found(spark, world):
+    """Points are shuffled once, by bucket; the answers of an anchor are put together in that task."""
+    _, _, cdf, pdf = world
+    anchors = X.cut_lineage(X.contact_anchors(cdf).select("chr", "pos"))
+    genes = pdf.withColumn("TSS", F.col("mids"))
+    for family in (X.PeakSums(pdf, "T", W, 2), X.GeneSums(pdf, "G", W, 2), X.SiteOrientation(pdf, "S", 2), X.ConvergentPair(pdf, "C", W), X.DistanceToTss(genes)):
+        plan = family.anchor_rows(anchors)._jdf.queryExecution().executedPlan().toString()
+        above = plan[: plan.index("Window")]
+        assert "Exchange" not in above and "Union" not in above
+
+
+def test_contacts_take_from_an_anchor_only_what_its_end_needs(spark, world):
+    _, _, cdf, pdf = world
+    family = X.PeakSums(pdf, "T", W, 2)
+    anchors = X.contact_anchors(cdf)
+    rows = X.cut_lineage(anchors.join(family.anchor_rows(anchors.select("chr", "pos")), ["chr", "pos"]))
+    joined = X.attach_anchors(cdf, rows, [family.slot], taken=lambda slot, end: family.taken(end))
+    assert [f.name for f in joined.schema["st_" + family.slot].dataType] == list(family.at_start)
+    assert [f.name for f in joined.schema["en_" + family.slot].dataType] == list(family.at_end)
