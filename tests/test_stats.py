@@ -182,3 +182,16 @@ def test_smoothing_search_draws_by_ranges_of_one_hash(spark):
     noisy = same.withColumn("predicted", F.col("contact_count") + F.pmod(F.xxhash64("contact_st", "contact_en"), F.lit(60)))
     few, many = (V.smoothing_search(noisy, 5000, largest=0, rounds=n, share=0.4).first().mean_scc for n in (2, 10))
     assert 0 < few < 1 and few == pytest.approx(many, abs=0.05)
+
+
+def test_smoothing_shuffles_a_cell_about_once(spark, monkeypatch):
+    """Cells are dealt to tiles, not copied for each cell of a square; across tile borders they are summed as within."""
+    monkeypatch.setattr(V, "TILE", 8)
+    rnd = np.random.default_rng(3)
+    rows = [("c", i * B, j * B, float(rnd.integers(1, 9)), float(rnd.random())) for i in range(60) for j in range(i, min(60, i + 25)) if rnd.random() < 0.3]
+    df = spark.createDataFrame(rows, "chr string, contact_st bigint, contact_en bigint, contact_count double, predicted double")
+    narrow = {(r.i, r.j): (r.real, r.pred) for r in V.smooth(df, B, 3).collect()}
+    monkeypatch.setattr(V, "TILE", 256)
+    made = V.smooth(df, B, 3)
+    wide = {(r.i, r.j): (r.real, r.pred) for r in made.collect()}
+    assert narrow.keys() == wide.keys() and all(narrow[k] == pytest.approx(wide[k]) for k in wide)
