@@ -195,3 +195,20 @@ def test_smoothing_shuffles_a_cell_about_once(spark, monkeypatch):
     made = V.smooth(df, B, 3)
     wide = {(r.i, r.j): (r.real, r.pred) for r in made.collect()}
     assert narrow.keys() == wide.keys() and all(narrow[k] == pytest.approx(wide[k]) for k in wide)
+
+
+def test_promoter_enhancer_pairs_are_counted_not_formed(spark, maps, monkeypatch):
+    """Bins that are both, copies, bins outside the matrix and cells that are not stored."""
+    df, real, pred, lo = maps
+    rnd = np.random.default_rng(5)
+    p, e = [rnd.integers(0, 45, 30).tolist() for _ in range(2)]
+    table = lambda bins: spark.createDataFrame([("c", int(b) * B + 5) for b in bins] + [("none", 7)], "chr string, position bigint")
+    monkeypatch.setattr(V, "paired_bins", None)
+    got = V.paired_errors(df, table(p), table(e), B).collect()
+    hi = len(real) - 1
+    pairs = [(i, j) for i in range(lo, hi - 1) for j in range(i + 3, min(i + 15, hi - 1)) if (i in p and j in e) or (i in e and j in p)]
+    d = np.array([real[c] - pred[c] for c in pairs])
+    some = sum(1 for c in pairs if real[c] or pred[c])
+    assert [r.chr for r in got] == ["c"]
+    assert got[0].pe_rmse == pytest.approx(np.sqrt((d**2).sum() / len(pairs)))
+    assert got[0].pe_mae == pytest.approx(np.abs(d).sum() / some)
