@@ -26,3 +26,10 @@ def test_query(spark, duck, name):
 
 def test_every_sql_has_a_query():
     assert set(catalog.ORACLE) <= set(catalog.QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
+def test_validation_scores_each_row_once(spark):
+    """The measures read written scores; none of them runs the model again."""
+    plan = catalog.QUERIES["m08_validate"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "UDF" not in plan and "_features" not in plan
