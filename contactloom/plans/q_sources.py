@@ -215,7 +215,9 @@ def _pair_lines(spark, sf, path, columns):
     # ends swapped, and every pair written twice with different values
     twice = rows.withColumn("again", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("contact_count", F.col("contact_count") + F.col("again") * 1000)
     lines = twice.withColumn("value", F.concat_ws(" ", "contact_en", "contact_st", *columns)).withColumn("name", F.concat("chr", F.lit(".oe")))
-    write_lines(lines, path, "name", ["again", "contact_st", "contact_en"])
+    # ranges of the order, each a part file of its chromosome's folder: file names ascend like the lines
+    ranged = lines.repartitionByRange("name", "again", "contact_st", "contact_en").sortWithinPartitions("name", "again", "contact_st", "contact_en")
+    ranged.select(F.col("name").alias("file"), "value").write.partitionBy("file").text(path)
 
 
 @query(

@@ -141,12 +141,12 @@ def read_tss(spark: SparkSession, path: str | Sequence[str], columns: Mapping[in
     return table.withColumn("TSS", site).dropDuplicates().withColumn("mids", midpoint())
 
 
-def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """(file, line, value): the lines of each file, numbered from 0.
+def _numbered(spark: SparkSession, path: str | Sequence[str], **of_block: Column) -> DataFrame:
+    """(file, line, at, value, of_block) of the lines of each file: ``line`` counts from 0, ``at`` goes on from file to file.
 
-    Spark cuts a file into blocks.  Lines are numbered inside their block, and
-    the number of lines in earlier blocks of the file is added, so no file is
-    read by a single task.
+    Spark cuts a file into blocks, and a task reads a block in order, giving rising ids.  A line's number in its block is its
+    id less the first id there; the lines of earlier blocks are added from a table with one row per block, so
+    no line is moved or sorted.  ``of_block`` are columns of ``file``, computed once per block.
     """
     raw = spark.read.option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path))
     placed = raw.select(
@@ -155,14 +155,21 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"),
         "value",
     )
-    in_block = Window.partitionBy("file", "_block").orderBy("_id")
-    inside = placed.withColumn("_n", F.row_number().over(in_block) - 1)
-    counts = raw.groupBy(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block")).agg(
-        F.count(F.lit(1)).alias("_before")
-    )
-    # one row per block of a file
-    before = running_before(counts, ["file"], "_block", {"_before": "sum"})
-    return inside.join(before, ["file", "_block"]).select("file", (F.col("_n") + F.col("_before")).alias("line"), "value")
+    counts = placed.groupBy("file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))
+    # one row per block of a file, and one per file
+    before = running_before(counts, ["file"], "_block", {"_n": "sum"}).withColumnRenamed("_n", "_before")
+    files = counts.groupBy("file").agg(F.sum("_n").alias("_n"))
+    earlier = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select("file", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_earlier"), *[c.alias(n) for n, c in of_block.items()])
+    blocks = counts.join(before, ["file", "_block"]).join(files, "file").drop("_n")
+    line = F.col("_id") - F.col("_first") + F.col("_before")
+    found = placed.join(F.broadcast(blocks), ["file", "_block"])
+    return found.select("file", line.alias("line"), (line + F.col("_earlier")).alias("at"), "value", *of_block)
+
+
+def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+    """(file, line, value): the lines of each file, numbered from 0; no file is read by a single task."""
+    return _numbered(spark, path).select("file", "line", "value")
 
 
 def _name_of(file: Column) -> Column:
@@ -287,7 +294,7 @@ def _sorted_bins(lines: DataFrame, resolution: int, reach: int | None, values: d
     words = lines.withColumn("w", F.split(F.trim("value"), r"\s+"))
     x, y = F.floor(_whole(0) / resolution), F.floor(_whole(1) / resolution)
     pairs = words.select(
-        "file", "line", F.least(x, y).alias("i"), F.greatest(x, y).alias("j"), *[F.col("w")[k].cast("double").alias(n) for n, k in values.items()]
+        "chr", "at", F.least(x, y).alias("i"), F.greatest(x, y).alias("j"), *[F.col("w")[k].cast("double").alias(n) for n, k in values.items()]
     )
     return pairs if reach is None else pairs.filter(F.col("j") - F.col("i") < reach)
 
@@ -302,34 +309,31 @@ def read_oe_pairs(spark: SparkSession, path: str | Sequence[str], chrom: str | N
 
     Without ``chrom`` the chromosome comes from the file's name.
     """
-    rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"value": 2}).withColumn("chr", _chromosome(chrom))
-    wanted = rows.join(pairs.select("chr", "i", "j"), ["chr", "i", "j"], "left_semi")
-    return wanted.groupBy("chr", "i", "j").agg(F.min_by("value", F.struct("file", "line")).alias("value"))
+    rows = _sorted_bins(_numbered(spark, path, chr=_chromosome(chrom)), resolution, reach, {"value": 2})
+    first = rows.groupBy("chr", "i", "j").agg(F.min_by("value", "at").alias("value"))
+    return first.join(pairs.select("chr", "i", "j"), ["chr", "i", "j"], "left_semi")
 
 
 def read_model_pairs(spark: SparkSession, path: str | Sequence[str], chrom: str | None, resolution: int, reach: int | None = None) -> DataFrame:
     """(chr, i, j, observed, predicted); where a pair occurs twice the last line counts, ``chrom`` as above."""
-    rows = _sorted_bins(read_lines(spark, path), resolution, reach, {"observed": 2, "predicted": 3})
-    rows = rows.withColumn("chr", _chromosome(chrom))
-    last = F.struct("file", "line")
+    rows = _sorted_bins(_numbered(spark, path, chr=_chromosome(chrom)), resolution, reach, {"observed": 2, "predicted": 3})
     return rows.groupBy("chr", "i", "j").agg(
-        F.max_by("observed", last).alias("observed"), F.max_by("predicted", last).alias("predicted")
+        F.max_by("observed", "at").alias("observed"), F.max_by("predicted", "at").alias("predicted")
     )
 
 
 def read_pre(spark: SparkSession, path: str, resolution: int) -> DataFrame:
     """(chr1, i, chr2, j, value) of a nine-column pair file; the last line of a pair counts."""
-    lines = read_lines(spark, path).withColumn("w", F.split(F.trim("value"), r"\s+"))
+    lines = _numbered(spark, path).withColumn("w", F.split(F.trim("value"), r"\s+"))
     rows = lines.select(
-        "file",
-        "line",
+        "at",
         F.col("w")[1].alias("chr1"),
         F.floor(_whole(2) / resolution).alias("i"),
         F.col("w")[5].alias("chr2"),
         F.floor(_whole(6) / resolution).alias("j"),
         F.col("w")[8].cast("double").alias("value"),
     )
-    return rows.groupBy("chr1", "i", "chr2", "j").agg(F.max_by("value", F.struct("file", "line")).alias("value"))
+    return rows.groupBy("chr1", "i", "chr2", "j").agg(F.max_by("value", "at").alias("value"))
 
 
 # ---- validation of inputs -------------------------------------------------------------------------

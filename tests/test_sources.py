@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from contactloom.operators import sequence as Q
 from contactloom.operators import contacts as C
+from contactloom.plans import q_sources
 from contactloom.sources import readers as S
 from contactloom.sources import writers as K
 
@@ -89,6 +90,41 @@ def test_first_line_of_a_pair_wins(spark, tmp_path):
     assert [tuple(r) for r in S.read_oe_pairs(spark, path, "c", 5000, pairs, reach=100).collect()] == [("c", 0, 1, 1.5)]
 
 
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    folder = tmp_path / "chr1.oe"
+    folder.mkdir()
+    rows = [f"{(i * 7 % 400) * 5000} {(i * 7 % 400 + 3) * 5000} {i} {i + 0.5}" for i in range(2000)]
+    for k in range(4):
+        write(folder / f"part-0000{k} %20", "\n".join(rows[k * 500 : (k + 1) * 500]) + "\n")
+    pairs = spark.createDataFrame([("chr1", i, i + 3) for i in range(400)], "chr string, i bigint, j bigint")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        first = S.read_oe_pairs(spark, str(folder), None, 5000, pairs).collect()
+        last = S.read_model_pairs(spark, str(folder), None, 5000).collect()
+        lines = S.read_lines(spark, str(folder))
+        assert sorted(r.line for r in lines.collect()) == sorted([*range(500)] * 4)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    place = {i * 7 % 400: i for i in range(400)}
+    assert {r.i: r.value for r in first} == place and len(first) == 400
+    assert {r.i: (r.observed, r.predicted) for r in last} == {b: (i + 1600, i + 1600.5) for b, i in place.items()}
+    # the lines are neither sorted nor shuffled: only the small side of the join is
+    assert "Window" not in lines._jdf.queryExecution().executedPlan().toString().split("BroadcastExchange")[0]
+
+
+def test_pair_files_are_written_in_ranges(spark, tmp_path):
+    q_sources._pair_lines(spark, "/root/testdata/sf0.001", str(tmp_path / "pairs"), ["contact_count"])
+    folders = [f for f in (tmp_path / "pairs").iterdir() if f.is_dir()]
+    assert len(folders) == 5
+    # several tasks wrote, and no line of a later file goes before one of an earlier file
+    assert len({f.name[:10] for d in folders for f in d.glob("part-*")}) > 5
+    for folder in folders:
+        starts = [[int(line.split()[1]) for line in f.read_text().splitlines()] for f in sorted(folder.glob("part-*"))]
+        joined = [x for s in starts for x in s]
+        assert sum(a > b for a, b in zip(joined, joined[1:])) == 1
+
+
 def test_expected_values_keep_their_chromosome(spark, tmp_path):
     paths = [write(tmp_path / "chr1.expected.txt", "8\nnan\n"), write(tmp_path / "chr2.expected.txt", "2\n1\n")]
     expected = S.read_expected(spark, paths, 5000)
