@@ -107,6 +107,21 @@ def test_both_join_strategies_agree(spark, world):
     assert small.exceptAll(spread).count() == 0 and spread.exceptAll(small).count() == 0
 
 
+def test_contacts_are_shuffled_once_while_they_are_narrow(spark, world, monkeypatch):
+    _, _, cdf, pdf = world
+    family = X.SiteOrientation(pdf, "T", 2)
+    rows = X.cut_lineage(X.contact_anchors(cdf).join(family.anchor_rows(X.contact_anchors(cdf).select("chr", "pos")), ["chr", "pos"]))
+    small = X.attach_anchors(cdf, rows, [family.slot])
+    monkeypatch.setattr(X, "STRETCH", 16)
+    monkeypatch.setattr(X, "PIECE", 3)
+    once = X.attach_anchors(cdf, rows, [family.slot], broadcast_bytes=0)
+    assert once._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(X, "REACH", 0)
+    by_end = X.attach_anchors(cdf, rows, [family.slot], share=20, broadcast_bytes=0)
+    for other in (once, by_end):
+        assert small.exceptAll(other).count() == 0 and other.exceptAll(small).count() == 0
+
+
 def test_names_must_be_unique(spark, world):
     _, _, cdf, pdf = world
     with pytest.raises(ValueError):
