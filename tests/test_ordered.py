@@ -172,3 +172,13 @@ def test_a_table_of_few_values_is_measured_in_memory(spark):
     assert O.planned_bytes(rows) < 1 << 20
     assert not O.broadcastable(rows, 8 << 20)
     assert O.broadcastable(O.cut_lineage(rows.limit(1000)), 8 << 20)
+
+
+def test_lookup_computes_the_large_table_once(spark, tmp_path, monkeypatch):
+    spark.range(3000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id").write.parquet(str(tmp_path / "big"))
+    big = spark.read.parquet(str(tmp_path / "big"))
+    small = spark.range(0, 3000, 2).selectExpr("id AS k", "id * 2 AS v").unionByName(spark.createDataFrame([(7, 14)], "k long, v long"))
+    monkeypatch.setattr(O, "BROADCAST_BYTES", 0)
+    found = O.lookup(big, small, ["k"], ["v"])
+    assert not [f for f in found.inputFiles() if f"{tmp_path}/big" in f]
+    assert all(r["v"] == (r["k"] * 2 if r["k"] == 7 or r["k"] % 2 == 0 else None) for r in found.collect()) and found.count() == 3000
