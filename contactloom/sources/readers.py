@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from contactloom.operators.contacts import add_chr_prefix
 from contactloom.operators.ordered import previous_row, running_before
 from contactloom.operators.tracks import midpoint
+from contactloom.session import planned_bytes, tasks_for
 
 _DOUBLE, _LONG, _STRING = T.DoubleType(), T.LongType(), T.StringType()
 
@@ -290,6 +291,16 @@ def read_enhancers(spark: SparkSession, path: str, resolution: int) -> DataFrame
     return _words(spark, path).select(F.col("w")[0].alias("chr"), middle.alias("bin")).distinct()
 
 
+#: Bytes of pair files whose lines are grouped in one task.
+TASK_BYTES = 32 << 20
+
+
+def _dealt(rows: DataFrame, path: str | Sequence[str], keys: Sequence[str]) -> DataFrame:
+    """``rows`` of the files by ``keys``, in as many tasks as the files' sizes ask for: what a task groups does not grow with the input."""
+    files = rows.sparkSession.read.option("recursiveFileLookup", "true").text(path if isinstance(path, str) else list(path))
+    return rows.repartition(tasks_for(rows.sparkSession, planned_bytes(files), TASK_BYTES), *keys)
+
+
 def _sorted_bins(lines: DataFrame, resolution: int, reach: int | None, values: dict[str, int]) -> DataFrame:
     words = lines.withColumn("w", F.split(F.trim("value"), r"\s+"))
     x, y = F.floor(_whole(0) / resolution), F.floor(_whole(1) / resolution)
@@ -310,14 +321,14 @@ def read_oe_pairs(spark: SparkSession, path: str | Sequence[str], chrom: str | N
     Without ``chrom`` the chromosome comes from the file's name.
     """
     rows = _sorted_bins(_numbered(spark, path, chr=_chromosome(chrom)), resolution, reach, {"value": 2})
-    first = rows.groupBy("chr", "i", "j").agg(F.min_by("value", "at").alias("value"))
+    first = _dealt(rows, path, ["chr", "i", "j"]).groupBy("chr", "i", "j").agg(F.min_by("value", "at").alias("value"))
     return first.join(pairs.select("chr", "i", "j"), ["chr", "i", "j"], "left_semi")
 
 
 def read_model_pairs(spark: SparkSession, path: str | Sequence[str], chrom: str | None, resolution: int, reach: int | None = None) -> DataFrame:
     """(chr, i, j, observed, predicted); where a pair occurs twice the last line counts, ``chrom`` as above."""
     rows = _sorted_bins(_numbered(spark, path, chr=_chromosome(chrom)), resolution, reach, {"observed": 2, "predicted": 3})
-    return rows.groupBy("chr", "i", "j").agg(
+    return _dealt(rows, path, ["chr", "i", "j"]).groupBy("chr", "i", "j").agg(
         F.max_by("observed", "at").alias("observed"), F.max_by("predicted", "at").alias("predicted")
     )
 
@@ -333,7 +344,8 @@ def read_pre(spark: SparkSession, path: str, resolution: int) -> DataFrame:
         F.floor(_whole(6) / resolution).alias("j"),
         F.col("w")[8].cast("double").alias("value"),
     )
-    return rows.groupBy("chr1", "i", "chr2", "j").agg(F.max_by("value", "at").alias("value"))
+    keys = ["chr1", "i", "chr2", "j"]
+    return _dealt(rows, path, keys).groupBy(*keys).agg(F.max_by("value", "at").alias("value"))
 
 
 # ---- validation of inputs -------------------------------------------------------------------------

@@ -157,3 +157,12 @@ def test_files_of_different_resolution_are_told(spark, tmp_path):
     assert S.read_contacts(spark, one, check_bins=True).count() == 5 and S.same_bin_size(S.read_contacts(spark, one)) == 5000
     with pytest.raises(ValueError, match="bin size"):
         S.read_contacts(spark, both, check_bins=True)
+
+
+def test_tasks_of_pair_files_grow_with_their_size(spark, tmp_path, monkeypatch):
+    spark.range(2000).selectExpr("concat('0 c ', id * 5000, ' 0 0 c ', id * 5000, ' 0 ', id) AS value").write.text(str(tmp_path / "pre"))
+    spark.range(2000).selectExpr("concat(id * 5000, ' ', id * 5000, ' ', id, ' ', id) AS value").write.text(str(tmp_path / "c.oe"))
+    wanted = spark.range(2000).selectExpr("'c' AS chr", "id AS i", "id AS j")
+    monkeypatch.setattr(S, "TASK_BYTES", 2_000)
+    for df in (S.read_pre(spark, str(tmp_path / "pre"), 5000), S.read_model_pairs(spark, str(tmp_path / "c.oe"), None, 5000), S.read_oe_pairs(spark, str(tmp_path / "c.oe"), None, 5000, wanted)):
+        assert df.rdd.getNumPartitions() > 8 and df.count() == 2000
