@@ -111,3 +111,12 @@ def test_scores_of_large_values(spark):
     got = {r.contact_st // 5: r.z for r in R.ectopic_scores(cells).collect()}
     assert len(got) == 400
     assert [got[i] for i in range(400)] == pytest.approx(list((values - inner.mean()) / inner.std()), rel=1e-5, abs=1e-6)
+
+
+def test_aligned_cells_are_computed_once(spark, tmp_path):
+    """The factor and the cells are read from a written table."""
+    spark.createDataFrame([("c", 0, 10, 2.0), ("c", 10, 20, 4.0)], "chr string, contact_st long, contact_en long, contact_count double").write.parquet(str(tmp_path / "map"))
+    cells = spark.read.parquet(str(tmp_path / "map"))
+    found = R.depth_matched_difference(cells, cells.withColumn("contact_count", F.col("contact_count") * 3), R.Region("c", 100, 200))
+    assert not [f for f in found.inputFiles() if f"{tmp_path}/map" in f]
+    assert [r["difference"] for r in found.collect()] == [0.0, 0.0]
