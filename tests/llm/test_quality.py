@@ -110,3 +110,26 @@ def test_edges(spark):
 def test_no_python_workers(spark, name):
     plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+@pytest.mark.parametrize("broadcast_ids", [0, 1_000_000])
+def test_every_trusted_document_counts(spark, broadcast_ids):
+    """More than 100,000 trusted documents: counts and threshold come from all of them, whether their ids are broadcast or shuffled."""
+    n, late = 110_000, F.pmod(F.xxhash64(F.lit("trusted"), F.col("doc_id")), F.lit(1 << 30)) > 0.95 * (1 << 30)
+    half = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("half")), F.lit(2))
+    base = spark.range(n).select(F.col("id").alias("doc_id"))
+    docs = base.select("doc_id", F.when(late, F.when(half == 0, "rare rare").otherwise("odd rare odd")).otherwise("plain words").alias("text"))
+    ratio = quality.learn(docs, base, buckets=64, least_words=1, broadcast_ids=broadcast_ids)
+    # plain counts of the few kinds of texts
+    kinds = docs.groupBy("text", half.alias("half")).count().withColumn("_words", F.split("text", " ")).select("half", "count", quality.grams("_words", 64).alias("g")).collect()
+    raw, good = Counter(), Counter()
+    for r in kinds:
+        for b in r["g"]:
+            raw[b] += r["count"]
+            good[b] += r["count"] if r["half"] == 0 else 0
+    weight = [math.log((good[b] + 1) / (good.total() + 64)) - math.log((raw[b] + 1) / (raw.total() + 64)) for b in range(64)]
+    assert all(abs(w / 1e6 - v) < 1e-6 for w, v in zip(ratio.weights.first()[0], weight, strict=True))
+    scores = sorted((sum(weight[b] for b in r["g"]) / len(r["g"]), r["count"]) for r in kinds if r["half"] == 1)
+    at = (1 - 0.999) * (sum(c for _, c in scores) - 1)
+    # the least kind is more than one in a thousand, so the threshold is its score
+    assert at < scores[0][1] - 1 and abs(ratio.threshold / 1e6 - scores[0][0]) < 1e-6
