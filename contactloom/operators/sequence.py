@@ -12,11 +12,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactloom.operators.features import ANCHOR, AnchorFamily
-from contactloom.operators.ordered import last_seen, overlap_pairs, running_total
+from contactloom.operators.ordered import bucket_of, last_seen, overlap_pairs, running_total
+from contactloom.session import tasks_for
 
 # The code of each base.
 BASES = "ATGCN"
 CODES = "01234"
+#: Bases in a cell where regions meet blocks, and about the regions that a task holds.
+CELL, HELD = 256, 1 << 18
 
 
 def encode(seq: Column) -> Column:
@@ -63,31 +66,41 @@ def sequence_sizes(blocks: DataFrame) -> DataFrame:
 
 
 def sequence_regions(blocks: DataFrame, regions: DataFrame) -> DataFrame:
-    """``regions`` (chr, start, end, ...) with ``seq``, the bases of [start, end); a region past the end is cut."""
+    """``regions`` (chr, start, end, ...) with ``seq``, the bases of [start, end); a region past the end is cut.
+
+    Blocks are cut at the borders of cells of ``CELL`` bases, and regions stand in the cells that they cover. Distinct regions, which
+    are narrow, are the side of the join that a task holds, about ``HELD`` of them; the bases stream past and are never sorted.
+    """
     ids = [c for c in regions.columns if c not in ("chr", "start", "end")]
-    left = regions.select("chr", F.col("start").alias("a_start"), (F.col("end") - 1).alias("a_end"), *ids)
-    right = blocks.select(
-        "chr", F.col("block_start").alias("b_start"), (F.col("block_start") + F.length("seq") - 1).alias("b_end"), F.col("seq").alias("b_seq")
-    )
-    meet = (F.col("a_start") <= F.col("b_end")) & (F.col("a_end") >= F.col("b_start"))
-    lo = F.greatest("a_start", "b_start")
-    pieces = overlap_pairs(left, right, meet).select(
-        "chr",
-        "a_start",
-        "a_end",
-        *ids,
-        lo.alias("_at"),
-        F.substring("b_seq", (lo - F.col("b_start") + 1).cast("int"), (F.least("a_end", "b_end") - lo + 1).cast("int")).alias("_piece"),
+    tasks = tasks_for(blocks.sparkSession, regions.count(), HELD)
+
+    def celled(df: DataFrame, first: str, last: str) -> DataFrame:
+        ends = [bucket_of(c, CELL) for c in (first, F.greatest(first, last))]
+        return df.withColumn("_cell", F.explode(F.sequence(*ends)))
+
+    spans = regions.select("chr", F.col("start").alias("a_start"), (F.col("end") - 1).alias("a_end")).distinct()
+    whole = blocks.select("chr", F.col("block_start").alias("b_start"), (F.col("block_start") + F.length("seq") - 1).alias("b_end"), "seq")
+    lo, hi = F.greatest("b_start", F.col("_cell") * CELL), F.least("b_end", F.col("_cell") * CELL + (CELL - 1))
+    bases = F.substring("seq", (lo - F.col("b_start") + 1).cast("int"), (hi - lo + 1).cast("int"))
+    # only the bases of its cell travel with a row
+    cut = celled(whole, "b_start", "b_end").select("chr", "_cell", "b_start", lo.alias("_lo"), hi.alias("_hi"), bases.alias("_bases"))
+    cut, wanted = (df.repartition(tasks, "chr", "_cell") for df in (cut, celled(spans, "a_start", "a_end")))
+    met = cut.join(wanted.hint("shuffle_hash"), ["chr", "_cell"]).filter(
+        # the last condition tells for regions without bases, which have to lie inside a block
+        (F.col("a_start") <= F.col("_hi")) & (F.greatest("a_start", "a_end") >= F.col("_lo")) & (F.col("a_end") >= F.col("b_start"))
     )
+    at = F.greatest("a_start", "_lo")
+    piece = F.substring("_bases", (at - F.col("_lo") + 1).cast("int"), (F.least("a_end", "_hi") - at + 1).cast("int"))
+    pieces = met.select("chr", "a_start", "a_end", F.struct(at.alias("_at"), piece.alias("_piece")).alias("_p"))
     # the pieces of one region are bounded by its length
-    joined = pieces.groupBy("chr", "a_start", "a_end", *ids).agg(F.array_sort(F.collect_list(F.struct("_at", "_piece"))).alias("_p"))
-    return joined.select(
+    joined = pieces.groupBy("chr", "a_start", "a_end").agg(F.array_sort(F.collect_list("_p")).alias("_p"))
+    found = joined.select(
         "chr",
         F.col("a_start").alias("start"),
         (F.col("a_end") + 1).alias("end"),
-        *ids,
         F.array_join(F.transform("_p", lambda e: e["_piece"]), "").alias("seq"),
     )
+    return regions.join(found, ["chr", "start", "end"]).select("chr", "start", "end", *ids, "seq")
 
 
 def gc_content(sequences: DataFrame) -> DataFrame:

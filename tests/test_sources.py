@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -166,3 +167,25 @@ def test_tasks_of_pair_files_grow_with_their_size(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(S, "TASK_BYTES", 2_000)
     for df in (S.read_pre(spark, str(tmp_path / "pre"), 5000), S.read_model_pairs(spark, str(tmp_path / "c.oe"), None, 5000), S.read_oe_pairs(spark, str(tmp_path / "c.oe"), None, 5000, wanted)):
         assert df.rdd.getNumPartitions() > 8 and df.count() == 2000
+
+
+def test_regions_hold_no_bases_in_memory(spark, monkeypatch):
+    """Bases stream past the regions that a task holds, and tasks grow with the regions; pieces are those of plain slices."""
+    monkeypatch.setattr(Q, "HELD", 50)
+    rng = random.Random(4)
+    texts = {f"c{i}": "".join(rng.choice("acgtn") for _ in range(n)) for i, n in enumerate((0, 1, 59, 256, 257, 5000, 9000))}
+    whole = spark.createDataFrame(list(texts.items()), "chr string, seq string")
+    spans = [(c, s, s + n) for c, t in texts.items() for s, n in [(rng.randrange(-20, len(t) + 20), rng.choice((0, 1, 30, 240, 3000))) for _ in range(40)]]
+    spans += [("c5", s, s + n) for s, n in ((0, 0), (256, 0), (255, 1), (256, 1), (0, 5000), (4999, 9), (5000, 9), (-9, 9), (4096, 0))]
+    regions = spark.createDataFrame([(c, s, e, i) for i, (c, s, e) in enumerate(spans + spans[:5])] + [("none", 0, 9, -1), (None, 0, 9, -2)], "chr string, start long, end long, id int")
+    for size in (60, 4096):
+        found = Q.sequence_regions(Q.split_blocks(whole, size), regions)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        tasks = -(-regions.count() // 50)
+        assert plan.count(f", {tasks}), REPARTITION_BY_NUM") == 2 and "ShuffledHashJoin" in plan
+        got = {r["id"]: (r["start"], r["end"], r["seq"]) for r in found.collect()}
+        for i, (c, s, e) in enumerate(spans + spans[:5]):
+            if min(e, len(texts[c])) > max(s, 0):
+                assert got.pop(i) == (s, e, texts[c][max(s, 0) : e])
+        # what is left meets a block without sharing a base
+        assert all(seq == "" and end - start <= 0 or texts[spans[i % len(spans)][0]] == "" for i, (start, end, seq) in got.items())
