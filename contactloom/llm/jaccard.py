@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from contactloom.llm.common import blocks, short_batches
 from contactloom.llm.components import components
-from contactloom.session import cut_lineage
+from contactloom.session import cut_lineage, short_table
 
 BUSY = 32
 TILE = 2048
@@ -39,6 +39,9 @@ SENT_IDS = 250_000
 #: pairs that are counted in one task
 PAIRS = 2000
 
+#: bits that name a column of the lowest quarter: fewer to shuffle; n-grams that fall into one column only add pairs to count
+COLUMN_BITS = 40
+
 #: words of more bytes are rare and hashed one by one
 LONG_WORD = 64
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -107,6 +110,12 @@ def leading(n: Column, percent: int) -> Column:
     return n - F.ceil(n * percent / F.lit(100)) + 1
 
 
+def column(gram: str) -> Column:
+    """The column of an n-gram: the lowest quarter of the hashes by their first ``COLUMN_BITS`` bits, others by the whole hash."""
+    low = (F.col(gram) >= 0) & (F.col(gram) < F.lit(1 << 62))
+    return F.when(low, F.shiftright(gram, 62 - COLUMN_BITS)).otherwise(F.col(gram)).alias("h")
+
+
 def gram_sets(docs: DataFrame, k: int, all_grams: bool) -> DataFrame:
     """(doc_id, n, sid, grams): set size, an id of the set, and its hashes, only the lowest quarter unless ``all_grams``."""
 
@@ -198,8 +207,7 @@ def within_bounds(first: DataFrame, more: DataFrame, rows: DataFrame, percent: i
     ``rows`` (doc_id, n, cold): set size, and how many of those columns the row has. ``more`` lists pairs that
     share other columns.
     """
-    shared = first.groupBy("a", "b").agg(F.count("*").alias("o")).unionByName(more.distinct().withColumn("o", F.lit(0).cast("long")))
-    pairs = shared.groupBy("a", "b").agg(F.max("o").alias("o"))
+    pairs = first.withColumn("o", F.lit(1)).unionByName(more.withColumn("o", F.lit(0))).groupBy("a", "b").agg(F.sum("o").alias("o"))
     for x in "ab":
         pairs = pairs.join(rows.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"), F.col("cold").alias(f"cold_{x}")), x)
     differ = F.col("cold_a") + F.col("cold_b") - 2 * F.col("o")
@@ -277,42 +285,47 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     """
     short_batches(docs.sparkSession)
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pools = cut_lineage(gram_sets(own, k, False))
-    # equal sets are one row of the matrix, named by their smallest id
-    named = pools.where("n > 0 and doc_id is not null")
-    copies = named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
-    copies = cut_lineage(copies.where("m > 1").select("sid", "rep"))
-    later = cut_lineage(named.select("doc_id", "sid").join(copies, "sid").where("doc_id <> rep").select("doc_id", "sid"))
-    # an id that stands on several rows keeps those of its rows that are no copies
-    other = only(named, later).join(later, ["doc_id", "sid"], "left_anti")
-    # a set that an id repeats is one row; the ids on several rows are few or none
-    many = cut_lineage(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
-    rows = only(named, later, "left_anti").unionByName(other)
-    if not many.isEmpty():
-        rows = only(rows, many, "left_anti").unionByName(only(rows, many).dropDuplicates(["doc_id", "sid"]))
-    part = F.xxhash64("sid").alias("part")  # tells the sets of one id apart
-    rows = rows.select("*", part).withColumn("need", leading(F.col("n"), percent))
-    postings = rows.select(F.explode("grams").alias("h"), "doc_id", "part", "n")
-    # written, so that the join can split the rows of a busy column
-    heights = cut_lineage(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
-    shared = cut_lineage(postings.join(heights.hint("shuffle_hash"), "h"))
-    busy = shared.where(F.col("m") > BUSY).groupBy("doc_id", "part").agg(F.count("*").alias("busy"))
-    each = cut_lineage(
-        rows.select("doc_id", "part", "n", "need", F.size("grams").alias("pool"))
-        .join(busy, ["doc_id", "part"], "left")
-        .withColumn("cold", F.col("pool") - F.coalesce("busy", F.lit(0)))
-    )
+    with short_table(gram_sets(own, k, False)) as pools:
+        sizes = cut_lineage(pools.select("doc_id", "n", "sid"))
+        # equal sets are one row of the matrix, named by their smallest id
+        named = pools.where("n > 0 and doc_id is not null")
+        copies = named.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.count("*").alias("m"))
+        copies = cut_lineage(copies.where("m > 1").select("sid", "rep"))
+        later = cut_lineage(named.select("doc_id", "sid").join(copies, "sid").where("doc_id <> rep").select("doc_id", "sid"))
+        # an id that stands on several rows keeps those of its rows that are no copies
+        other = only(named, later).join(later, ["doc_id", "sid"], "left_anti")
+        # a set that an id repeats is one row; the ids on several rows are few or none
+        many = cut_lineage(named.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id"))
+        single = many.isEmpty()
+
+        def parted(frame: DataFrame) -> DataFrame:
+            """With ``part``, which tells the sets of one id apart; 0 for an id on one row, so that its postings carry no hash of the set."""
+            if single:
+                return frame.withColumn("part", F.lit(0).cast("long"))
+            several = only(frame, many).dropDuplicates(["doc_id", "sid"]).withColumn("part", F.xxhash64("sid"))
+            return only(frame, many, "left_anti").withColumn("part", F.lit(0).cast("long")).unionByName(several)
+
+        rows = parted(only(named, later, "left_anti").unionByName(other)).withColumn("need", leading(F.col("n"), percent))
+        postings = rows.select(F.explode("grams").alias("gram"), "doc_id", "part", "n").select(column("gram"), "doc_id", "part", "n")
+        # written, so that the join can split the rows of a busy column
+        heights = cut_lineage(postings.groupBy("h").agg(F.count("*").alias("m")).where("m > 1"))
+        shared = cut_lineage(postings.join(heights.hint("shuffle_hash"), "h"))
+        busy = shared.where(F.col("m") > BUSY).groupBy("doc_id", "part").agg(F.count("*").alias("busy"))
+        each = cut_lineage(
+            rows.select("doc_id", "part", "n", "need", F.size("grams").alias("pool"))
+            .join(busy, ["doc_id", "part"], "left")
+            .withColumn("cold", F.col("pool") - F.coalesce("busy", F.lit(0)))
+        )
     # pairs are of ids: of several sets the widest bounds count
     sized = each.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("cold").alias("cold"))
     hard = each.where("cold < need").select("doc_id", "part", "need", F.col("cold").alias("have"))
-    sets = gram_sets(only(own, hard), k, True).select("doc_id", part, "n", "grams")
-    if not many.isEmpty():
-        several = only(sets, many).dropDuplicates(["doc_id", "part"]).join(hard.select("doc_id", "part"), ["doc_id", "part"], "left_semi")
-        sets = only(sets, many, "left_anti").unionByName(several)
+    sets = parted(gram_sets(only(own, hard), k, True).where("n > 0")).select("doc_id", "part", "n", "grams")
+    if not single:
+        sets = only(sets, many, "left_anti").unionByName(only(sets, many).join(hard.select("doc_id", "part"), ["doc_id", "part"], "left_semi"))
     sets = cut_lineage(sets)
     low = (F.col("h") >= 0) & (F.col("h") < F.lit(1 << 62))
     busy_columns = shared.where(F.col("m") > BUSY).select("h").distinct().withColumn("late", F.lit(True))
-    rest = sets.select(F.explode("grams").alias("h"), "doc_id", "part", "n")
+    rest = sets.select(F.explode("grams").alias("gram"), "doc_id", "part", "n").select(column("gram"), "doc_id", "part", "n")
     rest = rest.join(busy_columns, "h", "left").where(~low | F.col("late").isNotNull()).drop("late")
     rest_heights = rest.groupBy("h").agg(F.count("*").alias("m"))
     first = Window.partitionBy("doc_id", "part").orderBy("m", "h")
@@ -333,7 +346,7 @@ def near_duplicates(docs: DataFrame, k: int = 4, percent: int = 85, text: str =
     # an id on several rows is one document: what its rows are copies of belongs together
     same = later.join(many, "doc_id").join(copies, "sid").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     groups = components(links.unionByName(same))
-    whole = pools.select("doc_id", "n", "sid").join(copies, "sid", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
+    whole = sizes.join(copies, "sid", "left").withColumn("rep", F.coalesce("rep", "doc_id"))
     return whole.join(groups, F.col("rep") == F.col("id"), "left").select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),

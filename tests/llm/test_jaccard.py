@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import pytest
 from hypothesis import given, settings
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 
 from contactloom.llm import jaccard
 from contactloom.llm.components import components
+from contactloom.session import cut_lineage, scratch_root
 
 
 def sets_of(text, k):
@@ -71,6 +73,32 @@ def test_texts_are_shuffled_when_ids_are_many(spark, monkeypatch):
     assert got == brute(docs, 4, 85)
 
 
+@pytest.mark.parametrize("bits", [4, 9])
+def test_grams_that_share_a_column_change_nothing(spark, monkeypatch, bits):
+    monkeypatch.setattr(jaccard, "COLUMN_BITS", bits)
+    docs = corpus(5)
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=str)
+    assert got == brute(docs, 4, 85)
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_postings_carry_short_numbers(spark, monkeypatch, again):
+    """A column's short name, and nothing of the set's hash unless an id stands on several rows."""
+    written, before = [], set(Path(scratch_root(spark)).glob("table-*"))
+    monkeypatch.setattr(jaccard, "cut_lineage", lambda df: written.append(cut_lineage(df)) or written[-1])
+    docs = corpus(6)
+    docs += [(docs[0][0], "six other words stand here too"), (docs[0][0], "")] * again
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_duplicates(df).collect()), key=str)
+    assert got == brute(docs, 4, 85)
+    # the hashes of all sets are gone when the pairs are sought
+    folders = Path(scratch_root(spark)).glob("table-*")
+    assert not any({"sid", "grams"} <= set(spark.read.parquet(str(f)).columns) for f in set(folders) - before if any(f.glob("*.parquet")))
+    shared = next(t for t in written if {"h", "part", "m"} <= set(t.columns)).collect()
+    assert shared and all(0 <= r.h < 1 << 40 and (r.part == 0 or again and r.doc_id == docs[0][0]) for r in shared)
+
+
 def test_empty_table_and_repeated_ids(spark):
     df = spark.createDataFrame([(5, "a b c d e"), (5, "a b c d e"), (3, "a b c d e")], "doc_id long, text string")
     assert jaccard.near_duplicates(df.where("doc_id > 9")).count() == 0
