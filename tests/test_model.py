@@ -4,6 +4,7 @@ import pytest
 
 from contactloom import session
 from contactloom.operators import model as M
+from contactloom.plans import q_model
 
 
 def table(spark, counts):
@@ -35,3 +36,18 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         session.scratch_root(Spark())
+
+
+def test_a_removed_table_of_the_model_queries_is_written_again(spark, monkeypatch):
+    """Scratch folders are cleared between queries; the next model query must not read a table that is gone."""
+    made = spark.createDataFrame([("chr1", 1, 2, 5, 1.0), ("chr4", 1, 2, 200_000, 1.0)], "chr string, contact_st bigint, contact_en bigint, contact_dist bigint, contact_count double")
+    monkeypatch.setattr(q_model, "base", lambda *a: None)
+    monkeypatch.setattr(q_model, "families", lambda *a: None)
+    monkeypatch.setattr(q_model.X, "assemble", lambda *a: made)
+    train, _ = q_model._tables(spark, "/made")
+    files = train.inputFiles()
+    assert q_model._tables(spark, "/made")[0].inputFiles() == files
+    session._remove(spark, files[0].rsplit("/", 1)[0])
+    spark.catalog.clearCache()
+    train, held_out = q_model._tables(spark, "/made")
+    assert [(r["chr"], r["contact_count"]) for r in (*train.collect(), *held_out.collect())] == [("chr1", 40.0), ("chr4", 8.0)]
