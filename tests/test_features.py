@@ -153,3 +153,50 @@ def test_contacts_take_from_an_anchor_only_what_its_end_needs(spark, world):
     joined = X.attach_anchors(cdf, rows, [family.slot], taken=lambda slot, end: family.taken(end))
     assert [f.name for f in joined.schema["st_" + family.slot].dataType] == list(family.at_start)
     assert [f.name for f in joined.schema["en_" + family.slot].dataType] == list(family.at_end)
+
+
+@pytest.mark.parametrize("some", ["sums", "sites", "rest", "crowded"])
+def test_anchors_surveyed_in_stretches_give_the_same_features(spark, world, monkeypatch, some):
+    """Contacts, anchors and items meet in stretches; what is found for an anchor is joined there, not shuffled."""
+    _, _, cdf, pdf = world
+    odd = [(None, 50, 80, 30, 1.0), ("c1", None, 80, 30, 1.0), ("c2", 40, None, 30, 1.0)]
+    cdf = cdf.filter("contact_st < 120 or chr = 'c2'").unionByName(spark.createDataFrame(odd, cdf.schema)).coalesce(1)
+    tracks = pdf.withColumn("track", F.when(F.col("mids") % 3 == 0, "a").otherwise("b"))
+    e1 = spark.createDataFrame([(c, i, float((i * 7) % 5 - 2)) for c in ("c1", "c2") for i in range(25)], "chr string, bin bigint, E1 double")
+    families = {
+        "sums": [X.PeakSums(pdf, "T", W, 2), X.TrackSums(tracks, ["b", "a", "none"], W, 2)],
+        "sites": [X.GeneSums(pdf, "G", W, 2), X.SiteOrientation(pdf, "S", 2), X.ConvergentPair(pdf, "C", 3)],
+        "rest": [X.OrientationBlocks(pdf, "B", W), X.DistanceToTss(pdf.withColumn("TSS", F.col("mids") + 1)), X.EigenvectorSummary(e1, W, 10)],
+        "crowded": [X.PeakSums(pdf, "T", W, 2)],
+    }[some]
+    looked_up = X.compute(cdf, families)
+    monkeypatch.setattr(X, "HELD", 0)
+    monkeypatch.setattr(X, "STRETCH", 64)
+    monkeypatch.setattr(X, "SHARE", 100)
+    monkeypatch.setattr(X, "PIECE", 10 if some == "crowded" else 1 << 18)
+    met = X.compute(cdf, families)
+    assert met.columns == looked_up.columns
+    assert sorted(map(repr, met.collect())) == sorted(map(repr, looked_up.collect()))
+    if some == "sums":
+        assert "ShuffledHashJoin" in met._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("piece", [1 << 18, 20])
+def test_peak_bins_are_summed_in_stretches(spark, world, monkeypatch, piece):
+    contacts, peaks, cdf, pdf = world
+    monkeypatch.setattr(X, "STRETCH", 64)
+    monkeypatch.setattr(X, "SHARE", 40)
+    monkeypatch.setattr(X, "PIECE", piece)
+    table = X.compute(cdf, [X.PeakBins(pdf, "T", 120, 20)])
+    got = by_key(table)
+    assert len(got) == len(contacts)
+    for c, s, e, d, _ in contacts:
+        st = max(0, s - (120 - d) // 2)
+        r = got[c, s, e]
+        assert r["Twin_st"] == st
+        for i in range(6):
+            lo = st + i * 20
+            assert r[f"T_bin{i}"] == sum(p[4] for p in peaks if p[0] == c and lo <= p[3] <= lo + 20)
+    if piece > 20:
+        # neither contacts nor windows are looked up: their bins never leave the task that summed them
+        assert "_salt" not in table._jdf.queryExecution().optimizedPlan().toString()
